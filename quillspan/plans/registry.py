@@ -1,11 +1,564 @@
-"""All queries of the library and their oracle SQL."""
+"""All queries of the library, with SQL that says the same for each that SQL can express.
+
+Names of operators in the survey are given after each query's name.  Table queries run over whole tables; queries about
+code use the small corpus of ``samples``.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from ..functions import scores
+from ..functions import text as fx
+from ..operators import coverage as cov
+from ..operators import diffs, findings, graph, resolve
+from ..operators import symbols as sym
+from ..operators.scripts import BUILT_IN
+from ..sources import corpus as source
+from ..sources import reports
+from ..storage import durable
+from . import samples, tools
+from .corpus import Corpus
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(_SQL)
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _sample(spark: SparkSession, mode: str = "reference") -> Corpus:
+    return Corpus(source.from_rows(spark, samples.FILES, samples.ROOT), mode)
+
+
+_FILES = samples.values(samples.FILES, "path, content")
+_LANG_SQL = "CASE lower(regexp_extract({0}, '[^/](\\.[^./]*)$', 1)) " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in fx.LANGUAGES.items()) + " ELSE 'other' END"
+_TRIM = "trim({0}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || chr(160))"
+_FLOW, _FUNC = "|".join(fx.FLOW_WORDS), "|".join(fx.FUNCTION_WORDS)
+_COMPLEXITY = "coalesce(list_sum(list_transform(string_split({0}, chr(10)), lambda x: CAST(regexp_matches(" + _TRIM.format("x") + f", '{_FLOW}') AS INT) + CAST(regexp_matches(" + _TRIM.format("x") + f", '{_FUNC}') AS INT))), 0)"
+_DOC = "SELECT *, CAST(" + _COMPLEXITY.format("text") + " AS INT) AS complexity, CAST(len(string_split(text, chr(10))) AS INT) AS n_lines FROM documents"
+
+
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    return d.withColumns({"complexity": fx.file_complexity(F.col("text")), "n_lines": fx.n_lines(F.col("text"))})
+
+
+# corpus statistics: A1, A2, P1, P2, P4, P10, M1, M3
+
+
+@_query(f"SELECT lang AS language, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS size, avg(complexity) AS average_complexity, max(complexity) AS max_complexity FROM ({_DOC}) GROUP BY lang")
+def language_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    return d.groupBy(F.col("lang").alias("language")).agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("size"), F.avg("complexity").alias("average_complexity"), F.max("complexity").alias("max_complexity"))
+
+
+@_query(f"SELECT count(*) AS n_files, CAST(sum(n_chars) AS BIGINT) AS total_size, count(DISTINCT lang) AS n_languages, count(*) FILTER (source LIKE '%1%') AS n_tests, coalesce(avg(complexity), 0.0) AS average_complexity FROM ({_DOC})")
+def corpus_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    return d.agg(F.count(F.lit(1)).alias("n_files"), F.sum("n_chars").alias("total_size"), F.countDistinct("lang").alias("n_languages"), F.count_if(F.col("source").contains("1")).alias("n_tests"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"))
+
+
+@_query(f"SELECT doc_id, n_lines, complexity FROM ({_DOC})")
+def line_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _documents(spark, sf_dir).select("doc_id", "n_lines", "complexity")
+
+
+@_query(f"SELECT coalesce(avg(complexity), 0.0) AS average_complexity, greatest(coalesce(max(complexity), 0), 0) AS max_complexity, count(*) FILTER (complexity > 10) AS n_above FROM ({_DOC})")
+def complexity_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    return d.agg(F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), F.greatest(F.coalesce(F.max("complexity"), F.lit(0)), F.lit(0)).alias("max_complexity"), F.count_if(F.col("complexity") > 10).alias("n_above"))
+
+
+@_query(f"SELECT path, {_LANG_SQL.format('path')} AS language, (lower(path) LIKE '%test%' OR lower(path) LIKE '%spec%') AS is_test, CAST({_COMPLEXITY.format('content')} AS INT) AS complexity, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines, CAST(octet_length(encode(content)) AS BIGINT) AS size FROM {_FILES}")
+def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).files.select("path", "language", "is_test", "complexity", "n_lines", "size")
+
+
+@_query(f"SELECT path, language FROM (SELECT path, {_LANG_SQL.format('path')} AS language FROM {_FILES}) WHERE language IN ('typescript', 'javascript', 'python', 'go')")
+def gated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.language_gate(_sample(spark).files).select("path", "language")
+
+
+# extraction: X2 to X6, X13, X15, M2
+
+
+@_query(f"SELECT path, unnest(regexp_extract_all(content, 'import\\s+.*?\\s+from\\s+[''\"]([^''\"]+)[''\"]', 1)) AS source FROM {_FILES} WHERE {_LANG_SQL.format('path')} IN ('typescript', 'javascript')")
+def js_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _sample(spark)
+    return c.imports.join(c.files.filter(fx.is_script(F.col("language"))).select("path"), "path", "left_semi").select("path", "source")
+
+
+@_query(f"WITH m AS (SELECT path, unnest(regexp_extract_all(content, '(?m)^[ \\t]*(?:from\\s+[^\\s]+\\s+)?import\\s+[^\\s,]+')) AS s FROM {_FILES} WHERE path LIKE '%.py') SELECT path, CASE WHEN s LIKE '%from %' THEN regexp_extract(s, 'from\\s+([^\\s]+)', 1) ELSE regexp_extract(s, 'import\\s+([^\\s,]+)', 1) END AS source FROM m")
+def py_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sym.imports(_sample(spark).files.filter("language = 'python'")).select("path", "source")
+
+
+@_query(f"WITH s AS (SELECT path, unnest(regexp_extract_all(content, 'import\\s*\\([^)]*\\)|import\\s+\"[^\"]+\"')) AS s FROM {_FILES} WHERE path LIKE '%.go') SELECT path, unnest(regexp_extract_all(s, '\"([^\"]+)\"', 1)) AS source FROM s")
+def go_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sym.imports(_sample(spark).files.filter("language = 'go'")).select("path", "source")
+
+
+def _symbol_sql(ending: str, parts: list[tuple[str, str]], exported: str, private: str) -> str:
+    numbered = f"(SELECT path, CAST(line AS INT) AS start_line, {_TRIM.format('raw')} AS t FROM (SELECT path, unnest(string_split(content, chr(10))) AS raw, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM {_FILES} WHERE path LIKE '%{ending}'))"
+    each = [f"SELECT path, regexp_extract(t, '{p}', 1) AS name, '{k}' AS type, start_line FROM {numbered} WHERE regexp_matches(t, '{p}')" for k, p in parts]
+    return f"SELECT *, {exported} AS is_exported, {private} AS is_private FROM (" + " UNION ALL ".join(each) + ")"
+
+
+@_query(_symbol_sql(".py", [("function", r"^(?:async\s+)?def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), ("class", r"^class\s+([a-zA-Z_][a-zA-Z0-9_]*)")], "true", "starts_with(name, '_')"))
+def py_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sym.python_symbols(_sample(spark).files.filter("language = 'python'")).select("path", "name", "type", "start_line", "is_exported", "is_private")
+
+
+@_query(_symbol_sql(".go", [("function", r"^func\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\("), ("type", r"^type\s+([a-zA-Z_][a-zA-Z0-9_]*)")], "regexp_matches(name, '^[A-Z]')", "regexp_matches(name, '^[a-z]')"))
+def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sym.go_symbols(_sample(spark).files.filter("language = 'go'")).select("path", "name", "type", "start_line", "is_exported", "is_private")
+
+
+@_query()
+def ts_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sym.script_symbols(_sample(spark).files)
+
+
+_DECISIONS_SQL = " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in (r"\bif\s*\(", r"\belse\s+if\s*\(", r"\b(?:for|while|do)\s*\(", r"\bcase\s+", r"\bcatch\s*\(", r"\?[^:]*:", r"&&|\|\|"))
+
+
+@_query(f"SELECT path, CAST(1 + {_DECISIONS_SQL} AS INT) AS complexity FROM {_FILES}")
+def function_complexity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).files.select("path", fx.function_complexity(F.col("content")).alias("complexity"))
+
+
+@_query(f"SELECT path, array_to_string(list_slice(string_split(content, chr(10)), 2, 3), chr(10)) AS text FROM {_FILES}")
+def line_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).files.select("path", fx.line_range(F.col("content"), F.lit(2), F.lit(3)).alias("text"))
+
+
+@_query("SELECT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]+)\"', 1)) AS link FROM pages")
+def link_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), 1)).alias("link"))
+
+
+@_query("SELECT doc_id, CAST(len(r) AS INT) AS n, list_min(r) AS least FROM (SELECT doc_id, list_distinct(regexp_extract_all(text, '\\b([A-Z][A-Za-z0-9_]*)\\b', 1)) AS r FROM documents)")
+def type_refs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    refs = fx.type_references(F.col("text"))
+    return _table(spark, sf_dir, "documents").select("doc_id", refs.alias("r")).select("doc_id", F.size("r").alias("n"), F.array_min("r").alias("least"))
+
+
+@_query(f"SELECT path, {_TRIM.format('content')} AS trimmed FROM {_FILES}")
+def trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).files.select("path", fx.trim(F.col("content")).alias("trimmed"))
+
+
+# rules: F1, O1, A4, J6, W1
+
+
+@_query("SELECT doc_id, CASE WHEN n_chars > 5000 THEN 'high' ELSE 'medium' END AS severity, CASE WHEN n_chars > 5000 THEN 0 ELSE 1 END AS severity_rank, n_chars AS current FROM documents WHERE n_chars > 3000")
+def size_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    level = F.when(F.col("n_chars") > 5000, "high").otherwise("medium")
+    d = _table(spark, sf_dir, "documents").filter("n_chars > 3000")
+    return d.select("doc_id", level.alias("severity"), findings.rank(level).alias("severity_rank"), F.col("n_chars").alias("current"))
+
+
+@_query("SELECT count(*) AS total, count(*) FILTER (n_chars > 5000) AS high, count(*) FILTER (n_chars <= 5000) AS medium, 0 AS low FROM documents WHERE n_chars > 3000")
+def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.severity_summary(size_rules(spark, sf_dir)).withColumn("low", F.col("low").cast("int"))
+
+
+@_query()
+def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _sample(spark)
+    return findings.opportunities(c.files, c.symbols)
+
+
+@_query("SELECT p.event_id, count(e.event_id) AS n_inside FROM events p LEFT JOIN events e ON e.user_id = p.user_id AND e.ts >= p.ts AND e.ts <= p.ts + INTERVAL 1 DAY WHERE p.event_type = 'purchase' GROUP BY p.event_id")
+def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of the same user within a day of a purchase: equal days meet, then the exact range.
+
+    Each purchase looks in its own day and the next, so a user's whole history is never paired with itself.
+    """
+    e = _table(spark, sf_dir, "events")
+    day = F.datediff(F.to_date("ts"), F.lit("1970-01-01"))
+    bought = e.filter("event_type = 'purchase'").select("event_id", F.col("user_id").alias("u"), F.col("ts").alias("a"), F.explode(F.array(day, day + 1)).alias("d"))
+    all_ = e.select(F.col("event_id").alias("other"), "user_id", "ts", day.alias("day"))
+    inside = (F.col("u") == F.col("user_id")) & (F.col("d") == F.col("day")) & (F.col("ts") >= F.col("a")) & (F.col("ts") <= F.col("a") + F.expr("INTERVAL 1 DAY"))
+    return bought.join(all_, inside, "left").groupBy("event_id").agg(F.count("other").alias("n_inside"))
+
+
+# resolution: J1 to J5
+
+
+def _resolve_sql(rule: str, corrected: bool = False) -> str:
+    """Over paths written out, as SQL has no path functions: candidates of each import of the sample."""
+    endings, _ = resolve.RULES[rule]
+    rows = []
+    for src, ord_, spec, base in _sample_imports():
+        tried = [base + e for e in endings] + ([base[: -len(".js")] + ".ts"] if corrected and base.endswith(".js") else [base] if corrected else [])
+        rows += [(src, ord_, spec, k, t) for k, t in enumerate(tried)]
+    folders = sorted({p[:k] for p, _ in samples.FILES for k in range(1, len(p)) if p[k] == "/"}) if rule in ("trace", "dead_code") else []
+    listing = samples.values([p for p, _ in samples.FILES] + folders, "path")
+    return f"SELECT src, ord, source, arg_min(dst, rank) AS dst FROM {samples.values(rows, 'src, ord, source, rank, dst')} c JOIN {listing} f ON c.dst = f.path GROUP BY src, ord, source"
+
+
+def _sample_imports() -> list[tuple[str, int, str, str]]:
+    import posixpath
+    import re
+
+    out = []
+    for path, content in samples.FILES:
+        if path.endswith((".ts", ".tsx", ".js")):
+            for k, spec in enumerate(re.findall(r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", content)):
+                if spec.startswith("."):
+                    out.append((path, k, spec, posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))))
+    return out
+
+
+def _resolved(rule: str, mode: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        c = _sample(spark, mode)
+        listing = resolve.with_folders(c.files) if rule in ("trace", "dead_code") else c.files
+        return resolve.resolve(c.imports, listing, rule, mode)
+
+    run.__name__ = f"resolve_{rule}" + ("_corrected" if mode == "corrected" else "")
+    return run
+
+
+for _rule in resolve.RULES:
+    _query(_resolve_sql(_rule))(_resolved(_rule, "reference"))
+_query(_resolve_sql("graph", True))(_resolved("graph", "corrected"))
+
+
+@_query(f"SELECT path, normal FROM {samples.values([(p, n) for p, n in zip(samples.PATHS, ['/app/lib/a.ts', '/c', 'y', '../../z/w', '/', 'a', ''], strict=True)], 'path, normal')}")
+def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(p,) for p in samples.PATHS], "path string").select("path", fx.normalize(F.col("path")).alias("normal"))
+
+
+@_query(f"SELECT folder, file, distance FROM {samples.values([(*f, d) for f, d in zip(samples.FOLDERS, (0, 2, 100, 300), strict=True)], 'folder, file, distance')}")
+def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame(samples.FOLDERS, "folder string, file string")
+    return d.select("folder", "file", fx.proximity(F.col("folder"), F.col("file")).alias("distance"))
+
+
+# graphs: G1 to G9, J14, J7
+
+
+_EDGES = """
+pairs AS (SELECT DISTINCT l_orderkey AS o, l_suppkey AS s FROM lineitem),
+ranked AS (
+  SELECT a.s AS src, b.s AS dst, row_number() OVER (PARTITION BY a.s ORDER BY count(*) DESC, b.s) AS r
+  FROM pairs a JOIN pairs b ON a.o = b.o AND a.s <> b.s GROUP BY a.s, b.s
+),
+edges AS (SELECT src, dst FROM ranked WHERE r <= 2)
+"""
+_REACH = "reach(node) AS (SELECT CAST(0 AS BIGINT) UNION SELECT e.dst FROM reach JOIN edges e ON e.src = reach.node)"
+_CLOSURE = "closure(a, b) AS (SELECT src, dst FROM edges UNION SELECT c.a, e.dst FROM closure c JOIN edges e ON c.b = e.src)"
+
+
+def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each supplier the two that share most orders with it.  An order has few lines, so its pairs are few."""
+    pairs = _table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o"), F.col("l_suppkey").alias("s")).distinct()
+    other = pairs.select(F.col("o").alias("p"), F.col("s").alias("dst"))
+    counts = pairs.join(other, (F.col("o") == F.col("p")) & (F.col("s") != F.col("dst"))).groupBy(F.col("s").alias("src"), "dst").agg(F.count(F.lit(1)).alias("n"))
+    ranked = counts.withColumn("r", F.row_number().over(Window.partitionBy("src").orderBy(F.desc("n"), "dst")))
+    return ranked.filter("r <= 2").select("src", "dst")
+
+
+def _nodes(spark: SparkSession, *ids: int) -> DataFrame:
+    return spark.createDataFrame([(i,) for i in ids], "node bigint")
+
+
+@_query(f"WITH {_EDGES} SELECT src, dst FROM edges")
+def edges_cosupply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _edges(spark, sf_dir)
+
+
+@_query(f"WITH {_EDGES} SELECT DISTINCT src AS node FROM edges WHERE dst = 0 AND src <> 0")
+def direct_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dependents(_edges(spark, sf_dir), 0, own=False)
+
+
+@_query(f"WITH {_EDGES} SELECT DISTINCT dst AS node FROM edges WHERE src = 0")
+def direct_dependencies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.dependencies(_edges(spark, sf_dir), 0)
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, back(node) AS (SELECT src FROM edges WHERE dst = 1 UNION SELECT e.src FROM back JOIN edges e ON e.dst = back.node) SELECT node FROM back WHERE node <> 1 AND node NOT IN (SELECT src FROM edges WHERE dst = 1)")
+def transitive_dependents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.transitive_dependents(_edges(spark, sf_dir), 1).select("node")
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT node FROM reach")
+def reachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reachable(_edges(spark, sf_dir), _nodes(spark, 0)).select("node")
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, {_REACH} SELECT DISTINCT src AS node FROM edges WHERE src NOT IN (SELECT node FROM reach)")
+def unreachable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = durable(_edges(spark, sf_dir), "edges")
+    return e.select(F.col("src").alias("node")).distinct().join(graph.reachable(e, _nodes(spark, 0)), "node", "left_anti")
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, depths(node, depth) AS (SELECT CAST(0 AS BIGINT), 0 UNION SELECT e.dst, d.depth + 1 FROM depths d JOIN edges e ON e.src = d.node WHERE d.depth < 4) SELECT node, min(depth) AS depth FROM depths GROUP BY node")
+def trace_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.reachable(_edges(spark, sf_dir), _nodes(spark, 0), 4)
+
+
+@_query()
+def trace_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.chains(durable(_edges(spark, sf_dir), "edges"), 0, 3)
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, {_CLOSURE} SELECT a, b FROM closure")
+def closure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.closure(_edges(spark, sf_dir))
+
+
+@_query(f"WITH RECURSIVE {_EDGES}, {_CLOSURE} SELECT a AS node FROM closure WHERE a = b")
+def cycle_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycle_members(_edges(spark, sf_dir))
+
+
+@_query(f"WITH {_EDGES} SELECT src, dst FROM edges WHERE src % 10 <> 3 AND dst % 10 <> 3")
+def partial_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = _table(spark, sf_dir, "supplier").filter("s_suppkey % 10 = 3").select(F.col("s_suppkey").alias("node"))
+    return graph.without(_edges(spark, sf_dir), gone)
+
+
+@_query()
+def corpus_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.cycles(_sample(spark, "corrected").edges("trace"), "/app/src/main.ts")
+
+
+# scores: M5 to M7, P18
+
+
+@_query(f"""WITH RECURSIVE {_EDGES}, {_CLOSURE},
+d AS (SELECT dst AS node, count(*) AS direct FROM edges WHERE src <> dst GROUP BY dst),
+t AS (SELECT b AS node, count(*) AS total FROM closure WHERE a <> b GROUP BY b)
+SELECT s_suppkey AS node, coalesce(direct, 0) AS direct, coalesce(total, 0) - coalesce(direct, 0) AS transitive,
+  least(100.0, round(coalesce(direct, 0) * 5.0 + (coalesce(total, 0) - coalesce(direct, 0)) * 2.0 + s_nationkey * 2.0 + (100.0 - 80.0) * 0.3))::DOUBLE AS risk
+FROM supplier LEFT JOIN d ON d.node = s_suppkey LEFT JOIN t ON t.node = s_suppkey""")
+def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = durable(_edges(spark, sf_dir), "edges")
+    direct = e.filter("src != dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("d"))
+    total = graph.closure(e).filter("a != b").groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("t"))
+    s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), "s_nationkey")
+    one = s.join(direct, "node", "left").join(total, "node", "left").withColumns({"direct": F.coalesce("d", F.lit(0)), "transitive": F.coalesce("t", F.lit(0)) - F.coalesce("d", F.lit(0))})
+    return one.select("node", "direct", "transitive", scores.risk(F.col("direct"), F.col("transitive"), F.col("s_nationkey"), F.lit(80.0)).alias("risk"))
+
+
+@_query(f"SELECT lang, greatest(0.0, least(100.0, 100.0 - 100.0 * 0.3 - greatest(avg(complexity) - 10.0, 0.0) * 2 - count(*) FILTER (complexity > 1000) * 2))::DOUBLE AS safety FROM ({_DOC}) GROUP BY lang")
+def safety_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir)
+    return d.groupBy("lang").agg(scores.safety(F.avg("complexity"), F.count_if(F.col("complexity") > 1000)).alias("safety"))
+
+
+@_query(f"""SELECT source, greatest(0.0, least(100.0, round(100.0 - CASE WHEN a > 10 THEN least(30.0, (a - 10) * 3.0) ELSE 0.0 END - (100.0 - c) * 0.4 - least(30.0, o * 0.5))))::DOUBLE AS health
+FROM (SELECT source, avg(complexity) AS a, 100.0 * count(*) FILTER (n_lines > 5) / count(*) AS c, count(*) FILTER (n_chars > 5000) AS o FROM ({_DOC}) GROUP BY source)""")
+def health_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = _documents(spark, sf_dir).groupBy("source").agg(F.avg("complexity").alias("a"), scores.percentage(F.count_if(F.col("n_lines") > 5), F.count(F.lit(1))).alias("c"), F.count_if(F.col("n_chars") > 5000).alias("o"))
+    return d.select("source", scores.health(F.col("a"), F.col("c"), F.col("o")).alias("health"))
+
+
+@_query("SELECT doc_id, CASE WHEN p > 70 THEN 'high' WHEN p > 40 THEN 'medium' ELSE 'low' END AS risk, CASE WHEN p >= 80 THEN 'high' WHEN p >= 60 THEN 'medium' ELSE 'low' END AS safety, CASE WHEN p >= 80 THEN 'good' WHEN p >= 50 THEN 'fair' ELSE 'poor' END AS coverage, CASE WHEN p < 20 THEN 'low' WHEN p < 50 THEN 'medium' WHEN p < 80 THEN 'high' ELSE 'critical' END AS impact FROM (SELECT doc_id, n_chars % 101 AS p FROM documents)")
+def labels_of_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = F.col("n_chars") % 101
+    return _table(spark, sf_dir, "documents").select("doc_id", scores.risk_label(p).alias("risk"), scores.safety_label(p).alias("safety"), scores.coverage_label(p).alias("coverage"), scores.impact_label(p).alias("impact"))
+
+
+# joins and sets: J7, J8, J11, J12, 2.10
+
+
+@_query("SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def anti_exports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_anti")
+
+
+@_query("SELECT c_custkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+def semi_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey"))
+    return _table(spark, sf_dir, "customer").select("c_custkey").join(o, "c_custkey", "left_semi")
+
+
+@_query(f"SELECT id, array_to_string(list_sort(list_filter(list_distinct(used), lambda x: NOT list_contains(declared, x) AND x NOT IN ({', '.join(map(samples.quoted, BUILT_IN))}))), ',') AS parameters FROM {samples.values(samples.NAMES, 'id, used, declared')}")
+def free_vars(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame(samples.NAMES, "id int, used array<string>, declared array<string>")
+    return d.select("id", F.array_join(fx.free_names(F.col("used"), F.col("declared"), F.array(*map(F.lit, BUILT_IN))), ",").alias("parameters"))
+
+
+@_query("SELECT 'union' AS op, k FROM (SELECT o_custkey AS k FROM orders UNION SELECT c_custkey FROM customer) UNION ALL SELECT 'intersect', k FROM (SELECT o_custkey AS k FROM orders INTERSECT SELECT c_custkey FROM customer) UNION ALL SELECT 'except', k FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders)")
+def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a, b = _table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("k")), _table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"))
+    name = lambda df, op: df.select(F.lit(op).alias("op"), "k")
+    return name(a.union(b).distinct(), "union").unionByName(name(a.intersect(b), "intersect")).unionByName(name(b.subtract(a), "except"))
+
+
+# coverage and reports: S5 to S7, S11, S12, A7, A8, A11, M9, P11 to P13, O3
+
+
+_COVER = "(SELECT source AS path, CAST(sum(quality) AS INT) AS covered, CAST(count(*) AS INT) AS total, 100.0 * sum(quality) / count(*) AS pct FROM documents JOIN labels USING (doc_id) GROUP BY source)"
+
+
+def _covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, lab = _table(spark, sf_dir, "documents").select("doc_id", "source"), _table(spark, sf_dir, "labels").select("doc_id", "quality")
+    g = d.join(lab, "doc_id").groupBy(F.col("source").alias("path")).agg(F.sum("quality").cast("int").alias("covered"), F.count(F.lit(1)).cast("int").alias("total"))
+    return g.withColumn("pct", scores.percentage(F.col("covered"), F.col("total")))
+
+
+@_query(f"SELECT round(avg(pct), 9) AS overall, round(100.0 * sum(covered) / sum(total), 9) AS lines, avg(pct) >= 80 AS meets, count(*) AS n_files FROM {_COVER}")
+def coverage_mean_vs_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = cov.overall(_covered(spark, sf_dir), 80)
+    return one.select(F.round("overall", 9).alias("overall"), F.round("lines", 9).alias("lines"), "meets", "n_files")
+
+
+@_query(f"SELECT path, covered, total, pct FROM {_COVER} ORDER BY pct, path LIMIT 15")
+def coverage_lowest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.lowest(_covered(spark, sf_dir)).select("path", "covered", "total", "pct")
+
+
+@_query(f"SELECT path, pct FROM {_COVER} WHERE starts_with(path, 'src1') AND pct < 90")
+def coverage_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cov.below(_covered(spark, sf_dir), "src1").filter("pct < 90").select("path", "pct")
+
+
+@_query("SELECT n_tests, n_sources, CASE WHEN n_sources > 0 THEN CAST(n_tests AS DOUBLE) / n_sources ELSE 0.0 END AS ratio FROM (SELECT count(*) FILTER (contains(lower(url), 'test') OR contains(lower(url), '1')) AS n_tests, count(*) FILTER (NOT (contains(lower(url), 'test') OR contains(lower(url), '1'))) AS n_sources FROM pages)")
+def test_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = F.lower("url").contains("test") | F.lower("url").contains("1")
+    one = _table(spark, sf_dir, "pages").agg(F.count_if(t).alias("n_tests"), F.count_if(~t).alias("n_sources"))
+    return one.withColumn("ratio", scores.ratio(F.col("n_tests"), F.col("n_sources")))
+
+
+@_query(f"SELECT count(*) FILTER (t) AS n_tests, count(*) FILTER (NOT t) AS n_sources FROM (SELECT regexp_matches(path, '\\.(test|spec)\\.') AS t FROM {_FILES} WHERE regexp_matches(path, '\\.(ts|tsx|js|jsx)$'))")
+def test_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source.test_counts(_sample(spark).files)
+
+
+_LOG = samples.values(samples.LOGS, "kind, n, value")
+
+
+@_query(f"""SELECT kind AS type, regexp_extract(value, '(.+):(\\d+):(\\d+)\\s+(error|warning)\\s+(.+)', 5) AS message, regexp_extract(value, '(.+):(\\d+):(\\d+)', 1) AS file, CAST(regexp_extract(value, '(.+):(\\d+):(\\d+)', 2) AS INT) AS line FROM {_LOG} WHERE kind = 'lint' AND regexp_matches(value, '(.+):(\\d+):(\\d+)\\s+(error|warning)\\s+(.+)')
+UNION ALL SELECT kind, regexp_extract(value, 'TS\\d+:\\s+(.+)', 1), regexp_extract(value, '(.+)\\((\\d+),', 1), CAST(regexp_extract(value, '\\((\\d+),', 1) AS INT) FROM {_LOG} WHERE kind = 'typescript' AND regexp_matches(value, 'error\\s+TS')
+UNION ALL SELECT kind, {_TRIM.format('value')}, NULL, NULL FROM {_LOG} WHERE kind = 'test' AND (contains(value, 'FAIL') OR contains(value, 'Error:'))""")
+def log_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.validation(_logs(spark))["errors"].select("type", "message", "file", "line")
+
+
+def _logs(spark: SparkSession) -> dict[str, DataFrame]:
+    d = spark.createDataFrame(samples.LOGS, "kind string, n int, value string")
+    return {k: d.filter(F.col("kind") == k) for k in ("lint", "typescript", "test")}
+
+
+@_query(f"SELECT kind AS type, count(*) AS n FROM {_LOG} WHERE (kind = 'lint' AND regexp_matches(value, '(.+):(\\d+):(\\d+)\\s+(error|warning)\\s+(.+)')) OR (kind = 'typescript' AND contains(value, 'error TS')) OR (kind = 'test' AND (contains(value, 'FAIL') OR contains(value, 'Error:'))) GROUP BY kind")
+def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.validation(_logs(spark))["counts"]
+
+
+@_query("SELECT * FROM (VALUES ('src/a.ts', 1, 3, 100.0 / 3, 2, true), ('src/b.ts', 1, 1, 100.0, 0, false), ('src/c.ts', 0, 0, 0.0, 0, false)) AS v(path, covered, total, pct, n_regions, missing)".replace("100.0 / 3", "CAST(100.0 AS DOUBLE) / 3").replace("100.0, 0", "CAST(100.0 AS DOUBLE), 0"))
+def json_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = reports.coverage_json(spark.createDataFrame([(samples.COVERAGE,)], "value string"))
+    return d.select("path", "covered", "total", "pct", F.size("regions").alias("n_regions"), "missing")
+
+
+@_query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total FROM events GROUP BY event_type")
+def json_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = _table(spark, sf_dir, "events").select("event_type", F.from_json("props", "k bigint").alias("p"))
+    return e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("p.k").alias("total"))
+
+
+# top rows: W2, O2, L1, A13
+
+
+@_query("SELECT l_suppkey, l_orderkey, l_linenumber, CAST(r AS INT) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS r FROM lineitem) WHERE r <= 10")
+def findings_topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").select("l_suppkey", "l_orderkey", "l_linenumber", "l_extendedprice")
+    return reports.top_rows(rows, "l_suppkey", [F.desc("l_extendedprice"), F.col("l_orderkey"), F.col("l_linenumber")], 10).select("l_suppkey", "l_orderkey", "l_linenumber", "rank")
+
+
+@_query("SELECT l_suppkey, count(*) AS n FROM lineitem GROUP BY l_suppkey ORDER BY n DESC, l_suppkey LIMIT 20")
+def top_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "l_suppkey").limit(20)
+
+
+@_query("SELECT conv_id, string_agg(role, ',' ORDER BY turn, role) AS roles, count(*) AS n FROM conversations GROUP BY conv_id")
+def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role"))).alias("r"), F.count(F.lit(1)).alias("n"))
+    return rows.select("conv_id", F.array_join(F.transform("r", lambda x: x["role"]), ",").alias("roles"), "n")
+
+
+# text transforms and tools: T1 to T9, X1, X7 to X14, A3, A9, A10
+
+
+@_query()
+def diff_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each turn of a conversation against the one before, as diffs of one text."""
+    c = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    w = Window.partitionBy("conv_id").orderBy("turn", "text")
+    both = c.withColumns({"old": F.lag("text").over(w), "k": F.row_number().over(w)})
+    name = F.concat_ws("/", F.lit("c"), "conv_id", "k")
+    changes = both.select(name.alias("file_path"), F.when(F.col("old").isNull(), "create").otherwise("update").alias("operation"), F.col("text").alias("new_content"))
+    return diffs.diffs(changes, both.filter("old is not null").select(name.alias("path"), F.col("old").alias("content")))
+
+
+@_query()
+def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.find_dead_code(_sample(spark), ["/app/src/main.ts"])["findings"]
+
+
+@_query()
+def dead_code_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.find_dead_code(_sample(spark, "corrected"), ["/app/src/main.ts"])["findings"]
+
+
+@_query()
+def type_abstractions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import types
+
+    return types.abstractions(_sample(spark).files, large=3)
+
+
+@_query()
+def rename_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "format")["references"]
+
+
+@_query()
+def extract_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.extract(_sample(spark), "/app/src/main.ts", 9, 11, "each")
+
+
+@_query()
+def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.impact(_sample(spark), "/app/src/util/format.ts")["summary"].drop("recommendations")
+
 
-def queries() -> dict:
-    return {}
+@_query()
+def project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.project_health(_sample(spark)).drop("recommendations")
 
 
-def oracle_sql() -> dict:
-    return {}
+@_query()
+def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.context(_sample(spark))["summary"].select("average_complexity", "max_complexity", "safety", "safety_label")
