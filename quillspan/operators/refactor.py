@@ -44,7 +44,7 @@ def rename_preview(references: DataFrame, each: int = 5) -> DataFrame:
     return references.withColumn("r", F.row_number().over(Window.partitionBy("path").orderBy("line", "text"))).filter(F.col("r") <= each).drop("r")
 
 
-_DECLARES = re.compile(r"\b(?:const|let|var)\s+([^=;\n]+)")
+_DECLARES = re.compile(r"\b(?:const|let|var)\s+([^=;\n]+?)(?=\s+(?:of|in)\s|\s*[=;\n]|$)")
 
 
 def free_names(code: str) -> list[str]:

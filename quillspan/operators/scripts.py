@@ -3,8 +3,8 @@
 ``blanked`` replaces comments, strings, templates and regular expressions by blanks of the same length, so positions
 stay and braces can be counted.  Declarations are then found at brace depth 0.  The grammar covered: functions,
 classes, interfaces, type aliases, enums, variables (also destructured), named, default and namespace imports, export
-lists and re-exports.  Decorators, JSX text with braces or quotes in it, and code built by ``eval`` are beyond it; a
-file that can't be scanned to its end has no rows in ``reference`` mode and what was found in ``corrected`` mode.
+lists and re-exports.  Decorators, JSX text with braces or quotes in it, and code built by ``eval`` are beyond it; of a
+file with errors, what was found is returned.
 """
 
 from __future__ import annotations
@@ -285,11 +285,10 @@ _ORDER = {"function": 0, "class": 1, "interface": 2, "type": 3, "variable": 4}
 def symbol_rows(code: str, mode: str = "reference") -> list[dict]:
     """Rows of one file: functions, classes, interfaces, types, variables whose names do not start with ``_``.
 
-    reference: nothing for a file with an unnamed default function or that can't be scanned.  corrected: also enums,
-    and what could be found.
+    reference: nothing for a file with an unnamed default function.  corrected: the others of such a file, and enums.
     """
-    found, whole = top_level(code)
-    if mode == "reference" and (not whole or any(s.name is None for s in found)):
+    found, _ = top_level(code)
+    if mode == "reference" and any(s.name is None for s in found):
         return []
     exported = {x for x, _ in export_lists(code)}
     kinds = _ORDER if mode == "reference" else _ORDER | {"enum": 5}

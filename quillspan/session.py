@@ -27,7 +27,8 @@ def session(master: str = "local[8]", app: str = "quillspan", partitions: int =
 
 
 def ship(spark: SparkSession) -> SparkSession:
-    """Make this package importable on the executors: once for each application, as a small archive."""
+    """Make this package importable on the executors (once for each application, as a small archive) and keep Arrow
+    batches short."""
     context = spark.sparkContext
     if context.applicationId not in _SENT:
         root = os.path.dirname(os.path.abspath(__file__))
@@ -40,4 +41,7 @@ def ship(spark: SparkSession) -> SparkSession:
                         z.write(path, os.path.join("quillspan", os.path.relpath(path, root)))
         context.addPyFile(archive)
         _SENT.add(context.applicationId)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":  # the default: texts can be long, so batches are kept short on both sides
+        spark.conf.set(key, "1000")
     return spark

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import re
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,6 +80,15 @@ def with_metrics(files: DataFrame) -> DataFrame:
     )
 
 
+def _empty_files(found: DataFrame) -> DataFrame:
+    """Rows of the files of length 0, which a scan of contents never opens; from the listing that the scan made."""
+    names = [(unquote(p),) for p in found.inputFiles()]
+    every = found.sparkSession.createDataFrame(names, "path string")
+    key = F.regexp_replace("path", r"^([a-z0-9]+):/+", "$1:/")
+    rest = every.withColumn("k", key).join(found.select(key.alias("k")), "k", "left_anti")
+    return rest.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+
+
 def scan(
     spark: SparkSession, root: str, include: tuple[str, ...] = INCLUDE, exclude: tuple[str, ...] | None = None, max_file_size: int = MAX_FILE_SIZE,
     max_files: int | None = MAX_FILES, languages: tuple[str, ...] = LANGUAGES,
@@ -89,15 +99,17 @@ def scan(
     """
     globs = all_excludes(root) if exclude is None else list(exclude)
     base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
-    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).filter(F.col("length") <= max_file_size)
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     plain = F.regexp_replace("path", r"^file:/*", "/")
-    listed = listed.withColumn("path", plain).withColumn("relative_path", F.expr(f"substring(path, {len(base) + 2})"))
+    listed = found.filter(F.col("length") <= max_file_size).withColumn("path", plain)
+    listed = listed.unionByName(_empty_files(found).withColumn("path", plain))
+    listed = listed.withColumn("relative_path", F.expr(f"substring(path, {len(base) + 2})"))
     listed = listed.filter(any_glob(F.col("relative_path"), include) & ~any_glob(F.col("relative_path"), globs))
     kept = listed.dropDuplicates(["path"])
     if max_files is not None:
         kept = kept.orderBy("path").limit(max_files)
     kept = kept.filter(fx.language(F.col("path")).isin(*languages))
-    read = kept.select("path", "relative_path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.decode("content", F.lit("UTF-8")).alias("content"))
+    read = kept.select("path", "relative_path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.decode("content", "UTF-8").alias("content"))
     return with_metrics(read)
 
 

@@ -17,7 +17,7 @@ def watch(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFram
     """Files as they come, from a folder of one level; contents are decoded as UTF-8."""
     schema = "path string, modificationTime timestamp, length bigint, content binary"
     stream = spark.readStream.format("binaryFile").schema(schema).option("maxFilesPerTrigger", per_trigger).load(folder)
-    return stream.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.decode("content", F.lit("UTF-8")).alias("content"), F.col("modificationTime").alias("modified"))
+    return stream.select(F.regexp_replace("path", r"^file:/*", "/").alias("path"), F.decode("content", "UTF-8").alias("content"), F.col("modificationTime").alias("modified"))
 
 
 def metrics(stream: DataFrame) -> DataFrame:
