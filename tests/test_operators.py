@@ -251,3 +251,33 @@ def test_ids_follow_order(corpus):
     assert rows.count() == 0 and "id" in rows.columns
     assert findings.severity_summary(rows).first().total == 0
     assert corpus.files.select(F.max("n_lines")).first()[0] > 10
+
+
+def test_config(tmp_path):
+    import json
+
+    from quillspan import config
+
+    assert config.load(str(tmp_path), {})["safety"]["max_risk_score"] == 75
+    (tmp_path / "quillspan.json").write_text(json.dumps({"safety": {"max_risk_score": 20}, "exclude": ["x"]}))
+    got = config.load(str(tmp_path), {"QUILLSPAN_PARALLEL": "false", "QUILLSPAN_MAX_RISK_SCORE": "30"})
+    assert got["safety"] == config.DEFAULTS["safety"] | {"max_risk_score": 30} and got["exclude"] == ["x"] and not got["validation"]["parallel"]
+    (tmp_path / "quillspan.json").write_text(json.dumps({"safety": {"max_risk_score": 200}, "exclude": ["x"]}))
+    assert config.load(str(tmp_path), {}) == config.DEFAULTS
+
+
+def test_changes_are_applied_and_put_back(spark, tmp_path):
+    from quillspan import sinks
+
+    root = tmp_path / "root"
+    root.mkdir()
+    (root / "a.txt").write_text("old")
+    (root / "b.txt").write_text("b")
+    changes = reports.changes(spark, [("a.txt", "update", "new"), ("b.txt", "delete", None), ("c/d.txt", "create", "made")])
+    assert len(sinks.apply(changes, str(root), dry_run=True)) == 3 and (root / "a.txt").read_text() == "old"
+    bad = sinks.execute_safely(changes, str(root), str(tmp_path / "kept"), {"test": ["false"]})
+    assert bad["rolled_back"] and (root / "a.txt").read_text() == "old" and (root / "b.txt").exists() and not (root / "c/d.txt").exists()
+    good = sinks.execute_safely(changes, str(root), str(tmp_path / "kept2"), {"test": ["true"]})
+    assert good["passed"] and (root / "a.txt").read_text() == "new" and not (root / "b.txt").exists() and (root / "c/d.txt").read_text() == "made"
+    with pytest.raises(ValueError):
+        sinks.apply(reports.changes(spark, [("../x", "create", "")]), str(root))
