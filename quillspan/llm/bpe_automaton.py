@@ -24,6 +24,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from .common import small
+
 #: Fixed pattern of the byte-level pre-tokeniser.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 #: A run of white space other than one line feed or one blank between others: such texts are split as a whole.
@@ -74,7 +76,7 @@ class MergeAutomaton:
         known = self.table.get(key)
         if known is None:
             known = self._has_arc(state, label)
-            if len(self.table) > 2_000_000:
+            if len(self.table) > 400_000:
                 self.table.clear()
             self.table[key] = known
         return known
@@ -151,7 +153,7 @@ class MergeAutomaton:
 class Encoder:
     """Encodes texts; the results of words are kept for reuse, up to a number of bytes."""
 
-    def __init__(self, automaton: MergeAutomaton, room: int = 160_000_000):
+    def __init__(self, automaton: MergeAutomaton, room: int = 120_000_000):
         self.automaton, self.room, self.used = automaton, room, 0
         self.words: dict[str, tuple[int, ...]] = {}
 
@@ -243,7 +245,7 @@ def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder_of(shared.value)
         names = {i: str(i) for i in e.automaton.labels}
-        for batch in batches:
+        for batch in small(batches):
             n, sha, back, all_ids = [], [], [], []
             for t in batch.column(1):
                 ids = e.encode(t.as_py())

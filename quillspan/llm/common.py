@@ -1,13 +1,17 @@
-"""Shared parts: reading the input, durable intermediate tables, word splitting, crc32 folds."""
+"""Shared parts: reading the input, small batches, word splitting, crc32 folds."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..storage import durable, fresh_path
+
+__all__ = ["WHITE", "WORD", "documents", "durable", "fold", "fresh_path", "labels", "small", "words"]
+
 #: The six ASCII white-space characters that separate words.
 WHITE = " \t\n\x0b\f\r"
 #: A word, for Java's regular expressions.
@@ -22,24 +26,12 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or a new one where it is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="quillspan-")
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
-
-
-def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/quillspan/{tag}-{uuid.uuid4().hex}"
-
-
-def durable(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts lineage and survives lost executors."""
-    path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+def small(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` a few at a time, so that a worker never holds many texts and their results at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+    pa.default_memory_pool().release_unused()
 
 
 def words(text: Column) -> Column:

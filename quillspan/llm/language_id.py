@@ -25,7 +25,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, small
 
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
 _LANE = 48
@@ -171,7 +171,7 @@ def identify(docs: DataFrame, held_out: Column | None = None, lang: str = "lang"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parser = parser_of(shared.value)
-        for batch in batches:
+        for batch in small(batches):
             found = [parser.predict(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], [doc_id, "lang_pred", "score"])
 

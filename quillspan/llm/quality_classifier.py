@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable, fold
+from .common import durable, fold, small
 
 #: Classes of bytes: capitals, small letters, digits, blanks, line feeds, sentence ends, other ASCII marks, non-ASCII.
 _CLASSES = np.full(256, 7)
@@ -103,7 +103,7 @@ def vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             x = [features(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], [doc_id, "x"])
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import durable
+from .common import durable, small
 
 SHINGLE, RADIUS = 4, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -57,7 +57,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             f = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64), pa.int64())], [doc_id, "f"])
 
@@ -235,7 +235,7 @@ def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
-    """f and root (the least of its component) for every end of a link, by alternating large and small stars.
+    """f and root (the least of its component) for every end of a link but the roots, by alternating large and small stars.
 
     Each round is written to the shared folder.  Neighbours are never gathered: a star is a minimum for each node and
     a join, so a hub's rows can be split.
@@ -262,7 +262,7 @@ def components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", te
     prints = durable(fingerprints(docs, doc_id, text, width), "prints")
     distinct = durable(prints.groupBy("f").agg(F.min(doc_id).alias("least")), "distinct")
     roots = connected(linked(distinct.select("f"), radius))
-    # only fingerprints that have a link are in roots
+    # fingerprints without a link, and the roots, stand for themselves
     named = distinct.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
     named = named.join(least, "root").select("f", "component_id")

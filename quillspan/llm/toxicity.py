@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold
+from .common import fold, small
 
 #: Fixed groups of identity terms; terms of one group are swapped for each other.
 IDENTITY_TERMS = (
@@ -158,7 +158,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", sample: int =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[str, tuple[int, ...]] = {}
-        for batch in batches:
+        for batch in small(batches):
             f = [np.array(sorted(features(t.as_py(), kept)), "<u4").tobytes() for t in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(f, pa.binary())], ["id", "label", "features"])
 
@@ -176,7 +176,7 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         known: dict[str, tuple[int, ...]] = {}  # of a stretch, the features that have a weight
-        for batch in batches:
+        for batch in small(batches):
             scores = []
             for t in batch.column(1):
                 hit: set[int] = set()
