@@ -1,14 +1,18 @@
 """SimHash near-duplicates: fingerprints, shard BK-trees, components.
 
-A text's fingerprint has a bit set where over half of its shingles' hashes have it.  Distinct fingerprints are cut into
-blocks of bits; two that differ in at most ``radius`` bits agree in all but ``radius`` blocks, so they meet in the
-shard of at least one choice of agreeing blocks.  Each shard is held as a BK-tree: children are keyed by their distance
-to the parent, and a query follows only edges within ``radius`` of its own distance.  A shard's tree is sent to the
-task that holds its queries instead of to every machine: broadcast trees would grow with the corpus.  Of the links in
-a shard only a spanning forest is kept, one link for each fingerprint at most, and components join forests by
-alternating star steps.  The number of blocks follows from the number of distinct fingerprints so that a shard of
-unrelated ones stays short; a shard with more than ``most`` fingerprints is cut again by the bits outside its key,
-down to trees that hold fingerprints with most bits in common.  No pair is lost at any step.
+A text's fingerprint has a bit set where over half of its shingles' hashes have it.  Fingerprints that may be near
+meet in shards; a shard is held as a BK-tree, whose children are keyed by their distance to the parent, and a query
+follows only edges within the radius of its own distance.  A shard's tree is sent to the task that holds its queries
+instead of to every machine: broadcast trees would grow with the corpus.  Of the links in a shard only a spanning
+forest is kept, one link for each fingerprint at most: a search takes what it reaches out of the tree, so a large group
+of near copies costs about one query for each member.  Components join the forests by alternating star steps.
+
+Shards are made in two ways.  ``linked`` is exact: fingerprints of 64 bits are cut into blocks, and two that differ in
+at most ``radius`` bits agree in all but ``radius`` blocks, so they meet in the shard of at least one choice of agreeing
+blocks; the number of blocks follows from the number of distinct fingerprints, and a shard with more than ``most`` is
+cut again by the bits outside its key.  ``alike`` is for a similarity, a share of equal bits of longer fingerprints, too
+far for blocks: shards are made by ``tables`` samples of bits, whose number follows from the number of fingerprints so
+that pairs of texts with that Jaccard index meet with probability ``recall``; those that meet are compared in full.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 a null id takes no part in the smallest id (a component of null ids has a null id); repeated rows are returned each;
@@ -17,6 +21,8 @@ other columns are ignored by ``components`` and passed on by ``representatives``
 
 from __future__ import annotations
 
+import math
+import random
 import re
 from collections.abc import Iterator
 from itertools import combinations
@@ -34,34 +40,47 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def fingerprint(text: str | None, width: int = SHINGLE, step: int = 1 << 15) -> int:
-    """64 bits, from a whole text."""
+def fingerprint(text: str | None, width: int = SHINGLE, n_words: int = 1, repeats: bool = True, step: int = 1 << 14) -> np.ndarray:
+    """64 bits for each of ``n_words``, from a whole text; the first word is that of XXH64 with seed 42, the others of
+    hashes mixed from it.  Without ``repeats`` each different shingle counts once."""
     words = _WORD.findall(text.translate(_LOWER)) if text else []
     if not words:
-        return 0
+        return np.zeros(n_words, np.uint64)
     if len(words) < width:
         shingles = [" ".join(words)]
     else:
         shingles = list(map(" ".join, zip(*[words[k:] for k in range(width)], strict=False)))
+    if not repeats:
+        shingles = list(set(shingles))
     digest = xxhash.xxh64_intdigest
-    counts = np.zeros(64, np.int64)
+    counts = np.zeros((n_words, 64), np.int64)
     for k in range(0, len(shingles), step):
-        hashes = np.array([digest(s.encode(errors="replace"), 42) for s in shingles[k : k + step]], ">u8")
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(0, dtype=np.int64)
-    bits = counts * 2 > len(shingles)
-    return int(np.packbits(bits).view(">u8")[0])
+        hashes = np.array([digest(s.encode(errors="replace"), 42) for s in shingles[k : k + step]], np.uint64)
+        for w in range(n_words):
+            bits = np.unpackbits((hashes if w == 0 else _mixed(hashes, w)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+            counts[w] += bits.sum(0, dtype=np.int64)
+    return np.packbits(counts * 2 > len(shingles), axis=1).view(">u8").astype(np.uint64).ravel()
 
 
-def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id and f (the fingerprint as a signed bigint), one pass over whole texts."""
+def _mixed(h: np.ndarray, w: int) -> np.ndarray:
+    """Other 64 bits of each hash: multiply and shift, twice, with odd constants."""
+    x = h ^ np.uint64(0x9E3779B97F4A7C15 * w & (1 << 64) - 1)
+    for c in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(29))) * np.uint64(c)
+    return x ^ (x >> np.uint64(32))
+
+
+def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE, n_words: int = 1, repeats: bool = True) -> DataFrame:
+    """doc_id and f0, f1, … (the fingerprint's words as signed bigints), one pass over whole texts."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    names = [f"f{w}" for w in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            f = np.array([fingerprint(t.as_py(), width) for t in batch.column(1)], np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f.view(np.int64), pa.int64())], [doc_id, "f"])
+            f = np.array([fingerprint(t.as_py(), width, n_words, repeats) for t in batch.column(1)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array(f[:, w]) for w in range(n_words)]], ["id", *names])
 
-    return docs.select(doc_id, text).mapInArrow(run, f"`{doc_id}` {kind}, f bigint")
+    return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
 class Links:
@@ -83,72 +102,89 @@ class Links:
             self.root[max(x, y)] = min(x, y)
             self.kept.append((a, b))
 
-    def star(self, a: int, many: np.ndarray) -> None:
-        for b in many.tolist():
-            self.join(a, b)
+
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Differing bits of each row of ``a`` against each of ``b``."""
+    out = np.zeros((len(a), len(b)), np.uint16)
+    for w in range(a.shape[1]):
+        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
+    return out
 
 
 class BKTree:
-    """BK-tree over distinct 64-bit values; each node is one of them or, at the ends, a handful."""
+    """BK-tree over rows of 64-bit words; a node is one of them or, at the ends, up to LEAF.  Values can be taken out."""
 
-    LEAF = 48
+    LEAF = 256
 
-    def __init__(self, values: np.ndarray, positions: np.ndarray | None = None):
-        positions = np.arange(len(values)) if positions is None else positions
-        self.values, self.at, self.children = values, positions, None
-        if len(values) > self.LEAF:
-            rest = values[1:]
-            distance = np.bitwise_count(rest ^ values[0])
+    def __init__(self, values: np.ndarray, at: np.ndarray):
+        self.values, self.at, self.left, self.children = values, at, len(at), None
+        if len(at) > self.LEAF:
+            distance = distances(values[:1], values[1:])[0]
             order = np.argsort(distance, kind="stable")
             keys, starts = np.unique(distance[order], return_index=True)
-            self.children = {
-                int(k): BKTree(rest[part], positions[1:][part]) for k, part in zip(keys, np.split(order, starts[1:]), strict=True)
-            }
-            self.values, self.at = values[:1], positions[:1]
-
-    def query(self, values: np.ndarray, at: np.ndarray, radius: int, links: Links) -> None:
-        """Link each of ``values`` to all in the tree within ``radius``: whole sets of queries go down together."""
-        if not len(values):
-            return
-        if self.children is None:
-            for k in range(0, len(values), 4096):
-                near = np.bitwise_count(values[k : k + 4096, None] ^ self.values[None, :]) <= radius
-                for a, b in zip(*np.nonzero(near), strict=True):
-                    links.join(int(at[k + a]), int(self.at[b]))
-            return
-        distance = np.bitwise_count(values ^ self.values[0]).astype(np.int16)
-        links.star(int(self.at[0]), at[distance <= radius])
-        for edge, child in self.children.items():
-            follow = np.abs(distance - edge) <= radius
-            if follow.any():
-                child.query(values[follow], at[follow], radius, links)
-
-    def join_own(self, radius: int, links: Links) -> None:
-        """All links among the tree's own values: below each node, and between its children within ``radius``."""
-        if self.children is None:
-            near = np.triu(np.bitwise_count(self.values[:, None] ^ self.values[None, :]) <= radius, 1)
-            for a, b in zip(*np.nonzero(near), strict=True):
-                links.join(int(self.at[a]), int(self.at[b]))
-            return
-        for edge, child in self.children.items():
-            if edge <= radius:
-                links.star(int(self.at[0]), child.positions())
-            child.join_own(radius, links)
-        edges = sorted(self.children)
-        for a, b in combinations(edges, 2):
-            if b - a <= radius:
-                small, large = sorted((self.children[a], self.children[b]), key=lambda t: len(t.positions()))
-                large.query(small.all_values(), small.positions(), radius, links)
-
-    def positions(self) -> np.ndarray:
-        if self.children is None:
-            return self.at
-        return np.concatenate([self.at, *[c.positions() for c in self.children.values()]])
-
-    def all_values(self) -> np.ndarray:
-        if self.children is None:
-            return self.values
-        return np.concatenate([self.values, *[c.all_values() for c in self.children.values()]])
+            if len(keys) > 1:
+                parts = np.split(order, starts[1:])
+                self.children = {int(k): BKTree(values[1:][p], at[1:][p]) for k, p in zip(keys, parts, strict=True)}
+                self.values, self.at = values[:1], at[:1]
+                self.pivot = values[:1]
+
+    def pop(self) -> tuple[np.ndarray, int]:
+        """Take any value out."""
+        self.left -= 1
+        if len(self.at):
+            value, at = self.values[-1], int(self.at[-1])
+            self.values, self.at = self.values[:-1], self.at[:-1]
+            return value, at
+        return next(c for c in self.children.values() if c.left).pop()
+
+    def take(self, values: np.ndarray, at: np.ndarray, radius: int, out: list) -> None:
+        """Take out what is within ``radius`` of any of ``values``; (position, near position, value) go to ``out``."""
+        if len(self.at):
+            near = distances(values, self.values) <= radius
+            hit = near.any(0)
+            if hit.any():
+                by = near.argmax(0)
+                out += [(int(at[by[k]]), int(self.at[k]), self.values[k]) for k in np.flatnonzero(hit)]
+                self.values, self.at = self.values[~hit], self.at[~hit]
+        if self.children is not None:
+            distance = distances(values, self.pivot)[:, 0].astype(np.int32)
+            for edge, child in self.children.items():
+                if child.left:
+                    follow = np.abs(distance - edge) <= radius
+                    if follow.any():
+                        child.take(values[follow], at[follow], radius, out)
+        self.left = len(self.at) + (sum(c.left for c in self.children.values()) if self.children is not None else 0)
+
+
+def forest(values: np.ndarray, radius: int, direct: int = 1024) -> list[tuple[int, int]]:
+    """A spanning forest of the links among rows of ``values``, as positions: searches that take out what they reach."""
+    if len(values) <= direct:
+        near = distances(values, values) <= radius
+        if int(near.sum()) == len(values):
+            return []
+        out, alive = [], np.ones(len(values), bool)
+        for start in np.flatnonzero(near.sum(1) > 1):
+            if alive[start]:
+                alive[start] = False
+                frontier = [start]
+                while frontier:
+                    a = frontier.pop()
+                    for b in np.flatnonzero(near[a] & alive).tolist():
+                        alive[b] = False
+                        out.append((int(a), b))
+                        frontier.append(b)
+        return out
+    tree, links = BKTree(values, np.arange(len(values))), []
+    while tree.left:
+        value, at = tree.pop()
+        frontier = [(value, at)]
+        while frontier and tree.left:
+            chunk, frontier = frontier[:64], frontier[64:]
+            found: list[tuple[int, int, np.ndarray]] = []
+            tree.take(np.array([v for v, _ in chunk]), np.array([p for _, p in chunk]), radius, found)
+            links += [(a, b) for a, b, _ in found]
+            frontier += [(v, b) for _, b, v in found]
+    return links
 
 
 def blocks_for(n: int, radius: int, shard: int = 64) -> int:
@@ -166,7 +202,7 @@ def masks(bits: list[int], blocks: int, radius: int) -> list[int]:
 
 
 def shard_links(values: np.ndarray, mask: int, radius: int, most: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the values of one shard (all equal under ``mask``), as positions.
+    """A spanning forest of the links among the 64-bit values of one shard (all equal under ``mask``), as positions.
 
     A shard above ``most`` is cut again over the bits outside its mask, as long as that makes its parts much smaller.
     """
@@ -185,53 +221,90 @@ def shard_links(values: np.ndarray, mask: int, radius: int, most: int = 4096) ->
             if sum(len(p[0]) ** 2 for p in parts) < 0.5 * len(at) ** 2:
                 pending += parts
                 continue
-        BKTree(values[at], at).join_own(radius, links)
+        for a, b in forest(values[at][:, None], radius):
+            links.join(int(at[a]), int(at[b]))
     return links.kept
 
 
-def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = 4096) -> DataFrame:
-    """a and b: links among the distinct fingerprints f, enough to connect whatever is connected."""
-    count = distinct.count() if n is None else n
-    blocks = blocks_for(count, radius)
-    choices = masks(list(range(64)), blocks, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
-    keyed = distinct.select("f", F.posexplode(F.array(*[F.col("f").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
-    # fingerprints that share a key and are alone there need no tree
-    parts = keyed.repartition(int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions")), "choice", "key").sortWithinPartitions("choice", "key")
+def _by_shard(keyed: DataFrame, n_words: int, links_of) -> DataFrame:
+    """Node pairs a and b from rows (choice, key, node, f0, …): those of a (choice, key) are given to ``links_of``
+    (values, choice) together.  Rows are dealt out by that key and sorted, so a task holds one shard at a time."""
+    names = [f"f{w}" for w in range(n_words)]
+    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = keyed.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        held: list[list[np.ndarray]] = []
 
-        def out(f: np.ndarray, choice: np.ndarray, key: np.ndarray) -> list[tuple[int, int]]:
-            found = []
+        def out(choice: np.ndarray, key: np.ndarray, node: np.ndarray, *f: np.ndarray) -> pa.RecordBatch:
+            found: list[tuple[int, int]] = []
+            values = np.stack(f, axis=1).view(np.uint64)
             edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(key) != 0)) + 1
-            for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(f)]]), strict=True):
+            for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]]), strict=True):
                 if b - a > 1:
-                    v = f[a:b].view(np.uint64)
-                    for x, y in [(0, 1)] if b - a == 2 and int(v[0] ^ v[1]).bit_count() <= radius else shard_links(v, choices[choice[a]], radius, most) if b - a > 2 else []:
-                        found.append((int(f[a + x]), int(f[a + y])))
-            return found
+                    found += [(int(node[a + x]), int(node[a + y])) for x, y in links_of(values[a:b], int(choice[a]))]
+            pairs = np.array(found, np.int64).reshape(-1, 2)
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(tuple(c.to_numpy() for c in batch.columns))
-            f, choice, key = (np.concatenate(x) for x in zip(*held, strict=True))
-            same = (choice == choice[-1]) & (key == key[-1])
-            whole = len(f) - int(same[::-1].argmin()) if not same.all() else 0  # the last shard may go on
+            held.append([c.to_numpy() for c in batch.columns])
+            choice, key = held[-1][:2]
+            if choice[0] == choice[-1] and key[0] == key[-1] and all(h[0][-1] == choice[0] and h[1][-1] == key[0] for h in held):
+                continue  # one shard so far
+            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
+            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])  # this shard may go on
+            whole = len(last) - int(last.sum())
+            held = [[c[whole:] for c in columns]]
             if whole:
-                found = out(f[:whole], choice[:whole], key[:whole])
-                held = [(f[whole:], choice[whole:], key[whole:])]
-                yield _pairs(found)
+                yield out(*[c[:whole] for c in columns])
         if held:
-            yield _pairs(out(*(np.concatenate(x) for x in zip(*held, strict=True))))
+            yield out(*[np.concatenate(x) for x in zip(*held, strict=True)])
 
-    return parts.select("f", "choice", "key").mapInArrow(run, "a bigint, b bigint").distinct()
+    return dealt.select("choice", "key", "node", *names).mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    array = np.array(found, np.int64).reshape(-1, 2)
-    return pa.RecordBatch.from_arrays([pa.array(array[:, 0]), pa.array(array[:, 1])], ["a", "b"])
+def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = 4096) -> DataFrame:
+    """a and b: links among the distinct 64-bit fingerprints f0, enough to connect whatever is connected."""
+    blocks = blocks_for(distinct.count() if n is None else n, radius)
+    choices = masks(list(range(64)), blocks, radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
+    keyed = distinct.select("f0", F.col("f0").alias("node"), F.posexplode(F.array(*[F.col("f0").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
+
+    def links_of(values: np.ndarray, choice: int) -> list[tuple[int, int]]:
+        if len(values) == 2:
+            return [(0, 1)] if int(values[0, 0] ^ values[1, 0]).bit_count() <= radius else []
+        return shard_links(values[:, 0], choices[choice], radius, most)
+
+    return _by_shard(keyed, 1, links_of)
+
+
+def tables_for(n: int, similarity: float, recall: float, shard: int = 512) -> tuple[int, int]:
+    """Bits in a key, so that ``n`` unrelated fingerprints make shards of about ``shard``, and the number of tables in
+    which texts with a Jaccard index of ``similarity`` then meet with probability ``recall``.  Few share one table."""
+    if n <= shard:
+        return 0, 1
+    bits = max(1, math.ceil(math.log2(max(n / shard, 2))))
+    cosine = 2 * similarity / (1 + similarity)
+    meet = (1 - math.acos(cosine) / math.pi) ** bits
+    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
+
+
+def alike(distinct: DataFrame, n_words: int, similarity: float, recall: float = 0.99) -> DataFrame:
+    """a and b: links among distinct fingerprints (node, f0, …) whose share of equal bits is ``similarity`` or more."""
+    bits, tables = tables_for(distinct.count(), similarity, recall)
+    rng, total = random.Random(64), 64 * n_words
+    radius = math.floor(total * (1 - similarity))
+    keys = []
+    for t in range(tables):
+        chosen = rng.sample(range(total), bits)
+        words = [sum(1 << b - 64 * w for b in chosen if b // 64 == w) for w in range(n_words)]
+        signed = [m - (1 << 64) if m >> 63 else m for m in words]
+        keys.append(F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed) if m]))
+    names = [f"f{w}" for w in range(n_words)]
+    keyed = distinct.select("node", *names, F.posexplode(F.array(*keys)).alias("choice", "key"))
+    return _by_shard(keyed, n_words, lambda values, _: forest(values, radius))
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -257,24 +330,40 @@ def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
     return edges.groupBy(F.col("u").alias("f")).agg(F.min("v").alias("root"))
 
 
+def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
+    """node and component_id: the smallest ``least`` of each component of nodes."""
+    roots = connected(links).withColumnRenamed("f", "node")
+    # nodes without a link, and the roots, stand for themselves
+    named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
+    return named.join(least, "root").select("node", "component_id")
+
+
 def components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
-    """doc_id, fingerprint and component_id of every row of ``docs``."""
+    """doc_id, fingerprint and component_id of every row of ``docs``: exact links of 64-bit fingerprints."""
     prints = durable(fingerprints(docs, doc_id, text, width), "prints")
-    distinct = durable(prints.groupBy("f").agg(F.min(doc_id).alias("least")), "distinct")
-    roots = connected(linked(distinct.select("f"), radius))
-    # fingerprints without a link, and the roots, stand for themselves
-    named = distinct.join(roots, "f", "left").withColumn("root", F.coalesce("root", "f"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = named.join(least, "root").select("f", "component_id")
-    return prints.join(named, "f").select(doc_id, F.lpad(F.lower(F.hex("f")), 16, "0").alias("fingerprint"), "component_id")
+    distinct = durable(prints.groupBy("f0").agg(F.min("id").alias("least")).withColumn("node", F.col("f0")), "distinct")
+    named = _named(distinct, linked(distinct.select("f0"), radius)).withColumnRenamed("node", "f0")
+    return prints.join(named, "f0").select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", width: int = 5, n_words: int = 4, recall: float = 0.99) -> DataFrame:
+    """doc_id and component_id of every row of ``docs``: links of fingerprints of 64 * ``n_words`` bits of which a
+    share of ``similarity`` or more are equal.  For sets of shingles of that Jaccard index the expected share is above it
+    (0.85 for 0.8), so such texts are linked with near certainty once they meet in a table."""
+    names = [f"f{w}" for w in range(n_words)]
+    prints = durable(fingerprints(docs, doc_id, text, width, n_words, repeats=False).withColumn("node", F.xxhash64(*names)), "prints")
+    distinct = durable(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.first(n).alias(n) for n in names]), "distinct")
+    named = _named(distinct, alike(distinct.select("node", *names), n_words, similarity, recall))
+    return prints.select("id", "node").join(named, "node").select(F.col("id").alias(doc_id), "component_id")
 
 
 def representatives(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row of ``docs`` for each component, that of its smallest id, with the columns of ``docs``.
+    """One row of ``docs`` for each component of ``similar``, that of its smallest id, with the columns of ``docs``.
 
     Of rows that share that id one is kept; rows with a null id are all kept, as nothing tells them apart.
     """
-    found = components(docs, doc_id=doc_id, **options)
+    found = similar(docs, doc_id=doc_id, **options)
     keep = found.filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__kept_id")).distinct()
     kept = docs.join(keep, docs[doc_id] == keep["__kept_id"], "left_semi")
     return kept.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))

@@ -58,7 +58,7 @@ def test_bk_forest_connects_what_is_linked(seed, most):
 def test_links_and_components(spark, n):
     values = clustered(9, 400)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
-    df = spark.createDataFrame([(v,) for v in signed], "f bigint").repartition(3)
+    df = spark.createDataFrame([(v,) for v in signed], "f0 bigint").repartition(3)
     roots = {r.f: r.root for r in simhash.connected(simhash.linked(df, n=n)).collect()}
     want = components_of(values, 4)
     groups = Counter(want)
@@ -90,11 +90,60 @@ def test_simhash_query(spark):
     least = {c: min((i for i, x in zip(ids, root, strict=True) if x == c and i is not None), default=None) for c in root}
     want = [(i, f"{p:016x}", least[c]) for i, p, c in zip(ids, prints, root, strict=True)]
     assert got == sorted(want, key=lambda r: (r[0] is not None, r[0] or 0, *map(str, r[1:])))
-    one = simhash.representatives(documents(spark))
-    assert one.columns == documents(spark).columns and sorted(r[0] for r in one.collect() if r[0] is not None) == sorted({c for c in least.values() if c is not None})
     assert simhash.components(empty(spark)).count() == 0 and simhash.representatives(empty(spark)).count() == 0
 
 
+def test_similar_and_representatives(spark):
+    docs = documents(spark)
+    prints = [simhash.fingerprint(r[1], 5, 4, repeats=False) for r in rows()]
+    whole = [sum(int(w) << 64 * k for k, w in enumerate(p)) for p in prints]
+    root, ids = components_of(whole, 51), [r[0] for r in rows()]
+    least = {c: min((i for i, x in zip(ids, root, strict=True) if x == c and i is not None), default=None) for c in root}
+    assert sorted(map(str, simhash.similar(docs).collect())) == sorted(f"Row(doc_id={i}, component_id={least[c]})" for i, c in zip(ids, root, strict=True))
+    assert least[root[9]] == least[root[10]] == least[root[11]] == 9 and least[root[12]] == 12
+    kept = simhash.representatives(docs)
+    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == sorted({c for c in least.values() if c is not None})
+    assert sum(r[0] is None for r in kept.collect()) == 2
+    assert simhash.similar(empty(spark)).count() == 0
+
+
+def test_near_copies_are_found_and_others_left(spark):
+    rng = random.Random(8)
+    text = lambda: [f"w{rng.randrange(3000)}" for _ in range(300)]
+    docs, groups = [], []
+    for g in range(300):
+        base = text()
+        for _ in range(rng.choice([1, 1, 4])):
+            copy = list(base)
+            for _ in range(rng.randint(0, 5)):
+                copy[rng.randrange(300)] = "edit"
+            groups.append(g)
+            docs.append((len(docs), " ".join(copy)))
+    got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
+    first = {}
+    for k, g in enumerate(groups):
+        first.setdefault(g, k)
+    assert sum(got[k] == first[g] for k, g in enumerate(groups)) >= 0.99 * len(groups)
+    assert all(groups[got[k]] == g for k, g in enumerate(groups))
+
+
+@pytest.mark.parametrize("direct", [0, 1024])
+@pytest.mark.parametrize("n_words", [1, 4])
+def test_forests_span_components(n_words, direct):
+    rng, values = random.Random(n_words), [0]
+    while len(values) < 350:
+        v = rng.choice(values) if rng.random() < 0.7 else rng.getrandbits(64 * n_words)
+        for _ in range(rng.randint(0, 8 * n_words)):
+            v ^= 1 << rng.randrange(64 * n_words)
+        values.append(v)
+    radius = 4 if n_words == 1 else 40
+    array = np.array([[v >> 64 * w & (1 << 64) - 1 for w in range(n_words)] for v in values], np.uint64)
+    links, found = simhash.Links(len(values)), simhash.forest(array, radius, direct)
+    for a, b in found:
+        links.join(a, b)
+    assert [links.find(k) for k in range(len(values))] == components_of(values, radius) and len(found) == len(links.kept)
+
+
 def test_fingerprint_query(spark):
     got = {}
     for r in fp.fingerprint(documents(spark)).collect():
