@@ -21,56 +21,101 @@ import hashlib
 import json
 import re
 import struct
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import fresh_path
+from .bpe_automaton import byte_letters
+from .common import durable, fresh_path, small
 
 MAGIC = b"QSTK"
 _HEAD = struct.Struct("<4sBB32sI")
 
 
-class ChunkEncoder:
-    """Ids of a text as bytes, with the public tokenizers library; results for stretches without white space are kept.
+class ChunkEncoder(dict):
+    """Ids of a text as bytes, with the public tokenizers library; a dict of the stretches without white space met so far.
 
-    Right for vocabularies whose tokens never cross white space and drop it.
+    Right for vocabularies whose tokens never cross white space and drop it (see ``crosses_no_blank``).  A stretch of
+    plain letters goes to the library's model word by word, words too are kept; any other goes to the whole library.
     """
 
-    def __init__(self, vocabulary: str, dtype: str, room: int = 160_000_000):
+    def __init__(self, vocabulary: str, dtype: str, room: int = 180_000_000):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        self.model = self.tokenizer.model
+        pattern = plain_pattern(vocabulary)
+        self.parts = regex.compile(pattern).findall if pattern else None
+        self.letters = {b: c for c, b in byte_letters().items()}
+        first = {t["content"][0] for t in json.loads(vocabulary)["added_tokens"]}
+        self.plain = re.compile("[" + re.escape("".join(c for c in _PLAIN if c not in first)) + "]+").fullmatch
         self.dtype, self.room, self.used = dtype, room, 0
-        self.chunks: dict[str, bytes] = {}
+        self.code = "H" if dtype == "<u2" else "I"
+        self.words: dict[str, bytes] = {}
+
+    def _bytes(self, ids: list[int]) -> bytes:
+        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+
+    def _word(self, word: str) -> bytes:
+        spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])  # printable ASCII stands for itself
+        ids = self._bytes([t.id for t in self.model.tokenize(spelled)])
+        if len(word) < 60:
+            if len(self.words) >= 300_000:
+                self.words.clear()
+            self.words[word] = ids
+        return ids
 
-    def _new(self, chunk: str) -> bytes:
-        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
+    def __missing__(self, chunk: str) -> bytes:
+        if self.parts and self.plain(chunk):
+            get, low = self.words.get, chunk.lower()
+            if low.isalpha():
+                ids = get(low) or self._word(low)
+            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
+                ids = (get(low[:-1]) or self._word(low[:-1])) + (get(low[-1]) or self._word(low[-1]))
+            else:
+                ids = b"".join([get(w) or self._word(w) for w in self.parts(low)])
+        else:
+            ids = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
         if (size := 180 + len(chunk) + len(ids)) < 2000:
             self.used += size
             if self.used > self.room:
-                self.chunks.clear()
+                self.clear()
                 self.used = size
-            self.chunks[chunk] = ids
+            self[chunk] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
         chunks = text.split() if not _CONTROL.search(text) else [c for c in _BLANK.split(text) if c]
-        get, out = self.chunks.get, []
-        for c in chunks:
-            ids = get(c)
-            out.append(self._new(c) if ids is None else ids)
-        return b"".join(out)
+        return b"".join(map(self.__getitem__, chunks))
+
+
+#: Characters that the normaliser leaves or puts in lower case one by one, as str.lower() does.
+_PLAIN = "".join(map(chr, (*range(33, 127), *range(161, 173), *range(174, 256))))
+
+
+def plain_pattern(vocabulary: str) -> str | None:
+    """The pattern that splits words, where normalising is NFC, blanks and lower case, and a byte-level model follows."""
+    j = json.loads(vocabulary)
+    norm, pre = j.get("normalizer") or {}, j.get("pre_tokenizer") or {}
+    steps, parts = [n["type"] for n in norm.get("normalizers", [])], pre.get("pretokenizers", [])
+    known = steps == ["NFC", "Replace", "Lowercase"] and [p["type"] for p in parts] == ["Split", "ByteLevel"] and j["model"]["type"] == "BPE"
+    if not known or parts[1].get("add_prefix_space") or parts[1].get("use_regex") or j["model"].get("dropout"):
+        return None
+    return parts[0]["pattern"].get("Regex")
 
 
 #: str.split() also splits at these, the library does not.
@@ -166,7 +211,7 @@ def write(
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = chunk_encoder(shared.value, dtype)
-        for batch in batches:
+        for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([e.encode(t.as_py())[: 4000 * width] + end for t in batch.column(0)], pa.binary())], ["ids"])
 
     dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").limit(2 * sample_rows).collect()], dictionary_bytes)
@@ -177,7 +222,7 @@ def write(
         e = chunk_encoder(shared.value, dtype)
         options = {"dict_data": zstandard.ZstdCompressionDict(trained.value)} if trained.value else {}
         c = zstandard.ZstdCompressor(level=3, write_content_size=True, write_dict_id=False, **options)
-        for batch in batches:
+        for batch in small(batches):
             n, frames = [], []
             for t in batch.column(1):
                 ids = e.encode(t.as_py()) + end
@@ -217,7 +262,9 @@ def write(
     fields = [("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
     arrow = pa.schema([*fields, ("doc_ids", pa.list_(to_arrow_type(kind))), ("dictionary_hash", pa.string()), ("shard", pa.binary())])
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = rows.mapInArrow(compress, f"id {kind.simpleString()}, n bigint, frame binary").repartitionByRange(parts, "id").sortWithinPartitions("id", "n")
+    # written once: the range partitioner reads its input twice, to find the ranges and to deal it out
+    frames = durable(rows.mapInArrow(compress, f"id {kind.simpleString()}, n bigint, frame binary"), "frames")
+    ranged = frames.repartitionByRange(parts, "id").sortWithinPartitions("id", "n")
     ranged.mapInArrow(shards, schema).write.parquet(f"{path}/shards")
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "dictionary_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
