@@ -90,7 +90,7 @@ def _bucket(value: Column, bounds: list) -> Column:
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(further(at, s), at + s).otherwise(at))
 
 
-def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 2048, k: int = K, width: int = WIDTH) -> DataFrame:
+def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 512, k: int = K, width: int = WIDTH) -> DataFrame:
     """doc_id, text, sketch, next_text and next_sketch; next in descending order of id, after the last the first.
 
     Ranges of about ``rows`` ids are dealt out, one shuffle of the texts; the first document of each range also goes,
