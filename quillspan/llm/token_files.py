@@ -48,7 +48,7 @@ class ChunkEncoder(dict):
     plain letters goes to the library's model word by word, words too are kept; any other goes to the whole library.
     """
 
-    def __init__(self, vocabulary: str, dtype: str, room: int = 180_000_000):
+    def __init__(self, vocabulary: str, dtype: str, room: int = 110_000_000):
         super().__init__()
         from tokenizers import Tokenizer
 
@@ -72,7 +72,7 @@ class ChunkEncoder(dict):
         spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])  # printable ASCII stands for itself
         ids = self._bytes([t.id for t in self.model.tokenize(spelled)])
         if len(word) < 60:
-            if len(self.words) >= 300_000:
+            if len(self.words) >= 200_000:
                 self.words.clear()
             self.words[word] = ids
         return ids
