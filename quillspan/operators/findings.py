@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from .ranking import numbered
 from .scripts import parsed
 
 #: Fixed: (medium above, high above) by rule.
@@ -73,9 +74,8 @@ def rank(level: Column) -> Column:
 
 
 def _ordered(rows: DataFrame) -> DataFrame:
-    order = [rank(F.col("severity")), rank(F.col("impact")), "path", "pos", "start_line", "type"]
-    # ids run over the whole list, a report of findings; the list is what one reader goes through
-    return rows.withColumn("id", F.concat(F.lit("opp-"), F.row_number().over(Window.orderBy(*order)))).orderBy(*order)
+    order = [rank(F.col("severity")), rank(F.col("impact")), F.col("path"), F.col("pos"), F.col("start_line"), F.col("type")]
+    return numbered(rows, order, "n").withColumn("id", F.concat(F.lit("opp-"), "n")).orderBy("n").drop("n")
 
 
 def severity_summary(rows: DataFrame) -> DataFrame:
@@ -90,7 +90,7 @@ def _finding(rows: DataFrame, kind: str, severity: str, description: Column, sug
 def dead_code(files: DataFrame, reached: DataFrame, entries: DataFrame, mode: str = "reference") -> DataFrame:
     """Files that nothing reaches, exports that nothing names, imports that their file doesn't use.
 
-    ``reached`` and ``entries`` have a column node.  reference: any identifier of a reached file counts as a use of
+    ``reached`` and ``entries`` have a column node; ids follow severity, path and line.  reference: any identifier of a reached file counts as a use of
     all exports of that name; corrected: only imports of other files do.
     """
     every = parsed(files, ("exports", "imported", "identifiers"), mode)
@@ -108,11 +108,13 @@ def dead_code(files: DataFrame, reached: DataFrame, entries: DataFrame, mode: st
     uses = near.select("path", F.explode("identifiers.name").alias("name")).groupBy("path", "name").agg(F.count(F.lit(1)).alias("n"))
     own = named.filter("kind = 'named'").groupBy("path", "name").agg(F.min("line").alias("line"), F.count(F.lit(1)).alias("k"))
     unused = own.join(uses, ["path", "name"], "left").filter("coalesce(n, 0) <= k")
-    return (
+    found = (
         _finding(unreached, "unused-export", "high", F.lit("nothing that is reached imports this file"), "Remove the file if it is not needed.")
         .unionByName(_finding(idle, "unused-export", "medium", F.concat(F.lit("nothing uses the export "), F.col("name")), "Keep it private or remove it."))
         .unionByName(_finding(unused, "unused-import", "low", F.concat(F.lit("the file does not use its import "), F.col("name")), "Remove the import."))
     )
+    order = [rank(F.col("severity")), F.col("path"), F.col("line"), F.col("symbol")]
+    return numbered(found, order, "n").withColumn("id", F.concat(F.lit("finding-"), "n")).drop("n")
 
 
 def dead_code_summary(findings: DataFrame) -> DataFrame:

@@ -63,12 +63,14 @@ def with_symbols(files: DataFrame, mode: str = "reference") -> DataFrame:
 def index_stats(files: DataFrame) -> DataFrame:
     """One row over files with n_symbols: n_files, n_symbols, n_tests, average_complexity (0 if none), total_size and a
     map of counts by language."""
-    one = files.agg(
-        F.count(F.lit(1)).alias("n_files"), F.coalesce(F.sum("n_symbols"), F.lit(0)).alias("n_symbols"), F.count_if("is_test").alias("n_tests"),
-        F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), F.coalesce(F.sum("size"), F.lit(0)).alias("total_size"),
+    by = files.groupBy("language").agg(
+        F.count(F.lit(1)).alias("n"), F.sum("n_symbols").alias("symbols"), F.count_if("is_test").alias("tests"), F.sum("complexity").alias("complexity"), F.sum("size").alias("size")
+    )
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return by.agg(
+        total("n").alias("n_files"), total("symbols").alias("n_symbols"), total("tests").alias("n_tests"), F.coalesce(F.try_divide(F.sum("complexity"), F.sum("n")), F.lit(0.0)).alias("average_complexity"),
+        total("size").alias("total_size"), F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "n")))).alias("by_language"),
     )
-    by = files.groupBy("language").count().agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("language", "count")))).alias("by_language"))
-    return one.crossJoin(by)  # one row each
 
 
 def complexity_summary(files: DataFrame, threshold: int = 10) -> DataFrame:

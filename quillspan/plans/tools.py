@@ -43,9 +43,12 @@ def impact(corpus: Corpus, path: str, symbol: str | None = None) -> dict[str, Da
     # a target with another ending stands for its own tests, as a replacement that finds nothing changes nothing
     dot = F.lit(".")
     tests = F.when(stem != "", F.array(F.concat(stem, F.lit(".test"), dot, end), F.concat(stem, F.lit(".spec"), dot, end), F.concat(folder, F.lit("__tests__/"), name, F.lit(".test"), dot, end))).otherwise(F.array(F.lit(path)))
-    tested = corpus.files.filter(F.array_contains(tests, F.col("path"))).agg(F.when(F.count(F.lit(1)) > 0, 80.0).otherwise(0.0).alias("coverage"))
-    own = corpus.files.filter(F.col("path") == path).agg(F.coalesce(F.max("complexity"), F.lit(0)).alias("complexity"))
-    counts = direct.agg(F.count(F.lit(1)).alias("direct")).crossJoin(far.agg(F.count(F.lit(1)).alias("transitive"))).crossJoin(tested).crossJoin(own)  # one row each
+    part = lambda df, name, value: df.select(F.lit(name).alias("name"), value.cast("int").alias("value"))
+    rows = part(direct, "direct", F.lit(1)).union(part(far, "transitive", F.lit(1)))
+    rows = rows.union(part(corpus.files.filter(F.array_contains(tests, F.col("path"))), "tested", F.lit(1)))
+    rows = rows.union(part(corpus.files.filter(F.col("path") == path), "complexity", F.col("complexity")))
+    total = lambda name: F.coalesce(F.sum(F.when(F.col("name") == name, F.col("value"))), F.lit(0))
+    counts = rows.agg(total("direct").alias("direct"), total("transitive").alias("transitive"), F.when(total("tested") > 0, 80.0).otherwise(0.0).alias("coverage"), total("complexity").alias("complexity"))
     one = counts.withColumns({"total": F.col("direct") + F.col("transitive"), "risk": scores.risk(F.col("direct"), F.col("transitive"), F.col("complexity"), F.col("coverage"))})
     said = _array(
         F.when(F.col("risk") > 70, F.lit("High risk: set a checkpoint and change in small steps.")).when(F.col("risk") > 40, F.lit("Medium risk: run the tests after each step.")),
@@ -95,7 +98,15 @@ def find_dead_code(corpus: Corpus, entries: list[str]) -> dict[str, DataFrame]:
     seeds = corpus.files.sparkSession.createDataFrame([(e,) for e in entries], "node string")
     reached = graph.reachable(corpus.edges("dead_code"), seeds).select("node")
     found = findings.dead_code(corpus.files, reached, seeds, corpus.mode)
-    return {"findings": found, "summary": findings.dead_code_summary(found), "safe": findings.safe_to_remove(found), "top": findings.top_files(found)}
+    kind = lambda x, text: F.when(F.count_if(F.col("type") == x) > 0, F.concat(F.count_if(F.col("type") == x), F.lit(text)))
+    said = found.agg(
+        _array(
+            F.when(F.count(F.lit(1)) == 0, F.lit("Nothing is unused.")),
+            kind("unused-export", " exports or files are not used; remove them or keep them private."),
+            kind("unused-import", " imports are not used; remove them."),
+        ).alias("recommendations")
+    )
+    return {"findings": found, "summary": findings.dead_code_summary(found), "safe": findings.safe_to_remove(found), "top": findings.top_files(found), "recommendations": said}
 
 
 def coverage(files: DataFrame, target: str | None = None, threshold: float | None = None) -> dict[str, DataFrame]:
@@ -149,10 +160,12 @@ def project_health(corpus: Corpus, mode: str | None = None) -> DataFrame:
     mode = mode or corpus.mode
     size = F.sum("size") if mode == "reference" else F.sum("n_lines")
     kinds = corpus.symbols.groupBy("path").agg(F.bool_or(F.col("type").isin("function", "class")).alias("code"), F.bool_or(F.col("type").isin("interface", "type")).alias("types"))
-    typed = kinds.agg(F.count_if(F.col("code") & F.col("types")).alias("type_abstractions"))
     sources = F.count_if(~F.col("is_test"))
-    base = files.agg(F.count(F.lit(1)).alias("n_files"), F.coalesce(size, F.lit(0)).alias("total_lines"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), scores.percentage(F.count_if("is_test"), sources).alias("test_coverage"))
-    one = base.crossJoin(typed).withColumns({"complex_functions": F.lit(0), "duplicate_code": F.lit(0)})  # one row each
+    one = files.join(kinds, "path", "left").agg(
+        F.count(F.lit(1)).alias("n_files"), F.coalesce(size, F.lit(0)).alias("total_lines"), F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"),
+        scores.percentage(F.count_if("is_test"), sources).alias("test_coverage"), F.count_if(F.col("code") & F.col("types")).alias("type_abstractions"),
+    )
+    one = one.withColumns({"complex_functions": F.lit(0), "duplicate_code": F.lit(0)})  # symbols carry no complexity
     total = F.col("type_abstractions") + F.col("complex_functions") + F.col("duplicate_code")
     one = one.withColumn("score", scores.health(F.col("average_complexity"), F.col("test_coverage"), total))
     said = _array(

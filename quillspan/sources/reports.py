@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -45,7 +47,7 @@ def coverage_text(lines: DataFrame, column: str = "value") -> DataFrame:
 def _capped(found: DataFrame, fallback: str, kind: str, most: int = 10) -> DataFrame:
     """The first rows, or one row that says that something failed."""
     first = found.orderBy("n").limit(most)
-    none = found.sparkSession.range(1).join(found.limit(1).select(F.lit(1).alias("any")), how="left_anti", on=F.lit(True))
+    none = found.limit(1).agg(F.count(F.lit(1)).alias("any")).filter(F.col("any") == 0)
     rest = none.select(F.lit(-1).cast("bigint").alias("n"), F.lit(kind).alias("type"), F.lit(fallback).alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
     return first.unionByName(rest)
 
@@ -102,3 +104,17 @@ def changes(spark: SparkSession, rows: list[tuple[str, str, str | None]]) -> Dat
 def top_rows(df: DataFrame, group: str, order: list[Column], k: int) -> DataFrame:
     """The first ``k`` rows of each group."""
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(group).orderBy(*order))).filter(F.col("rank") <= k)
+
+
+def commands(manifest: str) -> dict[str, list[str]]:
+    """The commands that a package manifest (JSON text) offers for coverage, tests, lint and type checks.
+
+    The first script that exists is taken for each; without one, and for a text that is no manifest, there is none.
+    """
+    try:
+        scripts = json.loads(manifest).get("scripts") or {}
+    except (ValueError, AttributeError):
+        return {}
+    wanted = {"coverage": ("test:coverage", "coverage"), "test": ("test",), "lint": ("lint",), "typescript": ("typecheck", "type-check")}
+    found = {kind: next((n for n in names if n in scripts), None) for kind, names in wanted.items()}
+    return {kind: ["npm", "run", name] for kind, name in found.items() if name}

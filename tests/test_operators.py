@@ -281,3 +281,17 @@ def test_changes_are_applied_and_put_back(spark, tmp_path):
     assert good["passed"] and (root / "a.txt").read_text() == "new" and not (root / "b.txt").exists() and (root / "c/d.txt").read_text() == "made"
     with pytest.raises(ValueError):
         sinks.apply(reports.changes(spark, [("../x", "create", "")]), str(root))
+
+
+def test_manifest_commands():
+    assert reports.commands('{"scripts": {"test": "x", "coverage": "y"}}') == {"coverage": ["npm", "run", "coverage"], "test": ["npm", "run", "test"]}
+    assert reports.commands("no") == {} and reports.commands("[]") == {}
+
+
+def test_numbers_follow_the_order(spark):
+    from quillspan.operators.ranking import numbered
+
+    rows = [(k * 7919 % 1000,) for k in range(1000)]
+    got = numbered(spark.createDataFrame(rows, "x int").repartition(5), [F.col("x")], "n").collect()
+    assert {(r.x, r.n) for r in got} == {(k, k + 1) for k in range(1000)}
+    assert numbered(spark.createDataFrame([], "x int"), [F.col("x")], "n").count() == 0
