@@ -91,7 +91,7 @@ def rules() -> dict[str, Column]:
     return {
         "length": _vote(n < 20, n >= 50),
         "symbols": _vote(symbols > 0.2, symbols <= 0.05),
-        "letters": _vote(letters < 0.88, letters >= 0.92),
+        "letters": _vote(letters < 0.8, letters >= 0.9),
         "duplicate_lines": _vote(dup > 0.3, dup <= 0.1),
         "repeated_words": _vote(repeats > 0.4, repeats <= 0.2),
         "capitals": _vote(upper > 0.4, upper <= 0.2),
@@ -190,7 +190,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """doc_id, the statistics, base_failed, kept and posterior, one row for each row of ``docs``."""
     voted = durable(with_votes(docs.select(doc_id, text), text).drop(text), "votes")
     named = [F.col(_P + c).alias(c) for c in STATISTICS]
-    return _verdicts(voted).select(doc_id, *named, F.col(_P + "failed").alias("base_failed"), F.col(_P + "kept").alias("kept"), F.col(_P + "posterior").alias("posterior"))
+    return _verdicts(voted).select(doc_id, *named, F.col(_P + "failed").alias("base_failed"), F.col(_P + "kept").alias("kept"), F.round(F.col(_P + "posterior"), 6).alias("posterior"))
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:

@@ -92,5 +92,61 @@ FROM ranked
 """
 
 
+def _rules_sql() -> str:
+    """op1: the statistics, the votes, and the rounds of expectation-maximisation as a recursion over one row."""
+    m, names = 9, ["length", "symbols", "letters", "duplicate_lines", "repeated_words", "capitals", "word_length", "sentence_ends", "variety"]
+    assert names == list(quality_rules.rules())
+    vote = lambda bad, good: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
+    over = lambda a, b: f"({a} / CAST(greatest({b}, 1) AS DOUBLE))"
+    symbols, letters, dup, repeats = over("n_symbols", "n_words"), over("n_letters", "word_chars"), over("n_dup_lines", "n_lines"), over("n_repeat_words", "n_words")
+    upper, length, ends, variety = over("n_upper", "word_chars"), over("word_chars", "n_words"), over("n_ends", "n_words"), over("n_distinct", "n_words")
+    votes = [
+        vote("n_words < 20", "n_words >= 50"), vote(f"{symbols} > 0.2", f"{symbols} <= 0.05"), vote(f"{letters} < 0.8", f"{letters} >= 0.9"),
+        vote(f"{dup} > 0.3", f"{dup} <= 0.1"), vote(f"{repeats} > 0.4", f"{repeats} <= 0.2"), vote(f"{upper} > 0.4", f"{upper} <= 0.2"),
+        vote(f"{length} < 2 OR {length} > 15", f"{length} >= 3 AND {length} <= 10"),
+        vote(f"{ends} > 0.7 OR (n_ends = 0 AND n_words >= 50)", f"{ends} > 0.01 AND {ends} <= 0.35"), vote(f"{variety} < 0.1 AND n_words >= 50", f"{variety} >= 0.25"),
+    ]
+    each = lambda f: ", ".join(f(j) for j in range(1, m + 1))
+    logit = "ln(prior / (1 - prior))" + "".join(f" + CASE WHEN v[{j}] > 0 THEN ln(good[{j}] / (1 - bad[{j}])) WHEN v[{j}] < 0 THEN ln((1 - good[{j}]) / bad[{j}]) ELSE 0 END" for j in range(1, m + 1))
+    start = "CASE WHEN NOT list_contains(v, -1) AND list_contains(v, 1) THEN 0.98 WHEN len(list_filter(v, lambda x: x = -1)) = 1 THEN 0.5 ELSE 0.02 END"
+    sums = each(lambda j: f"sum(c * q * CAST(v[{j}] <> 0 AS INT)) AS voted{j}, sum(c * q * CAST(v[{j}] > 0 AS INT)) AS right{j}, sum(c * (1 - q) * CAST(v[{j}] <> 0 AS INT)) AS had{j}, sum(c * (1 - q) * CAST(v[{j}] < 0 AS INT)) AS caught{j}")
+    good = lambda j: f"least(greatest((right{j} + 0.99 * pseudo) / (voted{j} + pseudo), 0.5), 0.9995)"
+    bad = lambda j: f"least(greatest((caught{j} + 3) / (had{j} + 10), 1.01 - {good(j)}), 0.999)"
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w,
+         list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l FROM documents
+), tri AS (
+  SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT rid, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), again AS (
+  SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, g) AS n FROM tri) WHERE n > 1
+), covered AS (
+  SELECT rid, count(DISTINCT p) AS n FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM again) GROUP BY rid
+), stats AS (
+  SELECT d.rid, doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(t, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars,
+         CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '\PL+', '', 'g')) AS BIGINT) AS n_letters,
+         CAST(length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(t, '[^.!?]+', '', 'g')) AS BIGINT) AS n_ends,
+         CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
+         CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
+  FROM d LEFT JOIN covered c ON c.rid = d.rid
+), voted AS (
+  SELECT *, [{', '.join(votes)}] AS v FROM stats
+), patterns AS (
+  SELECT v, CAST(count(*) AS DOUBLE) AS c, CAST(sum(count(*)) OVER () AS DOUBLE) AS total FROM voted GROUP BY v
+), em(round, prior, good, bad, done) AS (
+  SELECT 0, CAST(0.8 AS DOUBLE), CAST([{each(lambda j: '0.95')}] AS DOUBLE[]), CAST([{each(lambda j: '0.5')}] AS DOUBLE[]), false
+  UNION ALL
+  SELECT round + 1, least(greatest(share, 0.05), 0.99), [{each(good)}], [{each(bad)}], abs(least(greatest(share, 0.05), 0.99) - prior) < 1e-9
+  FROM (
+    SELECT round, prior, 10 + 0.02 * max(total) AS pseudo, (sum(c * q) + 8) / (max(total) + 10) AS share, {sums}
+    FROM (SELECT round, prior, c, total, v, CAST(CASE WHEN round = 0 THEN {start} ELSE 1 / (1 + exp(-least(greatest({logit}, -500), 500))) END AS DOUBLE) AS q FROM em, patterns WHERE round < 100 AND NOT done)
+    GROUP BY round, prior
+  )
+), model AS (SELECT * FROM em ORDER BY round DESC LIMIT 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND p >= 0.5 AS kept, round(p, 6) AS posterior
+FROM (SELECT voted.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed, 1 / (1 + exp(-({logit}))) AS p FROM voted, model)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": _MIXING}
+    return {"op1_quality_rules": _rules_sql(), "op4_mixing": _MIXING}
