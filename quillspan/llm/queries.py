@@ -101,7 +101,7 @@ def _rules_sql() -> str:
     symbols, letters, dup, repeats = over("n_symbols", "n_words"), over("n_letters", "word_chars"), over("n_dup_lines", "n_lines"), over("n_repeat_words", "n_words")
     upper, length, ends, variety = over("n_upper", "word_chars"), over("word_chars", "n_words"), over("n_ends", "n_words"), over("n_distinct", "n_words")
     votes = [
-        vote("n_words < 20", "n_words >= 50"), vote(f"{symbols} > 0.2", f"{symbols} <= 0.05"), vote(f"{letters} < 0.8", f"{letters} >= 0.9"),
+        vote("n_words < 20", "n_words >= 50"), vote(f"{symbols} > 0.2", f"{symbols} <= 0.05"), vote(f"{letters} < 0.88", f"{letters} >= 0.92"),
         vote(f"{dup} > 0.3", f"{dup} <= 0.1"), vote(f"{repeats} > 0.4", f"{repeats} <= 0.2"), vote(f"{upper} > 0.4", f"{upper} <= 0.2"),
         vote(f"{length} < 2 OR {length} > 15", f"{length} >= 3 AND {length} <= 10"),
         vote(f"{ends} > 0.7 OR (n_ends = 0 AND n_words >= 50)", f"{ends} > 0.01 AND {ends} <= 0.35"), vote(f"{variety} < 0.1 AND n_words >= 50", f"{variety} >= 0.25"),
