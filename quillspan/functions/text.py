@@ -28,6 +28,13 @@ DECISIONS = (
     rf"{_START}catch{_S}*\(", r"\?[^:]*:", r"&&|\|\|",
 )
 
+#: Fixed patterns of imports: one-line script imports, Python imports, Go import sections and the names in them.
+SCRIPT_IMPORT = rf"import{_S}+.*?{_S}+from{_S}+['\"]([^'\"]+)['\"]"
+PYTHON_IMPORT = r"(?m)^\s*(?:from\s+([^\s]+)\s+)?import\s+([^\s,]+)"
+GO_SECTION, QUOTED = r"import\s*\([\s\S]*?\)|import\s+['\"][^'\"]+['\"]", r"['\"]([^'\"]+)['\"]"
+#: Fixed: names of files that hold types alone.
+TYPE_FILES = r"(?:^|/)(?:[^/]*\.types\.tsx?|[^/]*\.d\.ts|types\.tsx?)$"
+
 
 def trim(text: Column) -> Column:
     return F.btrim(text, F.lit(BLANKS))
@@ -77,7 +84,7 @@ def is_test(path: Column) -> Column:
 
 
 def is_type_only(path: Column) -> Column:
-    return path.rlike(r"(?:^|/)(?:[^/]*\.types\.tsx?|[^/]*\.d\.ts|types\.tsx?)$")
+    return path.rlike(TYPE_FILES)
 
 
 def is_script(language_: Column) -> Column:
@@ -133,20 +140,20 @@ def proximity(folder: Column, candidate: Column) -> Column:
 
 def js_imports(text: Column) -> Column:
     """Specifiers of one-line ``import … from`` statements, in order, repeats kept."""
-    return F.regexp_extract_all(text, F.lit(rf"import{_S}+.*?{_S}+from{_S}+['\"]([^'\"]+)['\"]"), 1)
+    return F.regexp_extract_all(text, F.lit(SCRIPT_IMPORT), 1)
 
 
 def python_imports(text: Column) -> Column:
     """The module of ``from … import``, or the first name of ``import``."""
-    pattern = F.lit(r"(?m)^\s*(?:from\s+([^\s]+)\s+)?import\s+([^\s,]+)")
+    pattern = F.lit(PYTHON_IMPORT)
     both = F.arrays_zip(F.regexp_extract_all(text, pattern, 1).alias("a"), F.regexp_extract_all(text, pattern, 2).alias("b"))
     return F.transform(both, lambda x: F.when(x["a"] != "", x["a"]).otherwise(x["b"]))
 
 
 def go_imports(text: Column) -> Column:
     """Quoted names in import blocks and single imports."""
-    sections = F.regexp_extract_all(text, F.lit(r"import\s*\([\s\S]*?\)|import\s+['\"][^'\"]+['\"]"), 0)
-    return F.flatten(F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(r"['\"]([^'\"]+)['\"]"), 1)))
+    sections = F.regexp_extract_all(text, F.lit(GO_SECTION), 0)
+    return F.flatten(F.transform(sections, lambda s: F.regexp_extract_all(s, F.lit(QUOTED), 1)))
 
 
 def imports(text: Column, language_: Column) -> Column:

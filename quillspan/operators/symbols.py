@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from ..functions import text as fx
 from .scripts import parsed
 
+#: Fixed patterns of trimmed lines that declare a symbol.
+PYTHON_FUNCTION, PYTHON_CLASS = r"^(?:async\s+)?def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", r"^class\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+GO_FUNCTION, GO_TYPE = r"^func\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", r"^type\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+
 
 def _numbered(files: DataFrame) -> DataFrame:
     return files.select("path", F.posexplode(fx.lines(F.col("content"))).alias("pos", "raw")).select("path", (F.col("pos") + 1).alias("line"), fx.trim(F.col("raw")).alias("text"))
@@ -24,7 +28,7 @@ def _row(name: Column, kind: str, exported: Column, private: Column) -> list[Col
 def python_symbols(files: DataFrame) -> DataFrame:
     """Functions (methods too) and classes, by line; all exported, private with a leading underscore."""
     rows = _numbered(files)
-    name_f, name_c = F.regexp_extract("text", r"^(?:async\s+)?def\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1), F.regexp_extract("text", r"^class\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1)
+    name_f, name_c = F.regexp_extract("text", PYTHON_FUNCTION, 1), F.regexp_extract("text", PYTHON_CLASS, 1)
     one = lambda name, kind: rows.filter(name != "").select(*_row(name, kind, F.lit(True), name.startswith("_")))
     return one(name_f, "function").unionByName(one(name_c, "class"))
 
@@ -32,7 +36,7 @@ def python_symbols(files: DataFrame) -> DataFrame:
 def go_symbols(files: DataFrame) -> DataFrame:
     """Functions without receivers and types, by line; exported with a capital ASCII letter, private with a small one."""
     rows = _numbered(files)
-    name_f, name_t = F.regexp_extract("text", r"^func\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*\(", 1), F.regexp_extract("text", r"^type\s+([a-zA-Z_][a-zA-Z0-9_]*)", 1)
+    name_f, name_t = F.regexp_extract("text", GO_FUNCTION, 1), F.regexp_extract("text", GO_TYPE, 1)
     one = lambda name, kind: rows.filter(name != "").select(*_row(name, kind, name.rlike("^[A-Z]"), name.rlike("^[a-z]")))
     return one(name_f, "function").unionByName(one(name_t, "type"))
 

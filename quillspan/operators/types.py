@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as fx
 
+#: Fixed: lines from which definitions are taken out, and the patterns of definitions.
 LARGE = 100
 _INTERFACE = re.compile(r"interface\s+([A-Za-z_$][\w$]*)\s*\{", re.ASCII)
 _ALIAS = re.compile(r"type\s+([A-Za-z_$][\w$]*)\s*=", re.ASCII)

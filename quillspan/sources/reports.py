@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import trim
 
 _FILE = "struct<statementMap:map<string,struct<start:struct<line:int>>>,s:map<string,bigint>>"
+#: Fixed patterns of lines: a coverage table, a linter's and a compiler's log.
+COVERAGE_LINE = r"(.+?)\s+\|\s+([\d.]+)\s+\|\s+([\d.]+)\s+\|\s+([\d.]+)\s+\|\s+([\d.]+)"
+LINT_LINE = r"(.+):(\d+):(\d+)\s+(error|warning)\s+(.+)"
+COMPILER_LINE = r"(.+)\((\d+),(\d+)\):\s+error\s+TS\d+:\s+(.+)"
 CHANGES = "file_path string, operation string, new_content string"
 
 
@@ -37,7 +41,7 @@ def coverage_json(reports: DataFrame, column: str = "value") -> DataFrame:
 
 def coverage_text(lines: DataFrame, column: str = "value") -> DataFrame:
     """The same from a table with bars; counts are not in it and are 0."""
-    pattern = r"(.+?)\s+\|\s+([\d.]+)\s+\|\s+([\d.]+)\s+\|\s+([\d.]+)\s+\|\s+([\d.]+)"
+    pattern = COVERAGE_LINE
     pct = F.regexp_extract(column, pattern, 2).try_cast("double")
     empty = F.array().cast("array<struct<start_line:int,end_line:int,type:string>>")
     rows = lines.filter(F.col(column).rlike(pattern))
@@ -64,10 +68,10 @@ def log_errors(lines: DataFrame, kind: str, column: str = "value", order: str =
         rows = found.select(n, F.lit("test").alias("type"), trim(x).alias("message"), F.lit(None).cast("string").alias("file"), F.lit(None).cast("int").alias("line"))
         return _capped(rows, "tests failed", "test", most)
     if kind == "lint":
-        pattern = r"(.+):(\d+):(\d+)\s+(error|warning)\s+(.+)"
+        pattern = LINT_LINE
         message, fallback = 5, "lint failed"
     elif kind == "typescript":
-        pattern = r"(.+)\((\d+),(\d+)\):\s+error\s+TS\d+:\s+(.+)"
+        pattern = COMPILER_LINE
         message, fallback = 4, "type check failed"
     else:
         raise ValueError(f"unknown kind of log: {kind}")
