@@ -28,7 +28,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -41,53 +40,49 @@ MAGIC = b"QSTK"
 _HEAD = struct.Struct("<4sBB32sI")
 
 
+class _Words(dict):
+    """Ids of words as bytes, by the library's model; made when a word is first asked for, and kept up to a number."""
+
+    def __init__(self, model, dtype: str, room: int):
+        super().__init__()
+        self.model, self.dtype, self.room = model, dtype, room
+        self.code = "H" if dtype == "<u2" else "I"
+        self.letters = {b: c for c, b in byte_letters().items()}
+
+    def __missing__(self, word: str) -> bytes:
+        # printable ASCII stands for itself in byte-level vocabularies
+        spelled = word if word.isascii() and word.isalpha() else "".join([self.letters[b] for b in word.encode()])
+        ids = [t.id for t in self.model.tokenize(spelled)]
+        out = array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
+        if len(word) < 60:
+            if len(self) >= self.room:
+                self.clear()
+            self[word] = out
+        return out
+
+
 class ChunkEncoder(dict):
     """Ids of a text as bytes, with the public tokenizers library; a dict of the stretches without white space met so far.
 
-    Right for vocabularies whose tokens never cross white space and drop it (see ``crosses_no_blank``).  A stretch of
-    plain letters goes to the library's model word by word, words too are kept; any other goes to the whole library.
+    Right for vocabularies whose tokens never cross white space and drop it (see ``crosses_no_blank``).  Of a text in
+    Latin-1, for the one pattern of words that is known here, the words go to the library's model; any other text goes
+    to the whole library, stretch by stretch.
     """
 
-    def __init__(self, vocabulary: str, dtype: str, room: int = 110_000_000):
+    def __init__(self, vocabulary: str, dtype: str, room: int = 60_000_000, words: int = 500_000):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(vocabulary)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        self.model = self.tokenizer.model
-        pattern = plain_pattern(vocabulary)
-        self.parts = regex.compile(pattern).findall if pattern else None
-        self.letters = {b: c for c, b in byte_letters().items()}
-        first = {t["content"][0] for t in json.loads(vocabulary)["added_tokens"]}
-        self.plain = re.compile("[" + re.escape("".join(c for c in _PLAIN if c not in first)) + "]+").fullmatch
+        self.words = _Words(self.tokenizer.model, dtype, words)
+        self.simple = plain_pattern(vocabulary) == _KNOWN
+        self.special = [t["content"] for t in json.loads(vocabulary)["added_tokens"]]
         self.dtype, self.room, self.used = dtype, room, 0
-        self.code = "H" if dtype == "<u2" else "I"
-        self.words: dict[str, bytes] = {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array(self.code, ids).tobytes() if sys.byteorder == "little" else np.array(ids, self.dtype).tobytes()
-
-    def _word(self, word: str) -> bytes:
-        spelled = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])  # printable ASCII stands for itself
-        ids = self._bytes([t.id for t in self.model.tokenize(spelled)])
-        if len(word) < 60:
-            if len(self.words) >= 200_000:
-                self.words.clear()
-            self.words[word] = ids
-        return ids
 
     def __missing__(self, chunk: str) -> bytes:
-        if self.parts and self.plain(chunk):
-            get, low = self.words.get, chunk.lower()
-            if low.isalpha():
-                ids = get(low) or self._word(low)
-            elif low[:-1].isalpha() and low[-1] in ".,;:!?":
-                ids = (get(low[:-1]) or self._word(low[:-1])) + (get(low[-1]) or self._word(low[-1]))
-            else:
-                ids = b"".join([get(w) or self._word(w) for w in self.parts(low)])
-        else:
-            ids = self._bytes(self.tokenizer.encode(chunk, add_special_tokens=False).ids)
+        ids = np.array(self.tokenizer.encode(chunk, add_special_tokens=False).ids, self.dtype).tobytes()
         if (size := 180 + len(chunk) + len(ids)) < 2000:
             self.used += size
             if self.used > self.room:
@@ -99,12 +94,24 @@ class ChunkEncoder(dict):
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
+        if self.simple and _latin(text) and not any(x in text for x in self.special):
+            return b"".join(map(self.words.__getitem__, _PIECES(text.lower())))
         chunks = text.split() if not _CONTROL.search(text) else [c for c in _BLANK.split(text) if c]
         return b"".join(map(self.__getitem__, chunks))
 
 
-#: Characters that the normaliser leaves or puts in lower case one by one, as str.lower() does.
-_PLAIN = "".join(map(chr, (*range(33, 127), *range(161, 173), *range(174, 256))))
+def _latin(text: str) -> bool:
+    """Whether all characters are in Latin-1: normalising leaves them, and str.lower() works on each alone."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+#: Fixed: the pattern of words that is known, and what it finds in lower-case Latin-1 text.
+_KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_PIECES = re.compile("[a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff]+|[0-9\xb2\xb3\xb9\xbc-\xbe]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa00-9a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff\xb2\xb3\xb9\xbc-\xbe]+").findall
 
 
 def plain_pattern(vocabulary: str) -> str | None:
