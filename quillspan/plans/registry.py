@@ -562,3 +562,96 @@ def project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query()
 def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.context(_sample(spark))["summary"].select("average_complexity", "max_complexity", "safety", "safety_label")
+
+
+# the rest of the inventory, over the sample: P3, P6, P9, P14, P15, M8, M13, S7, S12, A1, A3, A9, A10, A12, J10, N1
+
+
+@_query(f"SELECT path, substr(path, {len(samples.ROOT) + 2}) AS relative_path FROM {_FILES}")
+def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).files.select("path", "relative_path")
+
+
+@_query(f"SELECT path, type_only FROM {samples.values([(p, int(t)) for p, t in samples.TYPE_PATHS], 'path, type_only')}")
+def type_only_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = spark.createDataFrame([(p,) for p, _ in samples.TYPE_PATHS], "path string")
+    return d.select("path", fx.is_type_only(F.col("path")).cast("int").alias("type_only"))
+
+
+@_query(f"SELECT count(*) AS n_files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS total_size, avg({_COMPLEXITY.format('content')}) AS average_complexity, count(*) FILTER (lower(path) LIKE '%test%' OR lower(path) LIKE '%spec%') AS n_tests FROM {_FILES}")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).stats().select("n_files", "total_size", "average_complexity", "n_tests")
+
+
+@_query(f"SELECT {_LANG_SQL.format('path')} AS language, count(*) AS n FROM {_FILES} GROUP BY 1")
+def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).stats().select(F.explode("by_language").alias("language", "n"))
+
+
+@_query("SELECT * FROM (VALUES ('/app/config.ts', 'on'), ('/app/src/lost.tsx', 'unused,Page'), ('/app/src/main.ts', 'main'), ('/app/src/model.ts', 'Item,Key'), ('/app/src/orphan.js', 'alone'), ('/app/src/store.ts', 'Store,load'), ('/app/src/util/format.ts', 'fmt,WIDE'), ('/app/tools/run.py', 'Runner,__init__,_go,run'), ('/app/tools/serve.go', 'Server,NewServer')) AS v(path, names)")
+def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.exported_names(_sample(spark)).select("path", F.array_join("names", ",").alias("names"))
+
+
+@_query("SELECT * FROM (VALUES ('_hidden'), ('__init__'), ('_go'), ('helper')) AS v(name)")
+def private_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _sample(spark).symbols.filter("is_private").select("name")
+
+
+@_query("SELECT doc_id, printf('%.1f', n_chars / 7.0) AS one, printf('%.2f', n_chars / 7.0) AS two FROM documents")
+def shown_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = F.col("n_chars") / 7.0  # ties would show how engines round
+    return _table(spark, sf_dir, "documents").select("doc_id", scores.shown(x, 1).alias("one"), scores.shown(x, 2).alias("two"))
+
+
+@_query("SELECT * FROM (VALUES ('src/a.ts', CAST(85.5 AS DOUBLE), true), ('src/b.ts', CAST(100.0 AS DOUBLE), false)) AS v(path, pct, missing)")
+def coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.coverage_text(spark.createDataFrame([(x,) for x in samples.TABLE], "value string")).select("path", "pct", "missing")
+
+
+@_query("SELECT * FROM (VALUES ('suggestion-1', 'Split', 'structure', 'high', ''), ('suggestion-2', 'Suggestion', 'general', 'medium', 'Name it')) AS v(id, title, type, priority, description)")
+def reply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.suggestions(spark.createDataFrame([(samples.REPLY,)], "value string"), most=2).select("id", "title", "type", "priority", "description")
+
+
+@_query("SELECT 4 AS total, 1 AS modified, 1 AS created, 2 AS deleted, 3 AS additions, 3 AS deletions")
+def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = tools.preview(_sample(spark), reports.changes(spark, samples.CHANGES))["summary"]
+    return one.select(*[F.col(c).cast("int").alias(c) for c in ("total", "modified", "created", "deleted", "additions", "deletions")])
+
+
+@_query("SELECT * FROM (VALUES ('/app/src/main.ts', 2), ('/app/src/store.ts', 2), ('/app/src/util/format.ts', 1)) AS v(path, n)")
+def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.reference_counts(_sample(spark).files, "fmt")
+
+
+@_query("SELECT 'export' AS kind, 'WIDE' AS name")
+def unused_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings.unused_by_reference(_sample(spark).files, "/app/src/util/format.ts")
+
+
+@_query("SELECT 4 AS total, 4 AS high, 3 AS unused_export, 1 AS unused_import")
+def dead_code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = tools.find_dead_code(_sample(spark), ["/app/src/main.ts"])["summary"]
+    return one.select(*[F.col(c).cast("int").alias(c) for c in ("total", "high", "unused_export", "unused_import")])
+
+
+@_query("SELECT CAST(2 AS BIGINT) AS direct, CAST(2 AS BIGINT) AS transitive, CAST(0.0 AS DOUBLE) AS coverage, CAST(48.0 AS DOUBLE) AS risk, 'medium' AS risk_label")
+def impact_of_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.impact(_sample(spark), "/app/src/util/format.ts")["summary"].select("direct", "transitive", "coverage", "risk", "risk_label")
+
+
+@_query("SELECT CAST(5 AS BIGINT) AS n_files")
+def traced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tools.dependency_trace(_sample(spark), "/app/src/util/format.ts", unused=False)["summary"]
+
+
+@_query("SELECT * FROM (VALUES ('/app/src/main.ts', 9, '    for (const a of argv) {'), ('/app/src/main.ts', 10, '      show(a);')) AS v(path, line, text) WHERE line = 10")
+def renamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "show")["references"]
+    return rows.filter("path = '/app/src/main.ts' AND line = 10")
+
+
+@_query("SELECT 'argv,fmt' AS parameters, 'each(argv, fmt);' AS call, 'void' AS return_type")
+def extracted_call(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_function(spark, sf_dir).select(F.array_join("parameters", ",").alias("parameters"), "call", "return_type")

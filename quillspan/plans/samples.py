@@ -41,3 +41,7 @@ def quoted(x) -> str:
 def values(rows: list, columns: str) -> str:
     rows = [r if isinstance(r, tuple) else (r,) for r in rows]
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS v({columns}))"
+TABLE = ["File | % Stmts | % Branch | % Funcs | % Lines", "src/a.ts | 85.5 | 80 | 90 | 85.5 | 10-15", "src/b.ts  |  100 | 100 | 100 | 100 |", "done"]
+REPLY = 'Sure:\n```json\n[{"title": "Split", "type": "structure", "priority": "high"}, {"description": "Name it"}, {"title": "Third"}]\n```\n'
+CHANGES = [("/app/config.ts", "update", "export const on = false;\n"), ("/app/src/new.ts", "create", "a\nb"), ("/app/README.md", "delete", None), ("/app/none.ts", "delete", None)]
+TYPE_PATHS = [("/a/x.types.ts", True), ("/a/x.types.tsx", True), ("/a/x.d.ts", True), ("/a/types.ts", True), ("types.tsx", True), ("/a/index.types.ts", True), ("/a/mytypes.ts", False), ("/a/types/x.ts", False), ("/a/x.d.tsx", False)]
