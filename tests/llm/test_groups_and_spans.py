@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -285,3 +286,10 @@ def test_inferred_formats():
     key = lambda head, n: head + "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k=n))
     assert sum(model.score(key("sk_live_", 24)) >= model.threshold for _ in range(50)) >= 40
     assert not any(model.score(s) >= model.threshold for s in ["greenhousewateringevening", "under_the-green_house_12", "PATIENTLIGHTSTONEWALK"])
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_held_out_languages(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows_ = li.identify(docs, li.held_out()).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
+    assert sum(r.lang_pred == r.lang for r in rows_) / len(rows_) >= 0.95
