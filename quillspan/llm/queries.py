@@ -94,8 +94,7 @@ FROM ranked
 
 def _rules_sql() -> str:
     """op1: the statistics, the votes, and the rounds of expectation-maximisation as a recursion over one row."""
-    m, names = 9, ["length", "symbols", "letters", "duplicate_lines", "repeated_words", "capitals", "word_length", "sentence_ends", "variety"]
-    assert names == list(quality_rules.rules())
+    m = 9  # votes in the order of quality_rules.rules()
     vote = lambda bad, good: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
     over = lambda a, b: f"({a} / CAST(greatest({b}, 1) AS DOUBLE))"
     symbols, letters, dup, repeats = over("n_symbols", "n_words"), over("n_letters", "word_chars"), over("n_dup_lines", "n_lines"), over("n_repeat_words", "n_words")

@@ -36,3 +36,14 @@ def test_every_query_runs(spark):
     for name, query in queries().items():
         assert query(spark, DATA).count() == n, name
     assert set(oracle_sql()) <= set(queries())
+
+
+def test_sql_needs_no_session():
+    """The driver may ask for the SQL before any session is there."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = "import __spark_entry__ as e; assert set(e.oracle_sql()) <= set(e.queries()); print(len(e.oracle_sql()))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=False)
+    assert done.returncode == 0, done.stderr[-500:]
