@@ -60,6 +60,7 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, s
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = sized.withColumn("key", key)
+    sized = durable(sized, "sizes")  # the range partitioner reads its input twice; texts are read once
     ranged = sized.repartitionByRange(parts, "source", "size", "key", "id").withColumn("part", F.spark_partition_id())
     rows = durable(ranged, "mix")  # fixes which range a row is in
     counts = rows.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
