@@ -10,9 +10,11 @@ of near copies costs about one query for each member.  Components join the fores
 Shards are made in two ways.  ``linked`` is exact: fingerprints of 64 bits are cut into blocks, and two that differ in
 at most ``radius`` bits agree in all but ``radius`` blocks, so they meet in the shard of at least one choice of agreeing
 blocks; the number of blocks follows from the number of distinct fingerprints, and a shard with more than ``most`` is
-cut again by the bits outside its key.  ``alike`` is for a similarity, a share of equal bits of longer fingerprints, too
-far for blocks: shards are made by ``tables`` samples of bits, whose number follows from the number of fingerprints so
-that pairs of texts with that Jaccard index meet with probability ``recall``; those that meet are compared in full.
+cut again by the bits outside its key.  ``alike`` is for a similarity, the Jaccard index of two texts' sets of shingles,
+too far for blocks: longer fingerprints only find candidates, and a link is kept only if the sets of the two whole texts
+have that index.  Shards are made by ``tables`` samples of bits, whose number follows from the number of fingerprints so
+that pairs of texts with that index meet with probability ``recall``.  Of the candidates in a shard a forest of the nearest
+is tried first, then each one that still lies between two components; so no candidate that could join two is left out.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 a null id takes no part in the smallest id (a component of null ids has a null id); repeated rows are returned each;
@@ -36,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import durable, small
 
 SHINGLE, RADIUS = 4, 4
+FAR = 1 << 15
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -43,23 +46,28 @@ _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz
 def fingerprint(text: str | None, width: int = SHINGLE, n_words: int = 1, repeats: bool = True, step: int = 1 << 14) -> np.ndarray:
     """64 bits for each of ``n_words``, from a whole text; the first word is that of XXH64 with seed 42, the others of
     hashes mixed from it.  Without ``repeats`` each different shingle counts once."""
+    return _print(_hashes(text, width, repeats), n_words, step)
+
+
+def _hashes(text: str | None, width: int, repeats: bool) -> np.ndarray:
+    """Of a whole text's shingles, without ``repeats`` of the different ones."""
     words = _WORD.findall(text.translate(_LOWER)) if text else []
-    if not words:
-        return np.zeros(n_words, np.uint64)
     if len(words) < width:
-        shingles = [" ".join(words)]
+        shingles = [" ".join(words)] if words else []
     else:
         shingles = list(map(" ".join, zip(*[words[k:] for k in range(width)], strict=False)))
-    if not repeats:
-        shingles = list(set(shingles))
     digest = xxhash.xxh64_intdigest
+    return np.array([digest(s.encode(errors="replace"), 42) for s in (shingles if repeats else set(shingles))], np.uint64)
+
+
+def _print(every: np.ndarray, n_words: int, step: int = 1 << 14) -> np.ndarray:
     counts = np.zeros((n_words, 64), np.int64)
-    for k in range(0, len(shingles), step):
-        hashes = np.array([digest(s.encode(errors="replace"), 42) for s in shingles[k : k + step]], np.uint64)
+    for k in range(0, len(every), step):
+        hashes = every[k : k + step]
         for w in range(n_words):
             bits = np.unpackbits((hashes if w == 0 else _mixed(hashes, w)).astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
             counts[w] += bits.sum(0, dtype=np.int64)
-    return np.packbits(counts * 2 > len(shingles), axis=1).view(">u8").astype(np.uint64).ravel()
+    return np.packbits(counts * 2 > len(every), axis=1).view(">u8").astype(np.uint64).ravel()
 
 
 def _mixed(h: np.ndarray, w: int) -> np.ndarray:
@@ -83,6 +91,36 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def _set_prints(docs: DataFrame, doc_id: str, text: str, width: int, n_words: int) -> DataFrame:
+    """id, t (a hash of the text), node (a hash of its set of shingles), n (the set's size) and f0, f1, …"""
+    kind = docs.schema[doc_id].dataType.simpleString()
+    names = [f"f{w}" for w in range(n_words)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sets = [np.unique(_hashes(t.as_py(), width, False)) for t in batch.column(2)]
+            f = np.array([_print(h, n_words) for h in sets], np.uint64).view(np.int64)
+            node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
+            n = pa.array([len(h) for h in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), n, *[pa.array(f[:, w]) for w in range(n_words)]], ["id", "t", "node", "n", *names])
+
+    rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    return rows.mapInArrow(run, f"id {kind}, t bigint, node bigint, n bigint, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
+    """node and shingles (the set's hashes) of the ``wanted`` (t, node), from one whole text each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small(batches):
+            sets = [np.unique(_hashes(t.as_py(), width, False)).view(np.int64) for t in batch.column(1)]
+            ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
+
+    one = docs.select(F.xxhash64(text).alias("t"), F.col(text).alias("text")).dropDuplicates(["t"])
+    return one.join(wanted, "t").select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
+
+
 class Links:
     """A forest over positions 0..n-1: keeps a link only if its ends were not joined before."""
 
@@ -226,10 +264,9 @@ def shard_links(values: np.ndarray, mask: int, radius: int, most: int = 4096) ->
     return links.kept
 
 
-def _by_shard(keyed: DataFrame, n_words: int, links_of) -> DataFrame:
-    """Node pairs a and b from rows (choice, key, node, f0, …): those of a (choice, key) are given to ``links_of``
+def _by_shard(keyed: DataFrame, names: list[str], links_of) -> DataFrame:
+    """Node pairs a < b from rows (choice, key, node and ``names``): those of a (choice, key) are given to ``links_of``
     (values, choice) together.  Rows are dealt out by that key and sorted, so a task holds one shard at a time."""
-    names = [f"f{w}" for w in range(n_words)]
     parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = keyed.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key")
 
@@ -237,13 +274,13 @@ def _by_shard(keyed: DataFrame, n_words: int, links_of) -> DataFrame:
         held: list[list[np.ndarray]] = []
 
         def out(choice: np.ndarray, key: np.ndarray, node: np.ndarray, *f: np.ndarray) -> pa.RecordBatch:
-            found: list[tuple[int, int]] = []
+            found = [np.zeros((0, 2), np.int64)]
             values = np.stack(f, axis=1).view(np.uint64)
             edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(key) != 0)) + 1
             for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]]), strict=True):
                 if b - a > 1:
-                    found += [(int(node[a + x]), int(node[a + y])) for x, y in links_of(values[a:b], int(choice[a]))]
-            pairs = np.array(found, np.int64).reshape(-1, 2)
+                    found.append(node[np.array(links_of(values[a:b], int(choice[a])), np.int64).reshape(-1, 2) + a])
+            pairs = np.sort(np.concatenate(found), axis=1)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
 
         for batch in batches:
@@ -277,7 +314,7 @@ def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most
             return [(0, 1)] if int(values[0, 0] ^ values[1, 0]).bit_count() <= radius else []
         return shard_links(values[:, 0], choices[choice], radius, most)
 
-    return _by_shard(keyed, 1, links_of)
+    return _by_shard(keyed, ["f0"], links_of)
 
 
 def tables_for(n: int, similarity: float, recall: float, shard: int = 512) -> tuple[int, int]:
@@ -291,8 +328,63 @@ def tables_for(n: int, similarity: float, recall: float, shard: int = 512) -> tu
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
 
 
-def alike(distinct: DataFrame, n_words: int, similarity: float, recall: float = 0.99) -> DataFrame:
-    """a and b: links among distinct fingerprints (node, f0, …) whose share of equal bits is ``similarity`` or more."""
+def _far(values: np.ndarray, others: np.ndarray, n_words: int, radius: int, similarity: float) -> np.ndarray:
+    """Differing bits, or FAR beyond ``radius`` and where the sets' sizes (in the next column) rule out ``similarity``."""
+    distance = distances(values[:, :n_words], others[:, :n_words])
+    n, m = values[:, n_words, None].astype(np.float64), others[None, :, n_words].astype(np.float64)
+    distance[(distance > radius) | (np.minimum(n, m) < similarity * np.maximum(n, m) * (1 - 1e-9))] = FAR
+    return distance
+
+
+def nearest_forest(values: np.ndarray, n_words: int, radius: int, similarity: float, direct: int = 1024) -> list[tuple[int, int]]:
+    """A spanning forest of the candidates among rows of ``values``, the nearest first, as positions."""
+    at = np.arange(len(values))
+    if len(values) <= direct:
+        distance = _far(values, values, n_words, radius, similarity)
+        a, b = np.nonzero(np.triu(distance < FAR, 1))
+        if len(a) <= 4 * len(values):
+            links = Links(len(values))
+            for k in np.argsort(distance[a, b], kind="stable"):
+                links.join(int(a[k]), int(b[k]))
+            return links.kept
+        at = np.unique([a, b])
+    held = values[at]
+    out, alive = [], np.ones(len(at), bool)
+    best, by = np.full(len(at), FAR, np.uint16), np.zeros(len(at), np.int64)
+    for _ in range(len(at)):
+        k = int(np.where(alive, best, FAR + 1).argmin())
+        if best[k] < FAR:
+            out.append((int(at[by[k]]), int(at[k])))
+        alive[k] = False
+        row = _far(held[k : k + 1], held, n_words, radius, similarity)[0]
+        nearer = row < best
+        best[nearer], by[nearer] = row[nearer], k
+    return out
+
+
+def crossing(values: np.ndarray, n_words: int, radius: int, similarity: float, step: int = 256) -> np.ndarray:
+    """All candidates among rows of ``values`` whose components, in the last column, differ, as positions."""
+    out, part = [np.zeros((0, 2), np.int64)], values[:, -1]
+    for k in range(0, len(values), step):
+        near = _far(values[k : k + step], values[k:], n_words, radius, similarity) < FAR
+        a, b = np.nonzero(np.triu(near & (part[k : k + step, None] != part[None, k:]), 1))
+        out.append(np.stack([a + k, b + k], axis=1))
+    return np.concatenate(out)
+
+
+def _same(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of the pairs a and b whose sets of shingles have a Jaccard index of ``similarity`` or more."""
+    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
+    shared = F.size(F.array_intersect("x", "y"))
+    return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total")).filter(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("a", "b")
+
+
+def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, recall: float = 0.99) -> DataFrame:
+    """a and b: links among distinct sets of shingles (node, n, f0, …) with a Jaccard index of ``similarity`` or more,
+    enough to connect whatever candidates of that index connect.  ``sets_of`` gives the sets (node, shingles) of nodes.
+
+    A candidate's share of equal bits is ``similarity`` or more; for that Jaccard index the expected share is above it.
+    """
     bits, tables = tables_for(distinct.count(), similarity, recall)
     rng, total = random.Random(64), 64 * n_words
     radius = math.floor(total * (1 - similarity))
@@ -302,9 +394,17 @@ def alike(distinct: DataFrame, n_words: int, similarity: float, recall: float =
         words = [sum(1 << b - 64 * w for b in chosen if b // 64 == w) for w in range(n_words)]
         signed = [m - (1 << 64) if m >> 63 else m for m in words]
         keys.append(F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed) if m]))
-    names = [f"f{w}" for w in range(n_words)]
+    names = [*[f"f{w}" for w in range(n_words)], "n"]
     keyed = distinct.select("node", *names, F.posexplode(F.array(*keys)).alias("choice", "key"))
-    return _by_shard(keyed, n_words, lambda values, _: forest(values, radius))
+    tried = durable(_by_shard(keyed, names, lambda values, _: nearest_forest(values, n_words, radius, similarity)), "candidates")
+    ends = durable(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
+    sets = durable(sets_of(ends), "sets")
+    first = durable(_same(tried, sets, similarity), "alike")
+    parts = connected(first).withColumnRenamed("f", "node")
+    apart = distinct.join(ends, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
+    keyed = apart.select("node", *names, "part", F.posexplode(F.array(*keys)).alias("choice", "key"))
+    rest = _by_shard(keyed, [*names, "part"], lambda values, _: crossing(values, n_words, radius, similarity))
+    return first.unionByName(_same(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity))
 
 
 def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
@@ -348,13 +448,13 @@ def components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", te
 
 
 def similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", width: int = 5, n_words: int = 4, recall: float = 0.99) -> DataFrame:
-    """doc_id and component_id of every row of ``docs``: links of fingerprints of 64 * ``n_words`` bits of which a
-    share of ``similarity`` or more are equal.  For sets of shingles of that Jaccard index the expected share is above it
-    (0.85 for 0.8), so such texts are linked with near certainty once they meet in a table."""
+    """doc_id and component_id of every row of ``docs``: links of whole texts whose sets of shingles have a Jaccard index
+    of ``similarity`` or more.  Fingerprints of 64 * ``n_words`` bits find the candidates."""
     names = [f"f{w}" for w in range(n_words)]
-    prints = durable(fingerprints(docs, doc_id, text, width, n_words, repeats=False).withColumn("node", F.xxhash64(*names)), "prints")
-    distinct = durable(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.first(n).alias(n) for n in names]), "distinct")
-    named = _named(distinct, alike(distinct.select("node", *names), n_words, similarity, recall))
+    prints = durable(_set_prints(docs, doc_id, text, width, n_words), "prints")
+    distinct = durable(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.min(n).alias(n) for n in ("t", "n", *names)]), "distinct")
+    sets_of = lambda nodes: _sets(docs, distinct.select("t", "node").join(nodes, "node"), text, width)
+    named = _named(distinct, alike(distinct.select("node", "n", *names), sets_of, n_words, similarity, recall))
     return prints.select("id", "node").join(named, "node").select(F.col("id").alias(doc_id), "component_id")
 
 
