@@ -3,44 +3,50 @@
 A text's fingerprint has a bit set where over half of its shingles' hashes have it.  Fingerprints that may be near
 meet in shards; a shard is held as a BK-tree, whose children are keyed by their distance to the parent, and a query
 follows only edges within the radius of its own distance.  A shard's tree is sent to the task that holds its queries
-instead of to every machine: broadcast trees would grow with the corpus.  Of the links in a shard only a spanning
-forest is kept, one link for each fingerprint at most: a search takes what it reaches out of the tree, so a large group
-of near copies costs about one query for each member.  Components join the forests by alternating star steps.
+instead of to every machine: broadcast trees would grow with the corpus.  Every shard of more than LEAF values is
+searched through its tree.  Of the links in a shard only a spanning forest is kept, one link for each fingerprint at
+most: a search takes what it reaches out of the tree, so a large group of near copies costs about one query a member.
+Components join the forests by alternating star steps, until they settle.
 
 Shards are made in two ways.  ``linked`` is exact: fingerprints of 64 bits are cut into blocks, and two that differ in
 at most ``radius`` bits agree in all but ``radius`` blocks, so they meet in the shard of at least one choice of agreeing
-blocks; the number of blocks follows from the number of distinct fingerprints, and a shard with more than ``most`` is
-cut again by the bits outside its key.  ``alike`` is for a similarity, the Jaccard index of two texts' sets of shingles,
-too far for blocks: longer fingerprints only find candidates, and a link is kept only if the sets of the two whole texts
-have that index.  Shards are made by ``tables`` samples of bits, whose number follows from the number of fingerprints so
-that pairs of texts with that index meet with probability ``recall``.  Of the candidates in a shard a forest of the nearest
-is tried first, then each one that still lies between two components; so no candidate that could join two is left out.
+blocks; the number of blocks, and of their bits that make the key, follows from the number of distinct fingerprints.
+``alike`` is for a similarity, the Jaccard index of two texts' sets of shingles, too far for blocks: the keys are BANDS
+bands of ROWS least hashes each, a fixed number at every size, the trees hold longer fingerprints, and a link is kept
+only if the sets of the two whole texts have that index.  Two sets with an index of 0.8 share a band with probability
+1 - (1 - 0.8^4)^16 = 0.9998.
+
+A shard of more than ``most`` values is cut: first at random, in another way each turn, until a turn joins no
+components any more; if components are still apart then, all pairs of its parts are searched.  So no link is lost, and
+a group of copies, which is one component after a turn or two, is never searched in one task.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
-a null id takes no part in the smallest id (a component of null ids has a null id); repeated rows are returned each;
-other columns are ignored by ``components`` and passed on by ``representatives``, whatever their names.
+a null id takes no part in the smallest id (a component of null ids has a null id); repeated rows are returned each by
+``components`` and ``similar``; ``representatives`` keeps one row of each component, that of the smallest id (null last)
+and then of the smallest hash of its text; other columns are ignored or passed on, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
-import random
 import re
-from collections.abc import Iterator
-from itertools import combinations
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, small
 
 SHINGLE, RADIUS = 4, 4
-FAR = 1 << 15
+LEAF, SHARD, MOST = 8, 128, 16_384
+BANDS, ROWS, FIRST = 16, 4, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+_ODD = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
 def fingerprint(text: str | None, width: int = SHINGLE, n_words: int = 1, repeats: bool = True, step: int = 1 << 14) -> np.ndarray:
@@ -91,25 +97,40 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", wi
     return docs.select(doc_id, text).mapInArrow(run, f"id {kind}, " + ", ".join(f"{n} bigint" for n in names))
 
 
+def bands(hashes: np.ndarray, step: int = 1 << 12) -> np.ndarray:
+    """BANDS keys of a set of hashes, each of ROWS least values under different mixings; the same sets, the same keys."""
+    if not len(hashes):
+        return np.zeros(BANDS, np.int64)
+    least = np.full(len(_ODD), np.iinfo(np.uint64).max, np.uint64)
+    for k in range(0, len(hashes), step):
+        x = hashes[k : k + step, None] * _ODD
+        x ^= x >> np.uint64(32)
+        x *= _ODD
+        np.minimum(least, x.min(0), out=least)
+    rows = least.reshape(BANDS, ROWS)
+    return np.array([xxhash.xxh64_intdigest(r.tobytes(), 42) for r in rows], np.uint64).view(np.int64)
+
+
 def _set_prints(docs: DataFrame, doc_id: str, text: str, width: int, n_words: int) -> DataFrame:
-    """id, t (a hash of the text), node (a hash of its set of shingles), n (the set's size) and f0, f1, …"""
+    """id, t (a hash of the text), node (a hash of its set of shingles), n (the set's size), f0, f1, … and bands."""
     kind = docs.schema[doc_id].dataType.simpleString()
     names = [f"f{w}" for w in range(n_words)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             sets = [np.unique(_hashes(t.as_py(), width, False)) for t in batch.column(2)]
-            f = np.array([_print(h, n_words) for h in sets], np.uint64).view(np.int64)
+            f = np.array([_print(h, n_words) for h in sets], np.uint64).reshape(-1, n_words).view(np.int64)
             node = np.array([xxhash.xxh64_intdigest(h.tobytes(), 42) for h in sets], np.uint64).view(np.int64)
             n = pa.array([len(h) for h in sets], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), n, *[pa.array(f[:, w]) for w in range(n_words)]], ["id", "t", "node", "n", *names])
+            keys = pa.array([bands(h) for h in sets], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(node), n, *[pa.array(f[:, w]) for w in range(n_words)], keys], ["id", "t", "node", "n", *names, "bands"])
 
     rows = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, t bigint, node bigint, n bigint, " + ", ".join(f"{n} bigint" for n in names))
+    return rows.mapInArrow(run, f"id {kind}, t bigint, node bigint, n bigint, {', '.join(f'{n} bigint' for n in names)}, bands array<bigint>")
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFrame:
-    """node and shingles (the set's hashes) of the ``wanted`` (t, node), from one whole text each."""
+def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, width: int) -> DataFrame:
+    """node and shingles (the set's sorted hashes) of the ``wanted`` (row with id and t, node), from one whole text each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
@@ -117,353 +138,320 @@ def _sets(docs: DataFrame, wanted: DataFrame, text: str, width: int) -> DataFram
             ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], ["node", "shingles"])
 
-    one = docs.select(F.xxhash64(text).alias("t"), F.col(text).alias("text")).dropDuplicates(["t"])
-    return one.join(wanted, "t").select("node", "text").mapInArrow(run, "node bigint, shingles array<bigint>")
-
-
-class Links:
-    """A forest over positions 0..n-1: keeps a link only if its ends were not joined before."""
+    named = wanted.select(F.col("row.id").alias("__i"), F.col("row.t").alias("__t"), "node")
+    texts = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("t"), F.col(text).alias("text"))
+    one = texts.join(named, (F.col("t") == F.col("__t")) & F.col("id").eqNullSafe(F.col("__i"))).select("node", "text")
+    return one.mapInArrow(run, "node bigint, shingles array<bigint>").dropDuplicates(["node"])
 
-    def __init__(self, n: int):
-        self.root, self.kept = list(range(n)), []
 
-    def find(self, a: int) -> int:
-        root = self.root
-        while root[a] != a:
-            root[a] = root[root[a]]
-            a = root[a]
-        return a
-
-    def join(self, a: int, b: int) -> None:
-        x, y = self.find(a), self.find(b)
-        if x != y:
-            self.root[max(x, y)] = min(x, y)
-            self.kept.append((a, b))
-
-
-def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Differing bits of each row of ``a`` against each of ``b``."""
-    out = np.zeros((len(a), len(b)), np.uint16)
-    for w in range(a.shape[1]):
-        out += np.bitwise_count(a[:, w, None] ^ b[None, :, w])
-    return out
+class BKTree:
+    """BK-tree over integers: a node's children are keyed by their Hamming distance to it, equal values share a node.
 
+    What a search reaches can be taken out; branches with nothing left are passed by.  ``searches`` and ``visited`` count.
+    """
 
-class BKTree:
-    """BK-tree over rows of 64-bit words; a node is one of them or, at the ends, up to LEAF.  Values can be taken out."""
-
-    LEAF = 256
-
-    def __init__(self, values: np.ndarray, at: np.ndarray):
-        self.values, self.at, self.left, self.children = values, at, len(at), None
-        if len(at) > self.LEAF:
-            distance = distances(values[:1], values[1:])[0]
-            order = np.argsort(distance, kind="stable")
-            keys, starts = np.unique(distance[order], return_index=True)
-            if len(keys) > 1:
-                parts = np.split(order, starts[1:])
-                self.children = {int(k): BKTree(values[1:][p], at[1:][p]) for k, p in zip(keys, parts, strict=True)}
-                self.values, self.at = values[:1], at[:1]
-                self.pivot = values[:1]
-
-    def pop(self) -> tuple[np.ndarray, int]:
-        """Take any value out."""
-        self.left -= 1
-        if len(self.at):
-            value, at = self.values[-1], int(self.at[-1])
-            self.values, self.at = self.values[:-1], self.at[:-1]
-            return value, at
-        return next(c for c in self.children.values() if c.left).pop()
-
-    def take(self, values: np.ndarray, at: np.ndarray, radius: int, out: list) -> None:
-        """Take out what is within ``radius`` of any of ``values``; (position, near position, value) go to ``out``."""
-        if len(self.at):
-            near = distances(values, self.values) <= radius
-            hit = near.any(0)
-            if hit.any():
-                by = near.argmax(0)
-                out += [(int(at[by[k]]), int(self.at[k]), self.values[k]) for k in np.flatnonzero(hit)]
-                self.values, self.at = self.values[~hit], self.at[~hit]
-        if self.children is not None:
-            distance = distances(values, self.pivot)[:, 0].astype(np.int32)
-            for edge, child in self.children.items():
-                if child.left:
-                    follow = np.abs(distance - edge) <= radius
-                    if follow.any():
-                        child.take(values[follow], at[follow], radius, out)
-        self.left = len(self.at) + (sum(c.left for c in self.children.values()) if self.children is not None else 0)
-
-
-def forest(values: np.ndarray, radius: int, direct: int = 1024) -> list[tuple[int, int]]:
-    """A spanning forest of the links among rows of ``values``, as positions: searches that take out what they reach."""
-    if len(values) <= direct:
-        near = distances(values, values) <= radius
-        if int(near.sum()) == len(values):
-            return []
-        out, alive = [], np.ones(len(values), bool)
-        for start in np.flatnonzero(near.sum(1) > 1):
-            if alive[start]:
-                alive[start] = False
-                frontier = [start]
-                while frontier:
-                    a = frontier.pop()
-                    for b in np.flatnonzero(near[a] & alive).tolist():
-                        alive[b] = False
-                        out.append((int(a), b))
-                        frontier.append(b)
-        return out
-    tree, links = BKTree(values, np.arange(len(values))), []
-    while tree.left:
-        value, at = tree.pop()
-        frontier = [(value, at)]
-        while frontier and tree.left:
-            chunk, frontier = frontier[:64], frontier[64:]
-            found: list[tuple[int, int, np.ndarray]] = []
-            tree.take(np.array([v for v, _ in chunk]), np.array([p for _, p in chunk]), radius, found)
-            links += [(a, b) for a, b, _ in found]
-            frontier += [(v, b) for _, b, v in found]
+    def __init__(self, values: Sequence[int]):
+        self.value: list[int] = []
+        self.held: list[list[int]] = []
+        self.children: list[dict[int, int]] = []
+        self.parent: list[int] = []
+        self.node_of: list[int] = []
+        self.searches = self.visited = 0
+        for at, value in enumerate(values):
+            self.node_of.append(self._add(value, at))
+        self.left = [len(h) for h in self.held]
+        for q in range(len(self.left) - 1, 0, -1):  # a node comes after its parent
+            self.left[self.parent[q]] += self.left[q]
+
+    def _add(self, value: int, at: int) -> int:
+        values, children = self.value, self.children
+        q, distance = -1, 0
+        if values:
+            q = 0
+            while distance := (values[q] ^ value).bit_count():
+                child = children[q].get(distance)
+                if child is None:
+                    break
+                q = child
+            else:
+                self.held[q].append(at)
+                return q
+            children[q][distance] = len(values)
+        values.append(value)
+        children.append({})
+        self.held.append([at])
+        self.parent.append(q)
+        return len(values) - 1
+
+    def remove(self, at: int) -> None:
+        """Take one position out."""
+        q = self.node_of[at]
+        self.held[q].remove(at)
+        while q >= 0:
+            self.left[q] -= 1
+            q = self.parent[q]
+
+    def take(self, value: int, radius: int, accept: Callable[[int], bool] | None = None) -> list[int]:
+        """Take out the positions within ``radius`` of ``value`` (of them those that ``accept`` agrees to)."""
+        values, held, children, left = self.value, self.held, self.children, self.left
+        found: list[int] = []
+        pending = [0] if left and left[0] else []
+        visited = 0
+        while pending:
+            q = pending.pop()
+            visited += 1
+            distance = (values[q] ^ value).bit_count()
+            if distance <= radius and held[q]:
+                found += held[q] if accept is None else [at for at in held[q] if accept(at)]
+            for edge, child in children[q].items():
+                if left[child] and -radius <= edge - distance <= radius:
+                    pending.append(child)
+        for at in found:
+            self.remove(at)
+        self.searches += 1
+        self.visited += visited
+        return found
+
+
+def forest(values: Sequence[int], radius: int, accept: Callable[[int, int], bool] | None = None) -> list[tuple[int, int]]:
+    """A spanning forest of the links among ``values``, as positions, by searches that take out what they reach.
+
+    Two values are linked within ``radius`` if ``accept`` agrees.  Up to LEAF values are compared one by one.
+    """
+    n, links = len(values), []
+    tree = BKTree(values) if n > LEAF else None
+    rest = dict.fromkeys(range(n))
+    while rest:
+        start, _ = rest.popitem()
+        if tree:
+            tree.remove(start)
+        frontier = [start]
+        while frontier and rest:
+            a = frontier.pop()
+            if tree:
+                found = tree.take(values[a], radius, accept and (lambda b, a=a: accept(a, b)))
+            else:
+                found = [b for b in rest if (values[a] ^ values[b]).bit_count() <= radius and (accept is None or accept(a, b))]
+            for b in found:
+                del rest[b]
+                links.append((a, b))
+            frontier += found
     return links
 
 
-def blocks_for(n: int, radius: int, shard: int = 64) -> int:
-    """The fewest blocks for which ``n`` unrelated fingerprints make shards of about ``shard``."""
-    for blocks in range(radius + 1, 2 * radius + 5):
-        if n / 2 ** (64 * (blocks - radius) // blocks) <= shard:
-            return blocks
-    return 2 * radius + 4
+def choices_for(n: int, radius: int, bits: int = 64, shard: int = SHARD) -> list[int]:
+    """Masks of key bits, so that ``n`` unrelated fingerprints make shards of about ``shard``.
 
+    Each takes its bits from another choice of all but ``radius`` of the blocks; so two fingerprints that differ in
+    ``radius`` bits or fewer are equal under one mask or more.  Few fingerprints are one shard.
+    """
+    wanted = math.ceil(math.log2(max(n, 1) / shard))
+    if wanted <= 0:
+        return [0]
+    for blocks in range(radius + 1, 2 * radius + 5):
+        if bits * (blocks - radius) // blocks >= wanted:
+            break
+    cut = [part.tolist() for part in np.array_split(np.arange(bits), blocks)]
+    out = []
+    for chosen in itertools.combinations(cut, blocks - radius):
+        mixed = [b for row in itertools.zip_longest(*chosen) for b in row if b is not None]
+        out.append(sum(1 << b for b in mixed[:wanted]))
+    return out
 
-def masks(bits: list[int], blocks: int, radius: int) -> list[int]:
-    """The masks of every choice of blocks - radius of the blocks into which ``bits`` are cut."""
-    cut = [sum(1 << int(b) for b in part) for part in np.array_split(np.array(bits), blocks)]
-    return [sum(c) for c in combinations(cut, blocks - radius)]
 
+def _shards_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of each shard (equal first three columns), in a stream that is sorted by it."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        keys = [batch.column(k).to_numpy() for k in range(3)]
+        changes = np.flatnonzero(np.logical_or.reduce([np.diff(k) != 0 for k in keys])) + 1
+        if held and any(held[-1].column(k)[-1] != batch.column(k)[0] for k in range(3)):
+            yield pa.Table.from_batches(held)
+            held = []
+        for a, z in itertools.pairwise([0, *changes.tolist(), batch.num_rows]):
+            held.append(batch.slice(a, z - a))
+            if z < batch.num_rows:
+                yield pa.Table.from_batches(held)
+                held = []
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def _wide(shard: pa.Table, names: list[str]) -> list[int]:
+    """Fingerprints as integers."""
+    out = None
+    for w, name in enumerate(names):
+        word = shard.column(name).to_numpy().view(np.uint64).tolist()
+        out = word if out is None else [x | y << 64 * w for x, y in zip(out, word, strict=True)]
+    return out
 
-def shard_links(values: np.ndarray, mask: int, radius: int, most: int = 4096) -> list[tuple[int, int]]:
-    """A spanning forest of the links among the 64-bit values of one shard (all equal under ``mask``), as positions.
 
-    A shard above ``most`` is cut again over the bits outside its mask, as long as that makes its parts much smaller.
-    """
-    links = Links(len(values))
-    pending = [(np.arange(len(values)), mask)]
-    while pending:
-        at, own = pending.pop()
-        free = [b for b in range(64) if not own >> b & 1]
-        if len(at) > most and len(free) > 2 * radius:
-            parts = []
-            for m in masks(free, radius + 1, radius):
-                keys = values[at] & np.uint64(m)
-                order = np.argsort(keys, kind="stable")
-                starts = np.unique(keys[order], return_index=True)[1]
-                parts += [(at[p], own | m) for p in np.split(order, starts[1:]) if len(p) > 1]
-            if sum(len(p[0]) ** 2 for p in parts) < 0.5 * len(at) ** 2:
-                pending += parts
-                continue
-        for a, b in forest(values[at][:, None], radius):
-            links.join(int(at[a]), int(at[b]))
-    return links.kept
-
-
-def _by_shard(keyed: DataFrame, names: list[str], links_of) -> DataFrame:
-    """Node pairs a < b from rows (choice, key, node and ``names``): those of a (choice, key) are given to ``links_of``
-    (values, choice) together.  Rows are dealt out by that key and sorted, so a task holds one shard at a time."""
-    parts = int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = keyed.repartition(parts, "choice", "key").sortWithinPartitions("choice", "key")
+def _searched(rows: DataFrame, names: list[str], radius: int, similarity: float | None) -> DataFrame:
+    """a and b: a forest of the links in each shard of ``rows`` (choice, key, cut, node, part, ``names`` and, for a
+    similarity, n and shingles).  Rows are dealt out by shard and sorted, so a task holds one shard at a time."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    columns = ["choice", "key", "cut", "node", "part", *names, *(["n", "shingles"] if similarity else [])]
+    dealt = rows.select(*columns).repartition(parts, "choice", "key", "cut").sortWithinPartitions("choice", "key", "cut", "node")
+
+    def links_of(shard: pa.Table) -> list[tuple[int, int]]:
+        part = shard.column("part").to_pylist()
+        if similarity is None:
+            return [(a, b) for a, b in forest(_wide(shard, names), radius) if part[a] != part[b]]
+        n = shard.column("n").to_pylist()
+        lists = shard.column("shingles").combine_chunks()
+        hashes, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
+
+        def same(a: int, b: int) -> bool:
+            if part[a] == part[b]:
+                return True
+            if min(n[a], n[b]) < similarity * max(n[a], n[b]) * (1 - 1e-9):
+                return False
+            x, y = hashes[ends[a] : ends[a + 1]], hashes[ends[b] : ends[b + 1]]
+            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+            return shared >= similarity * (n[a] + n[b] - shared)
+
+        return [(a, b) for a, b in forest(_wide(shard, names), radius, same) if part[a] != part[b]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[list[np.ndarray]] = []
-
-        def out(choice: np.ndarray, key: np.ndarray, node: np.ndarray, *f: np.ndarray) -> pa.RecordBatch:
-            found = [np.zeros((0, 2), np.int64)]
-            values = np.stack(f, axis=1).view(np.uint64)
-            edge = np.flatnonzero((np.diff(choice) != 0) | (np.diff(key) != 0)) + 1
-            for a, b in zip(np.concatenate([[0], edge]), np.concatenate([edge, [len(key)]]), strict=True):
-                if b - a > 1:
-                    found.append(node[np.array(links_of(values[a:b], int(choice[a])), np.int64).reshape(-1, 2) + a])
-            pairs = np.sort(np.concatenate(found), axis=1)
-            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
-
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append([c.to_numpy() for c in batch.columns])
-            choice, key = held[-1][:2]
-            if choice[0] == choice[-1] and key[0] == key[-1] and all(h[0][-1] == choice[0] and h[1][-1] == key[0] for h in held):
-                continue  # one shard so far
-            columns = [np.concatenate(x) for x in zip(*held, strict=True)]
-            last = (columns[0] == columns[0][-1]) & (columns[1] == columns[1][-1])  # this shard may go on
-            whole = len(last) - int(last.sum())
-            held = [[c[whole:] for c in columns]]
-            if whole:
-                yield out(*[c[:whole] for c in columns])
-        if held:
-            yield out(*[np.concatenate(x) for x in zip(*held, strict=True)])
-
-    return dealt.select("choice", "key", "node", *names).mapInArrow(run, "a bigint, b bigint").distinct()
-
-
-def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = 4096) -> DataFrame:
+        found: list[np.ndarray] = []
+        for shard in _shards_of(batches):
+            if links := links_of(shard):
+                found.append(shard.column("node").to_numpy()[np.array(links, np.int64)])
+                if len(found) >= 1000:
+                    yield _pairs(found)
+                    found = []
+        if found:
+            yield _pairs(found)
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _pairs(found: list[np.ndarray]) -> pa.RecordBatch:
+    pairs = np.sort(np.concatenate(found), axis=1)
+    return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["a", "b"])
+
+
+def _crowded(keyed: DataFrame) -> DataFrame:
+    """choice, key and size of the shards that hold two components or more; of shards with the same nodes one."""
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"x{s}") for s in (0, 1)]
+    shards = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("size"), F.min("part").alias("low"), F.max("part").alias("high"), *hashes)
+    return shards.filter("low != high").dropDuplicates(["size", "x0", "x1"]).select("choice", "key", "size")
+
+
+def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFrame], DataFrame], most: int = MOST) -> DataFrame:
+    """Links (a, b) of the shards of ``keyed`` (choice, key, node, …), besides those ``known``, by ``search`` over rows of
+    shards and their cuts; see above for shards of more than ``most``."""
+    found, last = known, False
+    for turn in itertools.count():
+        own = keyed.withColumn("part", F.col("node")) if found is None else keyed.join(durable(connected(found), "parts").withColumnsRenamed({"f": "node", "root": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        shards = durable(_crowded(own), "shards")
+        largest = shards.agg(F.max("size")).first()[0] or 0
+        cuts = F.ceil(F.col("size") / most)
+        place = F.pmod(F.xxhash64("node", F.lit(0 if last else turn)), cuts)
+        one = F.array(place)
+        pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), cuts - 1), lambda j: F.least(j, place) * cuts + F.greatest(j, place))
+        links = durable(search(own.join(shards, ["choice", "key"]).withColumn("cut", F.explode(pairs if last else one))), "links")
+        found = links if found is None else found.unionByName(links)
+        if largest <= most or last:
+            return found
+        last = links.isEmpty()
+
+
+def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = MOST) -> DataFrame:
     """a and b: links among the distinct 64-bit fingerprints f0, enough to connect whatever is connected."""
-    blocks = blocks_for(distinct.count() if n is None else n, radius)
-    choices = masks(list(range(64)), blocks, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in choices]
+    masks = choices_for(distinct.count() if n is None else n, radius)
+    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     keyed = distinct.select("f0", F.col("f0").alias("node"), F.posexplode(F.array(*[F.col("f0").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
+    return _joined(keyed, None, lambda rows: _searched(rows, ["f0"], radius, None), most)
 
-    def links_of(values: np.ndarray, choice: int) -> list[tuple[int, int]]:
-        if len(values) == 2:
-            return [(0, 1)] if int(values[0, 0] ^ values[1, 0]).bit_count() <= radius else []
-        return shard_links(values[:, 0], choices[choice], radius, most)
-
-    return _by_shard(keyed, ["f0"], links_of)
-
-
-def tables_for(n: int, similarity: float, recall: float, shard: int = 512) -> tuple[int, int]:
-    """Bits in a key, so that ``n`` unrelated fingerprints make shards of about ``shard``, and the number of tables in
-    which texts with a Jaccard index of ``similarity`` then meet with probability ``recall``.  Few share one table."""
-    if n <= shard:
-        return 0, 1
-    bits = max(1, math.ceil(math.log2(max(n / shard, 2))))
-    cosine = 2 * similarity / (1 + similarity)
-    meet = (1 - math.acos(cosine) / math.pi) ** bits
-    return bits, math.ceil(math.log(1 - recall) / math.log(1 - meet))
-
-
-def _far(values: np.ndarray, others: np.ndarray, n_words: int, radius: int, similarity: float) -> np.ndarray:
-    """Differing bits, or FAR beyond ``radius`` and where the sets' sizes (in the next column) rule out ``similarity``."""
-    distance = distances(values[:, :n_words], others[:, :n_words])
-    n, m = values[:, n_words, None].astype(np.float64), others[None, :, n_words].astype(np.float64)
-    distance[(distance > radius) | (np.minimum(n, m) < similarity * np.maximum(n, m) * (1 - 1e-9))] = FAR
-    return distance
-
-
-def nearest_forest(values: np.ndarray, n_words: int, radius: int, similarity: float, direct: int = 1024) -> list[tuple[int, int]]:
-    """A spanning forest of the candidates among rows of ``values``, the nearest first, as positions."""
-    at = np.arange(len(values))
-    if len(values) <= direct:
-        distance = _far(values, values, n_words, radius, similarity)
-        a, b = np.nonzero(np.triu(distance < FAR, 1))
-        if len(a) <= 4 * len(values):
-            links = Links(len(values))
-            for k in np.argsort(distance[a, b], kind="stable"):
-                links.join(int(a[k]), int(b[k]))
-            return links.kept
-        at = np.unique([a, b])
-    held = values[at]
-    out, alive = [], np.ones(len(at), bool)
-    best, by = np.full(len(at), FAR, np.uint16), np.zeros(len(at), np.int64)
-    for _ in range(len(at)):
-        k = int(np.where(alive, best, FAR + 1).argmin())
-        if best[k] < FAR:
-            out.append((int(at[by[k]]), int(at[k])))
-        alive[k] = False
-        row = _far(held[k : k + 1], held, n_words, radius, similarity)[0]
-        nearer = row < best
-        best[nearer], by[nearer] = row[nearer], k
-    return out
-
-
-def crossing(values: np.ndarray, n_words: int, radius: int, similarity: float, step: int = 256) -> np.ndarray:
-    """All candidates among rows of ``values`` whose components, in the last column, differ, as positions."""
-    out, part = [np.zeros((0, 2), np.int64)], values[:, -1]
-    for k in range(0, len(values), step):
-        near = _far(values[k : k + step], values[k:], n_words, radius, similarity) < FAR
-        a, b = np.nonzero(np.triu(near & (part[k : k + step, None] != part[None, k:]), 1))
-        out.append(np.stack([a + k, b + k], axis=1))
-    return np.concatenate(out)
 
+def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, most: int = MOST) -> DataFrame:
+    """a and b: links among distinct sets of shingles (node, n, f0, …, bands) with a Jaccard index of ``similarity`` or
+    more, enough to connect whatever sets with a common band connect.  ``sets_of`` gives the sets (node, shingles) of nodes.
 
-def _same(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Those of the pairs a and b whose sets of shingles have a Jaccard index of ``similarity`` or more."""
-    both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    return both.select("a", "b", shared.alias("shared"), (F.size("x") + F.size("y")).alias("total")).filter(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("a", "b")
-
+    The first FIRST bands join most of what is alike; of the others only shards that still hold several components are
+    searched.  The radius is over four standard deviations above the mean distance at that index.
+    """
+    names = [f"f{w}" for w in range(n_words)]
+    total, apart = 64 * n_words, math.acos(2 * similarity / (1 + similarity)) / math.pi
+    radius = math.ceil(total * apart + 4.4 * math.sqrt(total * apart * (1 - apart)))
+    keyed = distinct.select("node", "n", *names, F.posexplode("bands").alias("choice", "key"))
+    shared = _crowded(keyed.withColumn("part", F.col("node")))
+    sets = durable(sets_of(keyed.join(shared, ["choice", "key"], "left_semi").select("node").distinct()), "sets")
+    search = lambda rows: _searched(rows.join(sets, "node"), names, radius, similarity)
+    first = _joined(keyed.filter(F.col("choice") < FIRST), None, search, most)
+    return _joined(keyed.filter(F.col("choice") >= FIRST), first, search, most)
 
-def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, recall: float = 0.99) -> DataFrame:
-    """a and b: links among distinct sets of shingles (node, n, f0, …) with a Jaccard index of ``similarity`` or more,
-    enough to connect whatever candidates of that index connect.  ``sets_of`` gives the sets (node, shingles) of nodes.
 
-    A candidate's share of equal bits is ``similarity`` or more; for that Jaccard index the expected share is above it.
-    """
-    bits, tables = tables_for(distinct.count(), similarity, recall)
-    rng, total = random.Random(64), 64 * n_words
-    radius = math.floor(total * (1 - similarity))
-    keys = []
-    for t in range(tables):
-        chosen = rng.sample(range(total), bits)
-        words = [sum(1 << b - 64 * w for b in chosen if b // 64 == w) for w in range(n_words)]
-        signed = [m - (1 << 64) if m >> 63 else m for m in words]
-        keys.append(F.xxhash64(F.lit(t), *[F.col(f"f{w}").bitwiseAND(F.lit(m)) for w, m in enumerate(signed) if m]))
-    names = [*[f"f{w}" for w in range(n_words)], "n"]
-    keyed = distinct.select("node", *names, F.posexplode(F.array(*keys)).alias("choice", "key"))
-    tried = durable(_by_shard(keyed, names, lambda values, _: nearest_forest(values, n_words, radius, similarity)), "candidates")
-    ends = durable(tried.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "ends")
-    sets = durable(sets_of(ends), "sets")
-    first = durable(_same(tried, sets, similarity), "alike")
-    parts = connected(first).withColumnRenamed("f", "node")
-    apart = distinct.join(ends, "node", "left_semi").join(parts, "node", "left").withColumn("part", F.coalesce("root", "node"))
-    keyed = apart.select("node", *names, "part", F.posexplode(F.array(*keys)).alias("choice", "key"))
-    rest = _by_shard(keyed, [*names, "part"], lambda values, _: crossing(values, n_words, radius, similarity))
-    return first.unionByName(_same(rest.join(tried, ["a", "b"], "left_anti"), sets, similarity))
-
-
-def connected(links: DataFrame, rounds: int = 60) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
     """f and root (the least of its component) for every end of a link but the roots, by alternating large and small stars.
 
-    Each round is written to the shared folder.  Neighbours are never gathered: a star is a minimum for each node and
-    a join, so a hub's rows can be split.
+    The ends are of any type with an order.  Rounds go on until nothing changes; each is written to the shared folder.
+    Neighbours are never gathered: a star is a minimum for each node, summed up before the shuffle, and a plain join of
+    two written tables, whose large partitions adaptive execution splits where a hub has many neighbours.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
     before = None
-    for _ in range(rounds):
+    while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        small_least = large.groupBy("u").agg(F.min("v").alias("m"))
+        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
+        large = durable(both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        small_least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_least, "u")
         edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
         if now == before:
-            break
+            return edges.groupBy(F.col("u").alias("f")).agg(F.min("v").alias("root"))
         before = now
-    return edges.groupBy(F.col("u").alias("f")).agg(F.min("v").alias("root"))
+
+
+def _row_order(doc_id: Column, t: Column) -> Column:
+    """Rows by id, null last, then by the hash of their texts."""
+    return F.struct(doc_id.isNull().alias("z"), doc_id.alias("id"), t.alias("t"))
 
 
 def _named(distinct: DataFrame, links: DataFrame) -> DataFrame:
-    """node and component_id: the smallest ``least`` of each component of nodes."""
-    roots = connected(links).withColumnRenamed("f", "node")
-    # nodes without a link, and the roots, stand for themselves
-    named = distinct.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return named.join(least, "root").select("node", "component_id")
+    """node, row and root: of each node (node, row) the least row of its component.
+
+    Components are found over (row, node), so the least of a component holds its smallest id, and nothing is joined back.
+    """
+    order = distinct.select("node", F.struct("row", "node").alias("o"))
+    ends = links.join(order.select(F.col("node").alias("a"), F.col("o").alias("x")), "a").join(order.select(F.col("node").alias("b"), F.col("o").alias("y")), "b")
+    roots = connected(ends.select(F.col("x").alias("a"), F.col("y").alias("b"))).select(F.col("f.node").alias("node"), F.col("root.row").alias("root"))
+    return durable(distinct.select("node", "row").join(roots, "node", "left"), "named")
 
 
 def components(docs: DataFrame, radius: int = RADIUS, doc_id: str = "doc_id", text: str = "text", width: int = SHINGLE) -> DataFrame:
     """doc_id, fingerprint and component_id of every row of ``docs``: exact links of 64-bit fingerprints."""
     prints = durable(fingerprints(docs, doc_id, text, width), "prints")
-    distinct = durable(prints.groupBy("f0").agg(F.min("id").alias("least")).withColumn("node", F.col("f0")), "distinct")
-    named = _named(distinct, linked(distinct.select("f0"), radius)).withColumnRenamed("node", "f0")
+    distinct = durable(prints.groupBy("f0").agg(F.min(_row_order(F.col("id"), F.lit(0))).alias("row")).withColumn("node", F.col("f0")), "distinct")
+    named = _named(distinct, linked(distinct.select("f0"), radius)).select(F.col("node").alias("f0"), F.coalesce("root", "row")["id"].alias("component_id"))
     return prints.join(named, "f0").select(F.col("id").alias(doc_id), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", width: int = 5, n_words: int = 4, recall: float = 0.99) -> DataFrame:
-    """doc_id and component_id of every row of ``docs``: links of whole texts whose sets of shingles have a Jaccard index
-    of ``similarity`` or more.  Fingerprints of 64 * ``n_words`` bits find the candidates."""
+def _similar(docs: DataFrame, similarity: float, doc_id: str, text: str, width: int, n_words: int) -> tuple[DataFrame, DataFrame]:
+    """The rows' prints, and their nodes named."""
     names = [f"f{w}" for w in range(n_words)]
     prints = durable(_set_prints(docs, doc_id, text, width, n_words), "prints")
-    distinct = durable(prints.groupBy("node").agg(F.min("id").alias("least"), *[F.min(n).alias(n) for n in ("t", "n", *names)]), "distinct")
-    sets_of = lambda nodes: _sets(docs, distinct.select("t", "node").join(nodes, "node"), text, width)
-    named = _named(distinct, alike(distinct.select("node", "n", *names), sets_of, n_words, similarity, recall))
-    return prints.select("id", "node").join(named, "node").select(F.col("id").alias(doc_id), "component_id")
-
+    distinct = durable(prints.groupBy("node").agg(F.min(_row_order(F.col("id"), F.col("t"))).alias("row"), *[F.first(c).alias(c) for c in ("n", *names, "bands")]), "distinct")
+    sets_of = lambda nodes: _sets(docs, distinct.select("row", "node").join(nodes, "node"), doc_id, text, width)
+    return prints, _named(distinct, alike(distinct.select("node", "n", *names, "bands"), sets_of, n_words, similarity))
 
-def representatives(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
-    """One row of ``docs`` for each component of ``similar``, that of its smallest id, with the columns of ``docs``.
 
-    Of rows that share that id one is kept; rows with a null id are all kept, as nothing tells them apart.
-    """
-    found = similar(docs, doc_id=doc_id, **options)
-    keep = found.filter(F.col(doc_id) == F.col("component_id")).select(F.col(doc_id).alias("__kept_id")).distinct()
-    kept = docs.join(keep, docs[doc_id] == keep["__kept_id"], "left_semi")
-    return kept.dropDuplicates([doc_id]).unionByName(docs.filter(F.col(doc_id).isNull()))
+def similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", width: int = 5, n_words: int = 4) -> DataFrame:
+    """doc_id and component_id of every row of ``docs``: links of whole texts whose sets of shingles have a Jaccard index
+    of ``similarity`` or more.  Shards are bands of least hashes, their trees hold fingerprints of 64 * ``n_words`` bits."""
+    prints, named = _similar(docs, similarity, doc_id, text, width, n_words)
+    return prints.select("id", "node").join(named, "node").select(F.col("id").alias(doc_id), F.coalesce("root", "row")["id"].alias("component_id"))
+
+
+def representatives(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", width: int = 5, n_words: int = 4) -> DataFrame:
+    """One row of ``docs`` for each component of ``similar``, its least by id and hash of the text, with the columns of
+    ``docs``.  Of rows equal in id and text one is kept."""
+    _, named = _similar(docs, similarity, doc_id, text, width, n_words)
+    key = lambda i, t: (F.xxhash64(i, t).alias("__row_1"), F.hash(t, i).alias("__row_2"))
+    keep = named.filter("root is null").select(*key(F.col("row.id"), F.col("row.t"))).distinct()
+    rows = docs.select("*", *key(F.col(f"`{doc_id}`"), F.xxhash64(text)))
+    return rows.join(keep, ["__row_1", "__row_2"], "left_semi").dropDuplicates(["__row_1", "__row_2"]).drop("__row_1", "__row_2")

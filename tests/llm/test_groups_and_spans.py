@@ -43,24 +43,64 @@ def clustered(seed, n=300):
     return sorted(set(out))
 
 
-@pytest.mark.parametrize("most", [10, 4096])
 @pytest.mark.parametrize("seed", [1, 2, 3])
-def test_bk_forest_connects_what_is_linked(seed, most):
+def test_bk_forest_connects_what_is_linked(seed):
     values = clustered(seed)
-    links = simhash.shard_links(np.array(values, np.uint64), 0, 4, most)
+    links = simhash.forest(values, 4)
     assert all((values[a] ^ values[b]).bit_count() <= 4 for a, b in links)
-    forest = simhash.Links(len(values))
-    for a, b in links:
-        forest.join(a, b)
-    assert [forest.find(a) for a in range(len(values))] == components_of(values, 4) and len(links) == len(forest.kept)
+    assert roots_of(links, len(values)) == components_of(values, 4) and len(links) == len(values) - len(set(components_of(values, 4)))
+
 
+def roots_of(links, n):
+    root = list(range(n))
 
-@pytest.mark.parametrize("n", [None, 10**7, 10**12])
-def test_links_and_components(spark, n):
+    def find(a):
+        while root[a] != a:
+            root[a] = root[root[a]]
+            a = root[a]
+        return a
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    return [find(a) for a in range(n)]
+
+
+def test_trees_answer_the_searches_of_5000_fingerprints():
+    """Every search goes through a tree and follows only some of its edges; the result is that of brute force."""
+    values = clustered(11, 5000)
+    array = np.array(values, np.uint64)
+    pairs = [(a, a + 1 + b) for a in range(len(values)) for b in np.flatnonzero(np.bitwise_count(array[a + 1 :] ^ array[a]) <= 4).tolist()]
+    trees, build = [], simhash.BKTree.__init__
+
+    def counted(self, *args):
+        build(self, *args)
+        trees.append(self)
+
+    simhash.BKTree.__init__ = counted
+    try:
+        links = simhash.forest(values, 4)
+    finally:
+        simhash.BKTree.__init__ = build
+    assert roots_of(links, len(values)) == roots_of(pairs, len(values))
+    assert len(trees) == 1 and trees[0].searches >= 0.9 * len(values) and trees[0].visited < 0.5 * len(values) * trees[0].searches
+
+
+@pytest.mark.parametrize(("n", "radius"), [(100, 4), (9296, 4), (10**6, 4), (10**9, 4), (10**12, 4), (10**6, 2)])
+def test_near_values_agree_under_a_mask(n, radius):
+    rng, masks = random.Random(n), simhash.choices_for(n, radius)
+    assert len(masks) == len(set(masks)) <= 130
+    for _ in range(2000):
+        flip = sum(1 << b for b in rng.sample(range(64), radius))
+        assert any(not flip & m for m in masks)
+
+
+@pytest.mark.parametrize(("n", "most"), [(None, 16384), (10**7, 16384), (10**12, 16384), (None, 60), (10**6, 20)])
+def test_links_and_components(spark, n, most):
     values = clustered(9, 400)
     signed = [v - (1 << 64) if v >> 63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "f0 bigint").repartition(3)
-    roots = {r.f: r.root for r in simhash.connected(simhash.linked(df, n=n)).collect()}
+    roots = {r.f: r.root for r in simhash.connected(simhash.linked(df, n=n, most=most)).collect()}
     want = components_of(values, 4)
     groups = Counter(want)
     least = {c: min(s for s, x in zip(signed, want, strict=True) if x == c) for c in groups}
@@ -94,43 +134,80 @@ def test_simhash_query(spark):
     assert simhash.components(empty(spark)).count() == 0 and simhash.representatives(empty(spark)).count() == 0
 
 
+def shingle_set(text, width=5):
+    words = WORD.findall("".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text or ""))
+    return frozenset(" ".join(words[k : k + width]) for k in range(len(words) - width + 1)) if len(words) >= width else frozenset([" ".join(words)] if words else [])
+
+
+def alike_of(texts, similarity=0.8):
+    """Components of brute force: pairs of different sets that have a shingle in common."""
+    sets, by, pairs = [shingle_set(t) for t in texts], {}, set()
+    first = {}
+    for k, s in enumerate(sets):
+        pairs.add((first.setdefault(s, k), k))
+    for s, k in first.items():
+        for x in s:
+            by.setdefault(x, []).append(k)
+    for ks in by.values():
+        pairs |= {(a, b) for a in ks for b in ks if a < b and min(len(sets[a]), len(sets[b])) >= similarity * max(len(sets[a]), len(sets[b]))}
+    return roots_of([(a, b) for a, b in pairs if a != b and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) or sets[a] == sets[b]], len(texts))
+
+
 def test_similar_and_representatives(spark):
     docs = documents(spark)
-    prints = [simhash.fingerprint(r[1], 5, 4, repeats=False) for r in rows()]
-    whole = [sum(int(w) << 64 * k for k, w in enumerate(p)) for p in prints]
-    root, ids = components_of(whole, 51), [r[0] for r in rows()]
+    root, ids = alike_of([r[1] for r in rows()]), [r[0] for r in rows()]
     least = {c: min((i for i, x in zip(ids, root, strict=True) if x == c and i is not None), default=None) for c in root}
     assert sorted(map(str, simhash.similar(docs).collect())) == sorted(f"Row(doc_id={i}, component_id={least[c]})" for i, c in zip(ids, root, strict=True))
     assert least[root[9]] == least[root[10]] == least[root[11]] == 9 and least[root[12]] == 12
     kept = simhash.representatives(docs)
-    assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect() if r[0] is not None) == sorted({c for c in least.values() if c is not None})
-    assert sum(r[0] is None for r in kept.collect()) == 2
+    assert kept.columns == docs.columns and sorted(map(str, (r[0] for r in kept.collect()))) == sorted(str(least[c]) for c in set(root))
     assert simhash.similar(empty(spark)).count() == 0
 
 
-def test_near_copies_are_found_and_others_left(spark):
-    rng = random.Random(8)
-    text = lambda: [f"w{rng.randrange(3000)}" for _ in range(300)]
-    docs, groups = [], []
-    for g in range(300):
-        base = text()
+def test_one_row_of_each_group_stays_whatever_its_id(spark):
+    a, b = " ".join(f"a{k}" for k in range(80)), " ".join(f"b{k}" for k in range(80))
+    near = a.replace("a7 ", "edit ")
+    docs = spark.createDataFrame([(1, a), (1, b), (None, a), (None, near), (None, None), (None, ""), (2, b), (2, b)], "doc_id bigint, text string")
+    kept = [(r.doc_id, r.text or "") for r in simhash.representatives(docs).collect()]
+    assert sorted(map(str, kept)) == sorted(map(str, [(1, a), (1, b), (None, "")]))
+
+
+def near_copies(seed=8, groups=300):
+    rng = random.Random(seed)
+    docs = []
+    for _ in range(groups):
+        base = [f"w{rng.randrange(3000)}" for _ in range(300)]
         for _ in range(rng.choice([1, 1, 4])):
             copy = list(base)
-            for _ in range(rng.randint(0, 5)):
+            for _ in range(rng.randint(0, 8)):
                 copy[rng.randrange(300)] = "edit"
-            groups.append(g)
             docs.append((len(docs), " ".join(copy)))
+    return docs
+
+
+@pytest.mark.parametrize("most", [16384, 3])
+def test_near_copies_are_found_and_others_left(spark, most, monkeypatch):
+    """Links at a Jaccard index of 0.8 or more, and only those: all rows agree with brute force, also where shards are cut."""
+    monkeypatch.setattr(simhash._joined, "__defaults__", (most,))
+    monkeypatch.setattr(simhash.alike, "__defaults__", (most,))
+    docs = near_copies()
     got = {r.doc_id: r.component_id for r in simhash.similar(spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)).collect()}
-    first = {}
-    for k, g in enumerate(groups):
-        first.setdefault(g, k)
-    assert sum(got[k] == first[g] for k, g in enumerate(groups)) >= 0.99 * len(groups)
-    assert all(groups[got[k]] == g for k, g in enumerate(groups))
+    want = alike_of([t for _, t in docs])
+    assert sum(got[k] != want[k] for k in range(len(docs))) <= 0.001 * len(docs)
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no tables")
+def test_near_duplicates_of_the_tables(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in simhash.similar(df).collect()}
+    root = alike_of([r.text for r in docs])
+    wrong = sum(got[r.doc_id] != docs[root[k]].doc_id for k, r in enumerate(docs))
+    assert wrong <= 0.001 * len(docs)
 
 
-@pytest.mark.parametrize("direct", [0, 1024])
 @pytest.mark.parametrize("n_words", [1, 4])
-def test_forests_span_components(n_words, direct):
+def test_forests_span_components(n_words):
     rng, values = random.Random(n_words), [0]
     while len(values) < 350:
         v = rng.choice(values) if rng.random() < 0.7 else rng.getrandbits(64 * n_words)
@@ -138,11 +215,12 @@ def test_forests_span_components(n_words, direct):
             v ^= 1 << rng.randrange(64 * n_words)
         values.append(v)
     radius = 4 if n_words == 1 else 40
-    array = np.array([[v >> 64 * w & (1 << 64) - 1 for w in range(n_words)] for v in values], np.uint64)
-    links, found = simhash.Links(len(values)), simhash.forest(array, radius, direct)
-    for a, b in found:
-        links.join(a, b)
-    assert [links.find(k) for k in range(len(values))] == components_of(values, radius) and len(found) == len(links.kept)
+    found = simhash.forest(values, radius)
+    want = components_of(values, radius)
+    assert roots_of(found, len(values)) == want and len(found) == len(values) - len(set(want))
+    odd = lambda a, b: (a + b) % 2 == 1
+    some = [(a, b) for a in range(len(values)) for b in range(a) if odd(a, b) and (values[a] ^ values[b]).bit_count() <= radius]
+    assert roots_of(simhash.forest(values, radius, odd), len(values)) == roots_of(some, len(values))
 
 
 def test_fingerprint_query(spark):
