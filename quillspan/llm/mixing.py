@@ -50,18 +50,21 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int =
     return out.select("source", "source_size", F.when(free.isNull() | held, (most * F.col("source_size")).cast("double")).otherwise(free["level"] * F.col("w")).alias("target"))
 
 
-def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
-    """doc_id, source, size, source_size, target and copies, one row for each row of ``docs``.
+def plan(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, seed: str = "mix", doc_id: str = "doc_id", text: str = "text", source: str = "source", also: tuple[str, ...] = ()
+) -> DataFrame:
+    """doc_id, source, size, source_size, target, copies and the columns ``also``, one row for each row of ``docs``.
 
-    The order of the ids' hashes decides among equal sizes; rows equal in source, size and id are interchangeable.
+    The order of the ids' hashes decides among equal sizes, then that of the columns ``also``; rows equal in all of
+    these are interchangeable.
     """
     spark = docs.sparkSession
-    sized = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"))
+    sized = docs.select(F.col(doc_id).alias("id"), F.col(source).alias("source"), F.size(words(F.col(text))).cast("long").alias("size"), *also)
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("id").cast("string"), F.lit(""))))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sized = sized.withColumn("key", key)
     sized = durable(sized, "sizes")  # the range partitioner reads its input twice; texts are read once
-    ranged = sized.repartitionByRange(parts, "source", "size", "key", "id").withColumn("part", F.spark_partition_id())
+    ranged = sized.repartitionByRange(parts, "source", "size", "key", "id", *also).withColumn("part", F.spark_partition_id())
     rows = durable(ranged, "mix")  # fixes which range a row is in
     counts = rows.groupBy("part", "source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("source_size"))
     sizes = counts.groupBy("source").agg(F.sum("source_size").alias("source_size"))
@@ -69,14 +72,14 @@ def plan(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), most: int = 3, s
     firsts = counts.select("part", F.col("source").alias("s"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("first"))
     wanted = targets(sizes, weights, most).withColumnRenamed("source", "s")
     firsts = firsts.join(wanted, firsts["s"].eqNullSafe(wanted["s"])).select("part", firsts["s"], "first", "source_size", "target")
-    within = Window.partitionBy("part", "source").orderBy("size", "key", "id")
+    within = Window.partitionBy("part", "source").orderBy("size", "key", "id", *also)
     ranked = rows.withColumn("k", F.row_number().over(within).cast("long"))
     firsts = firsts.withColumnRenamed("part", "p")
     joined = ranked.join(firsts, (ranked["part"] == firsts["p"]) & ranked["source"].eqNullSafe(firsts["s"]))
     each = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     place, start = F.col("first") + F.col("k"), unit(F.col("source"), seed)
     copies = F.floor(place * each + start) - F.floor((place - 1) * each + start)
-    return joined.select(F.col("id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", copies.cast("long").alias("copies"))
+    return joined.select(F.col("id").alias(doc_id), F.col("source").alias(source), "size", "source_size", "target", copies.cast("long").alias("copies"), *also)
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
@@ -85,17 +88,20 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     return plan(docs, **options).select(doc_id, "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def sample(docs: DataFrame, doc_id: str = "doc_id", **options) -> DataFrame:
+def _row_keys(docs: DataFrame) -> tuple[Column, Column]:
+    """Two hashes of a whole row, of any types (maps are hashed as JSON)."""
+    values = [F.to_json(F.struct(F.col(f"`{f.name}`"))) if "map<" in f.dataType.simpleString() else F.col(f"`{f.name}`") for f in docs.schema.fields]
+    return F.xxhash64(*values).alias("__mix_1"), F.hash(*reversed(values)).alias("__mix_2")
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them, with its columns.
 
-    Rows that share an id also share its copies: the id's total is dealt out over them in the order of their hashes.
+    Equal rows are one, summed up before the shuffle, and come as often as all of them together are taken; so neither
+    null nor repeated ids are gathered.
     """
-    copies = plan(docs, doc_id=doc_id, **options).groupBy(F.col(doc_id).alias("__mix_id")).agg(F.sum("copies").alias("__mix_n"), F.count(F.lit(1)).alias("__mix_rows")).filter("__mix_n > 0")
-    joined = docs.join(copies, docs[doc_id].eqNullSafe(copies["__mix_id"]))
-    single = F.col("__mix_n")
-    order = Window.partitionBy("__mix_id").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
-    shared = joined.filter("__mix_rows > 1").withColumn("__mix_k", F.row_number().over(order))
-    several = F.floor(F.col("__mix_k") * F.col("__mix_n") / F.col("__mix_rows")) - F.floor((F.col("__mix_k") - 1) * F.col("__mix_n") / F.col("__mix_rows"))
-    both = joined.filter("__mix_rows = 1").withColumn("__mix_c", single).unionByName(shared.withColumn("__mix_c", several.cast("long")).drop("__mix_k"))
-    out = both.filter("__mix_c > 0").withColumn("__mix_each", F.explode(F.array_repeat(F.lit(0), F.col("__mix_c").cast("int"))))
+    keys = ["__mix_1", "__mix_2"]
+    rows = docs.select("*", *_row_keys(docs))
+    copies = plan(rows, also=tuple(keys), **options).groupBy(*keys).agg(F.sum("copies").alias("__mix_n")).filter("__mix_n > 0")
+    out = rows.dropDuplicates(keys).join(copies, keys).withColumn("__mix_each", F.explode(F.array_repeat(F.lit(0), F.col("__mix_n").cast("int"))))
     return out.select(*[F.col(f"`{c}`") for c in docs.columns])

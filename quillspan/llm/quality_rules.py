@@ -194,6 +194,6 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
 
 def keep(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with its columns."""
+    """The rows of ``docs`` whose posterior says good, with its columns: rules vote, and none alone rejects."""
     voted = durable(with_votes(docs, text), "voted")
-    return _verdicts(voted).filter(F.col(_P + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return _verdicts(voted).filter(F.col(_P + "posterior") >= 0.5).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -17,7 +17,7 @@ def test_stages_do_what_they_say(spark):
         assert inputs[-1].columns == columns
     ids = lambda df: sorted(r.doc_id for r in df.select("doc_id").collect())
     ruled, single, clean, mixed = inputs[1:]
-    assert ids(ruled) == ids(quality_rules.score(docs).filter("kept"))
+    assert ids(ruled) == ids(quality_rules.score(docs).filter("posterior >= 0.5"))
     groups = simhash.similar(ruled).collect()
     assert ids(single) == sorted({r.component_id for r in groups})
     assert ids(clean) == ids(single) and all("token = \"" not in r.text for r in clean.collect())
