@@ -7,18 +7,32 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_WRITTEN: dict[str, list[str]] = {}
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or a new folder where it is unset."""
+    """``spark.checkpoint.dir``.  Where it is unset a new folder does in local mode; executors elsewhere need a shared one."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = tempfile.mkdtemp(prefix="quillspan-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 
+def _file_system(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_folder(spark).rstrip('/')}/quillspan/{tag}-{uuid.uuid4().hex}"
+    """A new path in the shared folder; what is written there goes when the application ends, or with ``clear``."""
+    path = f"{shared_folder(spark).rstrip('/')}/quillspan/{tag}-{uuid.uuid4().hex}"
+    system, place = _file_system(spark, path)
+    system.deleteOnExit(place)
+    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
@@ -26,3 +40,13 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def clear(spark: SparkSession) -> int:
+    """Delete this application's intermediate tables now, once no result that reads them is needed; how many there were."""
+    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
+    for path in paths:
+        system, place = _file_system(spark, path)
+        system.delete(place, True)
+        system.cancelDeleteOnExit(place)
+    return len(paths)
