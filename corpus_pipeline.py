@@ -1,6 +1,10 @@
 """A pipeline over ``documents``: rules, near-duplicates, secrets, mixture, tokens.
 
 Each stage takes what the one before kept, in full; all but the last return the columns of ``documents``.
+
+Defined results: a null text counts as empty, and the rules reject it, as any text without words; of rows equal in id and
+text one stays, null ids included; null sources are a source of their own; null languages and other columns are passed on
+as they are; ``n_chars`` follows the redacted text; an empty table gives an empty result.
 """
 
 from __future__ import annotations
