@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_WRITTEN: dict[str, list[str]] = {}
+_FOLDERS: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -27,12 +27,15 @@ def _file_system(spark: SparkSession, path: str):
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; what is written there goes when the application ends, or with ``clear``."""
-    path = f"{shared_folder(spark).rstrip('/')}/quillspan/{tag}-{uuid.uuid4().hex}"
-    system, place = _file_system(spark, path)
-    system.deleteOnExit(place)
-    _WRITTEN.setdefault(spark.sparkContext.applicationId, []).append(path)
-    return path
+    """A new path in this application's part of the shared folder, which goes when the application ends, or with ``clear``."""
+    application = spark.sparkContext.applicationId
+    if application not in _FOLDERS:
+        folder = f"{shared_folder(spark).rstrip('/')}/quillspan/{application}-{uuid.uuid4().hex[:8]}"
+        system, place = _file_system(spark, folder)
+        system.mkdirs(place)
+        system.deleteOnExit(place)
+        _FOLDERS[application] = folder
+    return f"{_FOLDERS[application]}/{tag}-{uuid.uuid4().hex}"
 
 
 def durable(df: DataFrame, tag: str) -> DataFrame:
@@ -42,11 +45,10 @@ def durable(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def clear(spark: SparkSession) -> int:
-    """Delete this application's intermediate tables now, once no result that reads them is needed; how many there were."""
-    paths = _WRITTEN.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
-        system, place = _file_system(spark, path)
-        system.delete(place, True)
-        system.cancelDeleteOnExit(place)
-    return len(paths)
+def clear(spark: SparkSession) -> bool:
+    """Delete this application's intermediate tables now, once no result that reads them is needed; whether there were any."""
+    folder = _FOLDERS.pop(spark.sparkContext.applicationId, None)
+    if folder is None:
+        return False
+    system, place = _file_system(spark, folder)
+    return system.delete(place, True)
