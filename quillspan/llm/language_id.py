@@ -1,16 +1,17 @@
 """Language identification by cross-parsing entropy.
 
-A sample of labelled text for each language is held as a suffix automaton.  A word is parsed greedily into phrases,
-each the longest match with the sample; the language whose phrases, weighted by the log of its sample's length, are
-fewest for each letter wins.  Phrases do not cross words, so a word's counts are the same wherever it stands and are
-kept for reuse; a text's count is the sum over its words, all of them.
+A sample of labelled text for each language is held as a suffix automaton.  A text is parsed greedily from its first
+letter to its last into phrases, each the longest match with the sample, blanks and all: phrases cross words.  The
+language whose phrases, weighted by the log of its sample's length, are fewest for each letter wins.
 
-The sample takes whole texts in the order of a hash of their ids up to ``letters`` of each language (at most
-``per_text`` of one text): a bound of the model, not of what is predicted.
+The sample takes whole texts in the order of their hashes until they hold ``letters`` (texts of more than an eighth of
+that only where shorter ones do not suffice, so one long text is not all of a sample); about ``rows`` texts of each
+language are looked at: a bound of the model, not of what is predicted.
 
 Defined results: null text and texts without a letter are ``und`` with score 0; without any labelled text every text
-is ``und``; ties go to the language first in code point order; repeated rows count and are returned each; other
-columns are ignored.  The score is the winner's share when languages are weighed by 2^-(excess bits per letter).
+is ``und``; ties go to the language first in code point order; null and repeated ids play no part; repeated texts are
+learned once and returned each; other columns are ignored.  The score is the winner's share when languages are weighed
+by 2^-(excess bits per letter).
 """
 
 from __future__ import annotations
@@ -28,12 +29,18 @@ from pyspark.sql import functions as F
 from .common import fold, small
 
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
-_LANE = 48
 _LETTER = regex.compile(r"\p{L}")
+_LOST: dict = {}  # the state behind a letter that a sample lacks: nothing leaves it
+
+
+def letters_of(text: str) -> str:
+    """The words of a text in small letters, with a blank before, between and after them."""
+    found = _WORDS.findall(text.lower())
+    return f" {' '.join(found)} " if found else ""
 
 
 class SuffixAutomaton:
-    """The automaton of all stretches of the words of a sample; words are joined by line feeds, which no word holds."""
+    """The automaton of all stretches of a sample; its states are dicts from a letter to the next state."""
 
     def __init__(self, text: str):
         self.length = max(len(text), 2)
@@ -62,93 +69,72 @@ class SuffixAutomaton:
                         p = link[p]
                     link[q] = link[cur] = clone
             last = cur
-        self.next = next_
-
-    def longest_match(self, word: str, at: int) -> int:
-        """Letters of ``word`` from ``at`` on that occur in the sample as they stand."""
-        state, k, next_ = 0, at, self.next
-        while k < len(word):
-            state = next_[state].get(word[k], 0)
-            if not state:
+        for arcs in next_:
+            for ch, q in arcs.items():
+                arcs[ch] = next_[q]
+        self.root = next_[0]
+
+    def longest_match(self, text: str, at: int) -> int:
+        """Letters of ``text`` from ``at`` on that occur in the sample as they stand."""
+        state, k = self.root, at
+        while k < len(text):
+            state = state.get(text[k])
+            if state is None:
                 break
             k += 1
         return k - at
 
-    def phrases(self, word: str) -> int:
+    def phrases(self, text: str) -> int:
         """Phrases of the greedy parse; a letter that the sample lacks is a phrase of its own."""
-        n = at = 0
-        while at < len(word):
-            at += self.longest_match(word, at) or 1
-            n += 1
+        n, state, root = 0, _LOST, self.root
+        for ch in text:
+            state = state.get(ch)
+            if state is None:
+                n += 1
+                state = root.get(ch, _LOST)
         return n
 
 
-class Parser(dict):
-    """The automata of all languages; as a dict, from a stretch without blanks to its counts, for those met before.
-
-    Counts are packed in one integer, _LANE bits each: letters, then phrases by language; so a text's are one sum.
-    """
+class Parser:
+    """The automata of all languages."""
 
-    def __init__(self, samples: dict[str, str], room: int = 250_000):
-        super().__init__()
+    def __init__(self, samples: dict[str, str]):
         self.languages = sorted(samples)
         self.automata = [SuffixAutomaton(samples[x]) for x in self.languages]
         self.cost = [math.log2(a.length) for a in self.automata]
-        self.room, self.words = room, {}
-
-    def _word(self, word: str) -> int:
-        counts = len(word)
-        for k, a in enumerate(self.automata, 1):
-            counts |= a.phrases(f"\n{word}\n") << _LANE * k
-        if len(word) < 60:
-            if len(self.words) >= self.room:
-                self.words.clear()
-            self.words[word] = counts
-        return counts
-
-    def __missing__(self, stretch: str) -> int:
-        counts = 0
-        for w in _WORDS.findall(stretch.lower()):
-            counts += self.words.get(w) or self._word(w)
-        if len(stretch) < 60:
-            if len(self) >= self.room:
-                self.clear()
-            self[stretch] = counts
-        return counts
 
     def predict(self, text: str | None) -> tuple[str, float]:
         if not self.languages or not text or not _LETTER.search(text):
             return "und", 0.0
-        counts = sum(map(self.__getitem__, text.split()))
-        mask = (1 << _LANE) - 1
-        letters = max(counts & mask, 1)
-        bits = [c * (counts >> _LANE * k & mask) / letters for k, c in enumerate(self.cost, 1)]
+        parsed = letters_of(text)
+        bits = [c * a.phrases(parsed) / len(parsed) for c, a in zip(self.cost, self.automata, strict=True)]
         best = min(bits)
         return self.languages[bits.index(best)], 1 / sum(2.0 ** max(best - b, -1000) for b in bits)
 
 
-def samples(labelled: DataFrame, letters: int = 40_000, per_text: int = 2_000, lang: str = "lang", doc_id: str = "doc_id", text: str = "text") -> dict[str, str]:
-    """Up to ``letters`` of words of each language from ``labelled``, whose null languages are ignored.
+def samples(labelled: DataFrame, letters: int = 40_000, rows: int = 400, lang: str = "lang", text: str = "text") -> dict[str, str]:
+    """About ``letters`` of whole texts of each language from ``labelled``, whose null languages are ignored.
 
-    One count per language says which hashes are needed; only such rows' texts are read into the sample.
+    One count per language says which hashes of texts are needed; of equal texts, summed up before the shuffle, one
+    counts; only the about ``rows`` texts of each language that are left come to the driver.
     """
-    known = labelled.filter(F.col(lang).isNotNull())
+    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
     counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row for each language
     if not counts:
         return {}
-    wanted, space = 8 * letters // per_text + 64, 1 << 30
-    place = F.pmod(F.xxhash64(F.col(doc_id), F.lit("language")), F.lit(space))
-    upto = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(space, math.ceil(space * wanted / n)))]), F.col(lang))
-    rows = known.select(lang, place.alias("place"), F.col(doc_id).cast("string").alias("id"), F.substring(F.coalesce(text, F.lit("")), 1, per_text).alias("text"), upto.alias("upto"))
+    space = 1 << 30
+    place = F.pmod(F.xxhash64(F.col(text), F.lit("language")), F.lit(space))
+    upto = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(space, math.ceil(space * rows / n)))]), F.col(lang))
+    near = known.select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"), upto.alias("upto")).filter("place < upto")
+    chosen = near.groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
     out: dict[str, list[str]] = {k: [] for k in counts}
     size = dict.fromkeys(counts, 0)
-    chosen = rows.filter("place < upto").select(lang, "place", "id", "text").collect()  # about `wanted` rows a language
-    for r in sorted(map(tuple, chosen), key=lambda r: (r[1], r[2] or "", r[3])):
-        if size[r[0]] < letters:
-            words = "\n".join(_WORDS.findall(r[3].lower()))[: letters - size[r[0]]]
-            out[r[0]].append(words)
-            size[r[0]] += len(words) + 1
-    return {k: "\n" + "\n".join(x) + "\n" for k, x in out.items() if size[k] > 1}
+    words = [(r["lang"], letters_of(r["text"]), r["place"]) for r in chosen]
+    for k, w, _ in sorted(words, key=lambda r: (len(r[1]) > letters // 8, r[2], r[1])):
+        if size[k] < letters and w:
+            out[k].append(w)
+            size[k] += len(w)
+    return {k: "".join(x) for k, x in out.items() if size[k]}
 
 
 _PARSERS: list[tuple[dict, Parser]] = []
@@ -166,7 +152,7 @@ def parser_of(samples: dict[str, str]) -> Parser:
 def identify(docs: DataFrame, held_out: Column | None = None, lang: str = "lang", doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """doc_id, held_out, lang_pred and score of every row of ``docs``; learns from its rows that are not held out."""
     held = held_out if held_out is not None else F.lit(False)
-    shared = docs.sparkSession.sparkContext.broadcast(samples(docs.filter(~held), lang=lang, doc_id=doc_id, text=text, **options))
+    shared = docs.sparkSession.sparkContext.broadcast(samples(docs.filter(~held), lang=lang, text=text, **options))
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
