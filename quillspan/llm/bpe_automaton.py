@@ -4,9 +4,17 @@ The automaton reads tokens and accepts exactly the correct tokenisations.  It st
 each single byte.  The gadget for a merge (a, b) -> c puts a new state behind the arcs labelled a, a copy of the old
 one without its arc b, and adds an arc c beside each path a b, into the state behind b.  So all arcs of one label end
 in one state, and a state is held as (parent, forbidden label, number): what it adds to its parent is that one missing
-arc; an arc c made by a later merge leaves it if the arc of c's left part does.  A word has one accepted path; encoding
-extends paths over the word's bytes through a trie of labels and the transition table, whose cells are filled as they
-are first asked for.  Decoding emits the labels of the arcs.
+arc; an arc c made by a later merge leaves it if the arc of c's left part does.
+
+Then the whole table of transitions is written out.  A missing arc takes all later labels with it that begin with it,
+and if labels are numbered in the order of a walk from left parts to what begins with them, older first, those are one
+stretch of numbers.  So the labels without an arc from a state are a few stretches, one for each of its ancestors, and
+the table holds their bounds, sorted, for each state that a label leads to (for 50,000 merges some 15,000 states and a
+few MB in place of 2.5e9 cells).  It is compiled once, on the driver, and sent to the workers as arrays.
+
+A word is encoded in one pass without going back: the automaton is deterministic and accepts one path for each string,
+so behind each byte there is one state; from it the labels that the next bytes spell are looked up in the table.
+Decoding emits the labels of the arcs.
 
 Defined results: a null text counts as empty and has no tokens; special tokens in a text are found first, as the public
 library does; repeated rows give repeated results; other columns are ignored; a word of any length is run in one pass.
@@ -17,7 +25,10 @@ from __future__ import annotations
 import gc
 import hashlib
 import json
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
 from itertools import accumulate
 
 import pyarrow as pa
@@ -39,49 +50,40 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + k): b for k, b in enumerate(rest)}
 
 
-class MergeAutomaton:
-    """The compiled automaton; ``encode_word`` runs it on the bytes of a pre-split word."""
+@dataclass(frozen=True)
+class Table:
+    """All transitions.  place: by label its number in the walk, or -1; row: by label the number of the state that it
+    leads to; bounds[first[r] : first[r + 1]]: where stretches of missing labels begin and end, in turn."""
 
-    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], special: dict[str, int] | None = None):
-        letters = byte_letters()
-        self.labels: dict[int, bytes] = {i: bytes(letters[x] for x in token) for token, i in vocab.items()}
-        self.special = dict(special or {})
-        self.labels.update({i: s.encode() for s, i in self.special.items()})
-        self.base = [vocab.get(x) for x in sorted(letters, key=letters.get)]
+    place: array
+    row: array
+    bounds: array
+    first: array
+
+    def missing(self) -> list[array]:
+        """The bounds of the state behind each label."""
+        rows = [self.bounds[a:z] for a, z in zip(self.first, self.first[1:], strict=False)]
+        return [rows[r] for r in self.row]
+
+
+class _Gadgets:
+    """The compiler: states and arcs while merges are added."""
+
+    def __init__(self, base: Iterable[int], merges: Iterable[tuple[int, int, int]]):
         self.parent, self.missing = [-1], [-1]  # by state; state k + 1 is the new state of effective merge k
-        self.target: dict[int, int] = {i: 0 for i in self.base if i is not None}  # label -> the state behind it
+        self.target: dict[int, int] = {i: 0 for i in base}  # label -> the state behind it
         self.made: dict[int, tuple[int, int]] = {}  # label -> (number of its merge's state, left part)
-        self.table: dict[int, bool] = {}
-        for a, b in merges:
-            self._gadget(vocab[a], vocab[b], vocab[a + b])
-        self.trie = self._trie()
-        self.whole = {self.labels[i]: i for i in self.target}
-        self._pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
-
-    def _gadget(self, a: int, b: int, c: int) -> None:
-        if a not in self.target or b not in self.target or c in self.made or not self.has_arc(self.target[a], b):
-            return  # the path a b does not occur: this merge can never apply
-        behind_b = self.target[b]
-        self.parent.append(self.target[a])
-        self.missing.append(b)
-        new = len(self.parent) - 1
-        self.target[a] = new
-        self.made[c] = (new, a)
-        self.target[c] = behind_b
-        self.table.clear()
+        for a, b, c in merges:
+            if a in self.target and b in self.target and c not in self.made and self.has_arc(self.target[a], b):
+                behind_b = self.target[b]
+                self.parent.append(self.target[a])
+                self.missing.append(b)
+                self.target[a] = len(self.parent) - 1
+                self.made[c] = (len(self.parent) - 1, a)
+                self.target[c] = behind_b
 
     def has_arc(self, state: int, label: int) -> bool:
         """Whether an arc ``label`` leaves ``state``."""
-        key = state << 20 | label
-        known = self.table.get(key)
-        if known is None:
-            known = self._has_arc(state, label)
-            if len(self.table) > 400_000:
-                self.table.clear()
-            self.table[key] = known
-        return known
-
-    def _has_arc(self, state: int, label: int) -> bool:
         missing, parent, made = self.missing, self.parent, self.made
         while True:
             number, left = made.get(label, (0, -1))
@@ -93,14 +95,75 @@ class MergeAutomaton:
                 return True  # a single byte leaves the first state
             label = left  # made later than this state: it leaves wherever its left part does
 
-    def _trie(self) -> list:
-        """Nodes as [next nodes by byte, label that ends here or -1]; only labels that the automaton has."""
-        root: list = [{}, -1]
-        for i in self.target:
+    def table(self, n_labels: int) -> Table:
+        later: dict[int, list[int]] = {}  # labels that begin with a label, older first
+        for label, (_, left) in self.made.items():
+            later.setdefault(left, []).append(label)
+        place, end = array("i", [-1]) * n_labels, {}
+        pending = [i for i in self.target if i not in self.made]
+        walk = []
+        while pending:
+            label = pending.pop()
+            place[label] = len(walk)
+            walk.append(label)
+            pending += reversed(later.get(label, ()))
+        for label in reversed(walk):
+            last = later.get(label)
+            end[label] = end[last[-1]] if last else place[label] + 1
+        stretches = []  # of each state, what its missing arc takes away
+        for state, label in enumerate(self.missing):
+            own = [] if state == 0 else [(place[label], place[label] + 1)]
+            young = later.get(label, ())
+            k = bisect_right(young, state - 1, key=lambda c: self.made[c][0])
+            stretches.append(own + ([(place[young[k]], end[label])] if k < len(young) else []))
+        rows: dict[int, int] = {}
+        bounds, first = array("i"), array("i", [0])
+        row = array("i", [-1]) * n_labels
+        for label, state in self.target.items():
+            if state not in rows:
+                rows[state] = len(rows)
+                every, q = [], state
+                while q > 0:
+                    every += stretches[q]
+                    q = self.parent[q]
+                edge = -1
+                for a, z in sorted(every):
+                    if a > edge or edge < 0:
+                        bounds.extend((a, z))
+                    elif z > edge:
+                        bounds[-1] = z
+                    edge = max(edge, z)
+                first.append(len(bounds))
+            row[label] = rows[state]
+        return Table(place, row, bounds, first)
+
+
+class MergeAutomaton:
+    """The automaton as a table; ``encode_word`` runs it on the bytes of a pre-split word."""
+
+    def __init__(self, vocab: dict[str, int], merges: Iterable[tuple[str, str]], special: dict[str, int] | None = None, table: Table | None = None):
+        letters = byte_letters()
+        self.labels: dict[int, bytes] = {i: bytes(letters[x] for x in token) for token, i in vocab.items()}
+        self.special = dict(special or {})
+        self.labels.update({i: s.encode() for s, i in self.special.items()})
+        self.base = [vocab.get(x) for x in sorted(letters, key=letters.get)]
+        if table is None:
+            steps = ((vocab[a], vocab[b], vocab[a + b]) for a, b in merges)
+            table = _Gadgets([i for i in self.base if i is not None], steps).table(max(vocab.values(), default=0) + 1)
+        self.table, self.missing = table, table.missing()
+        own = [i for i, r in enumerate(table.row) if r >= 0]
+        self.trie = self._trie(own)
+        self.whole = {self.labels[i]: i for i in own}
+        self._pattern = regex.compile("|".join(map(regex.escape, sorted(self.special, key=len, reverse=True)))) if self.special else None
+
+    def _trie(self, own: list[int]) -> list:
+        """Nodes as [next nodes by byte, label that ends here or -1, its place]; only labels that the automaton has."""
+        root: list = [{}, -1, -1]
+        for i in own:
             node = root
             for x in self.labels[i]:
-                node = node[0].setdefault(x, [{}, -1])
-            node[1] = i
+                node = node[0].setdefault(x, [{}, -1, -1])
+            node[1:] = i, self.table.place[i]
         return root
 
     def encode_word(self, word: bytes) -> list[int]:
@@ -108,37 +171,28 @@ class MergeAutomaton:
         only = self.whole.get(word)
         if only is not None:
             return [only]  # every label leaves the first state
-        n, target, has_arc, trie, labels = len(word), self.target, self.has_arc, self.trie, self.labels
-        dead: set[int] = set()  # ends of paths that no arc carries on to the end of the word
-        path: list[int] = []
-        left: list[list[int]] = []  # for each arc of the path, the shorter arcs not yet tried
-        p, state, options = 0, 0, None
-        while p < n:
-            if options is None:
-                options, node, e = [], trie, p
-                while e < n:
-                    node = node[0].get(word[e])
-                    if node is None:
-                        break
-                    e += 1
-                    if node[1] >= 0:
-                        options.append(node[1])
-            while options:
-                label = options.pop()
-                if (not dead or p + len(labels[label]) not in dead) and has_arc(state, label):
-                    path.append(label)
-                    left.append(options)
-                    p += len(labels[label])
-                    state, options = target[label], None
+        n, trie, missing = len(word), self.trie, self.missing
+        came, state = [-1] * (n + 1), [None] * (n + 1)  # behind each byte: the last label and the bounds of the state
+        state[0] = ()
+        for p in range(n):
+            bounds = state[p]
+            if bounds is None:
+                continue
+            node = trie
+            for e in range(p, n):
+                node = node[0].get(word[e])
+                if node is None:
                     break
-            else:
-                if not path:
-                    return self._with_gaps(word)
-                dead.add(p)
-                p -= len(labels[path.pop()])
-                options = left.pop()
-                state = target[path[-1]] if path else 0
-        return path
+                label = node[1]
+                if label >= 0 and not bisect_right(bounds, node[2]) & 1:
+                    came[e + 1], state[e + 1] = label, missing[label]
+        if came[n] < 0:
+            return self._with_gaps(word)
+        path = []
+        while n:
+            path.append(came[n])
+            n -= len(self.labels[came[n]])
+        return path[::-1]
 
     def _with_gaps(self, word: bytes) -> list[int]:
         out: list[int] = []
@@ -158,10 +212,11 @@ class Encoder:
         self.words: dict[str, tuple[int, ...]] = {}
 
     @classmethod
-    def from_json(cls, text: str) -> Encoder:
+    def from_json(cls, text: str, table: Table | None = None) -> Encoder:
+        """From a tokenizer's JSON; its merges are compiled unless the ``table`` is given."""
         j = json.loads(text)
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in j["model"]["merges"]]
-        return cls(MergeAutomaton(j["model"]["vocab"], merges, {t["content"]: t["id"] for t in j["added_tokens"]}))
+        merges = (tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in j["model"]["merges"])
+        return cls(MergeAutomaton(j["model"]["vocab"], merges, {t["content"]: t["id"] for t in j["added_tokens"]}, table))
 
     def _keep(self, chunk: str, ids: tuple[int, ...]) -> tuple[int, ...]:
         if (size := 200 + len(chunk) + 8 * len(ids)) < 2000:
@@ -222,11 +277,11 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder_of(text: str) -> Encoder:
-    """One encoder for each vocabulary and Python worker; compiled on first use."""
+def encoder_of(text: str, table: Table | None = None) -> Encoder:
+    """One encoder for each vocabulary and Python process."""
     key = hashlib.md5(text.encode()).hexdigest()
     if key not in _ENCODERS:
-        _ENCODERS[key] = Encoder.from_json(text)
+        _ENCODERS[key] = Encoder.from_json(text, table)
         gc.collect()
         gc.freeze()  # the tables stay; the collector need not walk them again
     return _ENCODERS[key]
@@ -234,16 +289,17 @@ def encoder_of(text: str) -> Encoder:
 
 def encode(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", text: str = "text", with_ids: bool = True) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, unless ``with_ids`` is false, ids; one row for each row of
-    ``docs``.  ``vocabulary`` is the path of a tokenizer's JSON on the driver; its contents (a fixed few MB) are
-    broadcast.  One pass over whole texts, no shuffle."""
+    ``docs``.  ``vocabulary`` is the path of a tokenizer's JSON on the driver; its contents and the table compiled from
+    it (a fixed few MB) are broadcast.  One pass over whole texts, no shuffle."""
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
-        shared = spark.sparkContext.broadcast(f.read())
+        body = f.read()
+    shared = spark.sparkContext.broadcast((body, encoder_of(body).automaton.table))
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"`{doc_id}` {kind}, n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder_of(shared.value)
+        e = encoder_of(*shared.value)
         names = {i: str(i) for i in e.automaton.labels}
         for batch in small(batches):
             n, sha, back, all_ids = [], [], [], []

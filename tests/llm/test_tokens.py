@@ -44,6 +44,37 @@ def test_automaton_accepts_the_tokenisation_of_every_short_word(seed):
             assert automaton.encode_word(word.encode()) == [vocab[t] for t in naive(word, merges)]
 
 
+@pytest.mark.parametrize("seed", range(6))
+def test_the_table_holds_the_arcs_of_the_gadgets(seed):
+    """Every cell of the table against the rule of the gadgets, and one state behind each byte."""
+    rng = random.Random(100 + seed)
+    tokens, merges = ["a", "b", "c"], []
+    while len(merges) < 40:
+        a, b = rng.choice(tokens), rng.choice(tokens)
+        if a + b not in tokens and len(a + b) < 12:
+            tokens.append(a + b)
+            merges.append((a, b))
+    vocab = {t: k for k, t in enumerate(tokens)}
+    steps = [(vocab[a], vocab[b], vocab[a + b]) for a, b in merges]
+    gadgets = bpe._Gadgets([0, 1, 2], steps)
+    table = gadgets.table(len(vocab))
+    for label, bounds in enumerate(table.missing()):
+        if label in gadgets.target:
+            for other in gadgets.target:
+                inside = any(a <= table.place[other] < z for a, z in zip(bounds[::2], bounds[1::2], strict=True))
+                assert inside != gadgets.has_arc(gadgets.target[label], other)
+                assert list(bounds) == sorted(bounds)
+    automaton = bpe.MergeAutomaton(vocab, merges)
+    for _ in range(300):
+        word = "".join(rng.choice("abc") for _ in range(rng.randint(8, 30)))
+        assert automaton.encode_word(word.encode()) == [vocab[t] for t in naive(word, merges)]
+
+
+def test_the_table_is_small():
+    table = bpe.encoder_of(open(BYTE, encoding="utf-8").read()).automaton.table
+    assert sum(len(x) * x.itemsize for x in (table.place, table.row, table.bounds, table.first)) < 8e6
+
+
 def odd_texts(n=3000):
     rng = random.Random(4)
     pieces = ["a", "b", "The", " ", "  ", "\n", "\r\n", "\t", "'s", "1", "Ⅷ", "漢", "é", "é", "\x1c", "\x85", "　", "<|endoftext|>", "<|startoftext|>", "ﬁ", "İ", "Σ", "👩‍👧", "___", "http"]
