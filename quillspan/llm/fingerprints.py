@@ -6,8 +6,9 @@ and two sketches estimate resemblance, containment and the number of distinct sh
 (fewer than k) these are exact.
 
 Defined results: a null text counts as empty; two sketches without hashes resemble each other fully, one without and
-one with not at all; repeated rows are sketched each; documents with the same or a null id stand next to each other in
-the order of ids (null last) and then of texts; a table of one document is its own next one.
+one with not at all; repeated rows are sketched each; ids are of any type with an order; documents with the same or a
+null id (null last) stand next to each other in the order of their texts' first characters, then of the texts' hashes;
+a table of one document is its own next one.
 """
 
 from __future__ import annotations
@@ -15,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import durable, words
 
 K = 64
 WIDTH = 5
@@ -77,49 +78,59 @@ def merged(df: DataFrame, key: str, sketch: str = "sketch", k: int = K) -> DataF
     return small.groupBy(key).agg(F.slice(F.sort_array(F.collect_list("h")), 1, k).alias(sketch))
 
 
-def _bucket(value: Column, bounds: list) -> Column:
-    """Number of ``bounds`` (ascending) that are <= value, by binary search."""
-    if not bounds:
-        return F.lit(0)
-    edges, steps = F.array(*[F.lit(b) for b in bounds]), []
-    step = 1 << (len(bounds).bit_length() - 1)
-    while step:
-        steps.append(step)
-        step //= 2
-    further = lambda at, s: (at + s <= len(bounds)) & F.coalesce(F.get(edges, at + s - 1) <= value, F.lit(False))
+_KEY = ("none", "id", "begin", "hash")  # null ids last, ids descending, then the text
+
+
+def _before(a: Column, b: Column) -> Column:
+    """Whether key ``a`` comes before key ``b``."""
+    less = a["hash"] < b["hash"]
+    less = (a["begin"] < b["begin"]) | ((a["begin"] == b["begin"]) & less)
+    less = (a["id"] > b["id"]) | (a["id"].eqNullSafe(b["id"]) & less)
+    return (a["none"] < b["none"]) | ((a["none"] == b["none"]) & F.coalesce(less, F.lit(False)))
+
+
+def _order(key: str = "key") -> list[Column]:
+    return [F.col(f"{key}.none"), F.col(f"{key}.id").desc(), F.col(f"{key}.begin"), F.col(f"{key}.hash")]
+
+
+def _range(key: Column, edges: Column, n: int) -> Column:
+    """Number of the last of the ``n`` sorted edges that doesn't come after ``key``, by binary search."""
+    steps = [1 << k for k in reversed(range(n.bit_length()))]
+    further = lambda at, s: (at + s < n) & F.coalesce(~_before(key, F.get(edges, at + s)), F.lit(False))
     return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), lambda at, s: F.when(further(at, s), at + s).otherwise(at))
 
 
 def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows: int = 512, k: int = K, width: int = WIDTH) -> DataFrame:
     """doc_id, text, sketch, next_text and next_sketch; next in descending order of id, after the last the first.
 
-    Ranges of about ``rows`` ids are dealt out, one shuffle of the texts; the first document of each range also goes,
-    as a ghost, to the end of the range before it, so the next one is always at hand.
+    Ranges of documents are dealt out, one shuffle of the texts; each begins with a document that is known, an edge, and
+    that one also goes, as a ghost, to the end of the range before, so the next one is always at hand.  Ranges have about
+    ``rows`` documents, or follow the number of shuffle partitions where that makes more than 16 for each; their edges
+    are all that the driver gets.
     """
+    spark = docs.sparkSession
     ids = docs.select(F.col(doc_id).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = ids.select(F.count("id")).first()[0]  # null ids follow in the last range
-    ranges = min(n // rows + 1, 20_000)  # their number is bounded, so what the driver and the plan hold is
-    wanted = [j / ranges for j in range(1, ranges)]
-    bounds = sorted(set(ids.select(F.percentile_approx("id", wanted, 10_000 + 10 * ranges)).first()[0])) if wanted else []
-    last = len(bounds)
-    # range 0 has the largest ids; a null id belongs after all others
-    placed = ids.withColumn("range", F.when(F.col("id").isNull(), F.lit(last)).otherwise(F.lit(last) - _bucket(F.col("id"), bounds)))
-    found = {r["range"]: r["head"] for r in placed.groupBy("range").agg(F.max("id").alias("head")).collect()}
-    filled = sorted(found)
-    previous = {r: filled[j - 1] for j, r in enumerate(filled)}  # the first one's is the last
-    kind = docs.schema[doc_id].dataType
-    heads = F.array(*[F.lit(found.get(j)).cast(kind) for j in range(last + 1)])
-    ghosts_to = F.array(*[F.lit(previous.get(j, 0)) for j in range(last + 1)])
+    key = F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.substring("text", 1, 32).alias("begin"), F.xxhash64("text").alias("hash"))
+    ids = ids.withColumn("key", key)
+    keys = durable(ids.select("key"), "keys")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
+    ranges = min(keys.count() // rows + 1, max(parts, min(16 * parts, 20_000)))
+    inner = keys.repartitionByRange(ranges, *_order()).groupBy(F.spark_partition_id()).agg(F.first("key").alias("key")).select("key")
+    found = [r["key"] for r in inner.union(keys.orderBy(*_order()).limit(1)).distinct().orderBy(*_order()).collect()]
+    if not found:
+        found = [{"none": True, "id": None, "begin": "", "hash": 0}]
+    n, kind = len(found), docs.schema[doc_id].dataType
+    edges = F.array(*[F.struct(F.lit(e["none"]).alias("none"), F.lit(e["id"]).cast(kind).alias("id"), F.lit(e["begin"]).alias("begin"), F.lit(e["hash"]).cast("bigint").alias("hash")) for e in found])
+    placed = ids.withColumn("range", _range(F.col("key"), edges, n))
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))
-    ghost = F.struct(F.get(ghosts_to, F.col("range")).alias("range"), F.lit(True).alias("ghost"))
-    is_head = F.col("id").eqNullSafe(F.get(heads, F.col("range")))
+    ghost = F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.lit(True).alias("ghost"))
+    is_head = ~(_before(F.get(edges, F.col("range")), F.col("key")) | _before(F.col("key"), F.get(edges, F.col("range"))))
     dealt = placed.withColumn("place", F.explode(F.when(is_head, F.array(own, ghost)).otherwise(F.array(own))))
-    dealt = dealt.select("id", "text", "place.range", "place.ghost")
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
+    dealt = dealt.select("key", "text", "place.range", "place.ghost")
     dealt = sketches(dealt.repartition(parts, "range"), "text", "sketch", k, width)
-    order = Window.partitionBy("range").orderBy("ghost", F.col("id").desc_nulls_last(), "text")
+    order = Window.partitionBy("range").orderBy("ghost", *_order())
     both = dealt.withColumns({"next_text": F.lead("text").over(order), "next_sketch": F.lead("sketch").over(order)})
-    return both.filter(~F.col("ghost")).drop("ghost", "range").withColumnRenamed("id", doc_id)
+    return both.filter(~F.col("ghost")).select(F.col("key.id").alias(doc_id), "text", "sketch", "next_text", "next_sketch")
 
 
 def fingerprint(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K, width: int = WIDTH) -> DataFrame:

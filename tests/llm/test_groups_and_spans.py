@@ -250,6 +250,54 @@ def test_next_documents_over_many_ranges(spark, size):
     assert sorted((r.doc_id, r.next_text) for r in got) == want
 
 
+def brute_sketch(spark, texts, k=fp.K):
+    """Hexadecimal digits of the least hashes of five-word shingles, text by text; the hash is the engine's, the rest is plain."""
+    grams = []
+    for n, t in enumerate(texts):
+        w = WORD.findall(t)
+        grams += [(n, w[j : j + 5]) for j in range(len(w) - 4)] or ([(n, [" ".join(w)])] if w else [])
+    width = spark.createDataFrame(grams, "n int, g array<string>")
+    h = F.when(F.size("g") == 5, F.xxhash64(*[F.col("g")[j] for j in range(5)])).otherwise(F.xxhash64(F.col("g")[0]))
+    sets = [set() for _ in texts]
+    for r in width.select("n", h.alias("h")).collect():
+        sets[r.n].add(r.h)
+    return [sorted(s)[:k] for s in sets]
+
+
+def brute_likeness(a, b, k=fp.K):
+    both = sorted({*a, *b})[:k]
+    return len([x for x in both if x in set(a) and x in set(b)]) / len(both) if both else 1.0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no tables")
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_fingerprint_query_against_brute_force(spark, kind):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").cast(kind).alias("doc_id"), "text")
+    ordered = sorted(((r.doc_id, r.text or "") for r in docs.collect()), reverse=True)
+    texts = [t for _, t in ordered]
+    after = texts[1:] + texts[:1]
+    edited = [t[: len(t) - len(t) // 2] + n[: len(t) // 2] for t, n in zip(texts, after, strict=True)]
+    own, other = brute_sketch(spark, texts), brute_sketch(spark, edited)
+    said = lambda s: "".join(f"{x & (1 << 64) - 1:016x}" for x in s)
+    got = {r.doc_id: r for r in fp.fingerprint(docs.repartition(3)).collect()}
+    for j, (i, t) in enumerate(ordered):
+        r = got[i]
+        assert (r.n_chars, r.fingerprint, r.edited_fingerprint) == (len(t), said(own[j]), said(other[j]))
+        assert abs(r.near_edited - brute_likeness(own[j], other[j])) < 1e-12 and abs(r.near_next - brute_likeness(own[j], own[(j + 1) % len(own)])) < 1e-12
+
+
+@pytest.mark.parametrize("kind", ["string", "date", "decimal(20,2)"])
+def test_ids_of_any_type_and_many_null_ids(spark, kind):
+    number = F.col("id") % 3000
+    value = F.date_add(F.lit("2000-01-01"), number.cast("int")) if kind == "date" else number.cast(kind)
+    docs = spark.range(3600).select(F.when(F.col("id") < 3000, value).alias("doc_id"), F.concat(F.lit("text "), "id").alias("text")).repartition(5)
+    got = fp.with_next(docs, rows=50).collect()
+    assert len(got) == 3600 and sorted(r.text for r in got) == sorted(r.next_text for r in got)
+    named = sorted((r for r in got if r.doc_id is not None), key=lambda r: r.doc_id, reverse=True)
+    assert all(a.next_text == b.text for a, b in zip(named, named[1:], strict=False))
+    assert sum(r.doc_id is None for r in got) == 600 and len({r.next_text for r in got}) == 3600
+
+
 def test_sketches_merge_and_estimate(spark):
     rng = random.Random(6)
     a, b = ([f"w{rng.randrange(4000)}" for _ in range(3000)] for _ in range(2))
