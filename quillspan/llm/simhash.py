@@ -17,8 +17,9 @@ only if the sets of the two whole texts have that index.  Two sets with an index
 1 - (1 - 0.8^4)^16 = 0.9998.
 
 A shard of more than ``most`` values is cut: first at random, in another way each turn, until a turn joins no
-components any more; if components are still apart then, all pairs of its parts are searched.  So no link is lost, and
-a group of copies, which is one component after a turn or two, is never searched in one task.
+components any more or the parts are few (PIECES); if components are still apart then, all pairs of its parts are
+searched.  So no link is lost, and a group of copies, which is one component after a turn or two, is never searched in
+one task.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
 a null id takes no part in the smallest id (a component of null ids has a null id); repeated rows are returned each by
@@ -42,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import durable, small
 
 SHINGLE, RADIUS = 4, 4
-LEAF, SHARD, MOST = 8, 128, 16_384
+LEAF, SHARD, MOST, PIECES = 8, 128, 512, 8
 BANDS, ROWS, FIRST = 16, 4, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -341,7 +342,7 @@ def _crowded(keyed: DataFrame) -> DataFrame:
 
 
 def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFrame], DataFrame], most: int = MOST) -> DataFrame:
-    """Links (a, b) of the shards of ``keyed`` (choice, key, node, …), besides those ``known``, by ``search`` over rows of
+    """Links (a, b) of the shards of ``keyed`` (choice, key, node), besides those ``known``, by ``search`` over rows of
     shards and their cuts; see above for shards of more than ``most``."""
     found, last = known, False
     for turn in itertools.count():
@@ -350,21 +351,20 @@ def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFra
         largest = shards.agg(F.max("size")).first()[0] or 0
         cuts = F.ceil(F.col("size") / most)
         place = F.pmod(F.xxhash64("node", F.lit(0 if last else turn)), cuts)
-        one = F.array(place)
         pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), cuts - 1), lambda j: F.least(j, place) * cuts + F.greatest(j, place))
-        links = durable(search(own.join(shards, ["choice", "key"]).withColumn("cut", F.explode(pairs if last else one))), "links")
+        links = durable(search(own.join(shards, ["choice", "key"]).withColumn("cut", F.explode(pairs if last else F.array(place)))), "links")
         found = links if found is None else found.unionByName(links)
         if largest <= most or last:
             return found
-        last = links.isEmpty()
+        last = largest <= PIECES * most or links.isEmpty()
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = MOST) -> DataFrame:
     """a and b: links among the distinct 64-bit fingerprints f0, enough to connect whatever is connected."""
     masks = choices_for(distinct.count() if n is None else n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select("f0", F.col("f0").alias("node"), F.posexplode(F.array(*[F.col("f0").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
-    return _joined(keyed, None, lambda rows: _searched(rows, ["f0"], radius, None), most)
+    keyed = distinct.select(F.col("f0").alias("node"), F.posexplode(F.array(*[F.col("f0").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
+    return _joined(keyed, None, lambda rows: _searched(rows.withColumn("f0", F.col("node")), ["f0"], radius, None), most)
 
 
 def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, most: int = MOST) -> DataFrame:
@@ -377,9 +377,11 @@ def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, most: i
     names = [f"f{w}" for w in range(n_words)]
     total, apart = 64 * n_words, math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(total * apart + 4.4 * math.sqrt(total * apart * (1 - apart)))
-    keyed = distinct.select("node", "n", *names, F.posexplode("bands").alias("choice", "key"))
-    shared = _crowded(keyed.withColumn("part", F.col("node")))
-    sets = durable(sets_of(keyed.join(shared, ["choice", "key"], "left_semi").select("node").distinct()), "sets")
+    keyed = distinct.select("node", F.posexplode("bands").alias("choice", "key"))
+    shared = _crowded(keyed.withColumn("part", F.col("node"))).drop("size")
+    keyed = durable(keyed.join(shared, ["choice", "key"]), "keyed")  # most texts are like no other and are out of it here
+    nodes = durable(keyed.select("node").distinct(), "nodes")
+    sets = durable(sets_of(nodes).join(distinct.drop("bands"), "node"), "sets")
     search = lambda rows: _searched(rows.join(sets, "node"), names, radius, similarity)
     first = _joined(keyed.filter(F.col("choice") < FIRST), None, search, most)
     return _joined(keyed.filter(F.col("choice") >= FIRST), first, search, most)
