@@ -192,12 +192,12 @@ def train_dictionary(samples: list[bytes], size: int) -> bytes:
 
 def write(
     docs: DataFrame, vocabulary: str, path: str, end_id: int = 2, doc_id: str = "doc_id", text: str = "text",
-    shard_bytes: int = 4 << 20, sample_rows: int = 2000, dictionary_bytes: int = 64 << 10, partitions: int | None = None,
+    shard_bytes: int = 4 << 20, sample_rows: int = 1000, dictionary_bytes: int = 64 << 10, partitions: int | None = None,
 ) -> None:
     """Write the shards of ``docs`` and their dictionary below ``path``.
 
-    The dictionary is trained on the ids of about ``sample_rows`` documents at most (those with the smallest hashes;
-    4,000 ids of each).  Every document is encoded and written; texts are not shuffled, their compressed ids are once.
+    The dictionary is trained on the whole id arrays of about ``sample_rows`` documents, those with the smallest hashes of
+    their texts (a bound of the model; equal texts count once).  Every document is encoded and written; texts are not shuffled, their compressed ids are once.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
@@ -214,14 +214,14 @@ def write(
 
     total = rows.count()
     share = min(1.0, sample_rows / max(total, 1))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("id"), F.lit("dictionary")), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select(F.substring("text", 1, 16_000).alias("text"))
+    picked = rows.filter(F.pmod(F.xxhash64(F.col("text"), F.lit("dictionary")), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select("text")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = chunk_encoder(shared.value, dtype)
         for batch in small(batches):
-            yield pa.RecordBatch.from_arrays([pa.array([e.encode(t.as_py())[: 4000 * width] + end for t in batch.column(0)], pa.binary())], ["ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([e.encode(t.as_py()) + end for t in batch.column(0)], pa.binary())], ["ids"])
 
-    dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").limit(2 * sample_rows).collect()], dictionary_bytes)
+    dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").distinct().limit(2 * sample_rows).collect()], dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
     trained = spark.sparkContext.broadcast(dictionary)
 
@@ -286,6 +286,24 @@ def digests(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame
     return _read(spark, path, doc_id, "ids_crc32 bigint", lambda ids: pa.array([zlib.crc32(x.tobytes()) for x in ids], pa.int64()))
 
 
+def lookup(spark: SparkSession, path: str, wanted: list, doc_id: str = "doc_id") -> DataFrame:
+    """doc_id and ids (array<int>) of the documents whose id is ``wanted``: of shards without one the id lists alone are
+    read, of the others the frames of those documents."""
+    dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
+    shards = spark.read.parquet(f"{path}/shards").select("doc_ids", "shard")
+    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+    mine = F.filter(F.transform("doc_ids", lambda x, i: F.struct(x.alias("id"), i.alias("at"))), lambda x: x["id"].isin(wanted))
+    rows = shards.select(mine.alias("mine"), "shard").filter(F.size("mine") > 0).select(F.col("mine.id").alias("ids"), F.col("mine.at").alias("at"), "shard")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for ids, at, data in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                s = Shard(data.as_py(), dictionary.value)
+                yield pa.RecordBatch.from_arrays([ids.values, pa.array([s.ids(k).astype("i4") for k in at], pa.list_(pa.int32()))], [doc_id, "ids"])
+
+    return rows.mapInArrow(run, f"`{doc_id}` {kind}, ids array<int>")
+
+
 def _read(spark: SparkSession, path: str, doc_id: str, column: str, of) -> DataFrame:
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
     shards = spark.read.parquet(f"{path}/shards")

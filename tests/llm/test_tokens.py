@@ -125,6 +125,8 @@ def test_files_round_trip(spark):
     assert [r.start for r in by_start] == [0, *itertools.accumulate(r.n_tokens for r in by_start)][:-1]
     assert [r.doc_id for r in by_start] == [r[0] for r in ordered]
     assert sorted(map(str, (r.ids for r in tf.read(spark, path).collect()))) == sorted(map(str, ids))
+    some = tf.lookup(spark, path, [9, 12, 99]).collect()
+    assert sorted((r.doc_id, r.ids) for r in some) == sorted((o[0], x) for o, x in zip(ordered, ids, strict=True) if o[0] in (9, 12))
     tf.write(empty(spark), WORDS, path := fresh_path(spark, "tokens"))
     assert tf.digests(spark, path).count() == 0
 
