@@ -111,7 +111,7 @@ def vectors(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Data
 
 
 def fit(labelled: DataFrame, **shrinkage) -> Discriminant | None:
-    """``labelled``: x and label.  Adds up moments within tasks, then over tasks."""
+    """``labelled``: x, label and weight (how many labels a row stands for).  Adds up moments within tasks, then over tasks."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d = N_FEATURES
@@ -119,13 +119,13 @@ def fit(labelled: DataFrame, **shrinkage) -> Discriminant | None:
         for batch in batches:
             if batch.num_rows:
                 x = batch.column(0).flatten().to_numpy().reshape(-1, d)
-                y = batch.column(1).to_numpy()
+                y, w = batch.column(1).to_numpy(), batch.column(2).to_numpy().astype(float)
                 for c in (0, 1):
-                    z = x[y == c]
-                    sums[c] += np.concatenate([[len(z)], z.sum(0), (z.T @ z).ravel()])
+                    z, own = x[y == c], w[y == c, None]
+                    sums[c] += np.concatenate([[own.sum()], (z * own).sum(0), (z.T @ (z * own)).ravel()])
         yield pa.RecordBatch.from_arrays([pa.array([0, 1], pa.int32()), pa.array(list(sums), pa.list_(pa.float64()))], ["label", "sums"])
 
-    parts = labelled.select("x", F.col("label").cast("int").alias("label")).mapInArrow(moments, "label int, sums array<double>")
+    parts = labelled.select("x", F.col("label").cast("int").alias("label"), "weight").mapInArrow(moments, "label int, sums array<double>")
     # element by element, so that tasks' sums meet in many small groups and one row for each comes back
     rows = parts.select("label", F.posexplode("sums")).groupBy("label", "pos").agg(F.sum("col").alias("v")).collect()
     sums = np.zeros((2, 1 + N_FEATURES + N_FEATURES**2))
@@ -143,7 +143,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column | None = None,
     held = held_out if held_out is not None else F.lit(False)
     x = durable(vectors(docs, doc_id, text), "vectors")
     known = labels.select(F.col(doc_id).alias(doc_id), F.col(label).alias("label")).filter(F.col("label").isin(0, 1)).filter(~held)
-    model = fit(x.join(known, doc_id).select("x", "label"))
+    known = known.groupBy(doc_id, "label").agg(F.count(F.lit(1)).alias("weight"))  # many labels of an id are two rows at most
+    model = fit(x.join(known, doc_id).select("x", "label", "weight"))
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)
     kind = docs.schema[doc_id].dataType.simpleString()

@@ -82,6 +82,33 @@ def test_discriminant_against_plain_formulas():
     assert qc.discriminant(np.array([1.0, 0.0]), np.zeros((2, 4)), np.zeros((2, 4, 4))) is None
 
 
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="no tables")
+def test_quality_query_against_brute_force(spark):
+    """All scores of the query, from moments and densities by plain formulas over the labels that may be learned."""
+    from zlib import crc32
+
+    docs, labels = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "labels"))
+    labels = labels.select("doc_id", "quality").unionByName(labels.select("doc_id", "quality").limit(20))
+    x = {r.doc_id: qc.features(r.text) for r in docs.collect()}
+    known = [(x[r.doc_id], r.quality) for r in labels.collect() if r.doc_id in x and r.quality in (0, 1) and crc32(str(r.doc_id).encode()) % 3 != 1]
+    rows_ = {c: np.array([v for v, y in known if y == c]) for c in (0, 1)}
+    n = {c: len(rows_[c]) for c in (0, 1)}
+    cov = {c: np.cov(rows_[c].T, bias=True) for c in (0, 1)}
+    pooled, d = sum(n[c] * cov[c] for c in (0, 1)) / sum(n.values()), qc.N_FEATURES
+
+    def density(v, c):
+        s = 0.8 * cov[c] + 0.2 * pooled
+        s = 0.98 * s + (0.02 * np.trace(s) / d + 1e-6) * np.eye(d)
+        z = v - rows_[c].mean(0)
+        return math.log(n[c] / sum(n.values())) - 0.5 * np.linalg.slogdet(s)[1] - 0.5 * z @ np.linalg.solve(s, z)
+
+    got = qc.classify(docs, labels, qc.held_out()).collect()
+    assert len(got) == len(x)
+    for r in got:
+        want = 1 / (1 + math.exp(-max(min((density(x[r.doc_id], 1) - density(x[r.doc_id], 0)) / d, 500), -500)))
+        assert abs(r.score - want) < 1e-6 and r.predicted == (r.score >= 0.5) and r.held_out == (crc32(str(r.doc_id).encode()) % 3 == 1)
+
+
 def test_features_are_finite():
     assert all(np.isfinite(qc.features(r[1])).all() for r in rows()) and len(qc.features("a")) == qc.N_FEATURES
 
