@@ -62,4 +62,23 @@ def meets(overall: Column, threshold: float | None) -> Column:
 
 
 def shown(x: Column, digits: int = 1) -> Column:
-    return F.format_string(f"%.{digits}f", x.cast("double"))
+    """``x`` with ``digits`` decimals, rounded by its exact binary value, halves up (away from zero): 1.005 gives 1.00.
+
+    Twice the number of units is split into a double and its exact error, so no rounding comes before the last one.
+    Numbers of 2^52 units and more have no fraction to round; null gives null.
+    """
+    x = x.cast("double")
+    y, unit = F.abs(x), 2.0 * 10**digits
+    wide = y * F.lit(134217729.0)
+    high = wide - (wide - y)
+    near = y * F.lit(unit)
+    error = (high * F.lit(unit) - near) + (y - high) * F.lit(unit)
+    whole = F.floor(near).cast("bigint")
+    rest = (near - whole.cast("double")) + error
+    n = F.when(whole % 2 == 0, whole).when(rest < 0, whole - 1).otherwise(whole + 1)
+    n = F.shiftright(n, 1)
+    right = n % 10**digits
+    left = F.call_function("div", n - right, F.lit(10**digits))
+    text = F.concat(left.cast("string"), F.lit("." if digits else ""), F.lpad(right.cast("string"), digits, "0") if digits else F.lit(""))
+    small = F.concat(F.when(x < 0, "-").otherwise(""), text)
+    return F.when(near < F.lit(2.0**52), small).otherwise(F.format_string(f"%.{digits}f", x))

@@ -1,17 +1,18 @@
 """Graph operators over an edge table (src, dst).
 
-Searches go level by level: one join, one distinct and one anti-join a round, each round written to the shared folder.
-Where a depth-first search's result depends on its order, the set of what a breadth-first search finds at the least
+Searches go level by level; HOPS levels are one job, whose result is written to the shared folder.  Where a depth-first search's result depends on its order, the set of what a breadth-first search finds at the least
 depth is taken; it holds at least as much.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..storage import durable
 
+HOPS = 4
+
 
 def reverse(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
@@ -27,23 +28,48 @@ def dependents(edges: DataFrame, node, own: bool = True) -> DataFrame:
     return (found if own else found.filter(F.col("src") != F.lit(node))).select(F.col("src").alias("node")).distinct()
 
 
-def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
-    """node and depth of everything reached from ``seeds`` (node), seeds at 0."""
-    out = durable(edges.select("src", F.col("dst").alias("next")).distinct(), "edges")
-    seen = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "seen")
-    frontier, depth = seen, 0
+def _counted(df: DataFrame, tag: str, **what) -> tuple[DataFrame, dict]:
+    """``df`` written, and aggregates of it that the same job has summed up."""
+    seen = Observation()
+    return durable(df.observe(seen, *[c.alias(k) for k, c in what.items()]), tag), seen.get
+
+
+def _search(start: DataFrame, out: DataFrame, key: list[str], max_depth: int | None) -> DataFrame:
+    """``key``, node and the least depth of what is reached from ``start`` (key, node, depth) along ``out`` (src, next)."""
+    seen = frontier = start
+    depth = start.agg(F.min("depth")).first()[0] or 0
+    rounds = 0
     while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(out, frontier["node"] == out["src"]).select(F.col("next").alias("node")).distinct()
-        frontier = durable(step.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth)), "frontier")
-        if frontier.isEmpty():
+        hops = HOPS if max_depth is None else min(HOPS, max_depth - depth)
+        step = frontier
+        for d in range(depth, depth + hops):
+            met = step.join(out, (step["node"] == out["src"]) & (step["depth"] == d), "left")
+            here, there = F.struct("node", "depth"), F.struct(F.col("next").alias("node"), F.lit(d + 1).alias("depth"))
+            step = met.select(*key, F.explode(F.when(F.col("next").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x"))
+            step = step.groupBy(*key, F.col("x.node").alias("node")).agg(F.min("x.depth").alias("depth"))
+        fresh = step.filter(F.col("depth") > depth).join(seen.select(*key, "node"), [*key, "node"], "left_anti")
+        depth += hops
+        fresh, found = _counted(fresh, "frontier", n=F.count_if(F.col("depth") == depth), every=F.count(F.lit(1)))
+        if found["every"]:
+            seen = seen.unionByName(fresh)
+        if not found["n"]:
             break
-        seen = seen.unionByName(frontier)
-        if depth % 8 == 0:
+        frontier, rounds = fresh.filter(F.col("depth") == depth), rounds + 1
+        if rounds % 6 == 0:
             seen = durable(seen, "seen")
     return seen
 
 
+def _plain(edges: DataFrame) -> DataFrame:
+    return durable(edges.select("src", F.col("dst").alias("next")).distinct(), "edges")
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """node and depth of everything reached from ``seeds`` (node), seeds at 0."""
+    start = durable(seeds.select("node").distinct().withColumn("depth", F.lit(0)), "seen")
+    return _search(start, _plain(edges), [], max_depth).select("node", "depth")
+
+
 def transitive_dependents(edges: DataFrame, node) -> DataFrame:
     """node and depth of dependents at one or more removes; neither ``node`` nor its direct dependents."""
     seeds = edges.sparkSession.createDataFrame([(node,)], edges.select(F.col("src").alias("node")).schema)
@@ -52,23 +78,71 @@ def transitive_dependents(edges: DataFrame, node) -> DataFrame:
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distinct pairs (a, b) with a path of one edge or more; its size may be the square of the nodes', see max_depth."""
-    base = durable(edges.select("src", F.col("dst").alias("next")).distinct(), "edges")
-    seen = durable(base.select(F.col("src").alias("a"), F.col("next").alias("b")), "pairs")
-    frontier, depth = seen, 1
-    while max_depth is None or depth < max_depth:
-        depth += 1
-        step = frontier.join(base, frontier["b"] == base["src"]).select("a", F.col("next").alias("b")).distinct()
-        frontier = durable(step.join(seen, ["a", "b"], "left_anti"), "pairs")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if depth % 8 == 0:
-            seen = durable(seen, "pairs")
-    return seen
+    out = _plain(edges)
+    start = durable(out.select(F.col("src").alias("a"), F.col("next").alias("node"), F.lit(1).alias("depth")), "pairs")
+    return _search(start, out, ["a"], max_depth).select("a", F.col("node").alias("b"))
+
+
+def _trimmed(edges: DataFrame) -> DataFrame:
+    """Without edges that lie on no cycle because nothing leads to their start or leaves their end, again and again."""
+    before = None
+    while True:
+        for _ in range(2):
+            edges = edges.join(edges.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+            edges = edges.join(edges.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        edges, now = _counted(edges, "trimmed", n=F.count(F.lit(1)))
+        if now["n"] in (before, 0):
+            return edges
+        before = now["n"]
+
+
+def strong(edges: DataFrame) -> DataFrame:
+    """node and root of the strongly connected components of two nodes or more; a root is one of its component's nodes.
+
+    What no cycle can hold is trimmed.  Then each node takes the least label that reaches it; the nodes from which such
+    a label's own node is reached again, within the label, are its component.  These go, and the rest has its turn.
+    """
+    left, found = edges.filter("src != dst").select("src", "dst").distinct(), None
+    while True:
+        left = _trimmed(left)
+        labels = durable(left.select(F.col("src").alias("node")).distinct().withColumn("label", F.col("node")), "labels")
+        out = left.select(F.col("src").alias("node"), F.col("dst").alias("next"))
+        changed = None
+        while changed != 0:
+            new = labels
+            for _ in range(HOPS):
+                told = new.join(out, "node").select(F.explode(F.array(F.struct("node", "label"), F.struct(F.col("next").alias("node"), "label"))).alias("x"))
+                new = told.groupBy(F.col("x.node").alias("node")).agg(F.min("x.label").alias("label"))
+            new = new.join(labels.select("node", F.col("label").alias("old")), "node")
+            new, seen = _counted(new, "labels", n=F.count_if(F.col("label") != F.col("old")))
+            labels, changed = new.select("node", "label"), seen["n"]
+        inside = left.join(labels.select(F.col("node").alias("src"), F.col("label").alias("x")), "src").join(labels.select(F.col("node").alias("dst"), F.col("label").alias("y")), "dst").filter("x = y")
+        back = reachable(reverse(inside.select("src", "dst")), labels.filter("node = label")).select("node").join(labels, "node")
+        back = durable(back, "component")
+        if back.isEmpty():
+            return found if found is not None else back.select("node", F.col("label").alias("root"))
+        several = back.groupBy("label").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("label")
+        own = back.join(several, "label", "left_semi").select("node", F.col("label").alias("root"))
+        found = own if found is None else found.unionByName(own)
+        left = without(left, back.select("node"))
 
 
 def cycle_members(edges: DataFrame) -> DataFrame:
-    return closure(edges).filter("a = b").select(F.col("a").alias("node"))
+    """The nodes on a cycle: those of the strongly connected components, and those with an edge to themselves."""
+    return strong(edges).select("node").union(edges.filter("src = dst").select("src")).distinct()
+
+
+def counts_before(edges: DataFrame) -> DataFrame:
+    """node and n: how many other nodes have a path to it; components count as one node in the search."""
+    root = durable(strong(edges), "strong")
+    out = edges.select("src", "dst").distinct().join(root.select(F.col("node").alias("src"), F.col("root").alias("x")), "src", "left")
+    out = out.join(root.select(F.col("node").alias("dst"), F.col("root").alias("y")), "dst", "left").select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
+    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = durable(nodes, "nodes")
+    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
+    above = closure(out.filter("src != dst")).join(sizes.withColumnRenamed("root", "a"), "a").groupBy(F.col("b").alias("root")).agg(F.sum("size").alias("above"))
+    every = nodes.join(sizes, "root").join(above, "root", "left")
+    return every.select("node", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("n"))
 
 
 def chains(edges: DataFrame, start, max_depth: int = 3) -> DataFrame:
@@ -92,10 +166,11 @@ def chains(edges: DataFrame, start, max_depth: int = 3) -> DataFrame:
     return found.select("path", "depth").dropDuplicates(["path"])
 
 
-def cycles(edges: DataFrame, start, max_length: int = 10) -> DataFrame:
-    """files (closed: first = last) and severity of the simple cycles reached from ``start``, up to ``max_length`` nodes.
+def cycles(edges: DataFrame, start, max_length: int | None = None) -> DataFrame:
+    """files (closed: first = last) and severity of the simple cycles reached from ``start``, up to ``max_length`` nodes
+    (None: all; their number can grow exponentially with the nodes of a component).
 
-    A cycle starts at its least node, so each is listed once; severity is high from four entries on.
+    A cycle starts at its least node, so each is listed once; severity is high for more than three nodes.
     """
     key = edges.select(F.col("src").alias("node")).schema
     near = reachable(edges, edges.sparkSession.createDataFrame([(start,)], key)).select("node")
@@ -103,16 +178,18 @@ def cycles(edges: DataFrame, start, max_length: int = 10) -> DataFrame:
     on_cycle = durable(cycle_members(inside.select("src", F.col("next").alias("dst"))), "members")
     base = durable(inside.join(on_cycle, inside["src"] == on_cycle["node"], "left_semi"), "edges")
     paths = base.filter("next >= src").select(F.array("src", "next").alias("path"))
-    found = paths.filter("path[0] = path[1]")
+    found, length = paths.filter("path[0] = path[1]"), 1
     paths = paths.filter("path[0] < path[1]")
-    for _ in range(max_length - 1):
+    while max_length is None or length < max_length:
+        length += 1
         step = paths.join(base, F.element_at("path", -1) == base["src"]).filter((F.col("next") == F.col("path")[0]) | ((F.col("next") > F.col("path")[0]) & ~F.array_contains("path", F.col("next"))))
-        step = durable(step.select(F.concat("path", F.array("next")).alias("path")), "paths")
-        found = found.unionByName(step.filter("element_at(path, -1) = path[0]"))
-        paths = step.filter("element_at(path, -1) != path[0]")
-        if paths.isEmpty():
+        open_ = F.element_at("path", -1) != F.col("path")[0]
+        step, seen = _counted(step.select(F.concat("path", F.array("next")).alias("path")), "paths", n=F.count_if(open_))
+        found = found.unionByName(step.filter(~open_))
+        if not seen["n"]:
             break
-    return found.select(F.col("path").alias("files"), F.when(F.size("path") > 3, "high").otherwise("medium").alias("severity"))
+        paths = step.filter(open_)
+    return found.select(F.col("path").alias("files"), F.when(F.size("path") > 4, "high").otherwise("medium").alias("severity"))
 
 
 def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
