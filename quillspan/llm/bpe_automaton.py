@@ -12,12 +12,12 @@ stretch of numbers.  So the labels without an arc from a state are a few stretch
 the table holds their bounds, sorted, for each state that a label leads to (for 50,000 merges some 15,000 states and a
 few MB in place of 2.5e9 cells).  It is compiled once, on the driver, and sent to the workers as arrays.
 
-A word is encoded in one pass without going back: the automaton is deterministic and accepts one path for each string,
-so behind each byte there is one state; from it the labels that the next bytes spell are looked up in the table.
-Decoding emits the labels of the arcs.
+The automaton is deterministic and accepts one path for each string.  To encode a word, the labels that its next bytes
+spell are looked up in the table, the longest first; an end that no arc carries on is left and never entered again, so
+each end is visited once.  Decoding emits the labels of the arcs.
 
 Defined results: a null text counts as empty and has no tokens; special tokens in a text are found first, as the public
-library does; repeated rows give repeated results; other columns are ignored; a word of any length is run in one pass.
+library does; repeated rows give repeated results; other columns are ignored; a word of any length is run as a whole.
 """
 
 from __future__ import annotations
@@ -171,28 +171,35 @@ class MergeAutomaton:
         only = self.whole.get(word)
         if only is not None:
             return [only]  # every label leaves the first state
-        n, trie, missing = len(word), self.trie, self.missing
-        came, state = [-1] * (n + 1), [None] * (n + 1)  # behind each byte: the last label and the bounds of the state
-        state[0] = ()
-        for p in range(n):
-            bounds = state[p]
-            if bounds is None:
-                continue
-            node = trie
-            for e in range(p, n):
-                node = node[0].get(word[e])
-                if node is None:
+        n, trie, missing, labels = len(word), self.trie, self.missing, self.labels
+        dead: set[int] = set()  # ends of paths that no arc carries on to the end of the word
+        path: list[int] = []
+        left: list[list] = []  # for each arc of the path, the shorter arcs not yet tried
+        p, bounds, options = 0, (), None
+        while p < n:
+            if options is None:
+                options, node = [], trie
+                for e in range(p, n):
+                    node = node[0].get(word[e])
+                    if node is None:
+                        break
+                    if node[1] >= 0:
+                        options.append((e + 1, node))
+            while options:
+                e, node = options.pop()
+                if not bisect_right(bounds, node[2]) & 1 and e not in dead:
+                    path.append(node[1])
+                    left.append(options)
+                    p, bounds, options = e, missing[node[1]], None
                     break
-                label = node[1]
-                if label >= 0 and not bisect_right(bounds, node[2]) & 1:
-                    came[e + 1], state[e + 1] = label, missing[label]
-        if came[n] < 0:
-            return self._with_gaps(word)
-        path = []
-        while n:
-            path.append(came[n])
-            n -= len(self.labels[came[n]])
-        return path[::-1]
+            else:
+                if not path:
+                    return self._with_gaps(word)
+                dead.add(p)
+                p -= len(labels[path.pop()])
+                options = left.pop()
+                bounds = missing[path[-1]] if path else ()
+        return path
 
     def _with_gaps(self, word: bytes) -> list[int]:
         out: list[int] = []
@@ -207,7 +214,7 @@ class MergeAutomaton:
 class Encoder:
     """Encodes texts; the results of words are kept for reuse, up to a number of bytes."""
 
-    def __init__(self, automaton: MergeAutomaton, room: int = 120_000_000):
+    def __init__(self, automaton: MergeAutomaton, room: int = 240_000_000):
         self.automaton, self.room, self.used = automaton, room, 0
         self.words: dict[str, tuple[int, ...]] = {}
 
