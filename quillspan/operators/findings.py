@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
+from ..storage import durable
 from .ranking import numbered
 from .scripts import parsed
 
@@ -93,7 +94,7 @@ def dead_code(files: DataFrame, reached: DataFrame, entries: DataFrame, mode: st
     ``reached`` and ``entries`` have a column node; ids follow severity, path and line.  reference: any identifier of a reached file counts as a use of
     all exports of that name; corrected: only imports of other files do.
     """
-    every = parsed(files, ("exports", "imported", "identifiers"), mode)
+    every = durable(parsed(files, ("exports", "imported", "identifiers"), mode), "parsed")  # read on several branches
     exports = every.select("path", F.explode("exports").alias("e")).select("path", "e.*")
     near = every.join(reached.select(F.col("node").alias("path")), "path", "left_semi")
     named = near.select("path", F.explode("imported").alias("i")).select("path", "i.*")
@@ -146,7 +147,7 @@ def reference_counts(files: DataFrame, name: str, path: str | None = None) -> Da
 
 def unused_by_reference(files: DataFrame, path: str) -> DataFrame:
     """kind and name: imports of ``path`` referred to at most once there, exports referred to nowhere else."""
-    rows = parsed(files, ("exports", "imported", "identifiers"))
+    rows = durable(parsed(files, ("exports", "imported", "identifiers")), "parsed")
     own = rows.filter(F.col("path") == path)
     spelled = own.select(F.explode("identifiers.name").alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n"))
     idle = own.select(F.explode("imported.name").alias("name")).distinct().join(spelled, "name", "left").filter("coalesce(n, 0) <= 1")

@@ -15,6 +15,7 @@ def numbered(df: DataFrame, keys: list[Column], name: str) -> DataFrame:
     which there is one each partition.  Rows equal in all keys are numbered in any order.
     """
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    df = durable(df, "unordered")  # the range partitioner reads its input twice
     rows = durable(df.repartitionByRange(parts, *keys).withColumn("__part", F.spark_partition_id()), "ranges")
     before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     counts = rows.groupBy(F.col("__part").alias("__p")).agg(F.count(F.lit(1)).alias("__n"))

@@ -341,11 +341,11 @@ _IMPORT = re.compile(r"import\s+(?:type\s+)?([^;'\"]*?)\s*from\s*['\"]")
 
 
 def imported(code: str) -> list[dict]:
-    """name, kind (named, default, namespace), line, end_line and start of each imported name."""
+    """name, kind (named, default, namespace), line, end_line and source (the specifier) of each imported name."""
     clean, _ = blanked(code)
     out = []
     for m in _IMPORT.finditer(clean):
-        where = {"line": _line(code, m.start()), "end_line": _line(code, m.end())}
+        where = {"line": _line(code, m.start()), "end_line": _line(code, m.end()), "source": code[m.end() : code.find(code[m.end() - 1], m.end())]}
         body = m[1]
         for list_ in re.finditer(r"\{([^}]*)\}", body):
             for part in list_[1].split(","):
@@ -377,7 +377,7 @@ _SYMBOL = "array<struct<name:string,type:string,start_line:int,end_line:int,star
 SCHEMAS = {
     "symbols": _SYMBOL,
     "exports": "array<struct<name:string,line:int>>",
-    "imported": "array<struct<name:string,kind:string,line:int,end_line:int>>",
+    "imported": "array<struct<name:string,kind:string,line:int,end_line:int,source:string>>",
     "identifiers": "array<struct<name:string,line:int>>",
 }
 

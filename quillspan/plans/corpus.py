@@ -29,11 +29,15 @@ class Corpus:
     def imports(self) -> DataFrame:
         return sym.imports(self.files)
 
+    def resolved(self, rule: str = "graph") -> DataFrame:
+        """src, ord, source and dst of the imports that resolve, by the rule of a tool."""
+        listing = resolve.with_folders(self.files) if rule in ("trace", "dead_code") else self.files
+        return resolve.resolve(self.imports, listing, rule, self.mode)
+
     def edges(self, rule: str = "graph") -> DataFrame:
         """src and dst of imports between files, by the rule of a tool."""
         if rule not in self._edges:
-            listing = resolve.with_folders(self.files) if rule in ("trace", "dead_code") else self.files
-            found = resolve.edges(resolve.resolve(self.imports, listing, rule, self.mode))
+            found = resolve.edges(self.resolved(rule))
             self._edges[rule] = found.join(self.files.select(F.col("path").alias("dst")), "dst", "left_semi").select("src", "dst")
         return self._edges[rule]
 

@@ -16,10 +16,10 @@ from ..functions import text as fx
 from ..operators import coverage as cov
 from ..operators import diffs, findings, graph, resolve
 from ..operators import symbols as sym
-from ..operators.scripts import BUILT_IN
+from ..operators.scripts import BUILT_IN, KEYWORDS
 from ..sources import corpus as source
 from ..sources import reports
-from ..storage import durable
+from ..storage import durable, fresh_path
 from . import samples, tools
 from .corpus import Corpus
 
@@ -67,6 +67,64 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.withColumns({"complexity": fx.file_complexity(F.col("text")), "n_lines": fx.n_lines(F.col("text"))})
 
 
+def _resolve_sql(rule: str, corrected: bool = False) -> str:
+    """Over paths written out, as SQL has no path functions: candidates of each import of the sample."""
+    endings, _ = resolve.RULES[rule]
+    rows = []
+    for src, ord_, spec, base in _sample_imports():
+        tried = [base + e for e in endings] + ([base[: -len(".js")] + ".ts"] if corrected and base.endswith(".js") else [base] if corrected else [])
+        rows += [(src, ord_, spec, k, t) for k, t in enumerate(tried)]
+    folders = sorted({p[:k] for p, _ in samples.FILES for k in range(1, len(p)) if p[k] == "/"}) if rule in ("trace", "dead_code") else []
+    listing = samples.values([p for p, _ in samples.FILES] + folders, "path")
+    return f"SELECT src, ord, source, arg_min(dst, rank) AS dst FROM {samples.values(rows, 'src, ord, source, rank, dst')} c JOIN {listing} f ON c.dst = f.path GROUP BY src, ord, source"
+
+
+def _sample_imports() -> list[tuple[str, int, str, str]]:
+    import posixpath
+    import re
+
+    out = []
+    for path, content in samples.FILES:
+        if path.endswith((".ts", ".tsx", ".js")):
+            for k, spec in enumerate(re.findall(r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", content)):
+                if spec.startswith("."):
+                    out.append((path, k, spec, posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))))
+    return out
+
+
+# The sample's code in SQL: its files hold no comments, templates or regular expressions, and strings in single quotes.
+_CODE = f"""
+files AS (SELECT * FROM {_FILES}),
+lines AS (SELECT path, unnest(string_split(content, chr(10))) AS raw, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INT) AS line FROM files WHERE regexp_matches(path, '[.](ts|tsx|js|jsx)$')),
+clean AS (SELECT path, line, raw, regexp_replace(raw, '''[^'']*''', '''''', 'g') AS t FROM lines),
+words AS (SELECT * FROM (SELECT path, line, unnest(regexp_extract_all(t, '[A-Za-z_$][A-Za-z0-9_$]*')) AS name FROM clean) WHERE name NOT IN ({', '.join(map(samples.quoted, sorted(KEYWORDS)))})),
+named AS (
+  SELECT path, line, 'named' AS kind, trim(unnest(string_split(regexp_extract(t, '^import\\s+(?:type\\s+)?\\{{([^}}]*)\\}}', 1), ','))) AS name FROM clean WHERE regexp_matches(t, '^import\\s+(?:type\\s+)?\\{{')
+  UNION ALL SELECT path, line, 'default', regexp_extract(t, '^import\\s+([A-Za-z_$]+)\\s+from', 1) FROM clean WHERE regexp_matches(t, '^import\\s+[A-Za-z_$]+\\s+from')
+  UNION ALL SELECT path, line, 'namespace', regexp_extract(t, '[*]\\s+as\\s+([A-Za-z_$]+)', 1) FROM clean WHERE regexp_matches(t, '^import\\s+[*]')
+),
+declared AS (
+  SELECT path, line, t, regexp_extract(t, '^(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(function|class|interface|type|const|let|var)\\s', 1) AS word,
+    regexp_extract(t, '^(?:export\\s+)?(?:default\\s+)?(?:async\\s+)?(?:function|class|interface|type|const|let|var)\\s+([A-Za-z_$][A-Za-z0-9_$]*)', 1) AS name, starts_with(t, 'export') AS is_exported
+  FROM clean
+),
+exported AS (SELECT path, line, CASE WHEN regexp_matches(t, '^export\\s+default') THEN 'default' ELSE name END AS name FROM declared WHERE is_exported AND name <> '')
+"""
+_PY_NAMES, _GO_NAMES = r"^(?:async\s+)?(?:def|class)\s+([a-zA-Z_][a-zA-Z0-9_]*)", r"^(?:func|type)\s+([a-zA-Z_][a-zA-Z0-9_]*)"
+_OTHERS = f"""
+others AS (
+  SELECT path, line, name, starts_with(name, '_') AS is_private, true AS is_exported FROM (SELECT path, line, regexp_extract(t, '{_PY_NAMES}', 1) AS name FROM (SELECT path, {_TRIM.format("unnest(string_split(content, chr(10)))")} AS t, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files WHERE path LIKE '%.py')) WHERE name <> ''
+  UNION ALL
+  SELECT path, line, name, regexp_matches(name, '^[a-z]'), regexp_matches(name, '^[A-Z]') FROM (SELECT path, line, regexp_extract(t, '{_GO_NAMES}', 1) AS name FROM (SELECT path, {_TRIM.format("unnest(string_split(content, chr(10)))")} AS t, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM files WHERE path LIKE '%.go')) WHERE name <> ''
+)
+"""
+
+
+def _graph_sql(rule: str, corrected: bool = False) -> str:
+    """links: the edges of the sample by a rule."""
+    return f"links AS (SELECT DISTINCT src, dst FROM ({_resolve_sql(rule, corrected)}) WHERE dst IN (SELECT path FROM files))"
+
+
 # corpus statistics: A1, A2, P1, P2, P4, P10, M1, M3
 
 
@@ -98,6 +156,25 @@ def corpus_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark).files.select("path", "language", "is_test", "complexity", "n_lines", "size")
 
 
+_TREE = [
+    (f"{folder}/{name}", f"// {folder}\nif (x) {{\n  run();\n}}\n" * size)
+    for folder in ("src", "src/deep/[id]", "lib", "node_modules/left", "dist", "a b", "vendor/x", ".git")
+    for name, size in (("one.ts", 1), ("two.tsx", 3), ("three.test.js", 2), ("four.py", 1), ("five.go", 2), ("six.java", 1), ("seven.md", 1), ("eight.min.js", 1), ("nine.js", 0), ("ten.bundle.js", 1), ("large.ts", 40), ("eleven.go.txt", 1))
+]
+
+
+@_query(f"""WITH t AS (SELECT path AS relative_path, content, {_LANG_SQL.format("path")} AS language FROM {samples.values(_TREE, "path, content")}),
+kept AS (SELECT * FROM t WHERE octet_length(encode(content)) <= 1000 AND regexp_matches(relative_path, '[.](ts|tsx|js|jsx|py|go|java|cpp|c|cs|php|rb|rs)$')
+  AND NOT regexp_matches(relative_path, '(^|/)(node_modules|dist|build|[.]git|coverage|[.]next|[.]nuxt|vendor|__pycache__)/') AND NOT regexp_matches(relative_path, '[.](min|bundle)[.]js$') ORDER BY relative_path LIMIT 20)
+SELECT relative_path, language, CAST(octet_length(encode(content)) AS BIGINT) AS size, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines, CAST({_COMPLEXITY.format("content")} AS INT) AS complexity, (lower(relative_path) LIKE '%test%' OR lower(relative_path) LIKE '%spec%') AS is_test
+FROM kept WHERE language IN ('typescript', 'javascript', 'python', 'go')""")
+def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A generated tree through the real reader: folders and endings left out, large files too, the first 20 paths before the language gate."""
+    root = fresh_path(spark, "tree")
+    source.write_tree(spark, root, _TREE)
+    return source.scan(spark, root, exclude=source.EXCLUDE, max_file_size=1000, max_files=20).select("relative_path", "language", "size", "n_lines", "complexity", "is_test")
+
+
 @_query(f"SELECT path, language FROM (SELECT path, {_LANG_SQL.format('path')} AS language FROM {_FILES}) WHERE language IN ('typescript', 'javascript', 'python', 'go')")
 def gated_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.language_gate(_sample(spark).files).select("path", "language")
@@ -138,9 +215,9 @@ def go_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sym.go_symbols(_sample(spark).files.filter("language = 'go'")).select("path", "name", "type", "start_line", "is_exported", "is_private")
 
 
-@_query()
+@_query(f"""WITH {_CODE} SELECT path, name, CASE WHEN word IN ('const', 'let', 'var') THEN 'variable' ELSE word END AS type, line AS start_line, is_exported, starts_with(name, '_') AS is_private FROM declared WHERE name <> ''""")
 def ts_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sym.script_symbols(_sample(spark).files)
+    return sym.script_symbols(_sample(spark).files, "corrected").select("path", "name", "type", "start_line", "is_exported", "is_private")
 
 
 _DECISIONS_SQL = " + ".join(f"len(regexp_extract_all(content, '{p}'))" for p in (r"\bif\s*\(", r"\belse\s+if\s*\(", r"\b(?:for|while|do)\s*\(", r"\bcase\s+", r"\bcatch\s*\(", r"\?[^:]*:", r"&&|\|\|"))
@@ -187,10 +264,31 @@ def severity_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.severity_summary(size_rules(spark, sf_dir)).withColumn("low", F.col("low").cast("int"))
 
 
-@_query()
+_RULES = samples.values([(r, *t, findings._UNITS[r], *findings._WEIGHT[r][0], *findings._WEIGHT[r][1], 0 if r == "file-too-large" else 1) for r, t in findings.THRESHOLDS.items()], "type, medium, high, unit, effort_high, impact_high, effort_low, impact_low, pos")
+_OPPORTUNITIES = f"""
+WITH files AS (SELECT * FROM {samples.values(samples.LARGE, "path, content")}),
+lines AS (SELECT path, unnest(string_split(content, chr(10))) AS t, CAST(generate_subscripts(string_split(content, chr(10)), 1) AS INT) AS line FROM files),
+functions AS (SELECT a.path, a.line AS start_line, regexp_extract(a.t, 'function ([a-z0-9]+)', 1) AS symbol, min(z.line) AS end_line FROM lines a JOIN lines z ON z.path = a.path AND z.line > a.line AND z.t = '}}' WHERE regexp_matches(a.t, '^(export )?function ') GROUP BY ALL),
+bodies AS (SELECT f.*, (SELECT string_agg(t, chr(10) ORDER BY line) FROM lines l WHERE l.path = f.path AND l.line BETWEEN f.start_line AND f.end_line) AS content FROM functions f),
+measured AS (
+  SELECT path, NULL AS symbol, CAST(NULL AS INT) AS start_line, CAST(NULL AS INT) AS end_line, 'file-too-large' AS type, CAST(max(line) AS INT) AS current FROM lines GROUP BY path
+  UNION ALL SELECT path, symbol, start_line, end_line, 'function-too-long', end_line - start_line + 1 FROM functions
+  UNION ALL SELECT path, symbol, start_line, end_line, 'function-too-complex', CAST(1 + {_DECISIONS_SQL} AS INT) FROM bodies
+),
+judged AS (
+  SELECT m.*, unit, CAST(medium AS INT) AS threshold, pos, CASE WHEN current > high THEN 'high' ELSE 'medium' END AS severity,
+    CASE WHEN current > high THEN effort_high ELSE effort_low END AS effort, CASE WHEN current > high THEN impact_high ELSE impact_low END AS impact
+  FROM measured m JOIN {_RULES} r ON r.type = m.type WHERE current > medium
+)
+SELECT 'opp-' || row_number() OVER (ORDER BY severity <> 'high', CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, path, pos, start_line, type) AS id,
+  path, type, severity, symbol, start_line, end_line, current, threshold, unit, effort, impact FROM judged
+"""
+
+
+@_query(_OPPORTUNITIES)
 def opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = _sample(spark)
-    return findings.opportunities(c.files, c.symbols)
+    c = Corpus(source.from_rows(spark, samples.LARGE, samples.ROOT))
+    return findings.opportunities(c.files, c.symbols).select("id", "path", "type", "severity", "symbol", "start_line", "end_line", "current", "threshold", "unit", "effort", "impact")
 
 
 @_query("SELECT p.event_id, count(e.event_id) AS n_inside FROM events p LEFT JOIN events e ON e.user_id = p.user_id AND e.ts >= p.ts AND e.ts <= p.ts + INTERVAL 1 DAY WHERE p.event_type = 'purchase' GROUP BY p.event_id")
@@ -210,31 +308,6 @@ def containment_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 # resolution: J1 to J5
 
 
-def _resolve_sql(rule: str, corrected: bool = False) -> str:
-    """Over paths written out, as SQL has no path functions: candidates of each import of the sample."""
-    endings, _ = resolve.RULES[rule]
-    rows = []
-    for src, ord_, spec, base in _sample_imports():
-        tried = [base + e for e in endings] + ([base[: -len(".js")] + ".ts"] if corrected and base.endswith(".js") else [base] if corrected else [])
-        rows += [(src, ord_, spec, k, t) for k, t in enumerate(tried)]
-    folders = sorted({p[:k] for p, _ in samples.FILES for k in range(1, len(p)) if p[k] == "/"}) if rule in ("trace", "dead_code") else []
-    listing = samples.values([p for p, _ in samples.FILES] + folders, "path")
-    return f"SELECT src, ord, source, arg_min(dst, rank) AS dst FROM {samples.values(rows, 'src, ord, source, rank, dst')} c JOIN {listing} f ON c.dst = f.path GROUP BY src, ord, source"
-
-
-def _sample_imports() -> list[tuple[str, int, str, str]]:
-    import posixpath
-    import re
-
-    out = []
-    for path, content in samples.FILES:
-        if path.endswith((".ts", ".tsx", ".js")):
-            for k, spec in enumerate(re.findall(r"import\s+.*?\s+from\s+['\"]([^'\"]+)['\"]", content)):
-                if spec.startswith("."):
-                    out.append((path, k, spec, posixpath.normpath(posixpath.join(posixpath.dirname(path), spec))))
-    return out
-
-
 def _resolved(rule: str, mode: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         c = _sample(spark, mode)
@@ -250,12 +323,17 @@ for _rule in resolve.RULES:
 _query(_resolve_sql("graph", True))(_resolved("graph", "corrected"))
 
 
-@_query(f"SELECT path, normal FROM {samples.values([(p, n) for p, n in zip(samples.PATHS, ['/app/lib/a.ts', '/c', 'y', '../../z/w', '/', 'a', ''], strict=True)], 'path, normal')}")
+@_query(f"""WITH RECURSIVE p AS (SELECT path, list_filter(string_split(path, '/'), lambda x: x NOT IN ('', '.')) AS parts FROM {samples.values(samples.PATHS, 'path')}),
+step(path, k, acc) AS (SELECT path, 0, CAST([] AS VARCHAR[]) FROM p UNION ALL
+  SELECT s.path, s.k + 1, CASE WHEN p.parts[s.k + 1] <> '..' THEN list_append(s.acc, p.parts[s.k + 1]) WHEN len(s.acc) > 0 AND s.acc[-1] <> '..' THEN s.acc[:-2] WHEN starts_with(s.path, '/') THEN s.acc ELSE list_append(s.acc, '..') END FROM step s JOIN p ON p.path = s.path WHERE s.k < len(p.parts))
+SELECT s.path, CASE WHEN starts_with(s.path, '/') THEN '/' ELSE '' END || array_to_string(acc, '/') AS normal FROM step s JOIN p ON p.path = s.path WHERE k = len(parts)""")
 def normal_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(p,) for p in samples.PATHS], "path string").select("path", fx.normalize(F.col("path")).alias("normal"))
 
 
-@_query(f"SELECT folder, file, distance FROM {samples.values([(*f, d) for f, d in zip(samples.FOLDERS, (0, 2, 100, 300), strict=True)], 'folder, file, distance')}")
+@_query(f"""WITH d AS (SELECT folder, file, string_split(folder, '/') AS a, string_split(regexp_replace(file, '/[^/]*$', ''), '/') AS b FROM {samples.values(samples.FOLDERS, 'folder, file')}),
+c AS (SELECT *, len(list_filter(range(1, least(len(a), len(b)) + 1), lambda i: a[1:i] = b[1:i])) AS same FROM d)
+SELECT folder, file, CAST(CASE WHEN len(a) > same THEN 100 * (len(a) - same) ELSE len(b) - same END AS INT) AS distance FROM c""")
 def proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame(samples.FOLDERS, "folder string, file string")
     return d.select("folder", "file", fx.proximity(F.col("folder"), F.col("file")).alias("distance"))
@@ -325,9 +403,12 @@ def trace_depth3(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.reachable(_edges(spark, sf_dir), _nodes(spark, 0), 4)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_EDGES}, walks(node, path, depth) AS (
+  SELECT CAST(0 AS BIGINT), [CAST(0 AS BIGINT)], 0 UNION ALL SELECT e.dst, list_append(w.path, e.dst), w.depth + 1 FROM walks w JOIN edges e ON e.src = w.node WHERE w.depth < 3
+), least AS (SELECT node, arg_min(path, {{'d': depth, 'p': path}}) AS path, min(depth) AS depth FROM walks GROUP BY node)
+SELECT DISTINCT array_to_string(list_append(l.path, e.dst), '>') AS path, CAST(l.depth + 1 AS INT) AS depth FROM least l JOIN edges e ON e.src = l.node""")
 def trace_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.chains(durable(_edges(spark, sf_dir), "edges"), 0, 3)
+    return graph.chains(durable(_edges(spark, sf_dir), "edges"), 0, 3).select(F.array_join("path", ">").alias("path"), "depth")
 
 
 @_query(f"WITH RECURSIVE {_EDGES}, {_CLOSURE} SELECT a, b FROM closure")
@@ -346,9 +427,25 @@ def partial_invalidation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.without(_edges(spark, sf_dir), gone)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CODE}, {_graph_sql("trace", True)}, near(node) AS (SELECT '/app/src/main.ts' UNION SELECT dst FROM near JOIN links ON src = node),
+walks(path, last) AS (
+  SELECT [src, dst], dst FROM links WHERE src IN (SELECT node FROM near) AND dst >= src
+  UNION ALL SELECT list_append(path, dst), dst FROM walks JOIN links ON src = last WHERE last <> path[1] AND (dst = path[1] OR (dst > path[1] AND NOT list_contains(path, dst)))
+)
+SELECT array_to_string(path, '>') AS files, CASE WHEN len(path) - 1 > 3 THEN 'high' ELSE 'medium' END AS severity FROM walks WHERE last = path[1]""")
 def corpus_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.cycles(_sample(spark, "corrected").edges("trace"), "/app/src/main.ts")
+    return graph.cycles(_sample(spark, "corrected").edges("trace"), "/app/src/main.ts").select(F.array_join("files", ">").alias("files"), "severity")
+
+
+_RINGS = [(f"{n}-{k}", f"{n}-{(k + 1) % n}") for n in (1, 2, 3, 4, 12) for k in range(n)] + [("hub", f"{n}-0") for n in (1, 2, 3, 4, 12)]
+
+
+@_query(f"""WITH RECURSIVE links AS (SELECT * FROM {samples.values(_RINGS, "src, dst")}), walks(first, last, n) AS (SELECT src, dst, 1 FROM links WHERE src <> 'hub' UNION SELECT w.first, l.dst, w.n + 1 FROM walks w JOIN links l ON l.src = w.last WHERE w.first <> w.last)
+SELECT min(first) AS least, CAST(n AS INT) AS n, CASE WHEN n > 3 THEN 'high' ELSE 'medium' END AS severity FROM walks WHERE first = last GROUP BY n""")
+def ring_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rings of one to twelve nodes: each is a cycle, severe from four nodes on."""
+    found = graph.cycles(spark.createDataFrame(_RINGS, "src string, dst string"), "hub")
+    return found.select(F.col("files")[0].alias("least"), (F.size("files") - 1).alias("n"), "severity")
 
 
 # scores: M5 to M7, P18
@@ -363,7 +460,7 @@ FROM supplier LEFT JOIN d ON d.node = s_suppkey LEFT JOIN t ON t.node = s_suppke
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = durable(_edges(spark, sf_dir), "edges")
     direct = e.filter("src != dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("d"))
-    total = graph.closure(e).filter("a != b").groupBy(F.col("b").alias("node")).agg(F.count(F.lit(1)).alias("t"))
+    total = graph.counts_before(e).withColumnRenamed("n", "t")
     s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), "s_nationkey")
     one = s.join(direct, "node", "left").join(total, "node", "left").withColumns({"direct": F.coalesce("d", F.lit(0)), "transitive": F.coalesce("t", F.lit(0)) - F.coalesce("d", F.lit(0))})
     return one.select("node", "direct", "transitive", scores.risk(F.col("direct"), F.col("transitive"), F.col("s_nationkey"), F.lit(80.0)).alias("risk"))
@@ -476,7 +573,10 @@ def log_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.validation(_logs(spark))["counts"]
 
 
-@_query("SELECT * FROM (VALUES ('src/a.ts', 1, 3, 100.0 / 3, 2, true), ('src/b.ts', 1, 1, 100.0, 0, false), ('src/c.ts', 0, 0, 0.0, 0, false)) AS v(path, covered, total, pct, n_regions, missing)".replace("100.0 / 3", "CAST(100.0 AS DOUBLE) / 3").replace("100.0, 0", "CAST(100.0 AS DOUBLE), 0"))
+@_query(f"""WITH doc AS (SELECT {samples.quoted(samples.COVERAGE)}::JSON AS j), f AS (SELECT path, json_extract(j, '$."' || path || '"') AS b FROM (SELECT j, unnest(json_keys(j)) AS path FROM doc) WHERE path <> 'total'),
+s AS (SELECT path, b, unnest(json_keys(b, '$.s')) AS k FROM f), c AS (SELECT path, CAST(json_extract(b, '$.s."' || k || '"') AS INT) AS n, CAST(json_extract(b, '$.statementMap."' || k || '".start.line') AS INT) AS line FROM s)
+SELECT f.path, CAST(count(n) FILTER (n > 0) AS INT) AS covered, CAST(count(n) AS INT) AS total, CASE WHEN count(n) > 0 THEN 100.0 * count(n) FILTER (n > 0) / count(n) ELSE 0.0 END::DOUBLE AS pct, CAST(count(n) FILTER (n = 0 AND line > 0) AS INT) AS n_regions, count(n) FILTER (n = 0 AND line > 0) > 0 AS missing
+FROM f LEFT JOIN c ON c.path = f.path GROUP BY f.path""")
 def json_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = reports.coverage_json(spark.createDataFrame([(samples.COVERAGE,)], "value string"))
     return d.select("path", "covered", "total", "pct", F.size("regions").alias("n_regions"), "missing")
@@ -522,14 +622,27 @@ def diff_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     return diffs.diffs(changes, both.filter("old is not null").select(name.alias("path"), F.col("old").alias("content")))
 
 
-@_query()
+def _dead_sql(corrected: bool) -> str:
+    """Files that nothing reaches, exports without a use, imports that are not used, numbered."""
+    uses = "SELECT name FROM named WHERE path IN (SELECT node FROM reached)" + ("" if corrected else " UNION SELECT name FROM words WHERE path IN (SELECT node FROM reached)")
+    return f"""WITH RECURSIVE {_CODE}, {_graph_sql("dead_code", corrected)}, reached(node) AS (SELECT '/app/src/main.ts' UNION SELECT dst FROM reached JOIN links ON src = node),
+apart AS (SELECT * FROM exported WHERE path <> '/app/src/main.ts'), counted AS (SELECT path, name, count(*) AS n FROM words GROUP BY path, name),
+found AS (
+  SELECT DISTINCT path, CAST(1 AS INT) AS line, CAST(NULL AS VARCHAR) AS symbol, 'unused-export' AS type, 'high' AS severity FROM apart WHERE path NOT IN (SELECT node FROM reached)
+  UNION ALL SELECT path, line, name, 'unused-export', 'medium' FROM apart WHERE path IN (SELECT node FROM reached) AND name NOT IN ({uses})
+  UNION ALL SELECT i.path, min(i.line), i.name, 'unused-import', 'low' FROM named i LEFT JOIN counted c ON c.path = i.path AND c.name = i.name WHERE i.kind = 'named' AND i.path IN (SELECT node FROM reached) GROUP BY i.path, i.name HAVING coalesce(max(c.n), 0) <= count(*)
+)
+SELECT path, line, symbol, type, severity, 'high' AS confidence, 'finding-' || row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, path, line, symbol NULLS FIRST) AS id FROM found"""
+
+
+@_query(_dead_sql(False))
 def dead_code(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.find_dead_code(_sample(spark), ["/app/src/main.ts"])["findings"]
+    return tools.find_dead_code(_sample(spark), ["/app/src/main.ts"])["findings"].drop("description", "suggestion")
 
 
-@_query()
+@_query(_dead_sql(True))
 def dead_code_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.find_dead_code(_sample(spark, "corrected"), ["/app/src/main.ts"])["findings"]
+    return tools.find_dead_code(_sample(spark, "corrected"), ["/app/src/main.ts"])["findings"].drop("description", "suggestion")
 
 
 @_query()
@@ -539,7 +652,7 @@ def type_abstractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.abstractions(_sample(spark).files, large=3)
 
 
-@_query()
+@_query(f"""WITH {_CODE} SELECT w.path, w.line, regexp_replace(c.raw, '\\bfmt\\b', 'format', 'g') AS text FROM words w JOIN clean c ON c.path = w.path AND c.line = w.line WHERE w.name = 'fmt'""")
 def rename_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "format")["references"]
 
@@ -549,17 +662,29 @@ def extract_function(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.extract(_sample(spark), "/app/src/main.ts", 9, 11, "each")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_CODE}, {_graph_sql("impact")}, above(node) AS (SELECT src FROM links WHERE dst = '/app/src/util/format.ts' UNION SELECT src FROM above JOIN links ON dst = node),
+near AS (SELECT DISTINCT src AS node FROM links WHERE dst = '/app/src/util/format.ts' AND src <> dst),
+one AS (SELECT (SELECT count(*) FROM near) AS direct, (SELECT count(*) FROM above WHERE node NOT IN (SELECT node FROM near) AND node <> '/app/src/util/format.ts') AS transitive,
+  CASE WHEN EXISTS (SELECT 1 FROM files WHERE path IN ('/app/src/util/format.test.ts', '/app/src/util/format.spec.ts', '/app/src/util/__tests__/format.test.ts')) THEN 80.0 ELSE 0.0 END::DOUBLE AS coverage,
+  (SELECT {_COMPLEXITY.format('content')} FROM files WHERE path = '/app/src/util/format.ts') AS complexity)
+SELECT CAST(direct AS BIGINT) AS direct, CAST(transitive AS BIGINT) AS transitive, coverage, CAST(complexity AS BIGINT) AS complexity, CAST(direct + transitive AS BIGINT) AS total, least(100.0, round(direct * 5.0 + transitive * 2.0 + complexity * 2.0 + (100.0 - coverage) * 0.3))::DOUBLE AS risk,
+  CASE WHEN least(100.0, round(direct * 5.0 + transitive * 2.0 + complexity * 2.0 + (100.0 - coverage) * 0.3)) > 70 THEN 'high' WHEN least(100.0, round(direct * 5.0 + transitive * 2.0 + complexity * 2.0 + (100.0 - coverage) * 0.3)) > 40 THEN 'medium' ELSE 'low' END AS risk_label FROM one""")
 def impact_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.impact(_sample(spark), "/app/src/util/format.ts")["summary"].drop("recommendations")
 
 
-@_query()
+@_query(f"""WITH {_CODE}, {_OTHERS}, kinds AS (
+  SELECT path, bool_or(word IN ('function', 'func', 'class')) AS code, bool_or(word IN ('interface', 'type')) AS types FROM (SELECT path, word FROM declared WHERE name <> '' UNION ALL SELECT path, unnest(regexp_extract_all(content, '(?m)^(func|type)\\s+[a-zA-Z_]', 1)) FROM files WHERE path LIKE '%.go') GROUP BY path),
+one AS (SELECT count(*) AS n_files, CAST(sum(octet_length(encode(content))) AS BIGINT) AS total_lines, avg({_COMPLEXITY.format('content')}) AS average_complexity,
+  100.0 * count(*) FILTER (lower(f.path) LIKE '%test%' OR lower(f.path) LIKE '%spec%') / count(*) FILTER (NOT (lower(f.path) LIKE '%test%' OR lower(f.path) LIKE '%spec%')) AS test_coverage, count(*) FILTER (code AND types) AS type_abstractions FROM files f LEFT JOIN kinds k ON k.path = f.path)
+SELECT *, CAST(0 AS INT) AS complex_functions, CAST(0 AS INT) AS duplicate_code,
+  greatest(0.0, least(100.0, round(100.0 - CASE WHEN average_complexity > 10 THEN least(30.0, (average_complexity - 10) * 3.0) ELSE 0.0 END - (100.0 - test_coverage) * 0.4 - least(30.0, type_abstractions * 0.5))))::DOUBLE AS score FROM one""")
 def project_health(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.project_health(_sample(spark)).drop("recommendations")
 
 
-@_query()
+@_query(f"""SELECT average_complexity, max_complexity, safety, CASE WHEN safety >= 80 THEN 'high' WHEN safety >= 60 THEN 'medium' ELSE 'low' END AS safety_label FROM (
+  SELECT avg(c) AS average_complexity, CAST(max(c) AS INT) AS max_complexity, greatest(0.0, least(100.0, 100.0 - 30.0 - greatest(avg(c) - 10.0, 0.0) * 2 - count(*) FILTER (c > 10) * 2))::DOUBLE AS safety FROM (SELECT {_COMPLEXITY.format('content')} AS c FROM {_FILES}))""")
 def context_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.context(_sample(spark))["summary"].select("average_complexity", "max_complexity", "safety", "safety_label")
 
@@ -572,7 +697,7 @@ def relative_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark).files.select("path", "relative_path")
 
 
-@_query(f"SELECT path, type_only FROM {samples.values([(p, int(t)) for p, t in samples.TYPE_PATHS], 'path, type_only')}")
+@_query(f"""SELECT path, CAST(regexp_matches(path, '[.]types[.]tsx?$') OR regexp_matches(path, '[.]d[.]ts$') OR regexp_matches(path, '(^|/)types[.]tsx?$') AS INT) AS type_only FROM {samples.values([p for p, _ in samples.TYPE_PATHS], 'path')}""")
 def type_only_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.createDataFrame([(p,) for p, _ in samples.TYPE_PATHS], "path string")
     return d.select("path", fx.is_type_only(F.col("path")).cast("int").alias("type_only"))
@@ -588,70 +713,101 @@ def files_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark).stats().select(F.explode("by_language").alias("language", "n"))
 
 
-@_query("SELECT * FROM (VALUES ('/app/config.ts', 'on'), ('/app/src/lost.tsx', 'unused,Page'), ('/app/src/main.ts', 'main'), ('/app/src/model.ts', 'Item,Key'), ('/app/src/orphan.js', 'alone'), ('/app/src/store.ts', 'Store,load'), ('/app/src/util/format.ts', 'fmt,WIDE'), ('/app/tools/run.py', 'Runner,__init__,_go,run'), ('/app/tools/serve.go', 'Server,NewServer')) AS v(path, names)")
+@_query(f"""WITH {_CODE}, {_OTHERS}, every AS (SELECT path, line, name FROM declared WHERE is_exported AND name <> '' UNION ALL SELECT path, line, name FROM others WHERE is_exported)
+SELECT path, string_agg(name, ',' ORDER BY line, name) AS names FROM every GROUP BY path""")
 def exported_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.exported_names(_sample(spark)).select("path", F.array_join("names", ",").alias("names"))
 
 
-@_query("SELECT * FROM (VALUES ('_hidden'), ('__init__'), ('_go'), ('helper')) AS v(name)")
+@_query(f"""WITH {_CODE}, {_OTHERS} SELECT name FROM declared WHERE starts_with(name, '_') UNION ALL SELECT name FROM others WHERE is_private""")
 def private_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sample(spark).symbols.filter("is_private").select("name")
 
 
-@_query("SELECT doc_id, printf('%.1f', n_chars / 7.0) AS one, printf('%.2f', n_chars / 7.0) AS two FROM documents")
+@_query("""SELECT doc_id, CAST(n // 10 AS VARCHAR) || '.' || CAST(n % 10 AS VARCHAR) AS eighths, printf('%.2f', n_chars / 7.0) AS sevenths, CASE WHEN n_chars % 125 = 0 THEN CAST(m // 100 AS VARCHAR) || '.' || lpad(CAST(m % 100 AS VARCHAR), 2, '0') ELSE printf('%.2f', n_chars / 1000.0) END AS thousandths
+FROM (SELECT doc_id, n_chars, (n_chars * 5 + 2) // 4 AS n, (n_chars + 5) // 10 AS m FROM documents)""")
 def shown_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = F.col("n_chars") / 7.0  # ties would show how engines round
-    return _table(spark, sf_dir, "documents").select("doc_id", scores.shown(x, 1).alias("one"), scores.shown(x, 2).alias("two"))
+    """Eighths have exact halves, thousandths halves in decimals that are none in binary, sevenths none."""
+    n = F.col("n_chars")
+    return _table(spark, sf_dir, "documents").select("doc_id", scores.shown(n / 8.0, 1).alias("eighths"), scores.shown(n / 7.0, 2).alias("sevenths"), scores.shown(n / 1000.0, 2).alias("thousandths"))
 
 
-@_query("SELECT * FROM (VALUES ('src/a.ts', CAST(85.5 AS DOUBLE), true), ('src/b.ts', CAST(100.0 AS DOUBLE), false)) AS v(path, pct, missing)")
+@_query(f"""SELECT trim(cells[1]) AS path, CAST(trim(cells[2]) AS DOUBLE) AS pct, CAST(trim(cells[2]) AS DOUBLE) < 100 AS missing FROM (SELECT string_split(value, '|') AS cells FROM {samples.values(samples.TABLE, 'value')}) WHERE len(cells) >= 5 AND TRY_CAST(trim(cells[2]) AS DOUBLE) IS NOT NULL AND TRY_CAST(trim(cells[5]) AS DOUBLE) IS NOT NULL""")
 def coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.coverage_text(spark.createDataFrame([(x,) for x in samples.TABLE], "value string")).select("path", "pct", "missing")
 
 
-@_query("SELECT * FROM (VALUES ('suggestion-1', 'Split', 'structure', 'high', ''), ('suggestion-2', 'Suggestion', 'general', 'medium', 'Name it')) AS v(id, title, type, priority, description)")
+_REPLY_SQL = rf"""
+WITH r AS (SELECT n, trim(CASE WHEN regexp_matches(value, '```json') THEN regexp_extract(value, '```json\s*([\s\S]*?)\s*```', 1) ELSE value END) AS body FROM {samples.values(samples.REPLIES, 'n, value')}),
+j AS (SELECT n, CASE WHEN json_valid(body) THEN body::JSON END AS j FROM r),
+a AS (SELECT n, CASE WHEN json_type(j) = 'OBJECT' AND json_type(j, '$.suggestions') = 'ARRAY' THEN json_extract(j, '$.suggestions[*]') END AS items FROM j),
+g AS (SELECT n, items, items IS NOT NULL AND len(list_filter(items, lambda x: json_type(x) = 'NULL')) = 0 AS good FROM a),
+i AS (SELECT n, unnest(items[:4]) AS s, generate_subscripts(items[:4], 1) AS pos FROM g WHERE good),
+f AS (SELECT *, coalesce(nullif(CAST(json_extract(s, '$.riskScore') AS DOUBLE), 0), 50.0) AS risk FROM i)
+SELECT n, 'suggestion-' || pos AS id, coalesce(nullif(json_extract_string(s, '$.type'), ''), 'unknown') AS type, coalesce(nullif(json_extract_string(s, '$.title'), ''), 'Untitled suggestion') AS title,
+  coalesce(CAST(json_extract(s, '$.startLine') AS INT), 0) AS start_line, coalesce(CAST(json_extract(s, '$.endLine') AS INT), 0) AS end_line,
+  CASE {' '.join(f"WHEN risk < {b} THEN '{t}'" for b, t in reports.IMPACTS[:-1])} ELSE '{reports.IMPACTS[-1][1]}' END AS estimated_impact, risk AS risk_score,
+  coalesce(CAST(json_extract(s, '$.autoApplicable') AS BOOLEAN), false) AS auto_applicable, left(coalesce(json_extract_string(s, '$.reasoning'), ''), 6) AS reasoning, coalesce(json_extract_string(s, '$.priority'), 'medium') AS priority FROM f
+UNION ALL SELECT n, 'error-1', 'analysis-error', 'Unable to parse suggestions', 0, 0, 'Unknown', 0.0, false, 'Error:', 'low' FROM g WHERE NOT good
+"""
+
+
+@_query(_REPLY_SQL)
 def reply_suggestions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.suggestions(spark.createDataFrame([(samples.REPLY,)], "value string"), most=2).select("id", "title", "type", "priority", "description")
+    return tools.suggestions(spark.createDataFrame(samples.REPLIES, "n int, value string"), most=4).drop("description", "file").withColumn("reasoning", F.left("reasoning", F.lit(6)))
 
 
-@_query("SELECT 4 AS total, 1 AS modified, 1 AS created, 2 AS deleted, 3 AS additions, 3 AS deletions")
+@_query(f"""WITH c AS (SELECT * FROM {samples.values(samples.CHANGES, 'file_path, operation, new_content')}), j AS (SELECT c.*, f.content FROM c LEFT JOIN {_FILES} f ON f.path = c.file_path),
+l AS (SELECT operation, CASE operation WHEN 'create' THEN len(string_split(new_content, chr(10))) WHEN 'update' THEN len(list_filter(string_split(new_content, chr(10)), lambda x: NOT list_contains(string_split(content, chr(10)), x))) ELSE 0 END AS plus,
+  CASE operation WHEN 'delete' THEN coalesce(len(string_split(content, chr(10))), 0) WHEN 'update' THEN len(list_filter(string_split(content, chr(10)), lambda x: NOT list_contains(string_split(new_content, chr(10)), x))) ELSE 0 END AS minus FROM j)
+SELECT CAST(count(*) AS INT) AS total, CAST(count(*) FILTER (operation = 'update') AS INT) AS modified, CAST(count(*) FILTER (operation = 'create') AS INT) AS created, CAST(count(*) FILTER (operation = 'delete') AS INT) AS deleted, CAST(sum(plus) AS INT) AS additions, CAST(sum(minus) AS INT) AS deletions FROM l""")
 def diff_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = tools.preview(_sample(spark), reports.changes(spark, samples.CHANGES))["summary"]
     return one.select(*[F.col(c).cast("int").alias(c) for c in ("total", "modified", "created", "deleted", "additions", "deletions")])
 
 
-@_query("SELECT * FROM (VALUES ('/app/src/main.ts', 2), ('/app/src/store.ts', 2), ('/app/src/util/format.ts', 1)) AS v(path, n)")
+@_query(f"WITH {_CODE} SELECT path, CAST(count(*) AS INT) AS n FROM words WHERE name = 'fmt' GROUP BY path")
 def reference_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return findings.reference_counts(_sample(spark).files, "fmt")
 
 
-@_query("SELECT 'export' AS kind, 'WIDE' AS name")
+@_query(f"""WITH {_CODE}, own AS (SELECT name, count(*) AS k FROM words WHERE path = '/app/src/store.ts' GROUP BY name)
+SELECT DISTINCT 'import' AS kind, i.name FROM named i LEFT JOIN own USING (name) WHERE i.path = '/app/src/store.ts' AND coalesce(k, 0) <= 1
+UNION ALL SELECT DISTINCT 'export', name FROM exported WHERE path = '/app/src/store.ts' AND name NOT IN (SELECT name FROM words WHERE path <> '/app/src/store.ts')""")
 def unused_by_reference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return findings.unused_by_reference(_sample(spark).files, "/app/src/util/format.ts")
+    return findings.unused_by_reference(_sample(spark).files, "/app/src/store.ts")
 
 
-@_query("SELECT 4 AS total, 4 AS high, 3 AS unused_export, 1 AS unused_import")
+@_query(f"SELECT CAST(count(*) AS INT) AS total, CAST(count(*) FILTER (confidence = 'high') AS INT) AS high, CAST(count(*) FILTER (type = 'unused-export') AS INT) AS unused_export, CAST(count(*) FILTER (type = 'unused-import') AS INT) AS unused_import FROM ({_dead_sql(False)})")
 def dead_code_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     one = tools.find_dead_code(_sample(spark), ["/app/src/main.ts"])["summary"]
     return one.select(*[F.col(c).cast("int").alias(c) for c in ("total", "high", "unused_export", "unused_import")])
 
 
-@_query("SELECT CAST(2 AS BIGINT) AS direct, CAST(2 AS BIGINT) AS transitive, CAST(0.0 AS DOUBLE) AS coverage, CAST(48.0 AS DOUBLE) AS risk, 'medium' AS risk_label")
+@_query(f"""WITH RECURSIVE {_CODE}, {_graph_sql("impact")}, above(node) AS (SELECT src FROM links WHERE dst = '/app/src/util/format.ts' UNION SELECT src FROM above JOIN links ON dst = node),
+near AS (SELECT DISTINCT src AS node FROM links WHERE dst = '/app/src/util/format.ts' AND src <> dst),
+one AS (SELECT (SELECT count(*) FROM near) AS direct, (SELECT count(*) FROM above WHERE node NOT IN (SELECT node FROM near) AND node <> '/app/src/util/format.ts') AS transitive,
+  CASE WHEN EXISTS (SELECT 1 FROM files WHERE path IN ('/app/src/util/format.test.ts', '/app/src/util/format.spec.ts', '/app/src/util/__tests__/format.test.ts')) THEN 80.0 ELSE 0.0 END::DOUBLE AS coverage,
+  (SELECT {_COMPLEXITY.format('content')} FROM files WHERE path = '/app/src/util/format.ts') AS complexity)
+SELECT CAST(direct AS BIGINT) AS direct, CAST(transitive AS BIGINT) AS transitive, coverage, least(100.0, round(direct * 5.0 + transitive * 2.0 + complexity * 2.0 + (100.0 - coverage) * 0.3))::DOUBLE AS risk,
+  CASE WHEN least(100.0, round(direct * 5.0 + transitive * 2.0 + complexity * 2.0 + (100.0 - coverage) * 0.3)) > 70 THEN 'high' WHEN least(100.0, round(direct * 5.0 + transitive * 2.0 + complexity * 2.0 + (100.0 - coverage) * 0.3)) > 40 THEN 'medium' ELSE 'low' END AS risk_label FROM one""")
 def impact_of_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.impact(_sample(spark), "/app/src/util/format.ts")["summary"].select("direct", "transitive", "coverage", "risk", "risk_label")
 
 
-@_query("SELECT CAST(5 AS BIGINT) AS n_files")
+@_query(f"""WITH RECURSIVE {_CODE}, {_graph_sql("trace")}, fore(node, d) AS (SELECT '/app/src/util/format.ts', 0 UNION SELECT dst, d + 1 FROM fore JOIN links ON src = node WHERE d < 4), back(node, d) AS (SELECT '/app/src/util/format.ts', 0 UNION SELECT src, d + 1 FROM back JOIN links ON dst = node WHERE d < 4)
+SELECT count(DISTINCT node) AS n_files FROM (SELECT node FROM fore UNION SELECT node FROM back)""")
 def traced_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.dependency_trace(_sample(spark), "/app/src/util/format.ts", unused=False)["summary"]
 
 
-@_query("SELECT * FROM (VALUES ('/app/src/main.ts', 9, '    for (const a of argv) {'), ('/app/src/main.ts', 10, '      show(a);')) AS v(path, line, text) WHERE line = 10")
+@_query(f"""WITH {_CODE} SELECT w.path, w.line, regexp_replace(c.raw, '\\bfmt\\b', 'show', 'g') AS text FROM words w JOIN clean c ON c.path = w.path AND c.line = w.line WHERE w.name = 'fmt'""")
 def renamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "show")["references"]
-    return rows.filter("path = '/app/src/main.ts' AND line = 10")
+    return tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "show")["references"]
 
 
-@_query("SELECT 'argv,fmt' AS parameters, 'each(argv, fmt);' AS call, 'void' AS return_type")
+@_query(f"""WITH {_CODE}, part AS (SELECT t FROM clean WHERE path = '/app/src/main.ts' AND line BETWEEN 9 AND 11),
+used AS (SELECT DISTINCT name FROM words WHERE path = '/app/src/main.ts' AND line BETWEEN 9 AND 11 AND name NOT IN ({', '.join(map(samples.quoted, BUILT_IN))}) AND name NOT IN (SELECT regexp_extract(t, '(?:const|let|var)\\s+([a-z]+)', 1) FROM part))
+SELECT string_agg(name, ',' ORDER BY name) AS parameters, 'each(' || string_agg(name, ', ' ORDER BY name) || ');' AS call, CASE WHEN (SELECT count(*) FROM part WHERE regexp_matches(t, 'return|=[^>=]')) = 0 THEN 'void' ELSE 'any' END AS return_type FROM used""")
 def extracted_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_function(spark, sf_dir).select(F.array_join("parameters", ",").alias("parameters"), "call", "return_type")

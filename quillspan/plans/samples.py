@@ -42,6 +42,27 @@ def values(rows: list, columns: str) -> str:
     rows = [r if isinstance(r, tuple) else (r,) for r in rows]
     return "(SELECT * FROM (VALUES " + ", ".join("(" + ", ".join(map(quoted, r)) + ")" for r in rows) + f") AS v({columns}))"
 TABLE = ["File | % Stmts | % Branch | % Funcs | % Lines", "src/a.ts | 85.5 | 80 | 90 | 85.5 | 10-15", "src/b.ts  |  100 | 100 | 100 | 100 |", "done"]
-REPLY = 'Sure:\n```json\n[{"title": "Split", "type": "structure", "priority": "high"}, {"description": "Name it"}, {"title": "Third"}]\n```\n'
+REPLIES = [
+    (1, 'Sure:\n```json\n{"suggestions": [{"title": "Split", "type": "structure", "priority": "high", "riskScore": 15, "startLine": 3, "endLine": 9, "autoApplicable": true}, {"description": "Name it", "riskScore": 0}, {"title": "", "riskScore": 79.5, "reasoning": "long"}]}\n```\nDone.'),
+    (2, '{"suggestions": [{"type": "naming", "riskScore": 80}, {"riskScore": 20}, {"riskScore": 50}, {}, {"title": "e"}, {"title": "sixth"}]}'),
+    (3, '[{"title": "a bare array"}]'), (4, "no JSON at all"), (5, '{"suggestions": {"title": "no array"}}'), (6, '{"suggestions": [null]}'), (7, '{"suggestions": []}'), (8, '{"other": 1}'), (9, ""),
+]
 CHANGES = [("/app/config.ts", "update", "export const on = false;\n"), ("/app/src/new.ts", "create", "a\nb"), ("/app/README.md", "delete", None), ("/app/none.ts", "delete", None)]
 TYPE_PATHS = [("/a/x.types.ts", True), ("/a/x.types.tsx", True), ("/a/x.d.ts", True), ("/a/types.ts", True), ("types.tsx", True), ("/a/index.types.ts", True), ("/a/mytypes.ts", False), ("/a/types/x.ts", False), ("/a/x.d.tsx", False)]
+
+
+def _large(n: int) -> list[tuple[str, str]]:
+    """Files above each threshold: long ones, functions that are long or branch much, at both severities."""
+    out = []
+    for k in range(n):
+        lines = []
+        for j, (length, branches) in enumerate([(20 + 15 * k, 2), (30, 4 * k), (8, 1)]):
+            body = [f"  if (x > {i}) {{ x += {i}; }}" for i in range(branches)]
+            body += [f"  x = x + {i};" for i in range(max(length - len(body) - 2, 0))]
+            lines += [f"{'export ' if j % 2 == 0 else ''}function part{j}(x: number) {{", *body, "}", ""]
+        lines += [f"export const value{i} = {i};" for i in range(60 * k)]
+        out.append((f"/app/big/file{k}.ts", "\n".join(lines)))
+    return out
+
+
+LARGE = _large(10)

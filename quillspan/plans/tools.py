@@ -10,6 +10,7 @@ from ..functions import text as fx
 from ..operators import coverage as cov
 from ..operators import diffs, findings, graph, refactor, types
 from ..operators import symbols as sym
+from ..operators.scripts import parsed
 from ..sources import corpus as source
 from ..sources import reports
 from .corpus import Corpus
@@ -76,17 +77,27 @@ def analyze(corpus: Corpus, path: str | None = None) -> dict[str, DataFrame]:
     return {"opportunities": found, "summary": findings.severity_summary(found), "recommendations": said}
 
 
+def _with_symbols(corpus: Corpus, chains: DataFrame) -> DataFrame:
+    """``chains`` with the symbols that the last but one file imports by name from the last."""
+    rows = parsed(corpus.files, ("imported",)).select(F.col("path").alias("src"), F.explode("imported").alias("i")).filter("i.kind = 'named'").select("src", F.col("i.source").alias("source"), F.col("i.name").alias("name"))
+    names = corpus.resolved("trace").join(rows, ["src", "source"]).groupBy("src", "dst").agg(F.array_sort(F.collect_set("name")).alias("symbols"))
+    ends = chains.withColumns({"src": F.element_at("path", -2), "dst": F.element_at("path", -1)})
+    return ends.join(names, ["src", "dst"], "left").select("path", "depth", F.coalesce("symbols", F.array().cast("array<string>")).alias("symbols"))
+
+
 def dependency_trace(corpus: Corpus, path: str, direction: str = "both", max_depth: int = 3, unused: bool = True) -> dict[str, DataFrame]:
-    """Chains forward and backward, cycles, unused imports and exports of a file, and the number of files in chains."""
+    """Chains forward (with the symbols of their last import) and backward, cycles, unused imports and exports of a file,
+    and the number of files in chains."""
     edges = corpus.edges("trace")
     out = {}
     if direction in ("forward", "both"):
-        out["forward"] = graph.chains(edges, path, max_depth)
+        out["forward"] = _with_symbols(corpus, graph.chains(edges, path, max_depth))
     if direction in ("backward", "both"):
-        out["backward"] = graph.chains(graph.reverse(edges), path, max_depth)
+        out["backward"] = graph.chains(graph.reverse(edges), path, max_depth).withColumn("symbols", F.array().cast("array<string>"))
     every = None
     for chains in out.values():
-        every = chains if every is None else every.unionByName(chains).dropDuplicates(["path"])
+        chains = chains.select("path")
+        every = chains if every is None else every.unionByName(chains)
     out["summary"] = every.select(F.explode("path").alias("file")).agg(F.countDistinct("file").alias("n_files"))
     out["cycles"] = graph.cycles(edges, path)
     if unused:
@@ -141,8 +152,8 @@ def type_abstraction(corpus: Corpus) -> dict[str, DataFrame]:
     return {"found": found, "changes": types.source_changes(corpus.files, found).unionByName(types.type_files(found))}
 
 
-def suggestions(replies: DataFrame, most: int = 5) -> DataFrame:
-    return reports.suggestions(replies, most=most)
+def suggestions(replies: DataFrame, file: str = "", most: int = 5) -> DataFrame:
+    return reports.suggestions(replies, file=file, most=most)
 
 
 def validation(logs: dict[str, DataFrame]) -> dict[str, DataFrame]:

@@ -81,12 +81,18 @@ def with_metrics(files: DataFrame) -> DataFrame:
 
 
 def _empty_files(found: DataFrame) -> DataFrame:
-    """Rows of the files of length 0, which a scan of contents never opens; from the listing that the scan made."""
+    """Rows of the files of length 0, which a scan of contents never opens; from the names that the scan listed."""
     names = [(unquote(p),) for p in found.inputFiles()]
     every = found.sparkSession.createDataFrame(names, "path string")
     key = F.regexp_replace("path", r"^([a-z0-9]+):/+", "$1:/")
     rest = every.withColumn("k", key).join(found.select(key.alias("k")), "k", "left_anti")
-    return rest.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"), F.lit(b"").alias("content"))
+    return rest.select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.lit(0).cast("bigint").alias("length"))
+
+
+def _endings(include: tuple[str, ...]) -> str | None:
+    """One glob for the names that ``include`` can match, where each of its globs ends in an extension."""
+    found = [re.fullmatch(r"(?:.*/)?\*(\.[A-Za-z0-9]+)", g) for g in include]
+    return "*{" + ",".join(m[1] for m in found) + "}" if found and all(found) else None
 
 
 def scan(
@@ -95,24 +101,46 @@ def scan(
 ) -> DataFrame:
     """The files of a tree, in the order of their paths up to ``max_files`` (None: all) *before* the language gate.
 
-    Size and path conditions are applied to the listing; contents are read only of files that pass.
+    Names come first: size, path, order and language are decided on a listing without contents, from which names with
+    other endings are left out at once.  Then contents are read of the chosen files alone, whose names the driver gets,
+    as it does any listing.
     """
     globs = all_excludes(root) if exclude is None else list(exclude)
-    base = os.path.abspath(root) if "://" not in root else root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    base = os.path.abspath(root) if "://" not in root and not root.startswith("file:") else re.sub(r"^file:/*", "/", root).rstrip("/")
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    ending = _endings(include)
+    found = (reader.option("pathGlobFilter", ending) if ending else reader).load(_literal(root)).select("path", "modificationTime", "length")
     plain = F.regexp_replace("path", r"^file:/*", "/")
-    listed = found.filter(F.col("length") <= max_file_size).withColumn("path", plain)
-    listed = listed.unionByName(_empty_files(found).withColumn("path", plain))
-    listed = listed.withColumn("relative_path", F.expr(f"substring(path, {len(base) + 2})"))
-    listed = listed.filter(any_glob(F.col("relative_path"), include) & ~any_glob(F.col("relative_path"), globs))
-    kept = listed.dropDuplicates(["path"])
+    listed = found.filter(F.col("length") <= max_file_size).unionByName(_empty_files(found)).withColumn("at", plain)
+    listed = listed.withColumn("relative_path", F.expr(f"substring(at, {len(base) + 2})"))
+    kept = listed.filter(any_glob(F.col("relative_path"), include) & ~any_glob(F.col("relative_path"), globs))
     if max_files is not None:
-        kept = kept.orderBy("path").limit(max_files)
-    kept = kept.filter(fx.language(F.col("path")).isin(*languages))
-    read = kept.select("path", "relative_path", F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.decode("content", "UTF-8").alias("content"))
+        kept = kept.orderBy("at").limit(max_files)
+    kept = kept.filter(fx.language(F.col("at")).isin(*languages))
+    chosen = kept.select("path", "at", "length", "modificationTime").collect()
+    filled = [_literal(r["path"]) for r in chosen if r["length"]]
+    none = spark.createDataFrame([(r["path"], r["modificationTime"], 0, bytearray()) for r in chosen if not r["length"]], "path string, modificationTime timestamp, length bigint, content binary")
+    rows = spark.read.format("binaryFile").load(filled).select("path", "modificationTime", "length", "content").unionByName(none) if filled else none
+    rows = rows.withColumn("path", plain)
+    read = rows.select("path", F.expr(f"substring(path, {len(base) + 2})").alias("relative_path"), F.col("length").alias("size"), F.col("modificationTime").alias("last_modified"), F.decode("content", "UTF-8").alias("content"))
     return with_metrics(read)
 
 
+def _literal(path: str) -> str:
+    """A path whose characters stand for themselves where a reader takes globs."""
+    return re.sub(r"([\[\]{}*?\\])", r"\\\1", path)
+
+
+def write_tree(spark: SparkSession, root: str, rows: list[tuple[str, str]]) -> None:
+    """Write a few files (path below ``root``, content) from the driver, to any store that Spark reads."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    system = place(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    for path, content in rows:
+        out = system.create(place(place(root), path))
+        out.write(bytearray(content.encode()))
+        out.close()
+
+
 def from_rows(spark: SparkSession, rows: list[tuple[str, str]], root: str = "/") -> DataFrame:
     """A corpus from (path, content) rows."""
     df = spark.createDataFrame(rows, "path string, content string")

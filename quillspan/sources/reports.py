@@ -80,21 +80,46 @@ def log_errors(lines: DataFrame, kind: str, column: str = "value", order: str =
     return _capped(rows, fallback, kind, most)
 
 
-def suggestions(replies: DataFrame, column: str = "value", most: int = 5) -> DataFrame:
-    """Suggestions in replies of a language model: a fenced (or bare) JSON array or an object that holds one.
+#: Fixed: what a risk score below each bound says of the impact, the last one for all above.
+IMPACTS = ((20, "Low risk, minimal impact"), (50, "Medium risk, affects a few files"), (80, "High risk, affects many files"), (None, "Very high risk, requires careful review"))
+_ITEM = "struct<type:string,title:string,description:string,startLine:bigint,endLine:bigint,riskScore:double,autoApplicable:boolean,reasoning:string,priority:string>"
+_JSON = {"mode": "PERMISSIVE", "allowSingleQuotes": "false"}
 
-    Fields that are missing get defaults; ids are by position; a reply that can't be read is one row with its text.
+
+def suggestions(replies: DataFrame, column: str = "value", file: str = "", most: int = 5) -> DataFrame:
+    """Suggestions in replies of a language model: a JSON object with an array ``suggestions``, in a json fence or bare.
+
+    Fields that are missing or empty get defaults (a risk score or a line that is no number counts as missing); ids are
+    by position.  Anything else, a bare array or a null suggestion too, gives one row, ``error-1``, with the reason.
+    Other columns of ``replies`` are passed on.
     """
-    text = F.col(column)
-    fenced = F.regexp_extract(text, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    body = F.when(fenced != "", fenced).otherwise(text)
-    item = "struct<title:string,type:string,priority:string,description:string,impact:string,effort:string,code:string>"
-    parsed = F.coalesce(F.from_json(body, f"array<{item}>", {"mode": "PERMISSIVE"}), F.from_json(body, f"struct<suggestions:array<{item}>>")["suggestions"])
-    usable = F.filter(parsed, lambda x: x.isNotNull() & F.coalesce(x["title"], x["description"]).isNotNull())
-    fallback = F.array(F.struct(*[F.lit(v).alias(k) if v is not None else trim(text).alias(k) for k, v in (("title", "Reply"), ("type", "general"), ("priority", "medium"), ("description", None), ("impact", "unknown"), ("effort", "unknown"), ("code", ""))]))
-    rows = replies.select(F.posexplode(F.slice(F.when(F.size(usable) > 0, usable).otherwise(fallback), 1, most)).alias("pos", "s"))
-    filled = {"title": "Suggestion", "type": "general", "priority": "medium", "description": "", "impact": "unknown", "effort": "unknown", "code": ""}
-    return rows.select(F.concat(F.lit("suggestion-"), F.col("pos") + 1).alias("id"), *[F.coalesce(F.col(f"s.{k}"), F.lit(v)).alias(k) for k, v in filled.items()])
+    fence = r"(?s)```json\s*(.*?)\s*```"
+    body = trim(F.when(F.col(column).rlike(fence), F.regexp_extract(column, fence, 1)).otherwise(F.col(column)))
+    whole = body.startswith("{") & body.endswith("}")
+    raw = F.from_json(body, "struct<suggestions:array<string>>", _JSON)["suggestions"]
+    parsed = F.from_json(body, f"struct<suggestions:array<{_ITEM}>>", _JSON)["suggestions"]
+    good = whole & raw.isNotNull() & ~F.exists(raw, lambda x: x.isNull())
+    reason = F.when(~F.coalesce(whole, F.lit(False)), "Error: the reply holds no JSON object").otherwise("Error: the reply holds no array of suggestions")
+    rows = replies.withColumns({"__good": F.coalesce(good, F.lit(False)), "__reason": reason, "__all": F.slice(F.coalesce(parsed, F.array().cast(f"array<{_ITEM}>")), 1, most)})
+    keys = [F.col(f"`{c}`") for c in replies.columns if c != column]
+    some = rows.filter("__good").select(*keys, F.posexplode("__all").alias("__pos", "s"))
+    text = lambda name, default: F.when(F.coalesce(F.col(f"s.{name}"), F.lit("")) == "", default).otherwise(F.col(f"s.{name}"))
+    risk = F.when(F.coalesce(F.col("s.riskScore"), F.lit(0.0)) == 0, 50.0).otherwise(F.col("s.riskScore"))
+    impact = F.lit(IMPACTS[-1][1])
+    for bound, said in reversed(IMPACTS[:-1]):
+        impact = F.when(risk < bound, said).otherwise(impact)
+    line = lambda name: F.coalesce(F.col(f"s.{name}"), F.lit(0)).cast("int")
+    found = some.select(
+        *keys, F.concat(F.lit("suggestion-"), F.col("__pos") + 1).alias("id"), text("type", "unknown").alias("type"), text("title", "Untitled suggestion").alias("title"), text("description", "").alias("description"),
+        F.lit(file).alias("file"), line("startLine").alias("start_line"), line("endLine").alias("end_line"), impact.alias("estimated_impact"), risk.alias("risk_score"),
+        F.coalesce("s.autoApplicable", F.lit(False)).alias("auto_applicable"), text("reasoning", "").alias("reasoning"), text("priority", "medium").alias("priority"),
+    )
+    none = rows.filter("not __good").select(
+        *keys, F.lit("error-1").alias("id"), F.lit("analysis-error").alias("type"), F.lit("Unable to parse suggestions").alias("title"), F.lit("The reply could not be read; ask again.").alias("description"),
+        F.lit(file).alias("file"), F.lit(0).alias("start_line"), F.lit(0).alias("end_line"), F.lit("Unknown").alias("estimated_impact"), F.lit(0.0).alias("risk_score"),
+        F.lit(False).alias("auto_applicable"), F.col("__reason").alias("reasoning"), F.lit("low").alias("priority"),
+    )
+    return found.unionByName(none)
 
 
 def changes(spark: SparkSession, rows: list[tuple[str, str, str | None]]) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from quillspan.functions import scores
 from quillspan.operators import diffs, findings, graph, refactor, scripts, types
 from quillspan.operators import symbols as sym
 from quillspan.plans import report, samples, tools
@@ -221,9 +222,45 @@ def test_reports(spark):
     assert [(r.n, r.message) for r in reports.log_errors(logs, "lint").collect()] == [(-1, "lint failed")]
     many = spark.createDataFrame([(k, f"FAIL {k}") for k in range(30)], "n int, value string")
     assert reports.log_errors(many, "test").count() == 10
-    replies = spark.createDataFrame([('Here:\n```json\n[{"title": "A"}, {"description": "b", "priority": "high"}]\n```',)], "value string")
-    assert [(r.id, r.title, r.priority) for r in reports.suggestions(replies).collect()] == [("suggestion-1", "A", "medium"), ("suggestion-2", "Suggestion", "high")]
-    assert reports.suggestions(spark.createDataFrame([("sorry",)], "value string")).first().description == "sorry"
+    replies = spark.createDataFrame([('Here:\n```json\n{"suggestions": [{"title": "A"}, {"description": "b", "priority": "high", "riskScore": 10}]}\n```',)], "value string")
+    assert [(r.id, r.title, r.type, r.priority, r.risk_score) for r in reports.suggestions(replies).collect()] == [("suggestion-1", "A", "unknown", "medium", 50.0), ("suggestion-2", "Untitled suggestion", "unknown", "high", 10.0)]
+    for bad in ("sorry", '[{"title": "A"}]', '{"suggestions": "none"}', '{"suggestions": [null]}', None):
+        one = reports.suggestions(spark.createDataFrame([(bad,)], "value string")).collect()
+        assert [(r.id, r.type, r.priority, r.risk_score) for r in one] == [("error-1", "analysis-error", "low", 0.0)]
+
+
+def test_shown_numbers_round_the_binary_value(spark):
+    from decimal import ROUND_HALF_UP, Decimal
+
+    values = [1.005, 1.45, 0.125, 2.5, -1.005, 1234.565, 0.0, 1e-9, 123456.785] + [k / d for k in range(400) for d in (7, 8, 40, 200, 1000)]
+    rows = spark.createDataFrame([(x,) for x in values], "x double").select("x", scores.shown(F.col("x"), 2).alias("two"), scores.shown(F.col("x"), 1).alias("one")).collect()
+    for r in rows:
+        assert r.two == str(Decimal(r.x).quantize(Decimal("0.01"), ROUND_HALF_UP)) and r.one == str(Decimal(r.x).quantize(Decimal("0.1"), ROUND_HALF_UP))
+    assert rows[0].two == "1.00" and rows[1].one == "1.4"
+
+
+def test_strong_components_and_counts(spark):
+    rng = random.Random(4)
+    edges = list({(rng.randrange(40), rng.randrange(40)) for _ in range(52)})
+    after = {n: set() for e in edges for n in e}
+    for n in after:
+        pending = [n]
+        while pending:
+            x = pending.pop()
+            for a, b in edges:
+                if a == x and b not in after[n]:
+                    after[n].add(b)
+                    pending.append(b)
+    df = spark.createDataFrame(edges, "src bigint, dst bigint")
+    assert {r.node for r in graph.cycle_members(df).collect()} == {n for n in after if n in after[n]}
+    assert {r.node: r.n for r in graph.counts_before(df).collect()} == {n: sum(n in after[m] for m in after if m != n) for n in after}
+
+
+def test_chains_name_their_symbols(spark):
+    files = [("/p/a.ts", "import { f, g as h } from './b';\nimport d from './c';\n"), ("/p/b.ts", "import { k } from './c';\nexport const f = 1;\nexport const g = 2;\n"), ("/p/c.ts", "export const k = 1;\n")]
+    got = tools.dependency_trace(Corpus(source.from_rows(spark, files)), "/p/a.ts", unused=False)
+    assert {tuple(r.path): r.symbols for r in got["forward"].collect()} == {("/p/a.ts", "/p/b.ts"): ["f", "g"], ("/p/a.ts", "/p/c.ts"): [], ("/p/a.ts", "/p/b.ts", "/p/c.ts"): ["k"]}
+    assert got["summary"].first().n_files == 3
 
 
 def test_coverage_tools(spark):
