@@ -78,6 +78,11 @@ def index_stats(files: DataFrame) -> DataFrame:
 
 
 def complexity_summary(files: DataFrame, threshold: int = 10) -> DataFrame:
-    """One row: average, maximum and the files above the threshold."""
-    above = F.array_sort(F.collect_list(F.when(F.col("complexity") > threshold, F.col("relative_path"))))
-    return files.agg(F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), F.greatest(F.coalesce(F.max("complexity"), F.lit(0)), F.lit(0)).alias("max_complexity"), above.alias("above"))
+    """One row: average, maximum and the number of files above the threshold; ``complex_files`` names them."""
+    above = F.count_if(F.col("complexity") > threshold).alias("n_above")
+    return files.agg(F.coalesce(F.avg("complexity"), F.lit(0.0)).alias("average_complexity"), F.greatest(F.coalesce(F.max("complexity"), F.lit(0)), F.lit(0)).alias("max_complexity"), above)
+
+
+def complex_files(files: DataFrame, threshold: int = 10) -> DataFrame:
+    """relative_path and complexity of the files above the threshold."""
+    return files.filter(F.col("complexity") > threshold).select("relative_path", "complexity")

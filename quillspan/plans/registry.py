@@ -811,3 +811,38 @@ used AS (SELECT DISTINCT name FROM words WHERE path = '/app/src/main.ts' AND lin
 SELECT string_agg(name, ',' ORDER BY name) AS parameters, 'each(' || string_agg(name, ', ' ORDER BY name) || ');' AS call, CASE WHEN (SELECT count(*) FROM part WHERE regexp_matches(t, 'return|=[^>=]')) = 0 THEN 'void' ELSE 'any' END AS return_type FROM used""")
 def extracted_call(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_function(spark, sf_dir).select(F.array_join("parameters", ",").alias("parameters"), "call", "return_type")
+
+
+# the same operators at size: 10^5 files whose imports follow a rule
+
+_MANY = 100_000
+
+
+def _many_imports(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """File i lies in folder i mod 100 and imports files 2i + 1 and 2i + 2, but for every tenth file, which imports none."""
+    path = lambda i: F.concat(F.lit("/p/d"), i % 100, F.lit("/f"), i, F.when(i % 3 == 0, F.lit(".tsx")).otherwise(F.lit(".ts")))
+    files = spark.range(_MANY).select("id", path(F.col("id")).alias("path"))
+    told = files.filter("id % 10 != 3").select("path", F.explode(F.array(F.col("id") * 2 + 1, F.col("id") * 2 + 2)).alias("j"))
+    return files.select("path"), told.select("path", (F.col("j") % 2).cast("int").alias("ord"), F.concat(F.lit("../d"), F.col("j") % 100, F.lit("/x/../f"), F.col("j")).alias("source"))
+
+
+_MANY_SQL = f"""files AS (SELECT i, '/p/d' || i % 100 || '/f' || i || CASE WHEN i % 3 = 0 THEN '.tsx' ELSE '.ts' END AS path FROM range({_MANY}) t(i)),
+links AS (SELECT a.i AS i, a.path AS src, b.i AS j, b.path AS dst FROM files a JOIN files b ON b.i IN (2 * a.i + 1, 2 * a.i + 2) WHERE a.i % 10 <> 3)"""
+
+
+@_query(f"WITH {_MANY_SQL} SELECT src, dst FROM links")
+def resolve_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files, imports = _many_imports(spark)
+    return resolve.edges(resolve.resolve(imports, files, "graph"))
+
+
+@_query(f"WITH RECURSIVE {_MANY_SQL}, reached(i, path, depth) AS (SELECT i, path, 0 FROM files WHERE i = 0 UNION ALL SELECT l.j, l.dst, depth + 1 FROM reached r JOIN links l ON l.i = r.i) SELECT path, CAST(depth AS INT) AS depth FROM reached")
+def reach_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = resolve_many(spark, sf_dir)
+    return graph.reachable(edges, spark.createDataFrame([("/p/d0/f0.tsx",)], "node string")).select(F.col("node").alias("path"), "depth")
+
+
+@_query(f"WITH RECURSIVE {_MANY_SQL}, reached(i) AS (SELECT CAST(0 AS BIGINT) UNION ALL SELECT l.j FROM reached r JOIN links l ON l.i = r.i) SELECT path FROM files WHERE i NOT IN (SELECT i FROM reached)")
+def unreached_many(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that nothing reaches from the first one."""
+    return _many_imports(spark)[0].join(reach_many(spark, sf_dir).select("path"), "path", "left_anti")

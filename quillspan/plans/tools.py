@@ -24,14 +24,14 @@ def context(corpus: Corpus, path: str | None = None) -> dict[str, DataFrame]:
     """files, edges (context rule) and one row of complexity, safety and recommendations."""
     files = corpus.files if path is None else corpus.files.filter((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
     one = sym.complexity_summary(files)
-    above = F.size("above")
+    above = F.col("n_above")
     one = one.withColumn("safety", scores.safety(F.col("average_complexity"), above))
     said = _array(
         F.when(F.col("safety") < 60, F.lit("Cover the code with tests before changing it.")),
         F.when(above > 0, F.concat(above, F.lit(" files are above the complexity threshold; simplify them first."))),
         F.when(F.col("average_complexity") > 10, F.lit("Average complexity is high; change in small steps.")),
     )
-    return {"files": files, "edges": corpus.edges("context"), "summary": one.withColumns({"safety_label": scores.safety_label(F.col("safety")), "recommendations": said})}
+    return {"files": files, "edges": corpus.edges("context"), "above": sym.complex_files(files), "summary": one.withColumns({"safety_label": scores.safety_label(F.col("safety")), "recommendations": said})}
 
 
 def impact(corpus: Corpus, path: str, symbol: str | None = None) -> dict[str, DataFrame]:
