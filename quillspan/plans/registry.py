@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions import text as fx
 from ..operators import coverage as cov
-from ..operators import diffs, findings, graph, resolve
+from ..operators import diffs, findings, graph, resolve, types
 from ..operators import symbols as sym
 from ..operators.scripts import BUILT_IN, KEYWORDS
 from ..sources import corpus as source
@@ -645,13 +645,41 @@ def dead_code_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.find_dead_code(_sample(spark, "corrected"), ["/app/src/main.ts"])["findings"].drop("description", "suggestion")
 
 
-@_query()
-def type_abstractions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from ..operators import types
+def _types_sql(files: list, last: str) -> str:
+    """Definitions of types that begin a line and end with a brace alone in one, or with the line."""
+    code = _CODE.replace(_FILES, samples.values(files, "path, content"))
+    return f"""WITH {code},
+spans AS (SELECT d.path, d.name, d.is_exported, d.line AS a, CASE WHEN word = 'type' THEN d.line ELSE (SELECT min(z.line) FROM clean z WHERE z.path = d.path AND z.line > d.line AND z.raw = '}}') END AS z
+  FROM declared d JOIN files f ON f.path = d.path WHERE word IN ('interface', 'type') AND name <> '' AND len(string_split(content, chr(10))) >= 3 AND NOT regexp_matches(d.path, '[.]types[.]tsx?$|[.]d[.]ts$|(^|/)types[.]tsx?$')),
+bodies AS (SELECT s.path, s.name, s.is_exported, s.a, s.z, string_agg(c.raw, chr(10) ORDER BY c.line) AS body FROM spans s JOIN clean c ON c.path = s.path AND c.line BETWEEN s.a AND s.z GROUP BY s.path, s.name, s.is_exported, s.a, s.z),
+found AS (SELECT *, regexp_replace(path, '[^/]*$', '') || name || '.types.ts' AS target, CASE WHEN is_exported THEN '' ELSE 'export ' END || body AS content FROM bodies)
+{last}"""
+
 
+@_query(_types_sql(samples.FILES, """SELECT name AS type_name, path AS source_file, target AS target_file, content AS type_content, false AS is_centralized, 'import { ' || name || ' } from ''./' || name || '.types'';' AS import_statement, CAST(a - 1 AS INT) AS start_line, CAST(z - 1 AS INT) AS end_line FROM found"""))
+def type_abstractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return types.abstractions(_sample(spark).files, large=3)
 
 
+_CHANGES_SQL = """, heads AS (SELECT f.target, string_agg('import { ' || o.name || ' } from ''./' || o.name || '.types'';', chr(10) ORDER BY o.name) AS head FROM found f JOIN found o ON o.name <> f.name AND regexp_matches(f.content, '\\b' || o.name || '\\b') GROUP BY f.target),
+last AS (SELECT path, coalesce(max(line) FILTER (regexp_matches(t, '^import[ {]')), 0) AS line FROM clean GROUP BY path),
+pieces AS (
+  SELECT c.path, CASE WHEN c.line <= l.line THEN 0 ELSE 3 END AS part, c.line AS k, c.raw AS text FROM clean c JOIN last l ON l.path = c.path WHERE NOT EXISTS (SELECT 1 FROM found f WHERE f.path = c.path AND c.line BETWEEN f.a AND f.z)
+  UNION ALL SELECT path, 1, -a, 'import type { ' || name || ' } from ''./' || name || '.types'';' FROM found
+  UNION ALL SELECT path, 2, -a, 'export type { ' || name || ' } from ''./' || name || '.types'';' FROM found WHERE is_exported
+)
+SELECT path AS file_path, 'update' AS operation, string_agg(text, chr(10) ORDER BY part, k) AS new_content FROM pieces WHERE path IN (SELECT path FROM found) GROUP BY path
+UNION ALL SELECT f.target, 'create', coalesce(head || chr(10) || chr(10), '') || content FROM found f LEFT JOIN heads h ON h.target = f.target"""
+
+
+@_query(_types_sql(samples.TYPED, _CHANGES_SQL))
+def type_rewrites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sources without the definitions that are taken out, and the files that hold them, with imports across."""
+    files = source.from_rows(spark, samples.TYPED, samples.ROOT)
+    found = types.abstractions(files, large=3)
+    return types.source_changes(files, found).unionByName(types.type_files(found))
+
+
 @_query(f"""WITH {_CODE} SELECT w.path, w.line, regexp_replace(c.raw, '\\bfmt\\b', 'format', 'g') AS text FROM words w JOIN clean c ON c.path = w.path AND c.line = w.line WHERE w.name = 'fmt'""")
 def rename_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "format")["references"]

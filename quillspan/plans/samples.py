@@ -66,3 +66,9 @@ def _large(n: int) -> list[tuple[str, str]]:
 
 
 LARGE = _large(10)
+TYPED = [
+    ("/app/shop/order.ts", "import { pay } from './pay';\nimport { log } from '../log';\n\nexport interface Order {\n  id: number;\n  lines: Line[];\n  state: State;\n}\ninterface Line {\n  part: Part;\n}\nexport type State = 'open' | 'paid';\nexport function close(o: Order) {\n  pay(o);\n  log(o);\n}\n"),
+    ("/app/shop/part.ts", "export const NONE = 0;\nexport type Part = { weight: number; kind: Kind };\nexport interface Kind {\n  name: string;\n}\n"),
+    ("/app/shop/plain.ts", "export const one = 1;\nexport const two = 2;\nexport const three = 3;\n"),
+    ("/app/shop/own.types.ts", "export interface Own {\n  x: number;\n}\n"),
+]
