@@ -114,8 +114,12 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows:
     ids = ids.withColumn("key", key)
     keys = durable(ids.select("key"), "keys")
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
-    ranges = min(keys.count() // rows + 1, max(parts, min(16 * parts, 20_000)))
-    inner = keys.repartitionByRange(ranges, *_order()).groupBy(F.spark_partition_id()).agg(F.first("key").alias("key")).select("key")
+    wanted = min(keys.count() // rows + 1, max(parts, min(16 * parts, 20_000)))
+    each = -(-wanted // parts)  # edges of a partition, evenly spaced along it
+    placed = durable(keys.repartitionByRange(min(parts, wanted), *_order()).withColumn("part", F.spark_partition_id()), "placed")
+    along = Window.partitionBy("part")
+    spaced = placed.withColumns({"r": F.row_number().over(along.orderBy(*_order())) - 1, "n": F.count(F.lit(1)).over(along)})
+    inner = spaced.filter(F.floor(F.col("r") * each / F.col("n")) != F.floor((F.col("r") - 1) * each / F.col("n"))).select("key")
     found = [r["key"] for r in inner.union(keys.orderBy(*_order()).limit(1)).distinct().orderBy(*_order()).collect()]
     if not found:
         found = [{"none": True, "id": None, "begin": "", "hash": 0}]
