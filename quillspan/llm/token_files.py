@@ -214,14 +214,14 @@ def write(
 
     total = rows.count()
     share = min(1.0, sample_rows / max(total, 1))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("text"), F.lit("dictionary")), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select("text")
+    picked = rows.filter(F.pmod(F.xxhash64(F.col("text"), F.lit("dictionary")), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select("text").distinct()
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = chunk_encoder(shared.value, dtype)
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([e.encode(t.as_py()) + end for t in batch.column(0)], pa.binary())], ["ids"])
 
-    dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").distinct().limit(2 * sample_rows).collect()], dictionary_bytes)
+    dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").limit(2 * sample_rows).collect()], dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
     trained = spark.sparkContext.broadcast(dictionary)
 
