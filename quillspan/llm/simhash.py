@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from .common import durable, small
 
 SHINGLE, RADIUS = 4, 4
-LEAF, SHARD, MOST, PIECES = 8, 128, 512, 8
+LEAF, SHARD, MOST, PIECES = 8, 128, 256, 16
 BANDS, ROWS, FIRST = 16, 4, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
