@@ -20,6 +20,11 @@ def _array(*said) -> F.Column:
     return F.array_compact(F.array(*said))
 
 
+def _or_good(said: F.Column, good: str) -> F.Column:
+    """``said``, or one text where there is nothing to say."""
+    return F.when(F.size(said) > 0, said).otherwise(F.array(F.lit(good)))
+
+
 def context(corpus: Corpus, path: str | None = None) -> dict[str, DataFrame]:
     """files, edges (context rule) and one row of complexity, safety and recommendations."""
     files = corpus.files if path is None else corpus.files.filter((F.col("path") == path) | F.col("path").startswith(path.rstrip("/") + "/"))
@@ -27,9 +32,9 @@ def context(corpus: Corpus, path: str | None = None) -> dict[str, DataFrame]:
     above = F.col("n_above")
     one = one.withColumn("safety", scores.safety(F.col("average_complexity"), above))
     said = _array(
-        F.when(F.col("safety") < 60, F.lit("Cover the code with tests before changing it.")),
+        F.when(F.col("safety") < 70, F.lit("Raise test coverage and lower complexity before changing the code.")),
         F.when(above > 0, F.concat(above, F.lit(" files are above the complexity threshold; simplify them first."))),
-        F.when(F.col("average_complexity") > 10, F.lit("Average complexity is high; change in small steps.")),
+        F.lit("Cover the code with tests before changing it."),  # coverage is not measured here and counts as 0
     )
     return {"files": files, "edges": corpus.edges("context"), "above": sym.complex_files(files), "summary": one.withColumns({"safety_label": scores.safety_label(F.col("safety")), "recommendations": said})}
 
@@ -52,12 +57,13 @@ def impact(corpus: Corpus, path: str, symbol: str | None = None) -> dict[str, Da
     counts = rows.agg(total("direct").alias("direct"), total("transitive").alias("transitive"), F.when(total("tested") > 0, 80.0).otherwise(0.0).alias("coverage"), total("complexity").alias("complexity"))
     one = counts.withColumns({"total": F.col("direct") + F.col("transitive"), "risk": scores.risk(F.col("direct"), F.col("transitive"), F.col("complexity"), F.col("coverage"))})
     said = _array(
-        F.when(F.col("risk") > 70, F.lit("High risk: set a checkpoint and change in small steps.")).when(F.col("risk") > 40, F.lit("Medium risk: run the tests after each step.")),
-        F.when(F.col("coverage") == 0, F.lit("The file has no test; add one first.")),
-        F.when(F.col("total") > 10, F.lit("Many files depend on this one; keep its interface.")),
-        F.lit(f"Look for all uses of {symbol}.") if symbol else F.lit(None).cast("string"),
+        F.when(F.col("risk") > 70, F.lit("High risk: break the change into small ones.")),
+        F.when(F.col("coverage") < 50, F.lit("The file has no test; add one first.")),
+        F.when(F.col("direct") > 10, F.concat("direct", F.lit(" files import this one; set a checkpoint before the change."))),
+        F.when(F.col("transitive") > 20, F.lit("Many files depend on this one at some remove; go in steps and run the tests after each.")),
+        F.lit(f"Rename {symbol} by a tool that finds all its uses.") if symbol else F.lit(None).cast("string"),
     )
-    return {"direct": direct, "transitive": far, "summary": one.withColumns({"risk_label": scores.risk_label(F.col("risk")), "recommendations": said})}
+    return {"direct": direct, "transitive": far, "summary": one.withColumns({"risk_label": scores.risk_label(F.col("risk")), "recommendations": _or_good(said, "Low risk: go ahead.")})}
 
 
 def analyze(corpus: Corpus, path: str | None = None) -> dict[str, DataFrame]:
@@ -72,6 +78,7 @@ def analyze(corpus: Corpus, path: str | None = None) -> dict[str, DataFrame]:
             kind("function-too-complex", " functions branch too much."),
             kind("function-too-long", " functions are too long."),
             kind("class-too-large", " classes have too many methods."),
+            F.when(F.count(F.lit(1)) > 0, F.lit("Set a checkpoint before the changes and run the checks after them.")),
         ).alias("recommendations")
     )
     return {"opportunities": found, "summary": findings.severity_summary(found), "recommendations": said}
@@ -112,9 +119,10 @@ def find_dead_code(corpus: Corpus, entries: list[str]) -> dict[str, DataFrame]:
     kind = lambda x, text: F.when(F.count_if(F.col("type") == x) > 0, F.concat(F.count_if(F.col("type") == x), F.lit(text)))
     said = found.agg(
         _array(
-            F.when(F.count(F.lit(1)) == 0, F.lit("Nothing is unused.")),
-            kind("unused-export", " exports or files are not used; remove them or keep them private."),
             kind("unused-import", " imports are not used; remove them."),
+            kind("unused-export", " exports or files are not used; look at them."),
+            F.when(F.count_if(F.col("confidence") == "high") > 0, F.concat(F.count_if(F.col("confidence") == "high"), F.lit(" findings are certain; begin with them."))),
+            F.when(F.count(F.lit(1)) == 0, F.lit("Nothing is unused.")),
         ).alias("recommendations")
     )
     return {"findings": found, "summary": findings.dead_code_summary(found), "safe": findings.safe_to_remove(found), "top": findings.top_files(found), "recommendations": said}
@@ -180,12 +188,12 @@ def project_health(corpus: Corpus, mode: str | None = None) -> DataFrame:
     total = F.col("type_abstractions") + F.col("complex_functions") + F.col("duplicate_code")
     one = one.withColumn("score", scores.health(F.col("average_complexity"), F.col("test_coverage"), total))
     said = _array(
-        F.when(F.col("average_complexity") > 10, F.lit("Reduce complexity.")),
-        F.when(F.col("test_coverage") < 50, F.lit("Add tests.")),
-        F.when(F.col("type_abstractions") > 0, F.lit("Move types out of code files.")),
-        F.when(F.col("score") >= 80, F.lit("The project is in good health.")),
+        F.when(F.col("test_coverage") < 50, F.concat(F.lit("Add tests: coverage is "), scores.shown(F.col("test_coverage")), F.lit("%."))),
+        F.when(F.col("average_complexity") > 10, F.concat(F.lit("Reduce complexity: on average it is "), scores.shown(F.col("average_complexity")), F.lit("."))),
+        F.when(F.col("type_abstractions") > 0, F.concat("type_abstractions", F.lit(" files hold types that could move out."))),
+        F.when(F.col("complex_functions") > 10, F.concat("complex_functions", F.lit(" functions branch too much; take them apart."))),
     )
-    return one.withColumn("recommendations", said)
+    return one.withColumn("recommendations", _or_good(said, "The project is in good health."))
 
 
 def language_gate(files: DataFrame, languages: tuple[str, ...] = source.LANGUAGES) -> DataFrame:

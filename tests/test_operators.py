@@ -332,3 +332,16 @@ def test_numbers_follow_the_order(spark):
     got = numbered(spark.createDataFrame(rows, "x int").repartition(5), [F.col("x")], "n").collect()
     assert {(r.x, r.n) for r in got} == {(k, k + 1) for k in range(1000)}
     assert numbered(spark.createDataFrame([], "x int"), [F.col("x")], "n").count() == 0
+
+
+def test_recommendations_follow_their_conditions(spark):
+    busy = [(f"/p/u{k}.ts", "import { a } from './a';\n") for k in range(11)]
+    c = Corpus(source.from_rows(spark, [("/p/a.ts", "export const a = 1;\n"), ("/p/a.test.ts", "import { a } from './a';\n"), *busy]))
+    one = tools.impact(c, "/p/a.ts", "a")["summary"].first()
+    assert one.direct == 12 and one.coverage == 80.0 and len(one.recommendations) == 2  # many importers, and the symbol
+    assert tools.impact(c, "/p/a.test.ts")["summary"].first().recommendations == ["The file has no test; add one first."]
+    dead = tools.find_dead_code(c, ["/p/u0.ts"])["recommendations"].first()[0]
+    assert len(dead) == 2 and dead[0].endswith("imports are not used; remove them.")
+    health = tools.project_health(c).first()
+    assert health.recommendations == [f"Add tests: coverage is {100 / 12:.1f}%."]
+    assert len(tools.context(c)["summary"].first().recommendations) >= 1 and tools.context(c)["above"].count() == 0
