@@ -611,6 +611,23 @@ def grouped_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 # text transforms and tools: T1 to T9, X1, X7 to X14, A3, A9, A10
 
 
+@_query("""WITH RECURSIVE c AS (SELECT conv_id, text, lag(text) OVER w AS old, row_number() OVER w AS k FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn, text)),
+p AS (SELECT 'c/' || conv_id || '/' || k AS file_path, CASE WHEN old IS NULL THEN 'create' ELSE 'update' END AS operation, string_split(coalesce(old, ''), chr(10)) AS a, string_split(text, chr(10)) AS b FROM c),
+steps(file_path, i, j, plus, minus) AS (
+  SELECT file_path, 1, 1, 0, 0 FROM p WHERE operation = 'update'
+  UNION ALL
+  SELECT file_path, CASE WHEN same OR NOT adds THEN i + 1 ELSE i END, CASE WHEN same OR adds THEN j + 1 ELSE j END, CASE WHEN NOT same AND adds THEN plus + 1 ELSE plus END, CASE WHEN NOT same AND NOT adds THEN minus + 1 ELSE minus END
+  FROM (SELECT s.*, i <= len(a) AND j <= len(b) AND a[i] = b[j] AS same,
+          j <= len(b) AND (i > len(a) OR coalesce(j + nullif(list_position(b[j:], a[i]), 0), 1000000000) < coalesce(i + nullif(list_position(a[i:], b[j]), 0), 1000000000)) AS adds
+        FROM steps s JOIN p USING (file_path) WHERE i <= len(a) OR j <= len(b))
+)
+SELECT file_path, operation, CAST(plus AS INT) AS additions, CAST(minus AS INT) AS deletions FROM steps JOIN p USING (file_path) WHERE i > len(a) AND j > len(b)
+UNION ALL SELECT file_path, operation, CAST(len(b) AS INT), CAST(0 AS INT) FROM p WHERE operation = 'create'""")
+def diff_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines added and deleted from turn to turn, by the greedy rule."""
+    return diff_preview(spark, sf_dir).select("file_path", "operation", "additions", "deletions")
+
+
 @_query()
 def diff_preview(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each turn of a conversation against the one before, as diffs of one text."""
@@ -685,9 +702,16 @@ def rename_references(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "format")["references"]
 
 
-@_query()
+_EXTRACT_SQL = f"""WITH {_CODE}, part AS (SELECT * FROM clean WHERE path = '/app/src/main.ts' AND line BETWEEN 9 AND 11),
+used AS (SELECT DISTINCT name FROM words WHERE path = '/app/src/main.ts' AND line BETWEEN 9 AND 11 AND name NOT IN ({', '.join(map(samples.quoted, BUILT_IN))}) AND name NOT IN (SELECT regexp_extract(t, '(?:const|let|var)\\s+([a-z]+)', 1) FROM part)),
+one AS (SELECT (SELECT string_agg(raw, chr(10) ORDER BY line) FROM part) AS code, string_agg(name, ',' ORDER BY name) AS parameters, string_agg(name || ': any', ', ' ORDER BY name) AS typed, string_agg(name, ', ' ORDER BY name) AS listed FROM used)
+SELECT code, parameters, CASE WHEN regexp_matches(code, 'return|[^=<>!]=[^>=]') THEN 'any' ELSE 'void' END AS return_type, CAST(NULL AS VARCHAR) AS return_variable, 'function each(' || typed || ') {{' || chr(10) || code || chr(10) || '}}' AS signature, 'each(' || listed || ');' AS call FROM one"""
+
+
+@_query(_EXTRACT_SQL)
 def extract_function(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tools.extract(_sample(spark), "/app/src/main.ts", 9, 11, "each")
+    rows = tools.extract(_sample(spark), "/app/src/main.ts", 9, 11, "each")
+    return rows.withColumn("parameters", F.array_join("parameters", ","))
 
 
 @_query(f"""WITH RECURSIVE {_CODE}, {_graph_sql("impact")}, above(node) AS (SELECT src FROM links WHERE dst = '/app/src/util/format.ts' UNION SELECT src FROM above JOIN links ON dst = node),
@@ -834,11 +858,9 @@ def renamed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tools.rename(_sample(spark), "/app/src/util/format.ts", "fmt", "show")["references"]
 
 
-@_query(f"""WITH {_CODE}, part AS (SELECT t FROM clean WHERE path = '/app/src/main.ts' AND line BETWEEN 9 AND 11),
-used AS (SELECT DISTINCT name FROM words WHERE path = '/app/src/main.ts' AND line BETWEEN 9 AND 11 AND name NOT IN ({', '.join(map(samples.quoted, BUILT_IN))}) AND name NOT IN (SELECT regexp_extract(t, '(?:const|let|var)\\s+([a-z]+)', 1) FROM part))
-SELECT string_agg(name, ',' ORDER BY name) AS parameters, 'each(' || string_agg(name, ', ' ORDER BY name) || ');' AS call, CASE WHEN (SELECT count(*) FROM part WHERE regexp_matches(t, 'return|=[^>=]')) = 0 THEN 'void' ELSE 'any' END AS return_type FROM used""")
+@_query(f"SELECT parameters, call, return_type FROM ({_EXTRACT_SQL})")
 def extracted_call(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return extract_function(spark, sf_dir).select(F.array_join("parameters", ",").alias("parameters"), "call", "return_type")
+    return extract_function(spark, sf_dir).select("parameters", "call", "return_type")
 
 
 # the same operators at size: 10^5 files whose imports follow a rule
