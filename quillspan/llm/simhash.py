@@ -37,7 +37,7 @@ from collections.abc import Callable, Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .common import durable, small
@@ -289,6 +289,19 @@ def _wide(shard: pa.Table, names: list[str]) -> list[int]:
     return out
 
 
+def _masks(hashes: np.ndarray, ends: np.ndarray, room: int = 1 << 25) -> list[int]:
+    """Each set of a shard as an integer with a bit for each different hash; none for few sets, or beyond ``room`` bits."""
+    n = len(ends) - 1
+    if n <= 8:
+        return []
+    every, index = np.unique(hashes[ends[0] : ends[-1]], return_inverse=True)
+    if n * len(every) > room:
+        return []
+    bits = np.zeros((n, len(every)), bool)
+    bits[np.repeat(np.arange(n), np.diff(ends)), index] = True
+    return [int.from_bytes(row.tobytes()) for row in np.packbits(bits, axis=1)]
+
+
 def _searched(rows: DataFrame, names: list[str], radius: int, similarity: float | None) -> DataFrame:
     """a and b: a forest of the links in each shard of ``rows`` (choice, key, cut, node, part, ``names`` and, for a
     similarity, n and shingles).  Rows are dealt out by shard and sorted, so a task holds one shard at a time."""
@@ -304,13 +317,18 @@ def _searched(rows: DataFrame, names: list[str], radius: int, similarity: float
         lists = shard.column("shingles").combine_chunks()
         hashes, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
 
+        masks = _masks(hashes, ends)
+
         def same(a: int, b: int) -> bool:
             if part[a] == part[b]:
                 return True
             if min(n[a], n[b]) < similarity * max(n[a], n[b]) * (1 - 1e-9):
                 return False
-            x, y = hashes[ends[a] : ends[a + 1]], hashes[ends[b] : ends[b + 1]]
-            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
+            if masks:
+                shared = (masks[a] & masks[b]).bit_count()
+            else:
+                x, y = hashes[ends[a] : ends[a + 1]], hashes[ends[b] : ends[b + 1]]
+                shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum()) if len(x) else 0
             return shared >= similarity * (n[a] + n[b] - shared)
 
         return [(a, b) for a, b in forest(_wide(shard, names), radius, same) if part[a] != part[b]]
@@ -390,23 +408,23 @@ def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, most: i
 def connected(links: DataFrame) -> DataFrame:
     """f and root (the least of its component) for every end of a link but the roots, by alternating large and small stars.
 
-    The ends are of any type with an order.  Rounds go on until nothing changes; each is written to the shared folder.
+    The ends are of any type with an order.  Rounds go on until all that is left are stars around roots, which the counts
+    of a round's first table tell; each is written to the shared folder.
     Neighbours are never gathered: a star is a minimum for each node, summed up before the shuffle, and a plain join of
     two written tables, whose large partitions adaptive execution splits where a hub has many neighbours.
     """
     edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
-    before = None
     while True:
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = durable(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "least")
-        large = durable(both.join(least, "u").filter("v > u and v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
+        least, seen = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), Observation()
+        leaf = (F.col("n") == 1) & (F.col("m") < F.col("u"))
+        least = durable(least.observe(seen, F.sum("n").alias("ends"), F.count_if(leaf).alias("leaves")), "least")
+        if (seen.get["ends"] or 0) == 2 * seen.get["leaves"]:  # each link leads from a leaf to its root: nothing is left to do
+            return edges.select(F.col("u").alias("f"), F.col("v").alias("root"))
+        large = durable(both.join(least.select("u", "m"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
         small_least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(small_least, "u")
         edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
-        now = tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first())
-        if now == before:
-            return edges.groupBy(F.col("u").alias("f")).agg(F.min("v").alias("root"))
-        before = now
 
 
 def _row_order(doc_id: Column, t: Column) -> Column:
