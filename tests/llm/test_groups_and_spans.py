@@ -419,3 +419,26 @@ def test_held_out_languages(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows_ = li.identify(docs, li.held_out()).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
     assert sum(r.lang_pred == r.lang for r in rows_) / len(rows_) >= 0.95
+
+
+def test_sampling_takes_maps_and_repeated_ids(spark):
+    rng = random.Random(12)
+    rows_ = [(None if k % 3 == 0 else k % 7, "w " * rng.randint(1, 30), f"s{k % 4}", {"k": k % 5}) for k in range(400)] + [(1, "w w w", "s0", {"k": 1})] * 50
+    docs = spark.createDataFrame(rows_, "doc_id bigint, text string, source string, m map<string,int>").repartition(5)
+    out = mixing.sample(docs)
+    assert out.columns == docs.columns
+    got, planned = [r.text for r in out.collect()], mixing.plan(docs).collect()
+    assert len(got) == sum(r.copies for r in planned)
+    assert sorted(map(str, mixing.sample(docs.repartition(2)).collect())) == sorted(map(str, mixing.sample(docs).collect()))
+    words_of, target = Counter(), {r.source: r.target for r in planned}
+    for r in out.collect():
+        words_of[r.source] += len(r.text.split())
+    assert all(abs(words_of[s] - t) <= 60 for s, t in target.items())
+
+
+def test_merged_sketches_of_a_hot_key(spark):
+    parts = spark.range(3000).select(F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(F.lit(-1)).alias("k"), F.transform(F.sequence(F.lit(0), F.lit(9)), lambda j: F.xxhash64("id", j)).alias("sketch"))
+    every = {}
+    for r in parts.collect():
+        every.setdefault(r.k, set()).update(r.sketch)
+    assert {r.k: r.sketch for r in fp.merged(parts, "k").collect()} == {k: sorted(s)[: fp.K] for k, s in every.items()}
