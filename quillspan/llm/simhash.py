@@ -289,7 +289,7 @@ def _wide(shard: pa.Table, names: list[str]) -> list[int]:
     return out
 
 
-def _masks(hashes: np.ndarray, ends: np.ndarray, room: int = 1 << 25) -> list[int]:
+def _masks(hashes: np.ndarray, ends: np.ndarray, room: int = 1 << 22) -> list[int]:
     """Each set of a shard as an integer with a bit for each different hash; none for few sets, or beyond ``room`` bits."""
     n = len(ends) - 1
     if n <= 8:
