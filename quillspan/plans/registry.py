@@ -166,13 +166,15 @@ _TREE = [
 @_query(f"""WITH t AS (SELECT path AS relative_path, content, {_LANG_SQL.format("path")} AS language FROM {samples.values(_TREE, "path, content")}),
 kept AS (SELECT * FROM t WHERE octet_length(encode(content)) <= 1000 AND regexp_matches(relative_path, '[.](ts|tsx|js|jsx|py|go|java|cpp|c|cs|php|rb|rs)$')
   AND NOT regexp_matches(relative_path, '(^|/)(node_modules|dist|build|[.]git|coverage|[.]next|[.]nuxt|vendor|__pycache__)/') AND NOT regexp_matches(relative_path, '[.](min|bundle)[.]js$') ORDER BY relative_path LIMIT 20)
-SELECT relative_path, language, CAST(octet_length(encode(content)) AS BIGINT) AS size, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines, CAST({_COMPLEXITY.format("content")} AS INT) AS complexity, (lower(relative_path) LIKE '%test%' OR lower(relative_path) LIKE '%spec%') AS is_test
+SELECT relative_path, language, CAST(octet_length(encode(content)) AS BIGINT) AS size, CAST(len(string_split(content, chr(10))) AS INT) AS n_lines, CAST({_COMPLEXITY.format("content")} AS INT) AS complexity
 FROM kept WHERE language IN ('typescript', 'javascript', 'python', 'go')""")
 def scan_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A generated tree through the real reader: folders and endings left out, large files too, the first 20 paths before the language gate."""
+    """A generated tree through the real reader: folders and endings left out, large files too, the first 20 paths before the language gate.
+
+    What counts as a test depends on whole paths, so on where the tree lies, and is not shown."""
     root = fresh_path(spark, "tree")
     source.write_tree(spark, root, _TREE)
-    return source.scan(spark, root, exclude=source.EXCLUDE, max_file_size=1000, max_files=20).select("relative_path", "language", "size", "n_lines", "complexity", "is_test")
+    return source.scan(spark, root, exclude=source.EXCLUDE, max_file_size=1000, max_files=20).select("relative_path", "language", "size", "n_lines", "complexity")
 
 
 @_query(f"SELECT path, language FROM (SELECT path, {_LANG_SQL.format('path')} AS language FROM {_FILES}) WHERE language IN ('typescript', 'javascript', 'python', 'go')")
