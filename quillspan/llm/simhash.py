@@ -44,6 +44,7 @@ from .common import durable, small
 
 SHINGLE, RADIUS = 4, 4
 LEAF, SHARD, MOST, PIECES = 8, 128, 256, 16
+MOST_EXACT = 16_384  # of single words, whose comparison is cheap
 BANDS, ROWS, FIRST = 16, 4, 4
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -375,9 +376,11 @@ def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFra
         if largest <= most or last:
             return found
         last = largest <= PIECES * most or links.isEmpty()
+        # all links of shards that were not cut are found
+        keyed = durable(keyed.join(shards.filter(F.col("size") > most).select("choice", "key"), ["choice", "key"], "left_semi"), "crowded")
 
 
-def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = MOST) -> DataFrame:
+def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = MOST_EXACT) -> DataFrame:
     """a and b: links among the distinct 64-bit fingerprints f0, enough to connect whatever is connected."""
     masks = choices_for(distinct.count() if n is None else n, radius)
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
