@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe_automaton, fingerprints, language_id, mixing, quality_classifier, quality_rules, secret_scan, simhash, token_files, toxicity
+from . import bpe_automaton, filter_audit, fingerprints, language_id, mixing, quality_classifier, quality_rules, secret_scan, setsketch, simhash, token_files, toxicity, vector_codes
 from .common import documents, labels
 
 
@@ -57,8 +57,21 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(documents(spark, sf_dir), labels(spark, sf_dir), toxicity.held_out())
 
 
+def op11_setsketch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return setsketch.components(documents(spark, sf_dir))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.compress(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    every = (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_mixing, op5_language_id, op6_simhash, op7_fingerprints, op8_secret_scan, op9_token_files, op10_toxicity)
+    first = (op1_quality_rules, op2_quality_classifier, op3_bpe_automaton, op4_mixing, op5_language_id, op6_simhash, op7_fingerprints)
+    every = (*first, op8_secret_scan, op9_token_files, op10_toxicity, op11_setsketch, op12_vector_codes, op13_filter_audit)
     return {f.__name__: f for f in every}
 
 
@@ -147,5 +160,98 @@ FROM (SELECT voted.*, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS bas
 """
 
 
+#: op11: all pairs that share a shingle, and what is reached over those with the wanted index.
+_SETS = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents
+), s AS (
+  SELECT rid, doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+         ELSE list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) END AS g FROM d
+), x AS (
+  SELECT rid, len(g) AS n, unnest(g) AS shingle FROM s
+), link AS (
+  SELECT a.rid AS a, b.rid AS b FROM x a JOIN x b ON a.shingle = b.shingle AND a.rid < b.rid
+  GROUP BY a.rid, b.rid, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach(rid, other) AS (
+  SELECT rid, rid FROM s
+  UNION
+  SELECT rid, e.b FROM reach JOIN (SELECT a, b FROM link UNION ALL SELECT b, a FROM link) e ON e.a = reach.other
+), least AS (
+  SELECT r.rid, min(o.doc_id) AS least FROM reach r JOIN s o ON o.rid = r.other GROUP BY r.rid
+)
+SELECT doc_id, CAST(len(g) AS BIGINT) AS n_shingles, least AS component_id, doc_id IS NOT DISTINCT FROM least AS kept FROM s JOIN least USING (rid)
+"""
+
+#: op13: every document meets every order; its first failing filter is where it goes.
+_AUDIT = r"""
+WITH l AS (
+  SELECT doc_id, max(CAST(quality = 1 AS INT)) AS good, max(CAST(toxic = 1 AS INT)) AS toxic FROM labels GROUP BY doc_id
+), w AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), d AS (
+  SELECT row_number() OVER () AS rid, part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+         ['A', 'B', 'C', 'D', 'E'] AS names,
+         [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 10 * length(t),
+          regexp_matches(t, '[#$%&*|]'), coalesce(w.doc_id > min(w.doc_id) OVER (PARTITION BY t), false)] AS fails
+  FROM w LEFT JOIN l ON l.doc_id = w.doc_id
+), f AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f
+), orders AS (
+  SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a, f b, f c, f d, f e
+  WHERE len(list_distinct([a.f, b.f, c.f, d.f, e.f])) = 5
+), met AS (
+  SELECT part, filter_order, good, toxic, names, fails, list_position(list_transform(string_split(filter_order, ''), lambda x: fails[list_position(names, x)]), true) AS gone,
+         len(list_filter(fails, lambda x: x)) AS n_fails
+  FROM d, orders
+), parts AS (
+  SELECT DISTINCT part FROM d
+), every AS (
+  SELECT part, filter_order, CAST(step AS INT) AS step, substr(filter_order, step, 1) AS f FROM parts, orders, range(1, 6) r(step)
+), rows AS (
+  SELECT e.part, e.filter_order, e.step, e.f,
+         count(*) FILTER (gone IS NULL OR gone = 0 OR gone > step) AS kept, count(*) FILTER (gone = step) AS removed,
+         count(*) FILTER (fails[list_position(names, f)] AND gone < step) AS redundant, count(*) FILTER (fails[list_position(names, f)] AND n_fails = 1) AS unique_fails,
+         count(*) FILTER (gone = step AND good = 1) AS good_lost, count(*) FILTER (gone = step AND toxic = 1) AS toxic_lost
+  FROM every e JOIN met m ON m.part = e.part AND m.filter_order = e.filter_order
+  GROUP BY ALL
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM rows
+"""
+
+
+def _codes_sql(parts: int = 4, rounds: int = 4) -> str:
+    """op12: each round a full search; |x - c|^2 in whole numbers, which doubles hold."""
+    nearest = lambda book: f"""
+  SELECT vec_id, p, x, entry, CAST(d AS BIGINT) AS d FROM (
+    SELECT v.vec_id, v.p, v.x, b.entry, v.xx - 2 * list_inner_product(v.x, b.c) + b.cc AS d,
+           row_number() OVER (PARTITION BY v.vec_id, v.p ORDER BY v.xx - 2 * list_inner_product(v.x, b.c) + b.cc, b.entry) AS r
+    FROM cut v JOIN (SELECT p, entry, c, list_inner_product(c, c) AS cc FROM {book}) b ON b.p = v.p
+  ) WHERE r = 1"""
+    turns = []
+    for k in range(1, rounds + 1):
+        turns.append(f"near{k} AS MATERIALIZED ({nearest(f'book{k - 1}')}\n)")
+        turns.append(f"""book{k} AS MATERIALIZED (
+  SELECT b.p, b.entry, coalesce(m.c, b.c) AS c FROM book{k - 1} b LEFT JOIN (
+    SELECT p, entry, list(c ORDER BY i) AS c FROM (SELECT p, entry, i, floor(sum(x[i]) / count(*)) AS c FROM near{k}, unnest(range(1, len(x) + 1)) r(i) GROUP BY p, entry, i) GROUP BY p, entry
+  ) m ON m.p = b.p AND m.entry = b.entry
+)""")
+    return f"""
+WITH kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda y: floor(1024 * CAST(y AS DOUBLE))) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR NOT isfinite(y))) = 0
+), cut AS MATERIALIZED (
+  SELECT *, list_inner_product(x, x) AS xx FROM (SELECT vec_id, p, v[p * len(v) // {parts} + 1 : (p + 1) * len(v) // {parts}] AS x FROM kept, range({parts}) r(p))
+), book0 AS MATERIALIZED (
+  SELECT p, row_number() OVER (PARTITION BY p ORDER BY vec_id) - 1 AS entry, x AS c FROM cut WHERE vec_id IN (SELECT vec_id FROM kept ORDER BY vec_id LIMIT 256)
+), {', '.join(turns)}, final AS MATERIALIZED ({nearest(f'book{rounds}')}
+), coded AS (
+  SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY p) AS code, CAST(sum(d) AS BIGINT) AS error FROM final GROUP BY vec_id
+)
+SELECT k.vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda y: CAST(CAST(y AS BIGINT) AS VARCHAR)), ','), ',' ORDER BY p, entry)) FROM book{rounds}) AS codebooks_sha256
+FROM kept k JOIN coded USING (vec_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_rules": _rules_sql(), "op4_mixing": _MIXING}
+    return {"op1_quality_rules": _rules_sql(), "op4_mixing": _MIXING, "op11_setsketch": _SETS, "op12_vector_codes": _codes_sql(), "op13_filter_audit": _AUDIT}
