@@ -168,13 +168,13 @@ def linked(distinct: DataFrame, sets_of, percent: int = PERCENT, most: int = MOS
     return _joined(keyed.filter(F.col("choice") >= FIRST), first, search, most)
 
 
-def components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH) -> DataFrame:
+def components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, most: int = MOST) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row of ``docs``: links of sets of ``width``-word shingles whose
-    intersection is ``percent`` hundredths of their union or more."""
+    intersection is ``percent`` hundredths of their union or more; shards of more than ``most`` sets are cut."""
     prints = durable(sketches(docs, doc_id, text, width), "sketches")
     distinct = durable(prints.filter("n > 0").groupBy("node").agg(F.min(_row_order(F.col("id"), F.col("t"))).alias("row"), F.first("n").alias("n"), F.first("registers").alias("registers")), "distinct")
     sets_of = lambda nodes: _sets(docs, distinct.select("row", "node").join(nodes, "node"), doc_id, text, width)
-    named = _named(distinct, linked(distinct.select("node", "n", "registers"), sets_of, percent)).select("node", F.coalesce("root", "row")["id"].alias("least"))
+    named = _named(distinct, linked(distinct.select("node", "n", "registers"), sets_of, percent, most)).select("node", F.coalesce("root", "row")["id"].alias("least"))
     # empty sets have no node to meet in
     full = prints.filter("n > 0").join(named, "node").select("id", "n", "least")
     rows = full.unionByName(prints.filter("n = 0").select("id", "n", F.col("id").alias("least")))
