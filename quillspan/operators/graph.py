@@ -132,19 +132,6 @@ def cycle_members(edges: DataFrame) -> DataFrame:
     return strong(edges).select("node").union(edges.filter("src = dst").select("src")).distinct()
 
 
-def counts_before(edges: DataFrame) -> DataFrame:
-    """node and n: how many other nodes have a path to it; components count as one node in the search."""
-    root = durable(strong(edges), "strong")
-    out = edges.select("src", "dst").distinct().join(root.select(F.col("node").alias("src"), F.col("root").alias("x")), "src", "left")
-    out = out.join(root.select(F.col("node").alias("dst"), F.col("root").alias("y")), "dst", "left").select(F.coalesce("x", "src").alias("src"), F.coalesce("y", "dst").alias("dst"))
-    nodes = edges.select(F.col("src").alias("node")).union(edges.select("dst")).distinct().join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    nodes = durable(nodes, "nodes")
-    sizes = nodes.groupBy("root").agg(F.count(F.lit(1)).alias("size"))
-    above = closure(out.filter("src != dst")).join(sizes.withColumnRenamed("root", "a"), "a").groupBy(F.col("b").alias("root")).agg(F.sum("size").alias("above"))
-    every = nodes.join(sizes, "root").join(above, "root", "left")
-    return every.select("node", (F.coalesce("above", F.lit(0)) + F.col("size") - 1).alias("n"))
-
-
 def chains(edges: DataFrame, start, max_depth: int = 3) -> DataFrame:
     """path (array) and depth of a chain to each edge out of a node found at depth ``max_depth`` or less.
 
@@ -196,3 +183,8 @@ def without(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """The edges that touch none of ``nodes`` (node)."""
     kept = edges.join(nodes.select(F.col("node").alias("src")), "src", "left_anti")
     return kept.join(nodes.select(F.col("node").alias("dst")), "dst", "left_anti").select("src", "dst")
+
+
+def touching(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """The edges that ``without`` takes away."""
+    return edges.select("src", "dst").subtract(without(edges, nodes))

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import scores
 from ..functions import text as fx
 from ..operators import coverage as cov
-from ..operators import diffs, findings, graph, resolve, types
+from ..operators import diffs, findings, graph, reach, resolve, types
 from ..operators import symbols as sym
 from ..operators.scripts import BUILT_IN, KEYWORDS
 from ..sources import corpus as source
@@ -39,11 +39,15 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    return dict(_QUERIES)
+    from . import structures
+
+    return _QUERIES | structures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_SQL)
+    from . import structures
+
+    return _SQL | structures.oracle_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -462,7 +466,7 @@ FROM supplier LEFT JOIN d ON d.node = s_suppkey LEFT JOIN t ON t.node = s_suppke
 def risk_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = durable(_edges(spark, sf_dir), "edges")
     direct = e.filter("src != dst").groupBy(F.col("dst").alias("node")).agg(F.count(F.lit(1)).alias("d"))
-    total = graph.counts_before(e).withColumnRenamed("n", "t")
+    total = reach.sizes(e).withColumnRenamed("n", "t")
     s = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("node"), "s_nationkey")
     one = s.join(direct, "node", "left").join(total, "node", "left").withColumns({"direct": F.coalesce("d", F.lit(0)), "transitive": F.coalesce("t", F.lit(0)) - F.coalesce("d", F.lit(0))})
     return one.select("node", "direct", "transitive", scores.risk(F.col("direct"), F.col("transitive"), F.col("s_nationkey"), F.lit(80.0)).alias("risk"))

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import scores
-from quillspan.operators import diffs, findings, graph, refactor, scripts, types
+from quillspan.operators import diffs, findings, graph, reach, refactor, scripts, types
 from quillspan.operators import symbols as sym
 from quillspan.plans import report, samples, tools
 from quillspan.plans.corpus import Corpus, invalidate, open_corpus
@@ -253,7 +253,7 @@ def test_strong_components_and_counts(spark):
                     pending.append(b)
     df = spark.createDataFrame(edges, "src bigint, dst bigint")
     assert {r.node for r in graph.cycle_members(df).collect()} == {n for n in after if n in after[n]}
-    assert {r.node: r.n for r in graph.counts_before(df).collect()} == {n: sum(n in after[m] for m in after if m != n) for n in after}
+    assert {r.node: r.n for r in reach.sizes(df).collect()} == {n: sum(n in after[m] for m in after if m != n) for n in after}
 
 
 def test_chains_name_their_symbols(spark):
