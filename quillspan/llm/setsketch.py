@@ -19,6 +19,7 @@ are returned each; other columns are ignored, whatever their names; an empty tab
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 
@@ -29,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import durable, small
-from .simhash import _crowded, _hashes, _joined, _masks, _named, _pairs, _row_order, _sets, _shards_of
+from .simhash import PIECES, _counted, _hashes, _named, _pairs, _row_order, _sets, _shards_of, connected
 
 WIDTH, PERCENT = 3, 85
 REGISTERS, BASE, RATE, TOP = 64, 1.001, 20.0, 65535
-BAND, FIRST, MOST = 4, 4, 256
+BAND, FIRST, MOST, ROOM = 4, 4, 1024, 4_000_000
 _ODD = np.random.default_rng(11).integers(0, 1 << 63, REGISTERS, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -114,27 +115,33 @@ def _links_of(shard: pa.Table, percent: int) -> list[tuple[int, int]]:
     k = np.frombuffer(b"".join(shard.column("registers").to_pylist()), "<u2").reshape(-1, REGISTERS)
     lists = shard.column("shingles").combine_chunks()
     hashes, ends = lists.values.to_numpy().view(np.uint64), lists.offsets.to_numpy()
-    masks, links, rest = _masks(hashes, ends), [], np.arange(len(part))
-
-    def same(a: int, b: int) -> bool:
-        if masks:
-            shared = (masks[a] & masks[b]).bit_count()
+    different, index = np.unique(hashes[ends[0] : ends[-1]], return_inverse=True)
+    starts, here = ends[:-1] - ends[0], np.zeros(len(different), bool)
+    links, rest = [], np.arange(len(part))
+
+    def shared(a: int, others: np.ndarray) -> np.ndarray:
+        """Sizes of the intersections of the full sets."""
+        own = index[starts[a] : starts[a] + n[a]]
+        here[own] = True
+        if len(others) > 16:
+            out = np.add.reduceat(here[index], starts, dtype=np.int64)[others]
         else:
-            x, y = hashes[ends[a] : ends[a + 1]], hashes[ends[b] : ends[b + 1]]
-            shared = int((x[np.minimum(np.searchsorted(x, y), len(x) - 1)] == y).sum())
-        return 100 * shared >= percent * (int(n[a] + n[b]) - shared)
+            out = np.array([here[index[starts[b] : starts[b] + n[b]]].sum() for b in others.tolist()], np.int64)
+        here[own] = False
+        return out
 
     while len(rest):
         frontier, rest = [int(rest[-1])], rest[:-1]
         while frontier and len(rest):
             a = frontier.pop()
             known = part[rest] == part[a]
-            wanted = known | likely(k[a], k[rest], int(n[a]), n[rest], percent / 100)
-            found = [b for b, old in zip(rest[wanted].tolist(), known[wanted].tolist(), strict=True) if old or same(a, b)]
-            if found:
-                rest = rest[~np.isin(rest, found)]
-                links += [(a, b) for b in found if part[a] != part[b]]
-                frontier += found
+            wanted = np.flatnonzero(~known & likely(k[a], k[rest], int(n[a]), n[rest], percent / 100))
+            common = shared(a, rest[wanted])
+            new = rest[wanted[100 * common >= percent * (n[a] + n[rest[wanted]] - common)]]
+            if len(new) or known.any():
+                links += [(a, b) for b in new.tolist()]
+                frontier += [*rest[known].tolist(), *new.tolist()]
+                rest = rest[~known & ~np.isin(rest, new)]
     return links
 
 
@@ -151,21 +158,48 @@ def _searched(rows: DataFrame, percent: int) -> DataFrame:
     return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
+def _busy(keyed: DataFrame, most: int) -> DataFrame:
+    """choice, key and cuts of the shards that hold two components or more; of shards with the same nodes one.
+
+    A shard is cut into parts of ``most`` sets, or of ROOM shingles, at most on average.
+    """
+    hashes = [F.bit_xor(F.xxhash64("node", F.lit(s))).alias(f"x{s}") for s in (0, 1)]
+    shards = keyed.groupBy("choice", "key").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("room"), F.min("part").alias("low"), F.max("part").alias("high"), *hashes)
+    cuts = F.ceil(F.greatest(F.col("size") / most, F.col("room") / ROOM))
+    return shards.filter("low != high").dropDuplicates(["size", "x0", "x1"]).select("choice", "key", cuts.alias("cuts"))
+
+
 def linked(distinct: DataFrame, sets_of, percent: int = PERCENT, most: int = MOST) -> DataFrame:
     """a and b: links among distinct sets (node, n, registers), enough to connect whatever sets with a common band connect.
 
-    The first FIRST bands join most of what is alike; of the others only shards that still hold several components are
-    searched.  ``sets_of`` gives the sets (node, shingles) of nodes.
+    The first FIRST bands join most of what is alike; then the other bands have their turn, and of all shards only those
+    that still hold several components.  A shard that is cut comes again: at random in another way, until a turn joins
+    nothing or the parts are few, then in all pairs of its parts.  ``sets_of`` gives the sets (node, shingles) of nodes.
     """
     keys = F.array(*[F.xxhash64(F.substring("registers", 2 * BAND * j + 1, 2 * BAND)) for j in range(REGISTERS // BAND)])
-    keyed = distinct.select("node", F.posexplode(keys).alias("choice", "key"))
-    shared = _crowded(keyed.withColumn("part", F.col("node"))).drop("size")
+    keyed = distinct.select("node", "n", F.posexplode(keys).alias("choice", "key"))
+    shared = _busy(keyed.withColumn("part", F.col("node")), most).drop("cuts")
     keyed = durable(keyed.join(shared, ["choice", "key"]), "keyed")  # most texts are like no other and are out of it here
-    nodes = durable(keyed.select("node").distinct(), "nodes")
-    sets = durable(sets_of(nodes).join(distinct, "node"), "sets")
-    search = lambda rows: _searched(rows.join(sets, "node"), percent)
-    first = _joined(keyed.filter(F.col("choice") < FIRST), None, search, most)
-    return _joined(keyed.filter(F.col("choice") >= FIRST), first, search, most)
+    sets = durable(sets_of(keyed.select("node").distinct()).join(distinct, "node"), "sets")
+    found, last = None, False
+    for turn in itertools.count():
+        here = keyed.filter(F.col("choice") < FIRST) if turn == 0 else keyed
+        if found is None:
+            own = here.withColumn("part", F.col("node"))
+        else:
+            own = here.join(durable(connected(found), "parts").withColumnsRenamed({"f": "node", "root": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
+        shards, seen = _counted(_busy(own, most), "shards", pieces=F.max("cuts"))
+        place = F.pmod(F.xxhash64("node") if last else F.xxhash64("node", "choice", F.lit(turn)), F.col("cuts"))
+        pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("cuts") - 1), lambda j: F.least(j, place) * F.col("cuts") + F.greatest(j, place))
+        rows = own.join(shards, ["choice", "key"]).withColumn("cut", F.explode(pairs if last else F.array(place))).drop("n")
+        links, told = _counted(_searched(rows.join(sets, "node"), percent), "links", n=F.count(F.lit(1)))
+        found = links if found is None else found.unionByName(links)
+        pieces = seen["pieces"] or 0
+        if turn and (last or pieces <= 1):
+            return found
+        last = 1 < pieces <= PIECES or pieces > 1 and not told["n"]
+        cut = shards.filter("cuts > 1").select("choice", "key", F.lit(True).alias("again"))
+        keyed = keyed.join(cut, ["choice", "key"], "left").filter(F.col("again") | ((F.col("choice") >= FIRST) if turn == 0 else F.lit(False))).drop("again")
 
 
 def components(docs: DataFrame, percent: int = PERCENT, doc_id: str = "doc_id", text: str = "text", width: int = WIDTH, most: int = MOST) -> DataFrame:

@@ -46,6 +46,7 @@ SHINGLE, RADIUS = 4, 4
 LEAF, SHARD, MOST, PIECES = 8, 128, 256, 16
 MOST_EXACT = 16_384  # of single words, whose comparison is cheap
 BANDS, ROWS, FIRST = 16, 4, 4
+EACH = 250_000  # links a task, where components are joined
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 _ODD = np.random.default_rng(6).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -369,7 +370,7 @@ def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFra
         shards = durable(_crowded(own), "shards")
         largest = shards.agg(F.max("size")).first()[0] or 0
         cuts = F.ceil(F.col("size") / most)
-        place = F.pmod(F.xxhash64("node", F.lit(0 if last else turn)), cuts)
+        place = F.pmod(F.xxhash64("node", "choice", F.lit(turn)) if not last else F.xxhash64("node"), cuts)  # each choice in another way
         pairs = F.transform(F.sequence(F.lit(0).cast("bigint"), cuts - 1), lambda j: F.least(j, place) * cuts + F.greatest(j, place))
         links = durable(search(own.join(shards, ["choice", "key"]).withColumn("cut", F.explode(pairs if last else F.array(place)))), "links")
         found = links if found is None else found.unionByName(links)
@@ -408,26 +409,33 @@ def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, most: i
     return _joined(keyed.filter(F.col("choice") >= FIRST), first, search, most)
 
 
+def _counted(df: DataFrame, tag: str, **what: Column) -> tuple[DataFrame, dict]:
+    """``df`` written, and aggregates of it that the same job has summed up."""
+    seen = Observation()
+    return durable(df.observe(seen, *[c.alias(k) for k, c in what.items()]), tag), seen.get
+
+
 def connected(links: DataFrame) -> DataFrame:
     """f and root (the least of its component) for every end of a link but the roots, by alternating large and small stars.
 
     The ends are of any type with an order.  Rounds go on until all that is left are stars around roots, which the counts
-    of a round's first table tell; each is written to the shared folder.
+    of a round's first table tell; each is written to the shared folder, by as many tasks as its rows need (EACH a task).
     Neighbours are never gathered: a star is a minimum for each node, summed up before the shuffle, and a plain join of
     two written tables, whose large partitions adaptive execution splits where a hub has many neighbours.
     """
-    edges = durable(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
+    edges, seen = _counted(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links", ends=F.count(F.lit(1)))
     while True:
+        tasks = max(1, math.ceil((seen["ends"] or 0) / EACH))
         both = edges.select("u", "v").unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least, seen = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")), Observation()
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n")).coalesce(tasks)
         leaf = (F.col("n") == 1) & (F.col("m") < F.col("u"))
-        least = durable(least.observe(seen, F.sum("n").alias("ends"), F.count_if(leaf).alias("leaves")), "least")
-        if (seen.get["ends"] or 0) == 2 * seen.get["leaves"]:  # each link leads from a leaf to its root: nothing is left to do
+        least, seen = _counted(least, "least", ends=F.sum("n"), leaves=F.count_if(leaf))
+        if (seen["ends"] or 0) == 2 * seen["leaves"]:  # each link leads from a leaf to its root: nothing is left to do
             return edges.select(F.col("u").alias("f"), F.col("v").alias("root"))
-        large = durable(both.join(least.select("u", "m"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "stars")
-        small_least = durable(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = durable(both.join(least.select("u", "m"), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct().coalesce(tasks), "stars")
+        small_least = durable(large.groupBy("u").agg(F.min("v").alias("m")).coalesce(tasks), "least")
         small = large.join(small_least, "u")
-        edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct(), "links")
+        edges = durable(small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u != v").distinct().coalesce(tasks), "links")
 
 
 def _row_order(doc_id: Column, t: Column) -> Column:
@@ -472,9 +480,12 @@ def similar(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", te
 
 def representatives(docs: DataFrame, similarity: float = 0.8, doc_id: str = "doc_id", text: str = "text", width: int = 5, n_words: int = 4) -> DataFrame:
     """One row of ``docs`` for each component of ``similar``, its least by id and hash of the text, with the columns of
-    ``docs``.  Of rows equal in id and text one is kept."""
+    ``docs``.  Of rows equal in id and text the one is kept whose other columns have the least hash as JSON."""
     _, named = _similar(docs, similarity, doc_id, text, width, n_words)
     key = lambda i, t: (F.xxhash64(i, t).alias("__row_1"), F.hash(t, i).alias("__row_2"))
     keep = named.filter("root is null").select(*key(F.col("row.id"), F.col("row.t"))).distinct()
     rows = docs.select("*", *key(F.col(f"`{doc_id}`"), F.xxhash64(text)))
-    return rows.join(keep, ["__row_1", "__row_2"], "left_semi").dropDuplicates(["__row_1", "__row_2"]).drop("__row_1", "__row_2")
+    kept = rows.join(keep, ["__row_1", "__row_2"], "left_semi")
+    first = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != text]), {"ignoreNullFields": "false"})
+    one = kept.groupBy("__row_1", "__row_2").agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct(F.xxhash64(first), first)).alias("__row"))
+    return one.select("__row.*")
