@@ -5,7 +5,7 @@ letter to its last into phrases, each the longest match with the sample, blanks
 language whose phrases, weighted by the log of its sample's length, are fewest for each letter wins.
 
 The sample takes whole texts in the order of their hashes until they hold ``letters`` (texts of more than an eighth of
-that only where shorter ones do not suffice, so one long text is not all of a sample); about ``rows`` texts of each
+that only where shorter ones do not suffice, so one long text is not all of a sample); ``rows`` distinct texts of each
 language are looked at: a bound of the model, not of what is predicted.
 
 Defined results: null text and texts without a letter are ``und`` with score 0; without any labelled text every text
@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, small
+from .common import fold, sampled, small
 
 _WORDS = regex.compile(r"[\p{L}\p{M}]+")
 _LETTER = regex.compile(r"\p{L}")
@@ -115,21 +115,15 @@ class Parser:
 def samples(labelled: DataFrame, letters: int = 40_000, rows: int = 400, lang: str = "lang", text: str = "text") -> dict[str, str]:
     """About ``letters`` of whole texts of each language from ``labelled``, whose null languages are ignored.
 
-    One count per language says which hashes of texts are needed; of equal texts, summed up before the shuffle, one
-    counts; only the about ``rows`` texts of each language that are left come to the driver.
+    Of each language the ``rows`` distinct texts with the smallest hashes come to the driver; how often a text is
+    repeated plays no part.
     """
-    known = labelled.filter(F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = {r[0]: r[1] for r in known.groupBy(lang).count().collect()}  # one row for each language
-    if not counts:
+    chosen = sampled(labelled, rows, text, lang, "language").collect()
+    if not chosen:
         return {}
-    space = 1 << 30
-    place = F.pmod(F.xxhash64(F.col(text), F.lit("language")), F.lit(space))
-    upto = F.element_at(F.create_map(*[F.lit(x) for k, n in counts.items() for x in (k, min(space, math.ceil(space * rows / n)))]), F.col(lang))
-    near = known.select(F.col(lang).alias("lang"), place.alias("place"), F.col(text).alias("text"), upto.alias("upto")).filter("place < upto")
-    chosen = near.groupBy("lang", "place").agg(F.min("text").alias("text")).collect()
-    out: dict[str, list[str]] = {k: [] for k in counts}
-    size = dict.fromkeys(counts, 0)
-    words = [(r["lang"], letters_of(r["text"]), r["place"]) for r in chosen]
+    size = dict.fromkeys((r["group"] for r in chosen), 0)
+    out: dict[str, list[str]] = {k: [] for k in size}
+    words = [(r["group"], letters_of(r["text"]), r["hash"]) for r in chosen]
     for k, w, _ in sorted(words, key=lambda r: (len(r[1]) > letters // 8, r[2], r[1])):
         if size[k] < letters and w:
             out[k].append(w)
