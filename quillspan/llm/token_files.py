@@ -25,6 +25,8 @@ import sys
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import reduce
+from operator import or_
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .bpe_automaton import byte_letters
-from .common import durable, fresh_path, small
+from .common import durable, fresh_path, sampled, small
 
 MAGIC = b"QSTK"
 _HEAD = struct.Struct("<4sBB32sI")
@@ -196,8 +198,8 @@ def write(
 ) -> None:
     """Write the shards of ``docs`` and their dictionary below ``path``.
 
-    The dictionary is trained on the whole id arrays of about ``sample_rows`` documents, those with the smallest hashes of
-    their texts (a bound of the model; equal texts count once).  Every document is encoded and written; texts are not shuffled, their compressed ids are once.
+    The dictionary is trained on the whole id arrays of the ``sample_rows`` distinct texts with the smallest hashes (a bound
+    of the model).  Every document is encoded and written; texts are not shuffled, their compressed ids are once.
     """
     spark = docs.sparkSession
     with open(vocabulary, encoding="utf-8") as f:
@@ -212,16 +214,14 @@ def write(
     end = np.array([end_id], dtype).tobytes()
     rows = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("text"))
 
-    total = rows.count()
-    share = min(1.0, sample_rows / max(total, 1))
-    picked = rows.filter(F.pmod(F.xxhash64(F.col("text"), F.lit("dictionary")), F.lit(1_000_003)) < F.lit(share * 1_000_003)).select("text").distinct()
+    picked = sampled(rows, sample_rows, salt="dictionary").select("text")
 
     def sample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = chunk_encoder(shared.value, dtype)
         for batch in small(batches):
             yield pa.RecordBatch.from_arrays([pa.array([e.encode(t.as_py()) + end for t in batch.column(0)], pa.binary())], ["ids"])
 
-    dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").limit(2 * sample_rows).collect()], dictionary_bytes)
+    dictionary = train_dictionary([bytes(r[0]) for r in picked.mapInArrow(sample, "ids binary").collect()], dictionary_bytes)
     digest = hashlib.sha256(dictionary).digest()
     trained = spark.sparkContext.broadcast(dictionary)
 
@@ -245,7 +245,9 @@ def write(
         held = 0
 
         def out() -> pa.RecordBatch:
-            columns = [[part], [seq], [start], [len(ids)], [sum(counts)], [ids], [digest.hex()], [pack(frames, counts, width, digest)]]
+            known = [i for i in ids if i is not None]
+            ends = [min(known, default=None)], [max(known, default=None)]
+            columns = [[part], [seq], [start], [len(ids)], [sum(counts)], *ends, [ids], [digest.hex()], [pack(frames, counts, width, digest)]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
         for batch in batches:
@@ -263,15 +265,18 @@ def write(
             yield out()
 
     kind = docs.schema[doc_id].dataType
-    schema = f"part int, seq int, start bigint, n_docs bigint, n_tokens bigint, doc_ids array<{kind.simpleString()}>, dictionary_hash string, shard binary"
+    schema = f"part int, seq int, start bigint, n_docs bigint, n_tokens bigint, first_id {kind.simpleString()}, last_id {kind.simpleString()}, doc_ids array<{kind.simpleString()}>, dictionary_hash string, shard binary"
     from pyspark.sql.pandas.types import to_arrow_type
 
     fields = [("part", pa.int32()), ("seq", pa.int32()), ("start", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]
+    fields += [("first_id", to_arrow_type(kind)), ("last_id", to_arrow_type(kind))]
     arrow = pa.schema([*fields, ("doc_ids", pa.list_(to_arrow_type(kind))), ("dictionary_hash", pa.string()), ("shard", pa.binary())])
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     # written once: the range partitioner reads its input twice, to find the ranges and to deal it out
     frames = durable(rows.mapInArrow(compress, f"id {kind.simpleString()}, n bigint, frame binary"), "frames")
-    ranged = frames.repartitionByRange(parts, "id").sortWithinPartitions("id", "n")
+    # behind the id, so that rows of one id, or of none, are many ranges and have one order
+    order = ["id", "n", F.xxhash64("frame")]
+    ranged = frames.repartitionByRange(parts, *order).sortWithinPartitions(*order)
     ranged.mapInArrow(shards, schema).write.parquet(f"{path}/shards")
     spark.createDataFrame([(digest.hex(), bytearray(dictionary))], "dictionary_hash string, dictionary binary").coalesce(1).write.parquet(f"{path}/dictionary")
 
@@ -287,13 +292,22 @@ def digests(spark: SparkSession, path: str, doc_id: str = "doc_id") -> DataFrame
 
 
 def lookup(spark: SparkSession, path: str, wanted: list, doc_id: str = "doc_id") -> DataFrame:
-    """doc_id and ids (array<int>) of the documents whose id is ``wanted``: of shards without one the id lists alone are
-    read, of the others the frames of those documents."""
+    """doc_id and ids (array<int>) of the documents whose id is ``wanted`` (nulls are none).
+
+    Shards are chosen by their first and last ids, which the scan filters on, then by their lists of ids; only then are
+    frames read, those of the chosen shards.
+    """
+    wanted = [i for i in dict.fromkeys(wanted) if i is not None]
     dictionary = spark.sparkContext.broadcast(bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"]))
-    shards = spark.read.parquet(f"{path}/shards").select("doc_ids", "shard")
-    kind = shards.schema["doc_ids"].dataType.elementType.simpleString()
+    every = spark.read.parquet(f"{path}/shards")
+    kind = every.schema["doc_ids"].dataType.elementType.simpleString()
+    between = [(F.col("first_id") <= F.lit(i)) & (F.col("last_id") >= F.lit(i)) for i in wanted[:100]]
+    ends = reduce(or_, between) if 0 < len(wanted) <= 100 else (F.col("first_id") <= F.lit(max(wanted, default=None))) & (F.col("last_id") >= F.lit(min(wanted, default=None)))
+    near = every.filter(ends)  # of the frames' column nothing is read yet
+    places = [tuple(r) for r in near.filter(F.exists("doc_ids", lambda x: x.isin(wanted))).select("part", "seq").collect()] if wanted else []
+    chosen = near.filter(F.struct("part", "seq").isin([F.struct(F.lit(p), F.lit(q)) for p, q in places])) if places else near.limit(0)
     mine = F.filter(F.transform("doc_ids", lambda x, i: F.struct(x.alias("id"), i.alias("at"))), lambda x: x["id"].isin(wanted))
-    rows = shards.select(mine.alias("mine"), "shard").filter(F.size("mine") > 0).select(F.col("mine.id").alias("ids"), F.col("mine.at").alias("at"), "shard")
+    rows = chosen.select(mine.alias("mine"), "shard").select(F.col("mine.id").alias("ids"), F.col("mine.at").alias("at"), "shard")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
