@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType
 
 from .common import durable, words
 
@@ -120,11 +121,11 @@ def with_next(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", rows:
     along = Window.partitionBy("part")
     spaced = placed.withColumns({"r": F.row_number().over(along.orderBy(*_order())) - 1, "n": F.count(F.lit(1)).over(along)})
     inner = spaced.filter(F.floor(F.col("r") * each / F.col("n")) != F.floor((F.col("r") - 1) * each / F.col("n"))).select("key")
-    found = [r["key"] for r in inner.union(keys.orderBy(*_order()).limit(1)).distinct().orderBy(*_order()).collect()]
-    if not found:
-        found = [{"none": True, "id": None, "begin": "", "hash": 0}]
-    n, kind = len(found), docs.schema[doc_id].dataType
-    edges = F.array(*[F.struct(F.lit(e["none"]).alias("none"), F.lit(e["id"]).cast(kind).alias("id"), F.lit(e["begin"]).alias("begin"), F.lit(e["hash"]).cast("bigint").alias("hash")) for e in found])
+    times = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+    said = inner.union(keys.orderBy(*_order()).limit(1)).distinct().orderBy(*_order()).select(F.to_json("key", times))
+    found = [r[0] for r in said.collect()] or ['{"none":true,"begin":"","hash":0}']
+    # one literal, however many edges: the plan is built and sent as fast for thousands of them
+    n, edges = len(found), F.from_json(F.lit(f"[{','.join(found)}]"), ArrayType(keys.schema["key"].dataType), times)
     placed = ids.withColumn("range", _range(F.col("key"), edges, n))
     own = F.struct(F.col("range").alias("range"), F.lit(False).alias("ghost"))
     ghost = F.struct(F.pmod(F.col("range") - 1, F.lit(n)).alias("range"), F.lit(True).alias("ghost"))
