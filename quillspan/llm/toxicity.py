@@ -71,13 +71,13 @@ _TERMS = {crc32(t.encode()): (t, g) for g in IDENTITY_TERMS for t in g}
 
 
 def counterfactuals(found: np.ndarray) -> list[tuple[set[int], set[int]]]:
-    """For each identity term among the features, what goes and what comes when it is swapped for its row's next term."""
+    """For each identity term among the features and each other term of its row, what goes and what comes with the swap."""
     own, out = set(found.tolist()), []
     for h in sorted(own & _TERMS.keys()):
         term, row = _TERMS[h]
-        other = set(word_features(row[(row.index(term) + 1) % len(row)]))
         gone = set(word_features(term))
-        out.append((gone - other, other - own))
+        for other in (set(word_features(x)) for x in row if x != term):
+            out.append((gone - other, other - own))
     return out
 
 
@@ -85,6 +85,7 @@ def counterfactuals(found: np.ndarray) -> list[tuple[set[int], set[int]]]:
 class Toxicity:
     bias: float
     weights: dict[int, float]
+    converged: bool = True
 
     def score(self, features: set[int]) -> float:
         z = self.bias + sum(self.weights[f] for f in features if f in self.weights)
@@ -115,8 +116,8 @@ def train(
     Left out: features that fewer than ``least`` of the sampled texts have, and those whose shares in the two classes
     differ by less than ``screen`` standard errors.  Identity terms always stay.  Each weight has a step of its own, by
     how often its feature occurs, so rare features do not wait for frequent ones; the momentum starts anew where the
-    objective rises.  It stops where ten rounds lower the objective by less than ``tolerance`` of it; RuntimeError if
-    ``rounds`` do not get there.
+    objective rises.  It stops where ten rounds lower the objective by less than ``tolerance`` of it; if ``rounds`` do not
+    get there, the weights with the least objective are taken, and ``converged`` is false.
     """
     if not len(y) or y.min() == y.max():
         return None
@@ -145,7 +146,8 @@ def train(
         z = x.times(w) + b
         return float(case @ np.logaddexp(0, np.where(y == 1, -z, z)) + 0.5 * force * np.square(s.times(w)).sum() + sparse * np.abs(w).sum())
 
-    w, z, b, zb, t, best = np.zeros(m), np.zeros(m), 0.0, 0.0, 1.0, math.inf
+    w, z, b, zb, t, last = np.zeros(m), np.zeros(m), 0.0, 0.0, 1.0, math.inf
+    best = (loss(w, b), w, b)
     for k in range(rounds):
         g = case * (1 / (1 + np.exp(-np.clip(x.times(z) + zb, -500, 500))) - y)
         grad = x.back(g) + force * s.back(s.times(z))
@@ -159,10 +161,10 @@ def train(
         w, b, t = w2, b2, t2
         if k % 10 == 9:
             now = loss(w, b)
-            if best - now < tolerance * max(now, 1e-9):
+            if last - now < tolerance * max(now, 1e-9):
                 return Toxicity(float(b), {int(index[j]): float(w[j]) for j in np.flatnonzero(w)})
-            best = now
-    raise RuntimeError(f"no convergence in {rounds} rounds")
+            last, best = now, min(best, (now, w, b), key=lambda x: x[0])
+    return Toxicity(float(best[2]), {int(index[j]): float(best[1][j]) for j in np.flatnonzero(best[1])}, False)
 
 
 def sample_ids(labels: DataFrame, label: str, sample: int, doc_id: str = "doc_id") -> DataFrame:
