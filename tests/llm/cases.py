@@ -2,7 +2,7 @@
 
 import random
 
-SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, size string, id string, label string, `range` int, f int, kept string"
+SCHEMA = "doc_id bigint, text string, lang string, source string, n_chars bigint, score double, size string, id string, label string, `range` int, f int, kept string, `x.y` string"
 
 
 def prose(seed: int, n: int, words=("the", "of", "and", "house", "river", "walks", "light", "under", "seven", "green", "stone", "evening")) -> str:
@@ -38,8 +38,8 @@ def rows() -> list[tuple]:
     out = []
     for k, t in enumerate(TEXTS):
         lang, source = [None, "en", "de"][k % 3], [None, "b", "a", "ä"][k % 4]
-        out.append((k, t, lang, source, len(t) if t else None, 0.5, "s", "i", "l", 1, 2, "k"))
-    out += [out[9], out[9], (None, prose(7, 80), "en", "a", None, None, None, None, None, None, None, None), (None, None, None, None, None, None, None, None, None, None, None, None)]
+        out.append((k, t, lang, source, len(t) if t else None, 0.5, "s", "i", "l", 1, 2, "k", "dot"))
+    out += [out[9], out[9], (None, prose(7, 80), "en", "a", *[None] * 9), (None,) * 13]
     return out
 
 

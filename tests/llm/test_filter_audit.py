@@ -47,7 +47,7 @@ def found(df):
 
 
 def test_odd_rows_in_every_order(spark):
-    docs = cases.rows() + [(100 + k, cases.prose(k, 90 + 5 * k) + (" $" if k % 3 else " LOUD VOICES"), ["en", "", None][k % 3], None, None, None, None, None, None, None, None, None) for k in range(12)]
+    docs = cases.rows() + [(100 + k, cases.prose(k, 90 + 5 * k) + (" $" if k % 3 else " LOUD VOICES"), ["en", "", None][k % 3], *[None] * 10) for k in range(12)]
     docs += [(200 + k, docs[-1 - k % 2][1], "fr", *docs[0][3:]) for k in range(5)] + [docs[-1]] * 2
     labels = [(100, 1, 0, "x", "y"), (100, 0, None, None, None), (200, 1, 1, None, None), (201, None, 1, None, None), (3, 1, 1, None, None), (3, 1, 1, None, None), (None, 1, 1, None, None)]
     got = found(filter_audit.audit(spark.createDataFrame(docs, cases.SCHEMA).repartition(3), spark.createDataFrame(labels, LABELS)))

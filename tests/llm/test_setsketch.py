@@ -55,7 +55,7 @@ def near_copies():
 
 
 def test_components_equal_all_pairs(spark):
-    docs = cases.rows() + [(1000 - k, t, "en", None, None, None, None, None, None, None, None, None) for k, t in enumerate(near_copies())]
+    docs = cases.rows() + [(1000 - k, t, "en", *[None] * 10) for k, t in enumerate(near_copies())]
     docs += [(3000 + k, t, *docs[0][2:]) for k, t in enumerate(["A b", "a  B", "a b c", "", " ", "Zz", "zz"])]
     got = setsketch.components(spark.createDataFrame(docs, cases.SCHEMA).repartition(3))
     assert got.columns == ["doc_id", "n_shingles", "component_id", "kept"]
