@@ -24,7 +24,12 @@ def postings(docs: DataFrame, key: str, text: str, token: str = TOKEN) -> DataFr
     """token, key and positions: the places of the token among its text's tokens, from 0.  Null texts have none; rows
     of one key are one text's."""
     every = docs.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(text, F.lit(token), F.lit(0))).alias("at", "token"))
-    return every.groupBy("token", "key").agg(F.array_sort(F.collect_list("at")).alias("positions"))
+    return gathered(every)
+
+
+def gathered(places: DataFrame) -> DataFrame:
+    """token, key and positions, sorted, from one row (token, key, at) a place."""
+    return places.groupBy("token", "key").agg(F.array_sort(F.collect_list("at")).alias("positions"))
 
 
 @dataclass(frozen=True)

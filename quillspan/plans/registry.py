@@ -883,7 +883,7 @@ def _many_imports(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
 
 
 _MANY_SQL = f"""files AS (SELECT i, '/p/d' || i % 100 || '/f' || i || CASE WHEN i % 3 = 0 THEN '.tsx' ELSE '.ts' END AS path FROM range({_MANY}) t(i)),
-links AS (SELECT a.i AS i, a.path AS src, b.i AS j, b.path AS dst FROM files a JOIN files b ON b.i IN (2 * a.i + 1, 2 * a.i + 2) WHERE a.i % 10 <> 3)"""
+links AS (SELECT a.i AS i, a.path AS src, b.i AS j, b.path AS dst FROM (SELECT i, path, 2 * i + 1 AS j FROM files UNION ALL SELECT i, path, 2 * i + 2 FROM files) a JOIN files b ON b.i = a.j WHERE a.i % 10 <> 3)"""
 
 
 @_query(f"WITH {_MANY_SQL} SELECT src, dst FROM links")

@@ -145,8 +145,9 @@ def preview(corpus: Corpus, changes: DataFrame) -> dict[str, DataFrame]:
     return {"diffs": rows, "summary": diffs.summary(rows)}
 
 
-def rename(corpus: Corpus, path: str, name: str, new: str, scope: str = "project") -> dict[str, DataFrame]:
-    rows = refactor.rename(corpus.files, path, name, new, scope)
+def rename(corpus: Corpus, path: str, name: str, new: str, scope: str = "project", indexed: bool = False) -> dict[str, DataFrame]:
+    """``indexed``: only files that the corpus's index of names has for ``name`` are scanned; the first call builds it."""
+    rows = refactor.rename(corpus.naming(name) if indexed else corpus.files, path, name, new, scope)
     return {"symbol": refactor.find_symbol(corpus.files, path, name), "references": rows, "summary": refactor.rename_summary(rows), "preview": refactor.rename_preview(rows)}
 
 

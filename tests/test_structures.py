@@ -2,13 +2,18 @@
 
 import random
 import re
+import time
 from collections import deque
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
 
 from quillspan.functions import text as fx
-from quillspan.operators import graph, intervals, names, nearest, nesting, postings, reach
+from quillspan.operators import coverage, findings, graph, intervals, names, nearest, nesting, postings, reach
+from quillspan.plans import samples, tools
+from quillspan.plans.corpus import Corpus, invalidate, open_corpus
+from quillspan.sources import corpus as source
 
 
 def frame(spark, edges):
@@ -206,3 +211,51 @@ def test_names_in_shards(spark):
     whole = {(r.id, r.name): (r.n, r.first) for r in names.found(docs, wanted, "id", "body").collect()}
     assert whole == {(1, "cat"): (1, 5), (1, "cats"): (1, 0), (1, "at"): (1, 14), (1, "New York"): (1, 28), (1, "x_y"): (1, 37), (1, "é"): (1, 46)}
     assert names.found(docs, wanted.limit(0), "id", "body").count() == 0
+
+
+def test_a_refreshed_corpus_equals_a_new_one(spark):
+    files = dict(samples.FILES)
+    before = Corpus(source.from_rows(spark, sorted(files.items()), samples.ROOT), "corrected")
+    seeds = ["/app/src/main.ts"]
+    assert before.reached(seeds).count() > 1 and before.reached(seeds) is before.reached(seeds)
+    target = "/app/src/util/format.ts"
+    changed = {target: "import { late } from './late';\nexport const fmt = late;\n", "/app/src/util/late.ts": "export const late = 1;\n"}
+    gone = next(p for p in sorted(files) if p.endswith(".ts") and p not in (target, *seeds))
+    after = before.refreshed(source.from_rows(spark, sorted(changed.items()), samples.ROOT), [gone])
+    whole = Corpus(source.from_rows(spark, sorted(({p: c for p, c in files.items() if p != gone} | changed).items()), samples.ROOT), "corrected")
+    rows = lambda df, *c: sorted(map(str, df.select(*c).collect()))
+    assert rows(after.files, "path", "content", "n_lines") == rows(whole.files, "path", "content", "n_lines")
+    assert rows(after.symbols, *whole.symbols.columns) == rows(whole.symbols, *whole.symbols.columns)
+    assert rows(after.edges(), "src", "dst") == rows(whole.edges(), "src", "dst")
+    assert rows(after.reached(seeds), "node", "depth") == rows(graph.reachable(whole.edges(), spark.createDataFrame([(s,) for s in seeds], "node string")), "node", "depth")
+
+
+def test_rename_by_the_index_equals_a_scan(spark):
+    corpus = Corpus(source.from_rows(spark, samples.FILES, samples.ROOT))
+    path, rows = "/app/src/util/format.ts", lambda df: sorted(map(tuple, df.collect()))
+    assert rows(tools.rename(corpus, path, "fmt", "show", indexed=True)["references"]) == rows(tools.rename(corpus, path, "fmt", "show")["references"]) != []
+    named = {r.path for r in corpus.naming("fmt").collect()}
+    assert named == {r.path for r in findings.reference_counts(corpus.files, "fmt").collect()}
+
+
+def test_callers_wait_for_one_scan(spark, tmp_path, monkeypatch):
+    (tmp_path / "a.ts").write_text("export const a = 1;")
+    scans, scan = [], source.scan
+
+    def slow(*args, **options):
+        scans.append(1)
+        time.sleep(0.5)
+        return scan(*args, **options)
+
+    monkeypatch.setattr(source, "scan", slow)
+    with ThreadPoolExecutor(4) as pool:
+        found = list(pool.map(lambda _: open_corpus(spark, str(tmp_path)), range(4)))
+    assert len(scans) == 1 and all(c is found[0] for c in found)
+    assert invalidate(str(tmp_path)) == 1 and invalidate(str(tmp_path)) == 0
+
+
+def test_recommendations_name_three(spark):
+    files = spark.createDataFrame([(f"f{k:02}", float(k * 10)) for k in range(9)] + [("a0", 0.0), ("a1", 0.0), ("a2", 0.0)], "path string, pct double")
+    said = coverage.recommendations(files, 80.0).first().said
+    assert said[1:] == ["8 files are covered by less than half, such as a0, a1, a2", "4 files are not covered, such as a0, a1, a2"] and "threshold of 80.0%" in said[0]
+    assert len(coverage.recommendations(files.limit(0)).first().said) == 1
