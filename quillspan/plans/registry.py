@@ -39,15 +39,15 @@ def _query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
-    from . import structures
+    from . import derived, structures
 
-    return _QUERIES | structures.queries()
+    return _QUERIES | structures.queries() | derived.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import structures
+    from . import derived, structures
 
-    return _SQL | structures.oracle_sql()
+    return _SQL | structures.oracle_sql() | derived.oracle_sql()
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
