@@ -18,7 +18,7 @@ only if the sets of the two whole texts have that index.  Two sets with an index
 
 A shard of more than ``most`` values is cut: first at random, in another way each turn, until a turn joins no
 components any more or the parts are few (PIECES); if components are still apart then, all pairs of its parts are
-searched.  So no link is lost, and a group of copies, which is one component after a turn or two, is never searched in
+searched (of exact shards with many parts, first the shards that further bits make of them).  So no link is lost, and a group of copies, which is one component after a turn or two, is never searched in
 one task.
 
 Defined results: a null text counts as empty; a text without words has fingerprint zero and is linked like any other;
@@ -242,19 +242,19 @@ def forest(values: Sequence[int], radius: int, accept: Callable[[int, int], bool
     return links
 
 
-def choices_for(n: int, radius: int, bits: int = 64, shard: int = SHARD) -> list[int]:
+def choices_for(n: int, radius: int, bits: Sequence[int] = range(64), shard: int = SHARD) -> list[int]:
     """Masks of key bits, so that ``n`` unrelated fingerprints make shards of about ``shard``.
 
-    Each takes its bits from another choice of all but ``radius`` of the blocks; so two fingerprints that differ in
-    ``radius`` bits or fewer are equal under one mask or more.  Few fingerprints are one shard.
+    Each takes its bits, some of ``bits``, from another choice of all but ``radius`` of the blocks; so two fingerprints
+    that differ in ``radius`` bits or fewer are equal under one mask or more.  Few fingerprints are one shard.
     """
     wanted = math.ceil(math.log2(max(n, 1) / shard))
     if wanted <= 0:
         return [0]
     for blocks in range(radius + 1, 2 * radius + 5):
-        if bits * (blocks - radius) // blocks >= wanted:
+        if len(bits) * (blocks - radius) // blocks >= wanted:
             break
-    cut = [part.tolist() for part in np.array_split(np.arange(bits), blocks)]
+    cut = [part.tolist() for part in np.array_split(np.array(bits), blocks)]
     out = []
     for chosen in itertools.combinations(cut, blocks - radius):
         mixed = [b for row in itertools.zip_longest(*chosen) for b in row if b is not None]
@@ -361,9 +361,10 @@ def _crowded(keyed: DataFrame) -> DataFrame:
     return shards.filter("low != high").dropDuplicates(["size", "x0", "x1"]).select("choice", "key", "size")
 
 
-def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFrame], DataFrame], most: int = MOST) -> DataFrame:
+def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFrame], DataFrame], most: int = MOST, finer: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
     """Links (a, b) of the shards of ``keyed`` (choice, key, node), besides those ``known``, by ``search`` over rows of
-    shards and their cuts; see above for shards of more than ``most``."""
+    shards and their cuts; see above for shards of more than ``most``.  ``finer`` makes smaller shards, in which all links
+    of such a one are, for use before all pairs of parts."""
     found, last = known, False
     for turn in itertools.count():
         own = keyed.withColumn("part", F.col("node")) if found is None else keyed.join(durable(connected(found), "parts").withColumnsRenamed({"f": "node", "root": "part"}), "node", "left").withColumn("part", F.coalesce("part", "node"))
@@ -379,14 +380,24 @@ def _joined(keyed: DataFrame, known: DataFrame | None, search: Callable[[DataFra
         last = largest <= PIECES * most or links.isEmpty()
         # all links of shards that were not cut are found
         keyed = durable(keyed.join(shards.filter(F.col("size") > most).select("choice", "key"), ["choice", "key"], "left_semi"), "crowded")
+        if last and finer and largest > PIECES * most:
+            return _joined(durable(finer(keyed, largest), "finer"), found, search, most)
 
 
 def linked(distinct: DataFrame, radius: int = RADIUS, n: int | None = None, most: int = MOST_EXACT) -> DataFrame:
     """a and b: links among the distinct 64-bit fingerprints f0, enough to connect whatever is connected."""
     masks = choices_for(distinct.count() if n is None else n, radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    keyed = distinct.select(F.col("f0").alias("node"), F.posexplode(F.array(*[F.col("f0").bitwiseAND(F.lit(m)) for m in signed])).alias("choice", "key"))
-    return _joined(keyed, None, lambda rows: _searched(rows.withColumn("f0", F.col("node")), ["f0"], radius, None), most)
+    signed = lambda every: [m - (1 << 64) if m >> 63 else m for m in every]
+    keyed = distinct.select(F.col("f0").alias("node"), F.posexplode(F.array(*[F.col("f0").bitwiseAND(F.lit(m)) for m in signed(masks)])).alias("choice", "key"))
+
+    def finer(rows: DataFrame, size: int) -> DataFrame:
+        """Keys from the bits that a shard's own key leaves, by choices of blocks of these again."""
+        more = [signed(choices_for(size, radius, [b for b in range(64) if not m >> b & 1])) for m in masks]
+        own = F.get(F.array(*[F.array(*[F.lit(x).cast("bigint") for x in every]) for every in more]), F.col("choice"))
+        apart = rows.select("node", "choice", "key", F.posexplode(own).alias("pos", "mask"))
+        return apart.select("node", (F.col("choice") * 1000 + F.col("pos")).alias("choice"), F.xxhash64("key", F.col("node").bitwiseAND(F.col("mask"))).alias("key"))
+
+    return _joined(keyed, None, lambda rows: _searched(rows.withColumn("f0", F.col("node")), ["f0"], radius, None), most, finer)
 
 
 def alike(distinct: DataFrame, sets_of, n_words: int, similarity: float, most: int = MOST) -> DataFrame:

@@ -33,3 +33,31 @@ def test_a_candidate_that_fails_does_not_hide_others(spark):
             words[at] = f"e{k}"
     df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(3)
     assert {r.component_id for r in simhash.similar(df).collect()} == {0}
+
+
+def test_crowded_shards_are_cut_by_further_bits(spark, monkeypatch):
+    """Values that share 24 bits and little else, with a few near ones among them: all links are found, without all pairs."""
+    rng = random.Random(9)
+    values = [0xABCDEF << 40 | rng.getrandbits(40) for _ in range(500)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 7))) for v in values[:60]]
+    root = {v: v for v in values}
+
+    def top(v):
+        while root[v] != v:
+            v = root[v]
+        return v
+
+    for k, a in enumerate(values):
+        for b in values[:k]:
+            if (a ^ b).bit_count() <= 4:
+                root[top(a)] = top(b)
+    made, choices_for = [], simhash.choices_for
+    monkeypatch.setattr(simhash, "choices_for", lambda n, radius, *bits: made.append(bits) or choices_for(n, radius, *bits, shard=8))
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    links = simhash.linked(spark.createDataFrame([(v,) for v in set(signed)], "f0 bigint"), most=8)
+    found = {r.f: r.root for r in simhash.connected(links).collect()}
+    groups = {}
+    for v, s in zip(values, signed, strict=True):
+        groups.setdefault(found.get(s, s), set()).add(top(v))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({top(v) for v in values})
+    assert any(bits for bits in made)
