@@ -10,12 +10,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import resolve
+from ..operators import findings, resolve
+from ..operators import symbols as sym
+from ..operators.scripts import BUILT_IN, parsed
 from ..sources import corpus as source
+from ..sources import reports
 from ..storage import durable
 from . import tools
 from .corpus import Corpus
-from .registry import _COMPLEXITY, _EDGES, _LANG_SQL, Query, _edges, _table
+from .registry import _COMPLEXITY, _EDGES, _LANG_SQL, _RULES, Query, _edges, _table
 
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
@@ -142,10 +145,131 @@ def supplier_rename(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM (SELECT page_id, unnest(regexp_extract_all(html, '(?s)<script>(.*?)</script>', 1)) AS body FROM pages)""")
 def page_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Declarations in the scripts of pages, and how often each refers to a name."""
-    from ..operators.scripts import parsed
-
     bodies = _table(spark, sf_dir, "pages").select("page_id", F.posexplode(F.regexp_extract_all("html", F.lit("(?s)<script>(.*?)</script>"), 1)).alias("pos", "content"))
     files = durable(bodies.select("page_id", F.format_string("/p%d/%d.js", "page_id", "pos").alias("path"), "content").withColumn("language", fx.language(F.col("path"))), "scripts")
     found = parsed(files, ("symbols", "identifiers"), "corrected")
     told = found.select("path", F.explode("symbols").alias("s"), F.size(F.filter("identifiers", lambda x: x["name"] == "track")).alias("n_track"))
     return told.join(files.select("path", "page_id"), "path").select("page_id", F.col("s.name").alias("name"), F.col("s.type").alias("type"), "n_track")
+
+
+# readers of reports, over texts made from customers and orders: S6, S7, S11, S12
+
+
+@_query("""SELECT '/c/f' || o_custkey || '.ts' AS path, CAST(count(*) FILTER (o_orderkey % 4 > 0) AS INT) AS covered, CAST(count(*) AS INT) AS total, 100.0 * count(*) FILTER (o_orderkey % 4 > 0) / count(*) AS pct,
+  CAST(count(*) FILTER (o_orderkey % 4 = 0 AND o_orderkey % 300 > 0) AS INT) AS n_regions, count(*) FILTER (o_orderkey % 4 = 0 AND o_orderkey % 300 > 0) > 0 AS missing FROM orders GROUP BY o_custkey""")
+def order_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A JSON report a customer, whose statements are the customer's orders."""
+    k = F.col("o_orderkey")
+    one = F.struct(k.cast("string"), F.struct(F.struct((k % 300).cast("int").alias("line")).alias("start")))
+    hits = F.struct(k.cast("string"), (k % 4).alias("n"))
+    body = F.struct(F.map_from_entries(F.collect_list(one)).alias("statementMap"), F.map_from_entries(F.collect_list(hits)).alias("s"))
+    path = F.format_string("/c/f%d.ts", "o_custkey")
+    told = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg(body.alias("body"))  # a customer has few orders
+    told = told.select(F.to_json(F.struct(F.create_map(path, "body").alias("coverageMap"))).alias("value"))
+    return reports.coverage_json(told).select("path", "covered", "total", "pct", F.size("regions").alias("n_regions"), "missing")
+
+
+@_query("SELECT '/c/f' || c_custkey || '.ts' AS path, CAST(c_custkey % 101 AS DOUBLE) AS pct, c_custkey % 101 < 100 AS missing FROM customer")
+def customer_coverage_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a coverage table, among rules and headings."""
+    k = F.col("c_custkey")
+    row = F.format_string(" /c/f%d.ts   |   %d |  50.5 |  1 |  %d.25 | 7", k, k % 101, k % 7)
+    lines = _table(spark, sf_dir, "customer").select(F.explode(F.array(F.lit("File | % Stmts | % Branch"), row, F.lit("-----|-----|----"))).alias("value"))
+    return reports.coverage_text(lines).select("path", "pct", "missing")
+
+
+@_query("""SELECT o_orderkey AS n, 'lint' AS type, o_orderpriority || ' is late' AS message, '/o/f' || o_custkey || '.ts' AS file, CAST(o_orderkey % 500 AS INT) AS line FROM orders WHERE o_orderstatus <> 'P'
+UNION ALL SELECT o_orderkey, 'typescript', 'Type ' || o_orderpriority, '/o/f' || o_custkey || '.ts', CAST(o_orderkey % 70 AS INT) FROM orders WHERE o_orderstatus = 'F'
+UNION ALL SELECT o_orderkey, 'test', 'FAIL f' || o_custkey, NULL, NULL FROM orders WHERE o_orderstatus = 'O'""")
+def order_logs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of three tools' logs, all of them kept."""
+    o, k = _table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    status, file = F.col("o_orderstatus"), F.format_string("/o/f%d.ts", "o_custkey")
+    said = {
+        "lint": F.when(status == "P", F.lit("all is well")).otherwise(F.concat(file, F.format_string(":%d:3  ", k % 500), F.when(status == "F", "error").otherwise("warning"), F.lit("  "), "o_orderpriority", F.lit(" is late"))),
+        "typescript": F.when(status == "F", F.concat(file, F.format_string("(%d,7): error TS2322: Type ", k % 70), "o_orderpriority")).otherwise("Found no more"),
+        "test": F.when(status == "O", F.concat(F.lit("  FAIL f"), "o_custkey", F.lit("  "))).otherwise("ok"),
+    }
+    out = None
+    for kind, value in said.items():
+        one = reports.log_errors(o.select(k.alias("n"), value.alias("value")), kind, most=2**31 - 1)
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query(rf"""WITH f AS (SELECT o_orderkey AS n, o_orderpriority AS title, CAST(o_orderkey % 100 AS DOUBLE) AS told FROM orders WHERE o_orderstatus <> 'P'), r AS (SELECT *, CASE WHEN told = 0 THEN 50.0 ELSE told END AS risk FROM f)
+SELECT n, 'suggestion-1' AS id, 'unknown' AS type, title, CAST(n % 9 AS INT) AS start_line, CASE {' '.join(f"WHEN risk < {b} THEN '{t}'" for b, t in reports.IMPACTS[:-1])} ELSE '{reports.IMPACTS[-1][1]}' END AS estimated_impact, risk AS risk_score FROM r
+UNION ALL SELECT o_orderkey, 'error-1', 'analysis-error', 'Unable to parse suggestions', 0, 'Unknown', 0.0 FROM orders WHERE o_orderstatus = 'P'""")
+def order_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A reply an order, fenced, bare or without JSON."""
+    k, status = F.col("o_orderkey"), F.col("o_orderstatus")
+    item = F.struct(F.col("o_orderpriority").alias("title"), (k % 100).cast("double").alias("riskScore"), (k % 9).alias("startLine"))
+    text = F.to_json(F.struct(F.array(item).alias("suggestions")))
+    value = F.when(status == "F", F.concat(F.lit("Here:\n```json\n"), text, F.lit("\n```\nDone."))).when(status == "O", text).otherwise("I am sorry.")
+    found = tools.suggestions(_table(spark, sf_dir, "orders").select(k.alias("n"), value.alias("value")))
+    return found.select("n", "id", "type", "title", "start_line", "estimated_impact", "risk_score")
+
+
+# other languages, over a file of each a part: X3 to X6, P9
+
+
+def _parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"))
+    python = F.format_string("import os\nfrom m%d.core import x\nclass C%d:\n    def run(self):\n        pass\nasync def _p%d(a):\n    return a\n", F.col("k") % 50, "k", "k")
+    go = F.format_string("package p\nimport (\n\t\"fmt\"\n\t\"m%d/core\"\n)\nfunc F%d() {}\nfunc g%d(x int) {}\ntype T%d struct {}\n", F.col("k") % 50, "k", "k", "k")
+    both = p.select(F.explode(F.array(F.struct(F.format_string("/p/f%d.py", "k").alias("path"), python.alias("content")), F.struct(F.format_string("/p/f%d.go", "k").alias("path"), go.alias("content")))).alias("x")).select("x.*")
+    read = both.select("path", "path", F.octet_length("content").cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("last_modified"), "content").toDF("path", "relative_path", "size", "last_modified", "content")
+    return source.with_metrics(read)
+
+
+@_query("""SELECT '/p/f' || p_partkey || x.e AS path, x.name || CASE WHEN x.name = 'run' THEN '' ELSE CAST(p_partkey AS VARCHAR) END AS name, x.type, x.line AS start_line, x.shown AS is_exported, x.own AS is_private
+FROM part, (VALUES ('.py', 'C', 'class', 3, true, false), ('.py', 'run', 'function', 4, true, false), ('.py', '_p', 'function', 6, true, true), ('.go', 'F', 'function', 6, true, false), ('.go', 'g', 'function', 7, false, true), ('.go', 'T', 'type', 8, true, false)) x(e, name, type, line, shown, own)""")
+def part_symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Declarations of Python and Go files."""
+    return sym.symbols(_parts(spark, sf_dir)).select("path", "name", "type", "start_line", "is_exported", "is_private")
+
+
+@_query("""SELECT '/p/f' || p_partkey || x.e AS path, x.ord, replace(x.source, '#', CAST(p_partkey % 50 AS VARCHAR)) AS source FROM part, (VALUES ('.py', 0, 'os'), ('.py', 1, 'm#.core'), ('.go', 0, 'fmt'), ('.go', 1, 'm#/core')) x(e, ord, source)""")
+def part_imports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Imports of Python and Go files."""
+    return sym.imports(_parts(spark, sf_dir))
+
+
+@_query(r"""WITH t AS (SELECT '/t/' || p_partkey || (['/a.types.ts', '/a.d.ts', '/types.tsx', '/mytypes.ts', '/a.types.js'])[p_partkey % 5 + 1] AS path FROM part) SELECT path, regexp_matches(path, '[.]types[.]tsx?$') OR regexp_matches(path, '[.]d[.]ts$') OR regexp_matches(path, '(^|/)types[.]tsx?$') AS type_only FROM t""")
+def part_type_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files that hold types alone, by their names."""
+    ends = F.array(*[F.lit(x) for x in ("/a.types.ts", "/a.d.ts", "/types.tsx", "/mytypes.ts", "/a.types.js")])
+    path = F.concat(F.lit("/t/"), "p_partkey", F.get(ends, (F.col("p_partkey") % 5).cast("int")))
+    return _table(spark, sf_dir, "part").select(path.alias("path")).select("path", fx.is_type_only(F.col("path")).alias("type_only"))
+
+
+@_query(rf"""WITH l AS (SELECT doc_id, regexp_extract_all(string_split(text, chr(10))[1], '[A-Za-z_]+') AS used, regexp_extract_all(coalesce(string_split(text, chr(10))[2], ''), '[A-Za-z_]+') AS declared FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, array_to_string(list_sort(list_filter(list_distinct(used), lambda x: NOT list_contains(declared, x) AND x NOT IN ({', '.join(f"'{b}'" for b in BUILT_IN)}))), ',') AS names FROM l""")
+def document_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of each document's first line that its second lacks."""
+    word = F.lit("[A-Za-z_]+")
+    line = lambda k: F.coalesce(F.get(fx.lines(F.col("text")), F.lit(k)), F.lit(""))
+    used, declared = F.regexp_extract_all(line(0), word, F.lit(0)), F.regexp_extract_all(line(1), word, F.lit(0))
+    d = _table(spark, sf_dir, "documents").filter("text IS NOT NULL")
+    return d.select("doc_id", F.array_join(fx.free_names(used, declared, F.array(*map(F.lit, BUILT_IN))), ",").alias("names"))
+
+
+@_query(f"""WITH c AS (SELECT o_custkey AS k, '/c/f' || o_custkey || '.js' AS path, CAST(3 * count(*) AS INT) AS n FROM orders GROUP BY o_custkey), measured AS (
+  SELECT path, 'file-too-large' AS type, CAST(NULL AS VARCHAR) AS symbol, CAST(NULL AS INT) AS start_line, CAST(NULL AS INT) AS end_line, n + 4 AS current FROM c
+  UNION ALL SELECT path, 'function-too-long', 'f' || k, 1, n + 3, n + 3 FROM c
+  UNION ALL SELECT path, 'function-too-complex', 'f' || k, 1, n + 3, n + 1 FROM c
+), judged AS (
+  SELECT m.*, unit, CAST(medium AS INT) AS threshold, pos, CASE WHEN current > high THEN 'high' ELSE 'medium' END AS severity,
+    CASE WHEN current > high THEN effort_high ELSE effort_low END AS effort, CASE WHEN current > high THEN impact_high ELSE impact_low END AS impact
+  FROM measured m JOIN {_RULES} r ON r.type = m.type WHERE current > medium
+)
+SELECT 'opp-' || row_number() OVER (ORDER BY severity <> 'high', CASE impact WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, path, pos, start_line, type) AS id,
+  path, type, severity, symbol, start_line, end_line, current, threshold, unit, effort, impact FROM judged""")
+def customer_opportunities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F1, O1: a function a customer, three branches for each order."""
+    n = _table(spark, sf_dir, "orders").groupBy("o_custkey").agg((3 * F.count(F.lit(1))).cast("int").alias("n"))
+    content = F.concat(F.format_string("function f%d(x) {\n", "o_custkey"), F.repeat(F.lit("  if (x > 1) { x = x - 1; }\n"), F.col("n")), F.lit("  return x;\n}\n"))
+    path = F.format_string("/c/f%d.js", "o_custkey")
+    read = n.select(path.alias("path"), path.alias("relative_path"), F.octet_length(content).cast("bigint").alias("size"), F.lit(None).cast("timestamp").alias("last_modified"), content.alias("content"))
+    c = Corpus(durable(source.with_metrics(read), "files"))
+    return findings.opportunities(c.files, c.symbols).select("id", "path", "type", "severity", "symbol", "start_line", "end_line", "current", "threshold", "unit", "effort", "impact")
