@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from .common import WHITE, durable, words
 
 STATISTICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_MORE = ["n_lines", "n_letters", "n_upper", "n_ends", "n_distinct"]
+_MORE = ["n_lines", "n_letters", "n_upper", "n_ends", "n_distinct", "n_bare"]
+_BARE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}]++(?![^\x20\x09-\x0D])"
 _P = "__quality_"
 
 
@@ -71,6 +72,7 @@ def with_statistics(df: DataFrame, text: str = "text") -> DataFrame:
             _P + "n_upper": _count(t, r"\P{Lu}+"),
             _P + "n_ends": _count(t, "[^.!?]+"),
             _P + "n_distinct": F.size(F.array_distinct(w)).cast("long"),
+            _P + "n_bare": F.regexp_count(t, F.lit(_BARE)).cast("long"),
         }
     ).drop(_P + "w", _P + "lines", _P + "tri")
 
@@ -83,28 +85,33 @@ def _vote(bad: Column, good: Column | None = None) -> Column:
     return F.when(bad, F.lit(-1)).when(good if good is not None else F.lit(False), F.lit(1)).otherwise(F.lit(0))
 
 
-def rules() -> dict[str, Column]:
-    """The rules by name; each is a Column of -1, 0 or 1 over the statistics."""
+def rules(letters_cuts: tuple[float, float] = (0.88, 0.92)) -> dict[str, Column]:
+    """The rules by name; each is a Column of -1, 0 or 1 over the statistics.
+
+    Junk of marks meets two rules besides the one on letters (marks in words, words of marks alone), so moving ``letters_cuts``
+    by a few hundredths moves few verdicts.
+    """
     symbols, repeats, upper = _ratio("n_symbols", "n_words"), _ratio("n_repeat_words", "n_words"), _ratio("n_upper", "word_chars")
     length, ends, variety, dup = _ratio("word_chars", "n_words"), _ratio("n_ends", "n_words"), _ratio("n_distinct", "n_words"), _ratio("n_dup_lines", "n_lines")
-    n, letters = F.col(_P + "n_words"), _ratio("n_letters", "word_chars")
+    n, letters, bare = F.col(_P + "n_words"), _ratio("n_letters", "word_chars"), _ratio("n_bare", "n_words")
     return {
         "length": _vote(n < 20, n >= 50),
         "symbols": _vote(symbols > 0.2, symbols <= 0.05),
-        "letters": _vote(letters < 0.88, letters >= 0.92),
+        "letters": _vote(letters < letters_cuts[0], letters >= letters_cuts[1]),
         "duplicate_lines": _vote(dup > 0.3, dup <= 0.1),
         "repeated_words": _vote(repeats > 0.4, repeats <= 0.2),
         "capitals": _vote(upper > 0.4, upper <= 0.2),
         "word_length": _vote((length < 2) | (length > 15), (length >= 3) & (length <= 10)),
         "sentence_ends": _vote((ends > 0.7) | ((ends == 0) & (n >= 50)), (ends > 0.01) & (ends <= 0.35)),
         "variety": _vote((variety < 0.1) & (n >= 50), (variety >= 0.25)),
+        "bare_words": _vote(bare > 0.2, bare <= 0.1),
     }
 
 
-def with_votes(df: DataFrame, text: str = "text") -> DataFrame:
-    """``with_statistics`` plus one integer: the vote pattern in base 3."""
+def with_votes(df: DataFrame, text: str = "text", named: dict[str, Column] | None = None) -> DataFrame:
+    """``with_statistics`` plus one integer: the vote pattern of ``named`` rules (all of ``rules()``) in base 3."""
     pattern = F.lit(0)
-    for k, rule in enumerate(rules().values()):
+    for k, rule in enumerate((named or rules()).values()):
         pattern = pattern + (rule + 1) * 3**k
     return with_statistics(df, text).withColumn(_P + "pattern", pattern.cast("int"))
 
@@ -172,9 +179,9 @@ def estimate(counts: dict[tuple[int, ...], int], rounds: int = 100, strength: fl
     return model
 
 
-def fit(voted: DataFrame) -> VoteModel:
-    """Estimate the model from all rows of ``voted``."""
-    m = len(rules())
+def fit(voted: DataFrame, m: int | None = None) -> VoteModel:
+    """Estimate the model of ``m`` rules (as many as ``rules()`` has) from all rows of ``voted``."""
+    m = m or len(rules())
     rows = voted.groupBy(_P + "pattern").count().collect()  # at most 3^m rows
     return estimate({votes_of(r[0], m): r[1] for r in rows} or {}) if rows else VoteModel(0.8, (0.95,) * m, (0.5,) * m)
 

@@ -107,16 +107,18 @@ FROM ranked
 
 def _rules_sql() -> str:
     """op1: the statistics, the votes, and the rounds of expectation-maximisation as a recursion over one row."""
-    m = 9  # votes in the order of quality_rules.rules()
+    m = 10  # votes in the order of quality_rules.rules()
     vote = lambda bad, good: f"CASE WHEN {bad} THEN -1 WHEN {good} THEN 1 ELSE 0 END"
     over = lambda a, b: f"({a} / CAST(greatest({b}, 1) AS DOUBLE))"
     symbols, letters, dup, repeats = over("n_symbols", "n_words"), over("n_letters", "word_chars"), over("n_dup_lines", "n_lines"), over("n_repeat_words", "n_words")
     upper, length, ends, variety = over("n_upper", "word_chars"), over("word_chars", "n_words"), over("n_ends", "n_words"), over("n_distinct", "n_words")
+    bare = over("n_bare", "n_words")
     votes = [
         vote("n_words < 20", "n_words >= 50"), vote(f"{symbols} > 0.2", f"{symbols} <= 0.05"), vote(f"{letters} < 0.88", f"{letters} >= 0.92"),
         vote(f"{dup} > 0.3", f"{dup} <= 0.1"), vote(f"{repeats} > 0.4", f"{repeats} <= 0.2"), vote(f"{upper} > 0.4", f"{upper} <= 0.2"),
         vote(f"{length} < 2 OR {length} > 15", f"{length} >= 3 AND {length} <= 10"),
         vote(f"{ends} > 0.7 OR (n_ends = 0 AND n_words >= 50)", f"{ends} > 0.01 AND {ends} <= 0.35"), vote(f"{variety} < 0.1 AND n_words >= 50", f"{variety} >= 0.25"),
+        vote(f"{bare} > 0.2", f"{bare} <= 0.1"),
     ]
     each = lambda f: ", ".join(f(j) for j in range(1, m + 1))
     logit = "ln(prior / (1 - prior))" + "".join(f" + CASE WHEN v[{j}] > 0 THEN ln(good[{j}] / (1 - bad[{j}])) WHEN v[{j}] < 0 THEN ln((1 - good[{j}]) / bad[{j}]) ELSE 0 END" for j in range(1, m + 1))
@@ -139,6 +141,7 @@ WITH RECURSIVE d AS (
          CAST(length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols, CAST(length(regexp_replace(t, '\PL+', '', 'g')) AS BIGINT) AS n_letters,
          CAST(length(regexp_replace(t, '\P{{Lu}}+', '', 'g')) AS BIGINT) AS n_upper, CAST(length(regexp_replace(t, '[^.!?]+', '', 'g')) AS BIGINT) AS n_ends,
          CAST(len(l) AS BIGINT) AS n_lines, CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(len(list_distinct(w)) AS BIGINT) AS n_distinct,
+         CAST(len(list_filter(w, lambda x: NOT regexp_matches(x, '\pL'))) AS BIGINT) AS n_bare,
          CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words
   FROM d LEFT JOIN covered c ON c.rid = d.rid
 ), voted AS (

@@ -2,6 +2,7 @@ import math
 import os
 import random
 import re
+import unicodedata
 from collections import Counter
 
 import numpy as np
@@ -46,6 +47,30 @@ def test_verdicts_follow_the_model(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.posterior >= 0.5 for r in got)
 
 
+def test_words_without_letters_against_brute_force(spark):
+    texts = [r[1] or "" for r in rows()] + ["| a | 12,5 |", "1", "1a 2", "\x85 é\xa0- -\n--", "a-1 -1- ...", "²  ª \u0301 ４"]
+    got = qr.with_statistics(spark.createDataFrame([(t,) for t in texts], "text string")).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        assert r["__quality_n_bare"] == sum(not any(unicodedata.category(c)[0] == "L" for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", r.text))
+
+
+def test_moved_cut_offs_on_letters_move_few_verdicts(spark):
+    """Cut-offs 0.06 lower to 0.02 higher let no more labelled bad documents stay and reject no more good ones than one in a hundred."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").select("doc_id", "quality")
+    stays = {}
+    for shift in (-0.06, -0.04, -0.02, 0.0, 0.02):
+        named = qr.rules((0.88 + shift, 0.92 + shift))
+        voted = qr.with_votes(docs, named=named)
+        model = qr.fit(voted, len(named))
+        counts = voted.join(labels, "doc_id").groupBy("quality", "__quality_pattern").count().collect()
+        stays[shift] = [sum(r["count"] for r in counts if r.quality == q and model.logit(qr.votes_of(r["__quality_pattern"], len(named))) >= 0) for q in (0, 1)]
+        every = [sum(r["count"] for r in counts if r.quality == q) for q in (0, 1)]
+    for bad, good in stays.values():
+        assert abs(bad - stays[0.0][0]) <= 0.02 * every[0] and abs(good - stays[0.0][1]) <= 0.01 * every[1]
+
+
 def test_rules_on_no_documents(spark):
     assert qr.score(empty(spark)).count() == 0 and qr.keep(empty(spark)).count() == 0
 
