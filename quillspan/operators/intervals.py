@@ -51,7 +51,8 @@ def contained(outer: DataFrame, inner: DataFrame, on: list[str], start: str = "s
     whole = lambda df: F.struct(*[c for c in df.columns if c not in on])
     a = outer.select(*on, whole(outer).alias("outer"), F.explode(blocks(F.col(start), F.col(end), n, bits)).alias("k")).select(*on, "outer", "k.*")
     b = inner.filter(F.col(start) <= F.col(end)).select(*on, whole(inner).alias("inner"), F.explode(_keys(F.col(start), n, bits)).alias("k")).select(*on, "inner", "k.*")
-    return a.join(b, [*on, "level", "block"]).filter(F.col(f"inner.{end}") <= F.col(f"outer.{end}")).select(*on, "outer", "inner")
+    # a short table of intervals may have many blocks, which Spark's estimate doesn't see: neither side is broadcast
+    return a.hint("merge").join(b, [*on, "level", "block"]).filter(F.col(f"inner.{end}") <= F.col(f"outer.{end}")).select(*on, "outer", "inner")
 
 
 def points_inside(outer: DataFrame, points: DataFrame, on: list[str], at: str = "at", start: str = "start", end: str = "end", bits: int = BITS) -> DataFrame:
