@@ -78,9 +78,9 @@ def transitive_dependents(edges: DataFrame, node) -> DataFrame:
 
 def closure(edges: DataFrame, max_depth: int | None = None) -> DataFrame:
     """Distinct pairs (a, b) with a path of one edge or more; its size may be the square of the nodes', see max_depth."""
-    out = _plain(edges)
-    start = durable(out.select(F.col("src").alias("a"), F.col("next").alias("node"), F.lit(1).alias("depth")), "pairs")
-    return _search(start, out, ["a"], max_depth).select("a", F.col("node").alias("b"))
+    from .reach import pairs
+
+    return pairs(edges, max_depth)
 
 
 def _trimmed(edges: DataFrame) -> DataFrame:

@@ -1,13 +1,13 @@
-"""How many nodes reach each node, cycles in bounded number, and reachability kept up to date.
+"""How many nodes reach each node, and which; cycles in bounded number, and reachability kept up to date.
 
-No table of pairs is made.  Exact sizes come from bit sets: sources are numbered, a block of them is a row of WORDS
+Only ``pairs`` makes a table of pairs, at its end.  Exact sizes come from bit sets: sources are numbered, a block of them is a row of WORDS
 bigints a node, and a round ORs the rows that changed along the edges, HOPS levels a job.  Estimates come from the
 ``k`` least ranks among what reaches a node, passed along the same edges.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,50 +25,87 @@ def _plain(edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     return edges.select(F.col("src").alias("node")).union(edges.select("next")).distinct(), edges.filter("src != next")
 
 
-def _spread(state: DataFrame, out: DataFrame, merge: Callable[[DataFrame], DataFrame], held: list[str]) -> DataFrame:
-    """``state`` (node, ``held``, fresh) after HOPS levels from its fresh rows; ``merge`` sums up rows of a node."""
+def _spread(state: DataFrame, out: DataFrame, merge: Callable[[DataFrame], DataFrame], held: list[str], hops: int = HOPS) -> DataFrame:
+    """``state`` (node, ``held``, fresh) after ``hops`` levels from its fresh rows; ``merge`` sums up rows of a node."""
     step = state.filter("fresh")
-    for _ in range(HOPS):
+    for _ in range(hops):
         met = step.join(out, step["node"] == out["src"], "left")
         here, there = F.struct("node", *held, "fresh"), F.struct(F.col("next").alias("node"), *held, F.lit(True).alias("fresh"))
-        step = merge(met.select(F.explode(F.when(F.col("next").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")).select("x.*"))
+        step = merge(met.select(F.explode(F.when(F.col("src").isNull(), F.array(here)).otherwise(F.array(here, there))).alias("x")).select("x.*"))
     return step
 
 
-def sizes(edges: DataFrame, words: int = WORDS, together: int = TOGETHER) -> DataFrame:
-    """node and n: how many other nodes have a path to it, exactly.
-
-    A block holds 64 * ``words`` sources, and ``together`` blocks are searched at once; so a round writes at most
-    ``together`` rows of ``words`` bigints a node, whatever the number of nodes.
-    """
-    nodes, out = _plain(edges)
+def _numbered(nodes: DataFrame, words: int) -> tuple[DataFrame, int]:
+    """``nodes`` (node) with a number, its block of 64 * ``words`` and its bit in each word, and how many blocks there are."""
     nodes = durable(numbered(nodes, [F.col("node")], "i").select("node", (F.col("i") - 1).cast("long").alias("i")), "numbered")
-    width, bits = 64 * words, [f"w{j}" for j in range(words)]
+    width = 64 * words
     word, bit = F.floor(F.col("i") % width / 64), F.expr("shiftleft(1L, cast(i % 64 AS int))")
-    own = nodes.select("node", F.floor(F.col("i") / width).alias("block"), *[F.when(word == j, bit).otherwise(F.lit(0).cast("long")).alias(b) for j, b in enumerate(bits)])
-    blocks = (nodes.agg(F.max("i")).first()[0] or 0) // width + 1
+    own = nodes.select("node", "i", F.floor(F.col("i") / width).alias("block"), *[F.when(word == j, bit).otherwise(F.lit(0).cast("long")).alias(f"w{j}") for j in range(words)])
+    return own, (nodes.agg(F.max("i")).first()[0] or 0) // width + 1
+
+
+def _bit_sets(start: DataFrame, out: DataFrame, blocks: int, words: int, together: int, levels: int | None = None) -> Iterator[DataFrame]:
+    """``start`` (node, block, words) passed along ``out`` until nothing changes, or for ``levels``; ``together`` blocks at a time."""
+    bits = [f"w{j}" for j in range(words)]
 
     def merge(rows: DataFrame) -> DataFrame:
         return rows.groupBy("node", "block").agg(*[F.bit_or(b).alias(b) for b in bits], F.max("fresh").alias("fresh"))
 
-    counted = None
     for first in range(0, blocks, together):
-        here = own.filter((F.col("block") >= first) & (F.col("block") < first + together)) if blocks > together else own
+        here = start.filter((F.col("block") >= first) & (F.col("block") < first + together)) if blocks > together else start
         state = durable(merge(here.withColumn("fresh", F.lit(True))), "bits")
-        fresh = 1
-        while fresh:
+        fresh, left = 1, levels
+        while fresh and left != 0:
+            hops = HOPS if left is None else min(HOPS, left)
+            left = None if left is None else left - hops
             old = state.select("node", "block", *bits, *[F.col(b).alias(f"old_{b}") for b in bits])
-            new = _spread(state, out, merge, ["block", *bits]).select("node", "block", *bits, *[F.lit(0).cast("long").alias(f"old_{b}") for b in bits])
+            new = _spread(state, out, merge, ["block", *bits], hops).select("node", "block", *bits, *[F.lit(0).cast("long").alias(f"old_{b}") for b in bits])
             both = old.unionByName(new).groupBy("node", "block").agg(*[F.bit_or(b).alias(b) for b in bits], *[F.bit_or(f"old_{b}").alias(f"old_{b}") for b in bits])
             changed = F.array(*bits) != F.array(*[f"old_{b}" for b in bits])
             state, seen = _counted(both.select("node", "block", *bits, changed.alias("fresh")), "bits", n=F.count_if("fresh"))
             fresh = seen["n"]
+        yield state
+
+
+def sizes(edges: DataFrame, words: int = WORDS, together: int = TOGETHER) -> DataFrame:
+    """node and n: how many other nodes have a path to it, exactly.
+
+    A block holds 64 * ``words`` sources, and ``together`` blocks are searched at once; so a round writes at most
+    ``together`` rows of ``words`` bigints a node, whatever the number of nodes.
+    """
+    nodes, out = _plain(edges)
+    own, blocks = _numbered(nodes, words)
+    bits = [f"w{j}" for j in range(words)]
+    counted = None
+    for state in _bit_sets(own.select("node", "block", *bits), out, blocks, words, together):
         n = sum((F.bit_count(b) for b in bits[1:]), F.bit_count(bits[0])).cast("long")
         part = state.groupBy("node").agg(F.sum(n).alias("n"))
         counted = part if counted is None else counted.unionByName(durable(part, "sizes"))
     return counted.groupBy("node").agg((F.sum("n") - 1).alias("n"))
 
 
+def pairs(edges: DataFrame, max_depth: int | None = None, words: int = WORDS, together: int = TOGETHER) -> DataFrame:
+    """Distinct pairs (a, b) with a path of one edge or more, of ``max_depth`` at most.
+
+    Bit sets as in ``sizes``, but a node starts with those that have an edge to it, so it holds itself only if it lies on
+    a cycle.  Rounds pass 256 sources a row; the pairs are made once, from the last sets.
+    """
+    every = durable(edges.select("src", F.col("dst").alias("next")).distinct(), "edges")
+    if max_depth is not None and max_depth <= 1:
+        return every.select(F.col("src").alias("a"), F.col("next").alias("b"))
+    nodes = every.select(F.col("src").alias("node")).union(every.select("next")).distinct()
+    own, blocks = _numbered(nodes, words)
+    bits = [f"w{j}" for j in range(words)]
+    start = every.join(own, every["src"].eqNullSafe(own["node"])).select(F.col("next").alias("node"), "block", *bits)
+    found = None
+    for state in _bit_sets(start, every.filter("NOT src <=> next"), blocks, words, together, None if max_depth is None else max_depth - 1):
+        word = F.explode(F.array(*[F.struct((F.col("block") * words + j).alias("word"), F.col(b).alias("w")) for j, b in enumerate(bits)]))
+        some = state.select("node", word.alias("x")).select("node", "x.*").filter("w != 0")
+        part = some.select("node", "word", F.expr("explode(filter(sequence(0, 63), k -> getbit(w, k) = 1))").alias("k")).select("node", (F.col("word") * 64 + F.col("k")).cast("long").alias("i"))
+        found = part if found is None else found.unionByName(part)
+    return found.withColumnRenamed("node", "b").join(own.select(F.col("node").alias("a"), "i"), "i").select("a", "b")
+
+
 def rank(node: Column) -> Column:
     """A number in [0, 1) for each node: 52 bits of the MD5 of its text."""
     return F.conv(F.substring(F.md5(node.cast("string")), 1, 13), 16, 10).cast("double") / F.lit(float(1 << 52))

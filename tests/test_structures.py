@@ -165,6 +165,23 @@ def test_depth_across_chunks_and_rows(spark):
         assert [r.depth for r in rows if r.id == 4] == [1, 2, 1, 2, 1, 0] and {r.id for r in rows} == {1, 4}
 
 
+def test_pairs_are_made_once_and_with_nulls(spark, monkeypatch):
+    """Rounds of a closure write rows of nodes and blocks, not pairs; a null is an end like any other, and leads nowhere."""
+    written, write = [], graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, tag: written.append(write(df, tag)) or written[-1])
+    ring = {(k, (k + 1) % 60) for k in range(60)} | {(k, (k + 7) % 60) for k in range(60)}
+    found = [tuple(r) for r in graph.closure(frame(spark, ring)).collect()]
+    assert sorted(found) == [(a, b) for a in range(60) for b in range(60)]
+    assert max(df.count() for df in written) <= len(ring)
+    odd = [(0, 1), (1, None), (None, 1), (2, 2), (3, 2)]
+    want = {(0, 1), (0, None), (1, None), (None, 1), (None, None), (2, 2), (3, 2)}
+    for words, together in ((4, 1024), (1, 1)):
+        assert sorted(map(str, reach.pairs(spark.createDataFrame(odd, "src bigint, dst bigint"), None, words, together).collect())) == sorted(f"Row(a={a}, b={b})" for a, b in want)
+    line = frame(spark, {(k, k + 1) for k in range(90)})
+    for most in (1, 3, 6):
+        assert {tuple(r) for r in reach.pairs(line, most, words=1, together=1).collect()} == {(a, b) for a in range(91) for b in range(a + 1, min(a + most, 90) + 1)}
+
+
 def test_intervals_of_any_length(spark):
     rng = random.Random(6)
     spans = [(k % 3, k, a, a + int(2 ** rng.uniform(0, 16)) - 1) for k in range(120) for a in [rng.randrange(-5000, 60000)]]
