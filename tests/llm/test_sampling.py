@@ -1,10 +1,12 @@
 """Samples that repeated rows do not change, look-ups, fixed survivors, and plain versions of scores and spans."""
 
+import random
 import re
 import time
 from zlib import crc32
 
 import cases
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -53,6 +55,33 @@ def test_formats_do_not_follow_repeats(spark):
     assert (a.threshold, a.background.logs) == (b.threshold, b.background.logs)
 
 
+def test_formats_are_learned_from_every_text(spark):
+    """A run counts wherever it stands, and of 3000 credentials of one label each is in the automaton's counts."""
+    rng = random.Random(5)
+    keys = ["".join(rng.choices("0123456789abcdef", k=32)) for _ in range(3000)]
+    runs = [f"{'abcdefgh'[k % 8]}water{'stuvwxyz'[k // 8 % 8]}house" for k in range(64)]
+    rows = [(k, f"{cases.prose(k, 5)} {runs[k % 64]} {keys[k]}") for k in range(3000)]
+    model = secret_scan.learn(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3))
+    ends = {name: sum(a.ends[q] for q in a.states) for name, a in model.automata.items()}
+    assert ends["hex"] == 3000 and abs(ends["any"] - (13 + 1) * 40) < 1e-6
+    want = secret_scan.pairs_of((runs[k % 64], 1) for k in range(3000))
+    assert all(model.background.pairs[p] >= want[p] for p in want) and model.background.pairs["r", "s"] >= 375
+
+
+def test_runs_that_stand_out_are_left_out_of_the_background():
+    runs = [a + b + c for a in ("thes", "rive", "walk", "gree") for b in ("wate", "king", "hous") for c in ("ring", "ling", "shed")] + [secret_scan.made_by_rule()["ghp_"][0], "PATIENT", "2024-01-19"]
+    n = np.array([20] * 36 + [1, 3, 7])
+    counts = secret_scan.pairs_of(zip(runs, n.tolist(), strict=True))
+    automata = secret_scan.train(secret_scan.made_by_rule(), runs).automata
+    turn = secret_scan.Formats(automata, secret_scan.Background({}, counts), 15.0)
+    got = secret_scan._left(runs, n, [turn])
+    kept = [k for k, s in enumerate(runs) if not turn.stands_out(s, int(n[k]))]
+    want = secret_scan.pairs_of((runs[k], int(n[k])) for k in kept)
+    signs = secret_scan._SIGNS
+    assert 36 not in kept and set(range(36)) | {38} <= set(kept)
+    assert {(signs[p // len(signs)], signs[p % len(signs)]): int(got[p]) for p in np.flatnonzero(got)} == want
+
+
 def test_dictionary_does_not_follow_repeats(spark, tmp_path):
     docs = spark.createDataFrame([(k, cases.prose(k, 300, [f"word{k % 40}x{j}" for j in range(50)])) for k in range(80)], "doc_id bigint, text string")
     more = docs.unionByName(spark.range(20_000).select((F.col("id") + 1000).alias("doc_id"), F.lit("two words").alias("text")))
