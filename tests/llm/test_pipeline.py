@@ -64,3 +64,15 @@ def test_queries_equal_their_sql(spark, name):
     want = db.sql(oracle_sql()[name])
     assert sorted(got.columns) == sorted(want.columns)
     assert sorted(map(str, got.select(*want.columns).toPandas().itertuples(index=False, name=None))) == sorted(map(str, want.df().itertuples(index=False, name=None)))
+
+
+def test_the_secrets_stage_learns_from_every_text(spark, monkeypatch):
+    """Each of 2500 texts has a run of its own and one that all have; none is left out of the background."""
+    from quillspan.llm import secret_scan
+
+    learned, learn = [], secret_scan.learn
+    monkeypatch.setattr(secret_scan, "learn", lambda *args, **options: learned.append(learn(*args, **options)) or learned[-1])
+    docs = spark.createDataFrame([(k, f"riverstones and {'abcdefgh'[k % 8]}walkinghouse{'abcdefgh'[k // 8 % 8]}light no {k}") for k in range(2500)], "doc_id bigint, text string").repartition(3)
+    assert corpus_pipeline.secrets_stage(spark, docs, "").count() == 2500
+    pairs = learned[0].background.pairs
+    assert pairs["v", "e"] == 2500 and pairs["w", "a"] == 2500
